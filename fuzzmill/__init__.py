@@ -1 +1,9 @@
 """Fuzzy c-means clustering on Spark."""
+
+import sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions of this package that run inside tasks (Arrow kernels) are
+# pickled by value, so executors need no install of the package.
+_cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -84,3 +84,14 @@ def to_points(
 def from_projected(df: DataFrame, dims: int, weighted: bool) -> Points:
     """Wrap a table that already has the internal column names."""
     return Points(df, dims, weighted)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table over at least as many partitions as the cluster has
+    cores before it is cached for a loop.  Large inputs already have many
+    splits and are returned as they are; a small or single-row-group file
+    would otherwise run every pass in one task."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df

@@ -51,7 +51,7 @@ def with_row_index(
     )
     indexed = (
         tagged.join(F.broadcast(offsets), part == F.col("__p"))
-        .withColumn(IDX, F.col("__off") + F.bitwise_and(F.col("__mid"), F.lit(_LOW)))
+        .withColumn(IDX, F.col("__off") + F.col("__mid").bitwiseAND(F.lit(_LOW)))
         .drop("__mid", "__p", "__off")
     )
     p2 = scratch_path(spark, "indexed")

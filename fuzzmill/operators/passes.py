@@ -223,10 +223,10 @@ def total_weight(centers: DataFrame) -> DataFrame:
     return centers.agg(F.sum("w").alias("total_w"))
 
 
-def stack(cur: DataFrame, prev: DataFrame) -> DataFrame:
+def stack(cur: DataFrame, prev: DataFrame, k: int | None = None) -> DataFrame:
     """SET-1: current and previous weighted centres as 2C points, current
     first (``c`` of the previous set is shifted by C)."""
-    k = cur.count()
+    k = cur.count() if k is None else int(k)
     return cur.select("c", "features", "w").unionByName(
         prev.select((F.col("c") + F.lit(k)).alias("c"), "features", "w")
     )

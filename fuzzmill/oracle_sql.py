@@ -19,6 +19,7 @@ class Sql:
     def __init__(self):
         self.ctes: list[tuple[str, str]] = []
         self._n = 0
+        self.last_sums: str | None = None
 
     def add(self, body: str, hint: str = "t") -> str:
         self._n += 1
@@ -103,6 +104,7 @@ def fcm_pass(
     )
     group = f" GROUP BY {block}" if block else ""
     sums = q.add(f"SELECT {aggs}{bcol}, 1 AS one FROM ({step_u}) b{group}", "sums")
+    q.last_sums = sums
     on2 = f"s.{block} = c.{block}" if block else "s.one = c.one"
     newv = ", ".join(
         f"CASE WHEN s.sw{i} = 0 THEN c.v{i}_{j} ELSE s.s{i}_{j} / s.sw{i} END AS v{i}_{j}"
@@ -166,3 +168,19 @@ def fold(q: Sql, pts_idx: str, cen: str, k: int, dims: int, m: float, passes: in
                 cen = round_weights(q, cen, k, dims)
         prev = cen
     return cen
+
+
+def output_sums(sums: str, k: int, dims: int) -> str:
+    """One row per centre with the raw pass sums: c, s0.., w."""
+    rows = []
+    for i in range(k):
+        ss = ", ".join(f"round(s{i}_{j}, 4) AS s{j}" for j in range(dims))
+        rows.append(f"SELECT CAST({i} AS INTEGER) AS c, {ss}, round(sw{i}, 4) AS w FROM {sums}")
+    return "\nUNION ALL\n".join(rows)
+
+
+def tokenise_sql(expr: str, sep: str) -> str:
+    """Java-style split: trailing empty tokens dropped; one token kept as is."""
+    t = f"string_split_regex({expr}, '{sep}')"
+    last = f"list_max(list_transform({t}, lambda x, i: CASE WHEN x <> '' THEN i ELSE 0 END))"
+    return f"(CASE WHEN len({t}) = 1 THEN {t} ELSE {t}[1:{last}] END)"

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..operators import sampling
-from ..operators.features import Points, to_points, xname
+from ..operators.features import Points, spread, to_points, xname
 from ..operators.indexing import IDX, with_row_index
 from ..operators.passes import (
     PassResult,
@@ -143,6 +143,7 @@ def fcm(
     pts = to_points(df, features, V0.shape[1], weight)
     pts = drop_incomplete(pts)
     if cache:
+        pts = Points(spread(pts.df), pts.dims, pts.weighted)
         pts.df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         res = iterate(lambda V: fuzzy_pass(pts, V, m, engine), V0, eps, max_iter)
@@ -191,7 +192,7 @@ def _fold_schema(dims: int) -> T.StructType:
     return T.StructType(
         [
             T.StructField("c", T.IntegerType(), False),
-            T.StructField("features", T.ArrayType(T.DoubleType(), False), False),
+            T.StructField("features", T.ArrayType(T.DoubleType()), False),
             T.StructField("w", T.DoubleType(), True),
             T.StructField("chunks", T.LongType(), False),
         ]
@@ -225,8 +226,8 @@ def _fold_local(
         )
 
     return (
-        pts.df.select(*order_cols, *pts.xs)
-        .groupBy(group)
+        pts.df.select(group.alias("__g"), *order_cols, *pts.xs)
+        .groupBy("__g")
         .applyInArrow(run, _fold_schema(D))
     )
 

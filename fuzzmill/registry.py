@@ -1,76 +1,14 @@
-"""Registered queries (Spark) and their DuckDB oracles.
+"""All registered queries (Spark) and their DuckDB oracles.
 
 Each query takes (spark, sf_dir) and runs over whole tables.  Iterative
 queries use fixed passes (eps < 0) so the generated SQL can replay them.
-Every float output is rounded to 4 decimals on both sides; every column
-is aliased to the same name on both sides.
+Every float output is rounded to 4 decimals on both sides (a few tiny
+values are scaled first); every column has the same name on both sides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from .catalog import fcm_queries, io_queries, other_queries  # noqa: F401  (registration)
+from .catalog.common import ORACLES, QUERIES
 
-from . import oracle_sql as osql
-from .plans.fcm import FCMResult, fcm
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str):
-    def deco(fn):
-        QUERIES[name] = fn
-        return fn
-
-    return deco
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def centers_out(spark: SparkSession, res: FCMResult, with_w: bool = True) -> DataFrame:
-    """c INT, x0 .. x{D-1}, [w], rounded to 4 decimals."""
-    V, W = res.centers, res.weights
-    D = V.shape[1]
-    rows = [
-        tuple([i] + [float(v) for v in V[i]] + ([float(W[i])] if with_w else []))
-        for i in range(V.shape[0])
-    ]
-    names = ["c"] + [f"x{j}" for j in range(D)] + (["w"] if with_w else [])
-    schema = "c INT, " + ", ".join(f"x{j} DOUBLE" for j in range(D))
-    if with_w:
-        schema += ", w DOUBLE"
-    df = spark.createDataFrame(rows, schema)
-    return df.select("c", *[F.round(F.col(n), 4).alias(n) for n in names[1:]])
-
-
-# ---- minimum slice: exact FCM on customer -----------------------------------
-
-CUST_X = ["c_acctbal", "c_nationkey"]
-M = 2.0
-PASSES = 3
-
-
-@query("it2_fcm_customer")
-def it2_fcm_customer(spark, sf_dir):
-    df = table(spark, sf_dir, "customer")
-    res = fcm(df, CUST_X, 3, M, -1.0, PASSES, "first", order_col="c_custkey")
-    return centers_out(spark, res)
-
-
-def _pts_sql(tbl: str, cols, extra: str = "") -> str:
-    xs = ", ".join(f"CAST({c} AS DOUBLE) AS x{j}" for j, c in enumerate(cols))
-    return f"SELECT {xs}{extra} FROM {tbl}"
-
-
-def _o_it2_fcm_customer() -> str:
-    q = osql.Sql()
-    pts = q.add(_pts_sql("customer", CUST_X, ", c_custkey"), "pts")
-    seed = osql.seed_first(q, pts, ["x0", "x1"], 3, "c_custkey")
-    cen = osql.fcm_passes(q, pts, seed, 3, 2, M, PASSES)
-    return q.render(osql.output(cen, 3, 2))
-
-
-ORACLES["it2_fcm_customer"] = _o_it2_fcm_customer
+__all__ = ["ORACLES", "QUERIES"]
