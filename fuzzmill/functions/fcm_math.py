@@ -29,7 +29,11 @@ GUARD = 1e-10
 
 
 def _col(c) -> Column:
-    return c if isinstance(c, Column) else F.lit(float(c))
+    if isinstance(c, Column):
+        return c
+    if isinstance(c, str):
+        return F.col(c)
+    return F.lit(float(c))
 
 
 def guarded_sq(a, b) -> Column:
@@ -78,8 +82,9 @@ def membership_m(s, n, m: float) -> Column:
 
 
 def round_weight(w) -> Column:
-    """FN-6: half-up rounding to a whole number, kept as double."""
-    return F.round(_col(w), 0).cast("double")
+    """FN-6: half-up rounding to a whole number as Java's Math.round does
+    (floor(w + 0.5)), kept as double."""
+    return F.floor(_col(w) + F.lit(0.5)).cast("double")
 
 
 def abs_shift(a, b) -> Column:

@@ -88,3 +88,18 @@ def fold_chunks(X, V0, rows_per_chunk, m, eps, max_iter, round_weights=False):
         prev = (V.copy(), wts.copy())
         chunks += 1
     return V, wts, chunks
+
+
+def kmeans_sums(X: np.ndarray, V: np.ndarray):
+    """Nearest centre per point (squared Euclidean, ties to the lowest
+    index), then per-centre coordinate sums [C x D] and counts [C]."""
+    C, D = V.shape
+    sums = np.zeros((C, D))
+    counts = np.zeros(C)
+    for lo in range(0, X.shape[0], _STEP_ROWS):
+        x = X[lo : lo + _STEP_ROWS]
+        d2 = ((x[:, None, :] - V[None, :, :]) ** 2).sum(axis=2)
+        c = d2.argmin(axis=1)
+        np.add.at(sums, c, x)
+        counts += np.bincount(c, minlength=C)
+    return sums, counts

@@ -92,21 +92,32 @@ def sums_expr(points: Points, centers: np.ndarray, m: float) -> DataFrame:
     return u.agg(*aggs)
 
 
-def _partial_schema(C: int, D: int) -> T.StructType:
-    sn, wn = _names(C, D)
-    fields = [T.StructField(n, T.DoubleType()) for row in sn for n in row]
-    fields += [T.StructField(n, T.DoubleType()) for n in wn]
-    fields.append(T.StructField("n", T.LongType()))
-    return T.StructType(fields)
+LONG_SCHEMA = T.StructType(
+    [T.StructField("cell", T.IntegerType(), False), T.StructField("v", T.DoubleType(), False)]
+)
+
+
+def long_partials(cells: np.ndarray) -> pa.RecordBatch:
+    """One task's partial sums as (cell, v) rows."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(cells.size, dtype=np.int32)), pa.array(cells.astype(float))],
+        schema=pa.schema([("cell", pa.int32(), False), ("v", pa.float64(), False)]),
+    )
+
+
+def reduce_long(partials: DataFrame) -> DataFrame:
+    """Sum long-format partials per cell: a C x (D + 1)-row result whatever
+    the number of tasks; the plan does not grow with C x D."""
+    return partials.groupBy("cell").agg(F.sum("v").alias("v"))
 
 
 def sums_arrow(points: Points, centers: np.ndarray, m: float) -> DataFrame:
-    """AG-1 / AG-2 as a lazy one-row DataFrame (numpy over Arrow batches)."""
+    """AG-1 / AG-2 with numpy over Arrow batches: each task yields its
+    C x (D + 1) + 1 partial cells as (cell, v) rows; one ``groupBy(cell)``
+    adds them up."""
     C, D = centers.shape
     V = np.array(centers, dtype=float)
     weighted = points.weighted
-    schema = _partial_schema(C, D)
-    names = [f.name for f in schema.fields]
 
     def run(batches):
         sums = np.zeros((C, D))
@@ -123,13 +134,17 @@ def sums_arrow(points: Points, centers: np.ndarray, m: float) -> DataFrame:
             sums += s
             wts += ws
             n += rb.num_rows
-        cols = [pa.array([v]) for v in sums.ravel()] + [pa.array([v]) for v in wts]
-        cols.append(pa.array([n], pa.int64()))
-        yield pa.RecordBatch.from_arrays(cols, names=names)
+        yield long_partials(np.concatenate([sums.ravel(), wts, [float(n)]]))
 
     cols = [*points.xs] + ([points.w] if weighted else [])
-    partial = points.df.select(*cols).mapInArrow(run, schema)
-    return partial.agg(*[F.sum(c).alias(c) for c in names])
+    return reduce_long(points.df.select(*cols).mapInArrow(run, LONG_SCHEMA))
+
+
+def _from_long(rows, C: int, D: int):
+    cells = np.zeros(C * D + C + 1)
+    for r in rows:
+        cells[r["cell"]] = r["v"]
+    return cells[: C * D].reshape(C, D), cells[C * D : C * D + C], int(cells[-1])
 
 
 def sums_frame(points: Points, centers, m: float, engine: str = "auto") -> DataFrame:
@@ -144,19 +159,24 @@ def sums_frame(points: Points, centers, m: float, engine: str = "auto") -> DataF
 
 
 def fuzzy_pass(points: Points, centers, m: float, engine: str = "auto") -> PassResult:
-    """Run one pass and bring back the C x (D + 1) sums (one small row)."""
+    """Run one pass and bring back the C x (D + 1) sums."""
     m = check_m(m)
     centers = np.asarray(centers, dtype=float)
     C, D = centers.shape
     if D != points.dims:
         raise ValueError(f"centres have width {D}, points {points.dims}")
-    row = sums_frame(points, centers, m, engine).first()
-    sn, wn = _names(C, D)
-    n = int(row["n"] or 0)
+    if engine == "auto":
+        engine = "expr" if centers.size <= EXPR_MAX_CELLS else "arrow"
+    if engine == "arrow":
+        sums, wts, n = _from_long(sums_arrow(points, centers, m).collect(), C, D)
+    else:
+        row = sums_frame(points, centers, m, engine).collect()[0]
+        sn, wn = _names(C, D)
+        n = int(row["n"] or 0)
+        sums = np.array([[row[sn[i][j]] or 0.0 for j in range(D)] for i in range(C)], dtype=float)
+        wts = np.array([row[wn[i]] or 0.0 for i in range(C)], dtype=float)
     if n == 0:
         raise ValueError("the point table is empty")
-    sums = np.array([[row[sn[i][j]] for j in range(D)] for i in range(C)], dtype=float)
-    wts = np.array([row[wn[i]] for i in range(C)], dtype=float)
     if np.isnan(sums).any() or np.isnan(wts).any():
         raise ValueError("a pass produced NaN: the points contain NaN or infinite values")
     return PassResult(sums, wts, n)

@@ -321,9 +321,9 @@ def seed_centers(
     strategy: str = "chunked",
     *,
     sample_rows: int = 10_000,
-    order_col: str,
+    order_col,
     seed=0,
-    id_col: str | None = None,
+    id_col=None,
     m: float = 2.0,
     eps: float = 1e-3,
     max_iter: int = 100,
@@ -332,12 +332,26 @@ def seed_centers(
     """IT-8: seeds from a coin-flip sample (LM-1) of at most ``sample_rows``
     rows; the first k sampled rows start FCM over the whole sample
     ('whole') or the chunk fold with chunks of k rows ('chunked')."""
-    sample = sampling.coin_flip_sample(df, sample_rows, order_col, seed, id_col)
-    if strategy == "whole":
-        return fcm(sample, features, k, m, eps, max_iter, "first", order_col=order_col, dims=dims)
-    if strategy == "chunked":
-        return fcm_chunked(
-            sample, features, k, k, order_col, m, eps, max_iter, "first",
-            dims=dims, mode="local",
-        )
-    raise ValueError(f"unknown strategy {strategy!r}")
+    # The sample is bounded by sample_rows; keep it so the seeding steps
+    # below do not recompute it from the table.
+    need = []
+    for c in ([features] if isinstance(features, str) else list(features)) + (
+        [order_col] if isinstance(order_col, str) else list(order_col)
+    ) + ([] if id_col is None else [id_col] if isinstance(id_col, str) else list(id_col)):
+        if c not in need:
+            need.append(c)
+    sample = sampling.coin_flip_sample(df.select(*need), sample_rows, order_col, seed, id_col)
+    sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if strategy == "whole":
+            return fcm(
+                sample, features, k, m, eps, max_iter, "first", order_col=order_col, dims=dims
+            )
+        if strategy == "chunked":
+            return fcm_chunked(
+                sample, features, k, k, order_col, m, eps, max_iter, "first",
+                dims=dims, mode="auto",
+            )
+        raise ValueError(f"unknown strategy {strategy!r}")
+    finally:
+        sample.unpersist()

@@ -20,7 +20,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..operators.features import Points, spread, to_points, xname
+from ..operators.passes import EXPR_MAX_CELLS, LONG_SCHEMA, long_partials, reduce_long
 from .fcm import FCMResult, drop_incomplete, fcm, resolve_init
 
 
@@ -37,8 +39,13 @@ def _sq_dists(xs: list[Column], V: np.ndarray) -> list[Column]:
 
 def nearest(xs: list[Column], V: np.ndarray) -> tuple[Column, Column]:
     """(index of the nearest centre, squared distance to it); ties go to
-    the lowest index."""
+    the lowest index.  Expects the distances to be materialised first when
+    the expressions are large (see ``with_distances``)."""
     ds = _sq_dists(xs, V)
+    return _pick(ds)
+
+
+def _pick(ds: list[Column]) -> tuple[Column, Column]:
     best = F.least(*ds) if len(ds) > 1 else ds[0]
     idx = None
     for i in range(len(ds) - 1, -1, -1):
@@ -46,18 +53,52 @@ def nearest(xs: list[Column], V: np.ndarray) -> tuple[Column, Column]:
     return idx.cast("int"), best
 
 
-def kmeans_pass(pts: Points, V: np.ndarray):
-    idx, _ = nearest(pts.xs, V)
+def with_distances(pts: Points, V: np.ndarray, keep=()) -> tuple[DataFrame, list[Column]]:
+    """Project each squared distance once, so the nearest-centre choice
+    refers to columns instead of repeating C x D-term expressions."""
+    ds = [d.alias(f"__d{i}") for i, d in enumerate(_sq_dists(pts.xs, V))]
+    df = pts.df.select(*[F.col(k) for k in keep], *pts.xs, *ds)
+    return df, [F.col(f"__d{i}") for i in range(V.shape[0])]
+
+
+def kmeans_pass(pts: Points, V: np.ndarray, engine: str = "auto"):
+    C, D = V.shape
+    if engine == "auto":
+        engine = "expr" if V.size <= EXPR_MAX_CELLS else "arrow"
+    if engine == "arrow":
+        Vc = np.array(V, dtype=float)
+
+        def run(batches):
+            sums = np.zeros((C, D))
+            counts = np.zeros(C)
+            for rb in batches:
+                if rb.num_rows == 0:
+                    continue
+                X = np.column_stack(
+                    [rb.column(xname(j)).to_numpy(zero_copy_only=False) for j in range(D)]
+                ).astype(float, copy=False)
+                s, c = kernels.kmeans_sums(X, Vc)
+                sums += s
+                counts += c
+            yield long_partials(np.concatenate([sums.ravel(), counts]))
+
+        rows = reduce_long(pts.df.select(*pts.xs).mapInArrow(run, LONG_SCHEMA)).collect()
+        cells = np.zeros(C * D + C)
+        for r in rows:
+            cells[r["cell"]] = r["v"]
+        return cells[: C * D].reshape(C, D), cells[C * D :]
+    df, ds = with_distances(pts, V)
+    idx, _ = _pick(ds)
     rows = (
-        pts.df.select(idx.alias("c"), *pts.xs)
+        df.select(idx.alias("c"), *pts.xs)
         .groupBy("c")
-        .agg(*[F.sum(xname(j)).alias(f"s{j}") for j in range(pts.dims)], F.count(F.lit(1)).alias("n"))
+        .agg(*[F.sum(xname(j)).alias(f"s{j}") for j in range(D)], F.count(F.lit(1)).alias("n"))
         .collect()
     )
     sums = np.zeros_like(V)
-    counts = np.zeros(V.shape[0])
+    counts = np.zeros(C)
     for r in rows:
-        sums[r["c"]] = [r[f"s{j}"] for j in range(pts.dims)]
+        sums[r["c"]] = [r[f"s{j}"] for j in range(D)]
         counts[r["c"]] = r["n"]
     return sums, counts
 
@@ -104,8 +145,9 @@ def assign(
     Euclidean distance.  A narrow projection: no shuffle."""
     V = np.asarray(centers, dtype=float)
     pts = drop_incomplete(to_points(df, features, dims or V.shape[1], keep=[id_col]))
-    idx, best = nearest(pts.xs, V)
-    return pts.df.select(F.col(id_col).alias("id"), idx.alias("c"), F.sqrt(best).alias("distance"))
+    dfd, ds = with_distances(pts, V, keep=[id_col])
+    idx, best = _pick(ds)
+    return dfd.select(F.col(id_col).alias("id"), idx.alias("c"), F.sqrt(best).alias("distance"))
 
 
 def fuzzy_kmeans(

@@ -21,7 +21,8 @@ Plan at scale:
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
-from ..operators.features import Points, to_points, xname
-from ..operators.passes import centers_df, check_m
+from ..operators.features import Points, spread, to_points, xname
+from ..operators.passes import check_m
 from .fcm import FCMResult, drop_incomplete, seed_centers, weighted_fcm
 
 # A hot-key table (one row per key with more than block_rows rows) is
 # broadcast only up to this many rows; beyond it the join shuffles.
 BROADCAST_MAX_ROWS = 100_000
 BLOCK_ROWS = 100_000
+# The merge runs inside one task when the partial table (C rows per block)
+# has at most this many rows; beyond it, as distributed passes.
+MERGE_LOCAL_MAX_ROWS = 200_000
 
 
 def partial_schema() -> T.StructType:
@@ -144,7 +148,7 @@ def partial_fcm(
             if size:
                 yield flush()
 
-        return pts.df.select(*pts.xs).mapInArrow(run, partial_schema())
+        return spread(pts.df.select(*pts.xs)).mapInArrow(run, partial_schema())
 
     # Keyed blocks: split hot keys, then one group per (key, sub-block).
     key = F.col(block_col).cast("long")
@@ -179,23 +183,83 @@ def partial_fcm(
     )
 
 
+def _merge_local(partials: DataFrame, V0, m, eps, max_iter) -> FCMResult:
+    """The merge loop inside one task: only for a partial table whose size
+    was checked against MERGE_LOCAL_MAX_ROWS."""
+    C, D = V0.shape
+    out_schema = T.StructType(
+        [
+            T.StructField("c", T.IntegerType(), False),
+            T.StructField("features", T.ArrayType(T.DoubleType()), False),
+            T.StructField("w", T.DoubleType(), True),
+            T.StructField("passes", T.IntegerType(), False),
+            T.StructField("shift", T.DoubleType(), True),
+            T.StructField("n", T.LongType(), False),
+        ]
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        feats = table.column("features").combine_chunks()
+        X = np.asarray(feats.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(-1, D)
+        w = table.column("w").to_numpy().astype(float)
+        V, W, passes, moved = kernels.local_fcm(X, w, V0, m, eps, max_iter)
+        return pa.Table.from_pydict(
+            {
+                "c": pa.array(range(C), pa.int32()),
+                "features": pa.array([list(map(float, r)) for r in V], pa.list_(pa.float64())),
+                "w": pa.array(W.astype(float), pa.float64()),
+                "passes": pa.array([passes] * C, pa.int32()),
+                "shift": pa.array([float(moved)] * C, pa.float64()),
+                "n": pa.array([X.shape[0]] * C, pa.int64()),
+            }
+        )
+
+    rows = (
+        partials.where(F.col("w") != 0)
+        .select(F.lit(0).alias("__g"), "features", "w")
+        .groupBy("__g")
+        .applyInArrow(run, out_schema)
+        .collect()
+    )
+    rows = sorted(rows, key=lambda r: r["c"])
+    V = np.array([r["features"] for r in rows], dtype=float)
+    W = np.array([r["w"] for r in rows], dtype=float)
+    if np.isnan(V).any():
+        raise ValueError("merge produced NaN")
+    return FCMResult(V, W, int(rows[0]["passes"]), float(rows[0]["shift"]), int(rows[0]["n"]))
+
+
 def merge_fcm(
-    partials: DataFrame, seeds, m: float = 2.0, eps: float = 1e-3, max_iter: int = 100
+    partials: DataFrame, seeds, m: float = 2.0, eps: float = 1e-3, max_iter: int = 100,
+    mode: str = "auto",
 ) -> FCMResult:
     """IT-5: weighted FCM over all partial rows, starting from the seeds;
-    weights are not rounded."""
+    weights are not rounded.  ``auto`` runs the loop in one task when the
+    partial table has at most MERGE_LOCAL_MAX_ROWS rows (C per block, so
+    it is small unless the blocks are very many), else as distributed
+    passes."""
+    m = check_m(m)
     V0 = np.asarray(seeds, dtype=float)
+    if mode == "auto":
+        n = partials.count()
+        mode = "local" if n <= MERGE_LOCAL_MAX_ROWS else "distributed"
+    if mode == "local":
+        return _merge_local(partials, V0, m, eps, max_iter)
     return weighted_fcm(partials.select("features", "w"), V0.shape[0], m, eps, max_iter, V0)
 
 
 def polish(
     spark, centers, weights, m: float = 2.0, eps: float = 1e-3, max_iter: int = 100
 ) -> FCMResult:
-    """IT-6: weighted FCM of the C merged centres, starting at themselves."""
+    """IT-6: weighted FCM of the C merged centres, starting at themselves.
+    Its input is exactly C weighted points already held by the caller, so
+    the loop runs in place; no table is read."""
+    m = check_m(m)
     V = np.asarray(centers, dtype=float)
-    table = centers_df(spark, V, weights)
-    res = weighted_fcm(table, V.shape[0], m, eps, max_iter, V)
-    return res
+    w = np.asarray(weights, dtype=float)
+    keep = w != 0
+    Vn, W, passes, moved = kernels.local_fcm(V[keep], w[keep], V, m, eps, max_iter)
+    return FCMResult(Vn, W, passes, moved, int(keep.sum()))
 
 
 @dataclass
@@ -203,6 +267,7 @@ class TwoLevelResult(FCMResult):
     seeds: np.ndarray | None = None
     blocks: int = 0
     input_weight: float = 0.0
+    stage_sec: dict = field(default_factory=dict)
 
 
 def two_level_fcm(
@@ -213,36 +278,47 @@ def two_level_fcm(
     eps: float = 1e-3,
     max_iter: int = 100,
     *,
-    order_col: str,
+    order_col,
     sample_rows: int = 10_000,
     seed=0,
-    id_col: str | None = None,
+    id_col=None,
     seeding: str = "chunked",
     block_col: str | None = None,
     block_rows: int = BLOCK_ROWS,
     dims: int | None = None,
 ) -> TwoLevelResult:
     """IT-7: sample + seed (IT-8), partial per block (IT-4), merge (IT-5),
-    polish (IT-6).  The point table is scanned once, by the partial stage;
-    every later stage works on C rows per block."""
+    polish (IT-6).  The point table is scanned twice in all: once by the
+    coin-flip sample (a top-k, bounded output) and once by the partial
+    stage; every later stage works on C rows per block."""
     spark = df.sparkSession
+    t = {}
+    t0 = time.perf_counter()
     seeds = seed_centers(
         df, features, k, seeding, sample_rows=sample_rows, order_col=order_col, seed=seed,
         id_col=id_col, m=m, eps=eps, max_iter=max_iter, dims=dims,
     ).centers
+    t["seed"] = time.perf_counter() - t0
+    t0 = time.perf_counter()
     partials = partial_fcm(
         df, features, seeds, m, eps, max_iter, block_col=block_col,
         block_rows=block_rows, round_weights=True, dims=dims,
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        merged = merge_fcm(partials, seeds, m, eps, max_iter)
         blocks = partials.select("block").distinct().count()
+        t["partial"] = time.perf_counter() - t0
+        t0 = time.perf_counter()
+        merged = merge_fcm(partials, seeds, m, eps, max_iter)
+        t["merge"] = time.perf_counter() - t0
     finally:
         partials.unpersist()
+    t0 = time.perf_counter()
     final = polish(spark, merged.centers, merged.weights, m, eps, max_iter)
+    t["polish"] = time.perf_counter() - t0
     return TwoLevelResult(
         final.centers, final.weights, final.passes, final.shift, merged.n,
         seeds=seeds, blocks=blocks, input_weight=float(np.sum(merged.weights)),
+        stage_sec={k_: round(v, 3) for k_, v in t.items()},
     )
 
 
