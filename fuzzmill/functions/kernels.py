@@ -13,6 +13,8 @@ from .fcm_math import GUARD
 
 # Rows handled per numpy step: bounds the n x C x D scratch array.
 _STEP_ROWS = 4096
+# Below this fuzziness memberships are formed from distance ratios.
+RATIO_BELOW_M = 1.1
 
 
 def fuzzy_sums(X: np.ndarray, w: np.ndarray | None, V: np.ndarray, m: float):
@@ -27,9 +29,14 @@ def fuzzy_sums(X: np.ndarray, w: np.ndarray | None, V: np.ndarray, m: float):
             x = X[lo : lo + _STEP_ROWS]
             diff = x[:, None, :] - V[None, :, :]
             sq = np.where(diff == 0.0, GUARD, diff * diff)
-            n = np.sqrt(sq.sum(axis=2)) ** e
-            s = (1.0 / n).sum(axis=1)
-            um = (s[:, None] * n) ** (-m)
+            d = np.sqrt(sq.sum(axis=2))
+            if m < RATIO_BELOW_M:
+                # S * n_i = sum_j (d_i / d_j)^e: no d^e overflow near m = 1.
+                um = ((d[:, :, None] / d[:, None, :]) ** e).sum(axis=2) ** (-m)
+            else:
+                n = d**e
+                s = (1.0 / n).sum(axis=1)
+                um = (s[:, None] * n) ** (-m)
             if w is not None:
                 um = um * w[lo : lo + _STEP_ROWS, None]
             sums += um.T @ x

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
+from ..functions.kernels import RATIO_BELOW_M
 from ..functions.fcm_math import guarded_distance, inverse_sum, membership_m, powered
 from .features import W, Points, xname
 
@@ -60,6 +61,8 @@ def _memberships(points: Points, centers: np.ndarray, m: float) -> DataFrame:
     """Adds __u0 .. __u{C-1} = w * um_i to the point table (lazy)."""
     C = centers.shape[0]
     base = [*points.xs] + ([points.w] if points.weighted else [])
+    if m < RATIO_BELOW_M:
+        return _memberships_ratio(points, centers, m, base)
     ns = [
         powered(guarded_distance(points.xs, [float(v) for v in centers[i]]), m).alias(
             f"__n{i}"
@@ -78,6 +81,30 @@ def _memberships(points: Points, centers: np.ndarray, m: float) -> DataFrame:
     return step2.select(*points.xs, *us)
 
 
+def _memberships_ratio(points: Points, centers: np.ndarray, m: float, base) -> DataFrame:
+    """Near m = 1, d^(2/(m-1)) overflows; S * n_i = sum_j (d_i / d_j)^e
+    gives the same memberships from distance ratios."""
+    C = centers.shape[0]
+    e = F.lit(2.0 / (m - 1.0))
+    ds = [
+        guarded_distance(points.xs, [float(v) for v in centers[i]]).alias(f"__d{i}")
+        for i in range(C)
+    ]
+    step1 = points.df.select(*base, *ds)
+    dc = [F.col(f"__d{i}") for i in range(C)]
+    us = []
+    for i in range(C):
+        t = None
+        for j in range(C):
+            term = F.pow(dc[i] / dc[j], e)
+            t = term if t is None else t + term
+        u = F.pow(t, F.lit(-float(m)))
+        if points.weighted:
+            u = u * F.col(W)
+        us.append(u.alias(f"__u{i}"))
+    return step1.select(*points.xs, *us)
+
+
 def sums_expr(points: Points, centers: np.ndarray, m: float) -> DataFrame:
     """AG-1 / AG-2 as a lazy one-row DataFrame (expression engine)."""
     C, D = centers.shape

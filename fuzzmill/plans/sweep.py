@@ -23,6 +23,17 @@ from .two_level import two_level_fcm
 ALGOS = ("kmeans", "fuzzy_kmeans", "two_level_fcm")
 
 
+def _grid(values, kind):
+    if isinstance(values, DataFrame):
+        return [kind(r[0]) for r in values.select(values.columns[0]).collect()]
+    return [kind(v) for v in values]
+
+
+def write_sweep(results: DataFrame, path: str) -> None:
+    """SNK-5: append results, one folder per varied parameter."""
+    results.write.mode("append").partitionBy("varied").parquet(path)
+
+
 def sweep_schema() -> T.StructType:
     return T.StructType(
         [
@@ -57,8 +68,12 @@ def sweep(
     seed=0,
     dims: int | None = None,
 ) -> DataFrame:
-    """IT-13: returns the result table (times vary between runs)."""
+    """IT-13: returns the result table (times vary between runs).  ``ks``
+    and ``epsilons`` are lists or one-column grid tables (SRC-4,
+    ``read_grid``); a grid is a handful of values."""
     spark = df.sparkSession
+    ks = _grid(ks, int)
+    epsilons = _grid(epsilons, float)
     rows = []
 
     def run(algo, sample_df, s, u, kk, ee, varied):

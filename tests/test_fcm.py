@@ -221,3 +221,26 @@ def test_kmeans_arrow_engine_matches_expr(spark):
     s1, c1 = kmeans_pass(Points(pts.df, 64, False), V, "expr")
     s2, c2 = kmeans_pass(Points(pts.df, 64, False), V, "arrow")
     assert np.allclose(s1, s2) and np.array_equal(c1, c2)
+
+
+def test_ratio_form_near_one_is_finite_and_matches(spark):
+    """Near m = 1 the ratio form stays finite; both engines agree."""
+    df = _cust(spark)
+    pts = to_points(df, CX)
+    V = resolve_init(df, CX, 3, "first", order_col="c_custkey")
+    a = fuzzy_pass(pts, V, 1.02, "expr")
+    b = fuzzy_pass(pts, V, 1.02, "arrow")
+    assert np.all(np.isfinite(a.sums)) and np.allclose(a.sums, b.sums, rtol=1e-9)
+    # At m just below the switch the two forms agree with each other.
+    X = np.array(_local_points(df, CX, "c_custkey"))
+    kernels.RATIO_BELOW_M, keep = 0.0, kernels.RATIO_BELOW_M
+    try:
+        plain = kernels.fuzzy_sums(X, None, V, 1.5)
+    finally:
+        kernels.RATIO_BELOW_M = keep
+    kernels.RATIO_BELOW_M, keep = 2.0, kernels.RATIO_BELOW_M
+    try:
+        ratio = kernels.fuzzy_sums(X, None, V, 1.5)
+    finally:
+        kernels.RATIO_BELOW_M = keep
+    assert np.allclose(plain[0], ratio[0], rtol=1e-9) and np.allclose(plain[1], ratio[1], rtol=1e-9)

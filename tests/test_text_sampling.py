@@ -102,3 +102,22 @@ def test_sampling(spark):
     kept = o.where(sampling.coin(["o_orderkey"], 4)).count()
     assert 0.4 * n < kept < 0.6 * n
     assert [r.p_partkey for r in sampling.first_k(spark.read.parquet(f"{SF_SMALL}/part.parquet"), 3, "p_partkey").collect()] == [0, 1, 2]
+
+
+def test_grid_and_sweep_sink(spark, scratch):
+    """SRC-4 grids from text, IT-13 sweep on them, SNK-5 partitioned append."""
+    from fuzzmill.plans.sweep import sweep, write_sweep
+    from fuzzmill.sources.points import read_grid
+
+    spark.createDataFrame([("2",), ("3",)], "value string").write.text(f"{scratch}/ks")
+    spark.createDataFrame([("0.5",)], "value string").write.text(f"{scratch}/eps")
+    ks = read_grid(spark, f"{scratch}/ks", "int")
+    eps = read_grid(spark, f"{scratch}/eps")
+    c = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+    res = sweep(c, ["c_acctbal", "c_nationkey"], id_col="c_custkey", ks=ks, epsilons=eps,
+                k=3, eps=0.5, sample_rows=80, max_iter=3, algos=("kmeans", "fuzzy_kmeans"))
+    assert res.count() == 2 * 2 + 2
+    write_sweep(res, f"{scratch}/out")
+    back = spark.read.parquet(f"{scratch}/out")
+    assert sorted(r.varied for r in back.select("varied").distinct().collect()) == ["centers", "epsilon"]
+    assert back.count() == 6
