@@ -105,3 +105,41 @@ def memberships_m(xs: Sequence, centers, m: float) -> list[Column]:
     ]
     s = inverse_sum(ns)
     return [membership_m(s, n, m) for n in ns]
+
+
+# ---- the same formulas as SQL text ------------------------------------------
+# Loops rebuild their plan every pass; SQL text reaches the JVM in one call
+# per column, where a tree of Column objects costs one call per node.
+
+
+def lit_sql(v: float) -> str:
+    v = float(v)
+    if v != v or v in (float("inf"), float("-inf")):
+        raise ValueError(f"centre coordinate is not finite: {v}")
+    return f"({v!r}D)"
+
+
+def guarded_sq_sql(x: str, v: float) -> str:
+    d = f"({x} - {lit_sql(v)})"
+    return f"CASE WHEN {d} = 0 THEN {GUARD!r}D ELSE {d} * {d} END"
+
+
+def guarded_distance_sql(xs: Sequence[str], vs: Sequence[float]) -> str:
+    return "SQRT(" + " + ".join(guarded_sq_sql(x, v) for x, v in zip(xs, vs)) + ")"
+
+
+def powered_sql(d: str, m: float) -> str:
+    return f"POWER({d}, {2.0 / (float(m) - 1.0)!r}D)"
+
+
+def inverse_sum_sql(ns: Sequence[str]) -> str:
+    return "(" + " + ".join(f"POWER({n}, -1.0D)" for n in ns) + ")"
+
+
+def membership_m_sql(s: str, n: str, m: float) -> str:
+    return f"POWER({s} * {n}, {-float(m)!r}D)"
+
+
+def sq_distance_sql(xs: Sequence[str], vs: Sequence[float]) -> str:
+    """Unguarded squared Euclidean distance (k-means)."""
+    return " + ".join(f"({x} - {lit_sql(v)}) * ({x} - {lit_sql(v)})" for x, v in zip(xs, vs))

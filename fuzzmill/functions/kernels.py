@@ -17,31 +17,39 @@ _STEP_ROWS = 4096
 RATIO_BELOW_M = 1.1
 
 
+def _sums(x: np.ndarray, w, V: np.ndarray, m: float, e: float):
+    """Pass sums of one step of rows; floating-point warnings are the
+    caller's (inf/0 follow IEEE as in the row-wise maths)."""
+    diff = x[:, None, :] - V[None, :, :]
+    sq = diff * diff
+    sq[diff == 0.0] = GUARD
+    d = np.sqrt(sq.sum(axis=2))
+    if m < RATIO_BELOW_M:
+        # S * n_i = sum_j (d_i / d_j)^e: no d^e overflow near m = 1.
+        um = ((d[:, :, None] / d[:, None, :]) ** e).sum(axis=2) ** (-m)
+    else:
+        n = d**e
+        um = ((1.0 / n).sum(axis=1)[:, None] * n) ** (-m)
+    if w is not None:
+        um = um * w[:, None]
+    return um.T @ x, um.sum(axis=0)
+
+
 def fuzzy_sums(X: np.ndarray, w: np.ndarray | None, V: np.ndarray, m: float):
     """One FCM pass over a block: returns (sum_k w_k um_ik x_k  [C x D],
     sum_k w_k um_ik [C]).  X is n x D, V is C x D."""
-    C, D = V.shape
-    sums = np.zeros((C, D))
-    wts = np.zeros(C)
     e = 2.0 / (m - 1.0)
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        if X.shape[0] <= _STEP_ROWS:
+            return _sums(X, w, V, m, e)
+        C, D = V.shape
+        sums = np.zeros((C, D))
+        wts = np.zeros(C)
         for lo in range(0, X.shape[0], _STEP_ROWS):
-            x = X[lo : lo + _STEP_ROWS]
-            diff = x[:, None, :] - V[None, :, :]
-            sq = np.where(diff == 0.0, GUARD, diff * diff)
-            d = np.sqrt(sq.sum(axis=2))
-            if m < RATIO_BELOW_M:
-                # S * n_i = sum_j (d_i / d_j)^e: no d^e overflow near m = 1.
-                um = ((d[:, :, None] / d[:, None, :]) ** e).sum(axis=2) ** (-m)
-            else:
-                n = d**e
-                s = (1.0 / n).sum(axis=1)
-                um = (s[:, None] * n) ** (-m)
-            if w is not None:
-                um = um * w[lo : lo + _STEP_ROWS, None]
-            sums += um.T @ x
-            wts += um.sum(axis=0)
-    return sums, wts
+            s, ws = _sums(X[lo : lo + _STEP_ROWS], None if w is None else w[lo : lo + _STEP_ROWS], V, m, e)
+            sums += s
+            wts += ws
+        return sums, wts
 
 
 def update(sums: np.ndarray, wts: np.ndarray, old: np.ndarray):
@@ -61,15 +69,21 @@ def local_fcm(X, w, V0, m, eps, max_iter):
     """FCM to convergence on one in-memory block.  Do-while: at least one
     pass.  Returns (centres, weights of the last pass, passes, shift)."""
     V = np.array(V0, dtype=float)
+    e = 2.0 / (m - 1.0)
     passes = 0
-    while True:
-        sums, wts = fuzzy_sums(X, w, V, m)
-        new = update(sums, wts, V)
-        moved = shift(V, new)
-        V = new
-        passes += 1
-        if np.isnan(moved) or not (moved > eps and passes < max_iter):
-            return V, wts, passes, moved
+    step = X.shape[0] <= _STEP_ROWS
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        while True:
+            sums, wts = _sums(X, w, V, m, e) if step else fuzzy_sums(X, w, V, m)
+            if wts.all():
+                new = sums / wts[:, None]
+            else:
+                new = update(sums, wts, V)
+            moved = float(np.abs(V - new).max())
+            V = new
+            passes += 1
+            if moved != moved or not (moved > eps and passes < max_iter):
+                return V, wts, passes, moved
 
 
 def fold_chunks(X, V0, rows_per_chunk, m, eps, max_iter, round_weights=False):

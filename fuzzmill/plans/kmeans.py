@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.fcm_math import sq_distance_sql
 from ..operators.features import Points, spread, to_points, xname
 from ..operators.passes import EXPR_MAX_CELLS, LONG_SCHEMA, long_partials, reduce_long
 from .fcm import FCMResult, drop_incomplete, fcm, resolve_init
@@ -54,10 +55,12 @@ def _pick(ds: list[Column]) -> tuple[Column, Column]:
 
 
 def with_distances(pts: Points, V: np.ndarray, keep=()) -> tuple[DataFrame, list[Column]]:
-    """Project each squared distance once, so the nearest-centre choice
-    refers to columns instead of repeating C x D-term expressions."""
-    ds = [d.alias(f"__d{i}") for i, d in enumerate(_sq_dists(pts.xs, V))]
-    df = pts.df.select(*[F.col(k) for k in keep], *pts.xs, *ds)
+    """Project each squared distance once (built as SQL text, one call per
+    column), so the nearest-centre choice refers to columns instead of
+    repeating C x D-term expressions."""
+    xs = [xname(j) for j in range(pts.dims)]
+    ds = [f"{sq_distance_sql(xs, V[i])} AS __d{i}" for i in range(V.shape[0])]
+    df = pts.df.selectExpr(*keep, *xs, *ds)
     return df, [F.col(f"__d{i}") for i in range(V.shape[0])]
 
 
