@@ -80,6 +80,27 @@ def main():
     timed("fcm_embeddings_c10", lambda: fcm(emb, "embedding", 10, 1.5, EPS, MAX_ITER, seeds_e, dims=64))
     timed("kmeans_embeddings_c10", lambda: kmeans(emb, "embedding", 10, EPS, MAX_ITER, seeds_e, dims=64))
 
+    # Growth: the same lineitem runs one scale factor down, when present.
+    small = re.sub(r"sf([0-9.]+)", lambda mm: f"sf{float(mm.group(1)) / 10:g}", sf_dir)
+    growth = {}
+    if small != sf_dir and os.path.exists(f"{small}/lineitem.parquet"):
+        li_s = spark.read.parquet(f"{small}/lineitem.parquet")
+        seeds_s = resolve_init(li_s, LINE_X, 3, "first", order_col=LINE_ORDER)
+        for name, fn in (
+            ("two_level_lineitem_c3", lambda: two_level_fcm(
+                li_s, LINE_X, 3, 2.0, EPS, MAX_ITER, order_col=LINE_ORDER, id_col=LINE_ID,
+                sample_rows=SAMPLE_ROWS, seed=1)),
+            ("fcm_lineitem_c3", lambda: fcm(li_s, LINE_X, 3, 2.0, EPS, MAX_ITER, seeds_s)),
+        ):
+            t0 = time.perf_counter()
+            r = fn()
+            sec = time.perf_counter() - t0
+            growth[name] = {
+                "small_sf_sec": round(sec, 3),
+                "small_sf_passes": int(r.passes),
+                "ratio": round(times[name] / sec, 2) if sec else None,
+            }
+
     out = {
         "metric": "total_sec",
         "value": round(sum(times.values()), 3),
@@ -88,6 +109,7 @@ def main():
         "sf": sf,
         "cpus": cpus,
         "detail": info,
+        "growth_from_sf_div_10": growth,
     }
     print(json.dumps(out))
     spark.stop()

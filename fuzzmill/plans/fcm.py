@@ -32,9 +32,10 @@ from ..operators.passes import (
     new_centers,
 )
 
-# Inputs up to this many rows may be folded inside one task (IT-3 local
-# mode); larger ones always take the distributed chunk path.
-LOCAL_MAX_ROWS = 1_000_000
+# Inputs up to this many coordinates (rows x D) may be folded inside one
+# task (IT-3 local mode, ~64 MB of doubles); larger ones always take the
+# distributed chunk path.
+LOCAL_MAX_CELLS = 8_000_000
 
 
 @dataclass
@@ -247,7 +248,7 @@ def fcm_chunked(
     round_weights: bool = False,
     mode: str = "auto",
     engine: str = "auto",
-    local_max_rows: int = LOCAL_MAX_ROWS,
+    local_max_cells: int = LOCAL_MAX_CELLS,
 ) -> FCMResult:
     """IT-3: chunk-fold FCM.  Rows in ``order_col`` order are cut into
     chunks of ``rows_per_chunk``; FCM runs on each chunk from the current
@@ -258,7 +259,7 @@ def fcm_chunked(
     ``mode='local'`` folds inside one task (only for a bounded input, such
     as a sample); ``'distributed'`` runs each chunk's passes as Spark jobs
     over a row-indexed table; ``'auto'`` picks local up to
-    ``local_max_rows`` rows.
+    ``local_max_cells`` coordinates (rows x D).
     """
     m = check_m(m)
     rows_per_chunk = int(rows_per_chunk)
@@ -269,7 +270,7 @@ def fcm_chunked(
     pts = drop_incomplete(to_points(df, features, V0.shape[1], keep=order_cols))
     if mode == "auto":
         n = pts.df.count()
-        mode = "local" if n <= local_max_rows else "distributed"
+        mode = "local" if n * pts.dims <= local_max_cells else "distributed"
     if mode == "local":
         out = _fold_local(
             pts, order_cols, V0, rows_per_chunk, m, eps, max_iter, round_weights, F.lit(0)

@@ -14,9 +14,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.indexing import IDX, with_row_index
 from ..functions.text import (
     DEFAULT_SEP,
     WS,
@@ -63,28 +64,32 @@ def read_points(
     return pts.select(F.monotonically_increasing_id().alias("id"), "features")
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Lines plus ``c`` = 0-based line number in file order, from the
+    distributed row index (no single-task window, whatever the size)."""
+    tagged = lines.withColumn("__pos", F.monotonically_increasing_id())
+    return with_row_index(tagged, "__pos").withColumn("c", F.col(IDX).cast("int"))
+
+
 def read_centers(spark: SparkSession, path: str, sep: str = DEFAULT_SEP) -> DataFrame:
     """SRC-2: centres, one per line, coordinates separated by ``sep``; ``c``
-    is the line number.  A centre file holds C lines, so numbering them in
-    one window is bounded by C."""
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    lines = lines.withColumn("__pos", F.monotonically_increasing_id())
+    is the line number."""
+    lines = _numbered(spark.read.text(path).where(F.length(F.trim("value")) > 0))
     feats = _strict(parse_doubles(tokenise("value", sep), strict=False))
     return lines.select(
-        (F.row_number().over(Window.orderBy("__pos")) - 1).cast("int").alias("c"),
-        feats.alias("features"),
-        F.lit(None).cast("double").alias("w"),
+        "c", feats.alias("features"), F.lit(None).cast("double").alias("w")
     )
 
 
 def read_weighted_centers(spark: SparkSession, path: str, dims: int) -> DataFrame:
     """SRC-3: weighted centres; a line is split on whitespace and kept when
-    it has D+1 tokens (``v.. W``) or D+2 tokens (``key v.. W``)."""
-    lines = spark.read.text(path).withColumn("__pos", F.monotonically_increasing_id())
-    tok = filter_width(lines.withColumn("__tok", F.split("value", WS, -1)), "__tok", [dims + 1, dims + 2])
+    it has D+1 tokens (``v.. W``) or D+2 tokens (``key v.. W``); ``c`` is
+    the number of the kept line."""
+    tok = spark.read.text(path).withColumn("__tok", F.split("value", WS, -1))
+    tok = _numbered(filter_width(tok, "__tok", [dims + 1, dims + 2]))
     coords, weight = split_weighted("__tok", dims)
     return tok.select(
-        (F.row_number().over(Window.orderBy("__pos")) - 1).cast("int").alias("c"),
+        "c",
         _strict(parse_doubles(coords, strict=False)).alias("features"),
         weight.cast("double").alias("w"),
     )
