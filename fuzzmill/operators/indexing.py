@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 IDX = "__idx"
+BROADCAST_MAX_PARTS = 100_000
 _LOW = (1 << 33) - 1
 
 
@@ -49,8 +50,11 @@ def with_row_index(
         "__p",
         (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__off"),
     )
+    # One offset row per partition: broadcast only while that count is
+    # small, otherwise a plain (shuffled) join.
+    side = F.broadcast(offsets) if n_parts <= BROADCAST_MAX_PARTS else offsets
     indexed = (
-        tagged.join(F.broadcast(offsets), part == F.col("__p"))
+        tagged.join(side, part == F.col("__p"))
         .withColumn(IDX, F.col("__off") + F.col("__mid").bitwiseAND(F.lit(_LOW)))
         .drop("__mid", "__p", "__off")
     )

@@ -244,3 +244,14 @@ def test_ratio_form_near_one_is_finite_and_matches(spark):
     finally:
         kernels.RATIO_BELOW_M = keep
     assert np.allclose(plain[0], ratio[0], rtol=1e-9) and np.allclose(plain[1], ratio[1], rtol=1e-9)
+
+
+def test_pass_ignores_row_order_and_partitioning(spark):
+    df = _cust(spark)
+    V = resolve_init(df, CX, 3, "first", order_col="c_custkey")
+    a = fuzzy_pass(to_points(df, CX), V, 2.0)
+    shuffled = df.repartition(7, "c_nationkey").orderBy(F.desc("c_acctbal"))
+    for eng in ("expr", "arrow"):
+        b = fuzzy_pass(to_points(shuffled, CX), V, 2.0, eng)
+        assert np.allclose(a.sums, b.sums, rtol=1e-12)
+        assert np.allclose(a.weights, b.weights, rtol=1e-12)

@@ -121,3 +121,31 @@ def test_grid_and_sweep_sink(spark, scratch):
     back = spark.read.parquet(f"{scratch}/out")
     assert sorted(r.varied for r in back.select("varied").distinct().collect()) == ["centers", "epsilon"]
     assert back.count() == 6
+
+
+def _java_split(s: str, sep: str):
+    import re
+
+    parts = re.split(sep, s)
+    if len(parts) == 1:
+        return parts
+    while parts and parts[-1] == "":
+        parts.pop()
+    return parts
+
+
+def test_tokenise_property(spark):
+    """Java split rules on generated lines (one Spark job for all)."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    lines = []
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(alphabet=",1a ", max_size=8))
+    def collect(s):
+        lines.append(s)
+
+    collect()
+    got = _toks(spark, lines, ",")
+    assert got == [_java_split(s, ",") for s in lines]
