@@ -294,9 +294,15 @@ def _fold_distributed(pts, order_cols, V0, rows_per_chunk, m, eps, max_iter, rou
     W = np.zeros(V.shape[0])
     chunks = 0
     for lo in range(0, n, rows_per_chunk):
+        # The range filter reaches parquet (row groups of other chunks are
+        # skipped); the chunk is kept while its passes run.
         part = indexed.where((F.col(IDX) >= lo) & (F.col(IDX) < lo + rows_per_chunk))
         chunk_pts = Points(part.select(*pts.xs), pts.dims, False)
-        r = iterate(lambda C_: fuzzy_pass(chunk_pts, C_, m, engine), V, eps, max_iter)
+        chunk_pts.df.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            r = iterate(lambda C_: fuzzy_pass(chunk_pts, C_, m, engine), V, eps, max_iter)
+        finally:
+            chunk_pts.df.unpersist()
         V, W = r.centers, r.weights
         if round_weights:
             W = np.floor(W + 0.5)

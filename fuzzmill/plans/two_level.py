@@ -268,6 +268,8 @@ class TwoLevelResult(FCMResult):
     blocks: int = 0
     input_weight: float = 0.0
     stage_sec: dict = field(default_factory=dict)
+    merged_centers: np.ndarray | None = None
+    merged_weights: np.ndarray | None = None
 
 
 def two_level_fcm(
@@ -319,6 +321,7 @@ def two_level_fcm(
         final.centers, final.weights, final.passes, final.shift, merged.n,
         seeds=seeds, blocks=blocks, input_weight=float(np.sum(merged.weights)),
         stage_sec={k_: round(v, 3) for k_, v in t.items()},
+        merged_centers=merged.centers, merged_weights=merged.weights,
     )
 
 

@@ -255,3 +255,20 @@ def test_pass_ignores_row_order_and_partitioning(spark):
         b = fuzzy_pass(to_points(shuffled, CX), V, 2.0, eng)
         assert np.allclose(a.sums, b.sums, rtol=1e-12)
         assert np.allclose(a.weights, b.weights, rtol=1e-12)
+
+
+def test_run_job_from_text(spark, scratch):
+    """Text points in, merged (with weights) and final centres out."""
+    from fuzzmill.plans.job import run_job
+    from fuzzmill.sources.points import read_centers, read_weighted_centers
+
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    line = F.concat_ws(";", *[F.col(c).cast("string") for c in ["l_quantity", "l_discount", "l_tax"]])
+    li.select(line.alias("value")).write.text(f"{scratch}/in")
+    res = run_job(spark, f"{scratch}/in", f"{scratch}/out", 3, 3, 1e-3, 2.0, ";", 300, 50, block_rows=2000)
+    merged = read_weighted_centers(spark, f"{scratch}/out/merged", 3).orderBy("c").collect()
+    final = read_centers(spark, f"{scratch}/out/final").orderBy("c").collect()
+    assert len(merged) == 3 and len(final) == 3
+    assert np.allclose([r["features"] for r in final], res.centers)
+    assert np.allclose([r["w"] for r in merged], res.merged_weights)
+    assert res.blocks >= 3
