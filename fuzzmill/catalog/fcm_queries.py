@@ -43,7 +43,6 @@ from .common import (
     matrix_out,
     pts_sql,
     query,
-    round4,
     seeded_pts,
     table,
     xs_of,
@@ -626,5 +625,3 @@ def it7_two_level_customer(spark, sf_dir):
     )
     return matrix_out(spark, res.centers, res.weights)
 
-
-__all__ = ["round4"]

@@ -30,7 +30,6 @@ from .common import (
     seeded_pts,
     table,
 )
-from .common import xs_of
 
 
 def _s(c):
@@ -328,5 +327,3 @@ def snk4_write_points_orders(spark, sf_dir):
     back = read_points(spark, path, 2, ",")
     return back.select(F.round(F.col("features")[0], 4).alias("x0"), F.col("features")[1].alias("x1"))
 
-
-__all__ = ["xs_of"]

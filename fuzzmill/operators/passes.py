@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -174,7 +174,21 @@ def sums_frame(points: Points, centers, m: float, engine: str = "auto") -> DataF
     if engine == "expr":
         return sums_expr(points, centers, m)
     if engine == "arrow":
-        return sums_arrow(points, centers, m)
+        # Same one-row wide shape as the expression engine: pivot the
+        # long cells on their known ids (a single PivotFirst aggregate).
+        C, D = centers.shape
+        sn, wn = _names(C, D)
+        names = [x for row in sn for x in row] + wn + ["n"]
+        wide = (
+            sums_arrow(points, centers, m)
+            .groupBy()
+            .pivot("cell", list(range(len(names))))
+            .agg(F.first("v"))
+        )
+        return wide.select(
+            *[F.col(f"`{i}`").alias(n) for i, n in enumerate(names[:-1])],
+            F.col(f"`{len(names) - 1}`").cast("long").alias("n"),
+        )
     raise ValueError(f"unknown engine {engine!r}")
 
 

@@ -29,7 +29,7 @@ def run_job(
     max_iter: int = 100,
     *,
     seed=0,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
     strict: bool = True,
 ) -> TwoLevelResult:
     points = read_points(spark, input_path, dims, sep, strict)

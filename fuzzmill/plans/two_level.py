@@ -4,7 +4,8 @@ then cluster the small weighted summaries.
 Plan at scale:
 
 * **partial (IT-4)** - by default a block is a bounded run of at most
-  ``block_rows`` consecutive rows of one input partition, handled by
+  ``block_rows`` consecutive rows of one input partition (default: 8M
+  coordinates / D), handled by
   ``mapInArrow``: no shuffle of points at all, each task emits C rows per
   block.  With ``block_col`` the blocks are the groups of that key
   (deterministic, used to replay with SQL): points are shuffled once by
@@ -32,14 +33,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
-from ..operators.features import Points, spread, to_points, xname
+from ..operators.features import spread, to_points, xname
 from ..operators.passes import check_m
 from .fcm import FCMResult, drop_incomplete, seed_centers, weighted_fcm
 
 # A hot-key table (one row per key with more than block_rows rows) is
 # broadcast only up to this many rows; beyond it the join shuffles.
 BROADCAST_MAX_ROWS = 100_000
-BLOCK_ROWS = 100_000
+# Default block size: at most this many coordinates (rows x D, ~64 MB of
+# doubles) per block; narrow points get long blocks (few partial rows),
+# wide points shorter ones.
+BLOCK_CELLS = 8_000_000
+BLOCK_ROWS = None
 # The merge runs inside one task when the partial table (C rows per block)
 # has at most this many rows; beyond it, as distributed passes.
 MERGE_LOCAL_MAX_ROWS = 200_000
@@ -97,7 +102,7 @@ def partial_fcm(
     max_iter: int = 100,
     *,
     block_col: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
     round_weights: bool = True,
     dims: int | None = None,
 ) -> DataFrame:
@@ -108,7 +113,7 @@ def partial_fcm(
     m = check_m(m)
     V0 = np.asarray(seeds, dtype=float)
     D = V0.shape[1]
-    block_rows = int(block_rows)
+    block_rows = default_block_rows(D) if block_rows is None else int(block_rows)
     keep = [block_col] if block_col else []
     pts = drop_incomplete(to_points(df, features, dims or D, keep=keep))
 
@@ -286,7 +291,7 @@ def two_level_fcm(
     id_col=None,
     seeding: str = "chunked",
     block_col: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
     dims: int | None = None,
 ) -> TwoLevelResult:
     """IT-7: sample + seed (IT-8), partial per block (IT-4), merge (IT-5),
@@ -325,5 +330,9 @@ def two_level_fcm(
     )
 
 
+def default_block_rows(dims: int) -> int:
+    return max(1_000, BLOCK_CELLS // max(1, int(dims)))
+
+
 def block_count(n_rows: int, block_rows: int) -> int:
     return max(1, math.ceil(n_rows / block_rows))
