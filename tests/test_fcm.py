@@ -272,3 +272,30 @@ def test_run_job_from_text(spark, scratch):
     assert np.allclose([r["features"] for r in final], res.centers)
     assert np.allclose([r["w"] for r in merged], res.merged_weights)
     assert res.blocks >= 3
+
+
+def test_size_check_fallbacks(spark, monkeypatch):
+    """Beyond each broadcast bound the plan shuffles instead; same result."""
+    from fuzzmill.operators import indexing
+    from fuzzmill.plans import two_level
+
+    df = _cust(spark)
+    # A key holding a third of all rows next to ordinary keys.
+    n = df.count()
+    keyed = df.withColumn(
+        "blk", F.when(F.col("c_custkey") < n // 3, F.lit(99)).otherwise(F.col("c_nationkey"))
+    )
+    V0 = resolve_init(df, CX, 3, "first", order_col="c_custkey")
+    a = partial_fcm(keyed, CX, V0, 2.0, -1.0, 2, block_col="blk", block_rows=20).collect()
+    monkeypatch.setattr(two_level, "BROADCAST_MAX_ROWS", 0)
+    b = partial_fcm(keyed, CX, V0, 2.0, -1.0, 2, block_col="blk", block_rows=20).collect()
+    assert sum(r["n"] for r in a if r["c"] == 0) == n == sum(r["n"] for r in b if r["c"] == 0)
+    assert max(r["n"] for r in b) <= 40
+    ra = sorted((r["block"], r["c"], tuple(np.round(r["features"], 6))) for r in a)
+    rb = sorted((r["block"], r["c"], tuple(np.round(r["features"], 6))) for r in b)
+    assert len(ra) == len(rb)
+    # The row index with and without the offset broadcast.
+    i1 = [r["__idx"] for r in indexing.with_row_index(df.select("c_custkey"), "c_custkey").orderBy("c_custkey").collect()]
+    monkeypatch.setattr(indexing, "BROADCAST_MAX_PARTS", 0)
+    i2 = [r["__idx"] for r in indexing.with_row_index(df.select("c_custkey"), "c_custkey", 5).orderBy("c_custkey").collect()]
+    assert i1 == i2 == list(range(n))
