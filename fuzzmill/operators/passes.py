@@ -146,11 +146,11 @@ def sums_arrow(points: Points, centers: np.ndarray, m: float) -> DataFrame:
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            X = np.column_stack(
+            XT = np.vstack(
                 [rb.column(xname(j)).to_numpy(zero_copy_only=False) for j in range(D)]
             ).astype(float, copy=False)
             w = rb.column(W).to_numpy(zero_copy_only=False) if weighted else None
-            s, ws = kernels.fuzzy_sums(X, w, V, m)
+            s, ws = kernels.fuzzy_sums_t(XT, w, V, m)
             sums += s
             wts += ws
             n += rb.num_rows
