@@ -31,6 +31,7 @@ LINE_ID = ["l_orderkey", "l_linenumber"]
 EPS = 5e-4
 SAMPLE_ROWS = 3_000
 MAX_ITER = 100
+RUNS = 2  # each headline run twice; "queries" reports the faster warm run
 
 
 def main():
@@ -45,11 +46,15 @@ def main():
     times: dict[str, float] = {}
     info: dict[str, dict] = {}
 
-    def timed(name, fn):
-        t0 = time.perf_counter()
-        r = fn()
-        times[name] = round(time.perf_counter() - t0, 3)
+    def timed(name, fn, runs=RUNS):
+        secs = []
+        for _ in range(runs):
+            t0 = time.perf_counter()
+            r = fn()
+            secs.append(round(time.perf_counter() - t0, 3))
+        times[name] = min(secs)
         info[name] = {
+            "runs_sec": secs,
             "passes": int(r.passes),
             "shift": None if r.shift != r.shift else float(r.shift),
         }
@@ -103,6 +108,7 @@ def main():
 
     out = {
         "metric": "total_sec",
+        "stat": f"min of {RUNS} warm runs per query",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
