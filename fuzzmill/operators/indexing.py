@@ -31,15 +31,21 @@ def with_row_index(
     df: DataFrame, order_cols: str | Sequence[str], partitions: int | None = None
 ) -> DataFrame:
     """``df`` plus ``__idx`` = 0-based position in ``order_cols`` order.
-    The order key should be unique; ties get an arbitrary but fixed order.
+    Rows that tie on the order key are ordered by a hash of the row.
     The result is read back from a written table sorted by ``__idx``."""
     spark = df.sparkSession
     cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     n_parts = partitions or max(1, df.rdd.getNumPartitions())
+    # Ties on the order key are broken by a hash of the whole row: equal
+    # keys then spread over range partitions instead of piling into one
+    # (a key may hold a third of the table), and their order is fixed.
+    tie = F.xxhash64(*[F.col(c) for c in df.columns]).alias("__tie")
     tagged = (
-        df.repartitionByRange(n_parts, *cols)
-        .sortWithinPartitions(*cols)
+        df.withColumn("__tie", tie)
+        .repartitionByRange(n_parts, *cols, "__tie")
+        .sortWithinPartitions(*cols, "__tie")
         .withColumn("__mid", F.monotonically_increasing_id())
+        .drop("__tie")
     )
     p1 = scratch_path(spark, "tagged")
     tagged.write.parquet(p1)

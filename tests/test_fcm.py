@@ -299,3 +299,20 @@ def test_size_check_fallbacks(spark, monkeypatch):
     monkeypatch.setattr(indexing, "BROADCAST_MAX_PARTS", 0)
     i2 = [r["__idx"] for r in indexing.with_row_index(df.select("c_custkey"), "c_custkey", 5).orderBy("c_custkey").collect()]
     assert i1 == i2 == list(range(n))
+
+
+def test_row_index_spreads_a_hot_order_key(spark):
+    """A third of the rows share one order-key value: still dense 0..n-1 and
+    no range partition holds them all."""
+    from fuzzmill.operators.indexing import with_row_index
+
+    df = _cust(spark)
+    n = df.count()
+    hot = df.withColumn("k", F.when(F.col("c_custkey") < n // 3, F.lit(-1)).otherwise(F.col("c_custkey")))
+    idx = with_row_index(hot.select("k", "c_custkey"), "k", 6)
+    got = idx.orderBy("__idx").collect()
+    assert [r["__idx"] for r in got] == list(range(n))
+    ks = [r["k"] for r in got]
+    assert ks == sorted(ks)
+    per_part = idx.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in per_part) < n // 3
