@@ -409,8 +409,18 @@ EMB_M = 1.5
 
 
 def _o_it2_emb():
-    cols = [f"embedding[{j + 1}]" for j in range(EMB_D)]
-    return _o_it2("embeddings", cols, EMB_K, "vec_id", ", vec_id", passes=FEW, m=EMB_M)
+    """Long form: (pid, j, x) points and (i, j, v, w) centres, so the SQL
+    stays small whatever C x D is."""
+    q = osql.Sql()
+    pts = q.add(
+        "SELECT vec_id AS pid, CAST(j - 1 AS INTEGER) AS j, CAST(embedding[j] AS DOUBLE) AS x "
+        f"FROM embeddings, range(1, {EMB_D + 1}) r(j)",
+        "lpts",
+    )
+    cen = osql.seed_long(q, pts, EMB_K)
+    for _ in range(FEW):
+        cen = osql.fcm_pass_long(q, pts, cen, EMB_M)
+    return q.render(osql.output_long(cen, EMB_D))
 
 
 @query("it2_fcm_embeddings", _o_it2_emb)

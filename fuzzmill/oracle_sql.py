@@ -184,3 +184,46 @@ def tokenise_sql(expr: str, sep: str) -> str:
     t = f"string_split_regex({expr}, '{sep}')"
     last = f"list_max(list_transform({t}, lambda x, i: CASE WHEN x <> '' THEN i ELSE 0 END))"
     return f"(CASE WHEN len({t}) = 1 THEN {t} ELSE {t}[1:{last}] END)"
+
+
+# ---- long form, for wide points: (pid, j, x) points, (i, j, v, w) centres ----
+
+
+def seed_long(q: Sql, pts_long: str, k: int, order: str = "pid") -> str:
+    """Centres (i, j, v, w) from the first k points by ``order``."""
+    return q.add(
+        f"SELECT r.rn AS i, p.j, p.x AS v, CAST(NULL AS DOUBLE) AS w FROM {pts_long} p "
+        f"JOIN (SELECT pid, row_number() OVER (ORDER BY {order}) - 1 AS rn "
+        f"FROM (SELECT DISTINCT pid FROM {pts_long}) t) r ON p.pid = r.pid WHERE r.rn < {k}",
+        "lseed",
+    )
+
+
+def fcm_pass_long(q: Sql, pts_long: str, cen: str, m: float) -> str:
+    e = 2.0 / (m - 1.0)
+    d = q.add(
+        f"SELECT p.pid, c.i, sqrt(sum({_gsq('p.x', 'c.v')})) AS d "
+        f"FROM {pts_long} p JOIN {cen} c ON p.j = c.j GROUP BY p.pid, c.i",
+        "ld",
+    )
+    u = q.add(
+        f"SELECT pid, i, pow(n * sum(1.0 / n) OVER (PARTITION BY pid), {-m!r}) AS um "
+        f"FROM (SELECT pid, i, pow(d, {e!r}) AS n FROM {d}) t",
+        "lu",
+    )
+    s = q.add(
+        f"SELECT u.i, p.j, sum(u.um * p.x) AS s FROM {u} u JOIN {pts_long} p ON u.pid = p.pid "
+        "GROUP BY u.i, p.j",
+        "ls",
+    )
+    w = q.add(f"SELECT i, sum(um) AS w FROM {u} GROUP BY i", "lw")
+    return q.add(
+        f"SELECT s.i, s.j, CASE WHEN w.w = 0 THEN c.v ELSE s.s / w.w END AS v, w.w AS w "
+        f"FROM {s} s JOIN {w} w ON s.i = w.i JOIN {cen} c ON c.i = s.i AND c.j = s.j",
+        "lcen",
+    )
+
+
+def output_long(cen: str, dims: int) -> str:
+    xs = ", ".join(f"round(max(CASE WHEN j = {j} THEN v END), 4) AS x{j}" for j in range(dims))
+    return f"SELECT CAST(i AS INTEGER) AS c, {xs}, round(max(w), 4) AS w FROM {cen} GROUP BY i"
