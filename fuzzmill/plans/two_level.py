@@ -156,16 +156,23 @@ def partial_fcm(
         return spread(pts.df.select(*pts.xs)).mapInArrow(run, partial_schema())
 
     # Keyed blocks: split hot keys, then one group per (key, sub-block).
-    key = F.col(block_col).cast("long")
+    # Integral keys are the block id; other key types are hashed to one.
+    kt = pts.df.schema[block_col].dataType.typeName()
+    integral = kt in ("byte", "short", "integer", "long")
+    key = F.col(block_col).cast("long") if integral else F.xxhash64(F.col(block_col))
     counts = pts.df.groupBy(key.alias("__b")).agg(F.count(F.lit(1)).alias("__cnt"))
     hot = counts.where(F.col("__cnt") > block_rows).select(
-        "__b", F.ceil(F.col("__cnt") / F.lit(block_rows)).cast("long").alias("__nsub")
+        F.col("__b").alias("__hb"),
+        F.ceil(F.col("__cnt") / F.lit(block_rows)).cast("long").alias("__nsub"),
     )
     n_hot = hot.count()
     grouped = pts.df.withColumn("__b", key)
     if n_hot:
         side = F.broadcast(hot) if n_hot <= BROADCAST_MAX_ROWS else hot
-        grouped = grouped.join(side, "__b", "left").withColumn(
+        # Null-safe: a null key is one block like any other and is split too.
+        grouped = grouped.join(
+            side, grouped["__b"].eqNullSafe(side["__hb"]), "left"
+        ).drop("__hb").withColumn(
             "__sub",
             F.when(
                 F.col("__nsub").isNull(), F.lit(0).cast("long")
@@ -176,7 +183,8 @@ def partial_fcm(
 
     def run_group(table: pa.Table) -> pa.Table:
         X = _matrix(table, D)
-        b = int(table.column("__b")[0].as_py())
+        b0 = table.column("__b")[0].as_py()
+        b = -1 if b0 is None else int(b0)
         s = int(table.column("__sub")[0].as_py())
         block = b if s == 0 else -((b << 16) | s)
         return pa.Table.from_batches([solve(X, block)])

@@ -316,3 +316,17 @@ def test_row_index_spreads_a_hot_order_key(spark):
     assert ks == sorted(ks)
     per_part = idx.groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in per_part) < n // 3
+
+
+def test_partial_keyed_string_and_null_keys(spark):
+    """String keys get a hashed block id; a big null-key group is split too."""
+    df = _cust(spark)
+    n = df.count()
+    V0 = resolve_init(df, CX, 3, "first", order_col="c_custkey")
+    s = partial_fcm(df, CX, V0, 2.0, -1.0, 2, block_col="c_mktsegment").collect()
+    assert len({r["block"] for r in s}) == df.select("c_mktsegment").distinct().count()
+    assert sum(r["n"] for r in s if r["c"] == 0) == n
+    nul = df.withColumn("k", F.when(F.col("c_custkey") < n // 2, F.lit(None).cast("int")).otherwise(F.col("c_nationkey")))
+    p = partial_fcm(nul, CX, V0, 2.0, -1.0, 2, block_col="k", block_rows=30).collect()
+    assert sum(r["n"] for r in p if r["c"] == 0) == n
+    assert max(r["n"] for r in p) <= 60
