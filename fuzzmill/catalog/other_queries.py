@@ -264,6 +264,7 @@ def st1_stream_fcm_events(spark, sf_dir):
     schema = ev.schema
     res = stream_fcm(
         spark, src, schema, ["value"], 3, M, NO_EPS, FEW, order_col="event_id",
+        with_history=True,
     )
     order = [int(k) for k in res.history]
     if order != sorted(order):

@@ -38,27 +38,37 @@ def _state_schema() -> T.StructType:
 
 
 def _state(spark: SparkSession, state_path: str) -> DataFrame | None:
-    """The state table (one row per centre per folded batch), or None
-    before the first batch.  Appends are atomic through Spark's commit
-    protocol, so a batch is either wholly present or absent."""
+    """The state table (C rows per folded batch, partitioned by batch), or
+    None before the first batch.  Appends are atomic through Spark's
+    commit protocol, so a batch is either wholly present or absent."""
     try:
         return spark.read.schema(_state_schema()).parquet(state_path)
     except AnalysisException:
         return None
 
 
-def _done_batches(spark: SparkSession, state_path: str) -> list[int]:
+def _is_done(spark: SparkSession, state_path: str, batch_id: int) -> bool:
+    st = _state(spark, state_path)
+    return st is not None and st.where(F.col("batch") == batch_id).limit(1).count() > 0
+
+
+def _previous(spark: SparkSession, state_path: str, batch_id: int | None = None):
+    """The latest folded batch id (below ``batch_id`` when given), by one
+    aggregate - nothing that grows with the stream is collected."""
     st = _state(spark, state_path)
     if st is None:
-        return []
-    return sorted(r["batch"] for r in st.select("batch").distinct().collect())
+        return None
+    if batch_id is not None:
+        st = st.where(F.col("batch") < batch_id)
+    return st.agg(F.max("batch")).first()[0]
 
 
 def read_state(spark: SparkSession, state_path: str, batch_id: int | None = None) -> DataFrame:
-    done = _done_batches(spark, state_path)
-    if not done:
+    """Centres after ``batch_id`` (default: the latest batch); a read of one
+    partition of the state table."""
+    b = _previous(spark, state_path) if batch_id is None else batch_id
+    if b is None:
         raise ValueError("no state written yet")
-    b = done[-1] if batch_id is None else batch_id
     return _state(spark, state_path).where(F.col("batch") == b)
 
 
@@ -79,16 +89,15 @@ def fold_batch(
 ):
     """Fold one micro-batch into the state (idempotent per batch id)."""
     spark = batch.sparkSession
-    done = _done_batches(spark, state_path)
-    if batch_id in done:
+    if _is_done(spark, state_path, batch_id):
         return
-    prev_ids = [b for b in done if b < batch_id]
+    prev_id = _previous(spark, state_path, batch_id)
     n = batch.count()
     if n == 0:
         return
     first_key = batch.agg(F.min(order_col).cast("string")).first()[0]
-    if prev_ids:
-        st = read_state(spark, state_path, prev_ids[-1]).orderBy("c").collect()
+    if prev_id is not None:
+        st = read_state(spark, state_path, prev_id).orderBy("c").collect()
         V = np.array([r["features"] for r in st], dtype=float)
         prev = (V.copy(), np.array([r["w"] for r in st], dtype=float))
     else:
@@ -112,9 +121,9 @@ def fold_batch(
         (i, [float(x) for x in V[i]], float(W[i]), int(batch_id), int(n), first_key)
         for i in range(V.shape[0])
     ]
-    spark.createDataFrame(rows, _state_schema()).coalesce(1).write.mode("append").parquet(
-        state_path
-    )
+    spark.createDataFrame(rows, _state_schema()).coalesce(1).write.mode("append").partitionBy(
+        "batch"
+    ).parquet(state_path)
 
 
 def stream_fcm(
@@ -133,6 +142,7 @@ def stream_fcm(
     files_per_batch: int = 1,
     init=None,
     dims: int | None = None,
+    with_history: bool = False,
 ) -> FCMResult:
     """ST-1: fold every file (``files_per_batch`` files) arriving under
     ``source_path`` as one chunk; runs until the source is drained
@@ -161,13 +171,14 @@ def stream_fcm(
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    done = _done_batches(spark, state_path)
     st = read_state(spark, state_path).orderBy("c").collect()
     V = np.array([r["features"] for r in st], dtype=float)
     W = np.array([r["w"] for r in st], dtype=float)
-    res = FCMResult(V, W, len(done), float("nan"))
-    hist = _state(spark, state_path)
-    res.history = [
-        r["first_key"] for r in hist.where(F.col("c") == 0).orderBy("batch").collect()
-    ]
+    full = _state(spark, state_path)
+    res = FCMResult(V, W, int(full.select("batch").distinct().count()), float("nan"))
+    if with_history:
+        # One row per batch: only on request (tests, short runs).
+        res.history = [
+            r["first_key"] for r in full.where(F.col("c") == 0).orderBy("batch").collect()
+        ]
     return res

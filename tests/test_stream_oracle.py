@@ -34,7 +34,7 @@ def test_stream_equals_chunk_fold_and_is_idempotent(spark, scratch):
     assert np.allclose(res.weights, ref.weights, rtol=1e-9)
     # A replayed batch id is skipped: the state does not change.
     before = sorted(tuple(r["features"]) for r in read_state(spark, state).collect())
-    last = max(r["batch"] for r in spark.read.parquet(state).select("batch").collect())
+    last = spark.read.parquet(state).agg(F.max("batch")).first()[0]
     fold_batch(
         ev, last, features=["value"], k=3, m=2.0, eps=-1.0, max_iter=2,
         order_col="event_id", state_path=state,
