@@ -149,3 +149,10 @@ def test_tokenise_property(spark):
     collect()
     got = _toks(spark, lines, ",")
     assert got == [_java_split(s, ",") for s in lines]
+
+
+def test_chunk_of(spark):
+    from fuzzmill.functions.fcm_math import chunk_of
+
+    df = spark.range(0, 10).select(chunk_of(F.col("id"), 4).alias("c"))
+    assert [r.c for r in df.collect()] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
