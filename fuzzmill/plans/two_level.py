@@ -46,8 +46,9 @@ BROADCAST_MAX_ROWS = 100_000
 BLOCK_CELLS = 8_000_000
 BLOCK_ROWS = None
 # The merge runs inside one task when the partial table (C rows per block)
-# has at most this many rows; beyond it, as distributed passes.
-MERGE_LOCAL_MAX_ROWS = 200_000
+# holds at most this many coordinates (rows x D, ~32 MB); beyond it, as
+# distributed passes.
+MERGE_LOCAL_MAX_CELLS = 4_000_000
 
 
 def partial_schema() -> T.StructType:
@@ -198,7 +199,7 @@ def partial_fcm(
 
 def _merge_local(partials: DataFrame, V0, m, eps, max_iter) -> FCMResult:
     """The merge loop inside one task: only for a partial table whose size
-    was checked against MERGE_LOCAL_MAX_ROWS."""
+    was checked against MERGE_LOCAL_MAX_CELLS."""
     C, D = V0.shape
     out_schema = T.StructType(
         [
@@ -248,14 +249,14 @@ def merge_fcm(
 ) -> FCMResult:
     """IT-5: weighted FCM over all partial rows, starting from the seeds;
     weights are not rounded.  ``auto`` runs the loop in one task when the
-    partial table has at most MERGE_LOCAL_MAX_ROWS rows (C per block, so
-    it is small unless the blocks are very many), else as distributed
-    passes."""
+    partial table holds at most MERGE_LOCAL_MAX_CELLS coordinates (C rows
+    per block, so it is small unless the blocks are very many), else as
+    distributed passes."""
     m = check_m(m)
     V0 = np.asarray(seeds, dtype=float)
     if mode == "auto":
         n = partials.count()
-        mode = "local" if n <= MERGE_LOCAL_MAX_ROWS else "distributed"
+        mode = "local" if n * V0.shape[1] <= MERGE_LOCAL_MAX_CELLS else "distributed"
     if mode == "local":
         return _merge_local(partials, V0, m, eps, max_iter)
     return weighted_fcm(partials.select("features", "w"), V0.shape[0], m, eps, max_iter, V0)
