@@ -330,3 +330,18 @@ def test_partial_keyed_string_and_null_keys(spark):
     p = partial_fcm(nul, CX, V0, 2.0, -1.0, 2, block_col="k", block_rows=30).collect()
     assert sum(r["n"] for r in p if r["c"] == 0) == n
     assert max(r["n"] for r in p) <= 60
+
+
+def test_command_line_job_and_sweep(spark, scratch):
+    from fuzzmill.__main__ import main
+    from fuzzmill.sources.points import read_centers
+
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    li.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in ["l_quantity", "l_discount"]]).alias("value")).write.text(f"{scratch}/in")
+    main(["job", f"{scratch}/in", f"{scratch}/out", "3", "2", "0.001", "2.0", " ", "200", "30"])
+    assert read_centers(spark, f"{scratch}/out/final").count() == 3
+    spark.createDataFrame([("2",)], "value string").write.text(f"{scratch}/ks")
+    spark.createDataFrame([("0.5",)], "value string").write.text(f"{scratch}/eps")
+    main(["sweep", f"{scratch}/in", f"{scratch}/grid", "2", "2", "0.5", "2.0", " ", "100", "3",
+          "1", "300", "1", f"{scratch}/eps", f"{scratch}/ks"])
+    assert spark.read.parquet(f"{scratch}/grid").count() == 6
