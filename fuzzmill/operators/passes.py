@@ -125,9 +125,16 @@ def long_partials(cells: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def reduce_long(partials: DataFrame) -> DataFrame:
+def reduce_long(partials: DataFrame, cells: int | None = None) -> DataFrame:
     """Sum long-format partials per cell: a C x (D + 1)-row result whatever
-    the number of tasks; the plan does not grow with C x D."""
+    the number of tasks; the plan does not grow with C x D.  Each task
+    already emits one row per cell, so a map-side combine gains nothing:
+    the rows are hash-partitioned on ``cell`` into at most min(cells,
+    parallelism) partitions (not the session's shuffle default) and summed
+    there."""
+    if cells is not None:
+        par = partials.sparkSession.sparkContext.defaultParallelism
+        partials = partials.repartition(max(1, min(int(cells), par)), "cell")
     return partials.groupBy("cell").agg(F.sum("v").alias("v"))
 
 
@@ -157,7 +164,7 @@ def sums_arrow(points: Points, centers: np.ndarray, m: float) -> DataFrame:
         yield long_partials(np.concatenate([sums.ravel(), wts, [float(n)]]))
 
     cols = [*points.xs] + ([points.w] if weighted else [])
-    return reduce_long(points.df.select(*cols).mapInArrow(run, LONG_SCHEMA))
+    return reduce_long(points.df.select(*cols).mapInArrow(run, LONG_SCHEMA), C * D + C + 1)
 
 
 def _from_long(rows, C: int, D: int):

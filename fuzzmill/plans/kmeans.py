@@ -8,9 +8,10 @@ stays; stop when every centre moves by a Euclidean distance <= eps, or
 after ``max_iter`` passes.  ``pyspark.ml.clustering.KMeans`` cannot start
 from given seeds, hence our own step.
 
-Each k-means pass is one job: distances unrolled over literal centres,
-nearest index by ``least``, then ``groupBy(c)`` - partial aggregation per
-task keeps the shuffle at C rows per task.
+Each k-means pass is one job: distances projected once over literal
+centres, nearest index by ``least``, then one global aggregate of
+conditional sums per centre (partial aggregation in every task, one row
+per task to the final aggregate); wide points use numpy over Arrow.
 """
 
 from __future__ import annotations
@@ -85,24 +86,25 @@ def kmeans_pass(pts: Points, V: np.ndarray, engine: str = "auto"):
                 counts += c
             yield long_partials(np.concatenate([sums.ravel(), counts]))
 
-        rows = reduce_long(pts.df.select(*pts.xs).mapInArrow(run, LONG_SCHEMA)).collect()
+        rows = reduce_long(
+            pts.df.select(*pts.xs).mapInArrow(run, LONG_SCHEMA), C * D + C
+        ).collect()
         cells = np.zeros(C * D + C)
         for r in rows:
             cells[r["cell"]] = r["v"]
         return cells[: C * D].reshape(C, D), cells[C * D :]
+    # One global aggregate of C x (D + 1) conditional sums: partial
+    # aggregation in every task, one small row per task to a single reducer.
     df, ds = with_distances(pts, V)
     idx, _ = _pick(ds)
-    rows = (
-        df.select(idx.alias("c"), *pts.xs)
-        .groupBy("c")
-        .agg(*[F.sum(xname(j)).alias(f"s{j}") for j in range(D)], F.count(F.lit(1)).alias("n"))
-        .collect()
-    )
-    sums = np.zeros_like(V)
-    counts = np.zeros(C)
-    for r in rows:
-        sums[r["c"]] = [r[f"s{j}"] for j in range(D)]
-        counts[r["c"]] = r["n"]
+    assigned = df.select(idx.alias("__c"), *pts.xs)
+    aggs = []
+    for i in range(C):
+        aggs += [f"SUM(IF(__c = {i}, {xname(j)}, 0.0D)) AS s{i}_{j}" for j in range(D)]
+        aggs.append(f"COUNT_IF(__c = {i}) AS n{i}")
+    row = assigned.selectExpr(*aggs).collect()[0]
+    sums = np.array([[row[f"s{i}_{j}"] or 0.0 for j in range(D)] for i in range(C)], dtype=float)
+    counts = np.array([row[f"n{i}"] or 0 for i in range(C)], dtype=float)
     return sums, counts
 
 
