@@ -14,12 +14,17 @@ from __future__ import annotations
 
 import json
 import os
+
+import numpy as np
 import re
 import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
+from fuzzmill.operators.features import to_points  # noqa: E402
 from fuzzmill.plans.fcm import fcm, resolve_init  # noqa: E402
 from fuzzmill.plans.kmeans import kmeans  # noqa: E402
 from fuzzmill.plans.two_level import two_level_fcm  # noqa: E402
@@ -34,6 +39,21 @@ MAX_ITER = 100
 RUNS = 2  # each headline run twice; "queries" reports the faster warm run
 
 
+def spread_of(df, features, dims=None) -> float:
+    """Typical spread of the points: sqrt(sum_j var(x_j)), one aggregate."""
+    pts = to_points(df, features, dims)
+    row = pts.df.agg(*[F.var_pop(c) for c in pts.xs]).collect()[0]
+    return float(np.sqrt(sum(v or 0.0 for v in row)))
+
+
+def deviation(a, b, scale: float) -> float:
+    """Largest distance from a centre of ``a`` to the nearest centre of
+    ``b``, in units of the data's spread."""
+    a, b = np.asarray(a), np.asarray(b)
+    worst = max(float(np.sqrt(((b - row) ** 2).sum(axis=1)).min()) for row in a)
+    return round(worst / scale, 6)
+
+
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -53,6 +73,7 @@ def main():
             r = fn()
             secs.append(round(time.perf_counter() - t0, 3))
         times[name] = min(secs)
+        result[name] = r
         info[name] = {
             "runs_sec": secs,
             "passes": int(r.passes),
@@ -63,6 +84,8 @@ def main():
             info[name]["stage_sec"] = r.stage_sec
         return r
 
+    result: dict = {}
+
     # Warm-up: JVM, codegen and Python workers.
     cust = spark.read.parquet(f"{sf_dir}/customer.parquet")
     for _ in range(2):
@@ -71,19 +94,25 @@ def main():
                       sample_rows=300, seed=1)
         kmeans(cust, ["c_acctbal", "c_nationkey"], 3, 1e-2, 3, "first", order_col="c_custkey")
 
-    seeds_li = resolve_init(li, LINE_X, 3, "first", order_col=LINE_ORDER)
-    timed("two_level_lineitem_c3", lambda: two_level_fcm(
+    # Exact FCM and k-means start from the two-level run's own seeds: same
+    # points, seeds and eps; "deviation" is the largest distance of a
+    # two-level centre from the nearest exact centre, in units of the
+    # data's spread (sqrt of the summed coordinate variances).
+    tl = timed("two_level_lineitem_c3", lambda: two_level_fcm(
         li, LINE_X, 3, 2.0, EPS, MAX_ITER, order_col=LINE_ORDER, id_col=LINE_ID,
         sample_rows=SAMPLE_ROWS, seed=1))
-    timed("fcm_lineitem_c3", lambda: fcm(li, LINE_X, 3, 2.0, EPS, MAX_ITER, seeds_li))
-    timed("kmeans_lineitem_c3", lambda: kmeans(li, LINE_X, 3, EPS, MAX_ITER, seeds_li))
+    ex = timed("fcm_lineitem_c3", lambda: fcm(li, LINE_X, 3, 2.0, EPS, MAX_ITER, tl.seeds))
+    timed("kmeans_lineitem_c3", lambda: kmeans(li, LINE_X, 3, EPS, MAX_ITER, tl.seeds))
+    info["two_level_lineitem_c3"]["deviation_from_exact"] = deviation(
+        tl.centers, ex.centers, spread_of(li, LINE_X))
 
-    seeds_e = resolve_init(emb, "embedding", 10, "first", order_col="vec_id", dims=64)
-    timed("two_level_embeddings_c10", lambda: two_level_fcm(
+    tle = timed("two_level_embeddings_c10", lambda: two_level_fcm(
         emb, "embedding", 10, 1.5, EPS, MAX_ITER, order_col="vec_id", sample_rows=SAMPLE_ROWS,
         seed=1, dims=64))
-    timed("fcm_embeddings_c10", lambda: fcm(emb, "embedding", 10, 1.5, EPS, MAX_ITER, seeds_e, dims=64))
-    timed("kmeans_embeddings_c10", lambda: kmeans(emb, "embedding", 10, EPS, MAX_ITER, seeds_e, dims=64))
+    exe = timed("fcm_embeddings_c10", lambda: fcm(emb, "embedding", 10, 1.5, EPS, MAX_ITER, tle.seeds, dims=64))
+    timed("kmeans_embeddings_c10", lambda: kmeans(emb, "embedding", 10, EPS, MAX_ITER, tle.seeds, dims=64))
+    info["two_level_embeddings_c10"]["deviation_from_exact"] = deviation(
+        tle.centers, exe.centers, spread_of(emb, "embedding", 64))
 
     # Growth: the same lineitem runs one scale factor down, when present.
     small = re.sub(r"sf([0-9.]+)", lambda mm: f"sf{float(mm.group(1)) / 10:g}", sf_dir)
