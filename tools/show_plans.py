@@ -56,6 +56,14 @@ def main():
     idx = with_row_index(c.select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey")
     show("IT-3 one chunk of the row-indexed table (range filter pushed to parquet)",
          idx.where((F.col(IDX) >= 375) & (F.col(IDX) < 750)))
+    from fuzzmill.plans.kmeans import _pick, with_distances
+
+    pp = drop_incomplete(to_points(li, X))
+    dfd, ds = with_distances(pp, V)
+    idx, _ = _pick(ds)
+    aggs = [f"SUM(IF(__c = {i}, __x{j}, 0.0D)) AS s{i}_{j}" for i in range(3) for j in range(4)]
+    aggs += [f"COUNT_IF(__c = {i}) AS n{i}" for i in range(3)]
+    show("IT-9 one k-means pass (global conditional sums)", dfd.select(idx.alias("__c"), *pp.xs).selectExpr(*aggs))
     p = spark.read.parquet(f"{sf}/part.parquet")
     show("IT-10 nearest-centre assignment", assign(p, ["p_size", "p_retailprice"],
                                                    [[10, 900], [30, 1500], [45, 1900]], "p_partkey"))
