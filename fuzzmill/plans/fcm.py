@@ -45,7 +45,7 @@ class FCMResult:
     passes: int
     shift: float
     n: int = 0
-    history: list = field(default_factory=list)
+    history: list = field(default_factory=list)  # shift of every pass
 
     def to_df(self, spark) -> DataFrame:
         return centers_df(spark, self.centers, self.weights)
@@ -58,14 +58,16 @@ def iterate(
     largest coordinate move is <= eps or after ``max_iter`` passes."""
     V = np.asarray(init, dtype=float)
     passes = 0
+    shifts = []
     while True:
         r = step(V)
         new = new_centers(r, V)
         moved = max_shift(V, new)
+        shifts.append(moved)
         V = new
         passes += 1
         if not (moved > eps and passes < max_iter):
-            return FCMResult(V, r.weights, passes, moved, r.count)
+            return FCMResult(V, r.weights, passes, moved, r.count, shifts)
 
 
 # ---- seeds -----------------------------------------------------------------

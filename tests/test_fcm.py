@@ -345,3 +345,23 @@ def test_command_line_job_and_sweep(spark, scratch):
     main(["sweep", f"{scratch}/in", f"{scratch}/grid", "2", "2", "0.5", "2.0", " ", "100", "3",
           "1", "300", "1", f"{scratch}/eps", f"{scratch}/ks"])
     assert spark.read.parquet(f"{scratch}/grid").count() == 6
+
+
+def test_zero_weight_partials_change_nothing(spark):
+    """A block whose weights round to 0 drops out of the merge."""
+    df = _cust(spark)
+    V0 = resolve_init(df, CX, 3, "first", order_col="c_custkey")
+    parts = partial_fcm(df, CX, V0, 2.0, -1.0, 2, block_col="c_nationkey").collect()
+    pdf = spark.createDataFrame(parts)
+    zero = spark.createDataFrame(
+        [(10_000 + i, i, [1e6 * (i + 1), -5.0], 0.0, 1, 1) for i in range(3)], pdf.schema
+    )
+    for mode in ("local", "distributed"):
+        a = merge_fcm(pdf, V0, 2.0, -1.0, 3, mode=mode)
+        b = merge_fcm(pdf.unionByName(zero), V0, 2.0, -1.0, 3, mode=mode)
+        assert np.allclose(a.centers, b.centers, rtol=1e-12)
+
+
+def test_history_records_every_shift(spark):
+    r = fcm(_cust(spark), CX, 3, 2.0, 1e-3, 30, "first", order_col="c_custkey")
+    assert len(r.history) == r.passes and r.history[-1] == r.shift
