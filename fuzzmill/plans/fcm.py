@@ -96,18 +96,24 @@ def resolve_init(
         rows = init.orderBy("c").select("features").collect()
         V = np.array([r["features"] for r in rows], dtype=float)
     elif isinstance(init, str):
+        # Seeds are drawn from complete points only (as the passes see them).
+        def complete_points(keep):
+            keep = [keep] if isinstance(keep, str) else list(keep)
+            return drop_incomplete(to_points(df, features, dims, keep=keep))
+
         if init == "first":
             if order_col is None:
                 raise ValueError("init='first' needs order_col")
-            pick = sampling.first_k(df, k, order_col)
+            pts = complete_points(order_col)
+            pick = sampling.first_k(pts.df, k, order_col)
         elif init == "random":
             if id_col is None:
                 raise ValueError("init='random' needs id_col")
-            pick = sampling.random_seeds(df, k, seed, id_col)
+            pts = complete_points(id_col)
+            pick = sampling.random_seeds(pts.df, k, seed, id_col)
         else:
             raise ValueError(f"unknown init {init!r}")
-        pts = to_points(pick, features, dims)
-        V = _rows_to_matrix(pts.df.collect(), pts.dims)
+        V = _rows_to_matrix(pick.select(*pts.xs).collect(), pts.dims)
     else:
         V = np.asarray(init, dtype=float)
     if V.ndim != 2 or V.shape[0] < k:

@@ -365,3 +365,14 @@ def test_zero_weight_partials_change_nothing(spark):
 def test_history_records_every_shift(spark):
     r = fcm(_cust(spark), CX, 3, 2.0, 1e-3, 30, "first", order_col="c_custkey")
     assert len(r.history) == r.passes and r.history[-1] == r.shift
+
+
+def test_seeds_skip_incomplete_rows(spark):
+    df = _cust(spark).withColumn(
+        "c_acctbal", F.when(F.col("c_custkey") == 0, F.lit(None).cast("double")).otherwise(F.col("c_acctbal"))
+    )
+    V = resolve_init(df, CX, 3, "first", order_col="c_custkey")
+    first = df.where(F.col("c_custkey").isin(1, 2, 3)).orderBy("c_custkey").select(*CX).collect()
+    assert np.allclose(V, [[r[0], r[1]] for r in first])
+    r = fcm(df, CX, 3, 2.0, -1.0, 2, "first", order_col="c_custkey")
+    assert r.n == df.count() - 1
