@@ -66,16 +66,22 @@ def main():
     times: dict[str, float] = {}
     info: dict[str, dict] = {}
 
+    sc = spark.sparkContext
+
     def timed(name, fn, runs=RUNS):
-        secs = []
-        for _ in range(runs):
+        secs, jobs = [], []
+        for i in range(runs):
+            group = f"{name}-{i}"
+            sc.setJobGroup(group, name)
             t0 = time.perf_counter()
             r = fn()
             secs.append(round(time.perf_counter() - t0, 3))
+            jobs.append(len(sc.statusTracker().getJobIdsForGroup(group)))
         times[name] = min(secs)
         result[name] = r
         info[name] = {
             "runs_sec": secs,
+            "spark_jobs": jobs[secs.index(min(secs))],
             "passes": int(r.passes),
             "shift": None if r.shift != r.shift else float(r.shift),
         }
