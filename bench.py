@@ -7,6 +7,7 @@ Runs (same points, seeds and eps for every algorithm on a table):
   two_level_*  IT-7  sample + seed + partial per block + merge + polish
   fcm_*        IT-2  exact FCM, every pass over the whole table
   kmeans_*     IT-9  hard k-means
+  job_text_*   SRC-1 -> IT-7 -> SNK-2/3 from delimited text
 on lineitem (D=4, C=3) and embeddings (D=64, C=10).
 """
 
@@ -28,7 +29,8 @@ from fuzzmill.operators.features import to_points  # noqa: E402
 from fuzzmill.plans.fcm import fcm, resolve_init  # noqa: E402
 from fuzzmill.plans.kmeans import kmeans  # noqa: E402
 from fuzzmill.plans.two_level import two_level_fcm  # noqa: E402
-from fuzzmill.session import local_session  # noqa: E402
+from fuzzmill.plans.job import run_job  # noqa: E402
+from fuzzmill.session import local_session, scratch_path  # noqa: E402
 
 LINE_X = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -112,6 +114,15 @@ def main():
     info["two_level_lineitem_c3"]["deviation_from_exact"] = deviation(
         tl.centers, ex.centers, spread_of(li, LINE_X))
 
+    # The whole job from delimited text (parse, two-level FCM, write merged
+    # and final centres); the text is derived from lineitem once, untimed.
+    text_in = scratch_path(spark, "bench-text")
+    li.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in LINE_X]).alias("value")) \
+        .write.text(text_in)
+    timed("job_text_lineitem_c3", lambda: run_job(
+        spark, text_in, scratch_path(spark, "bench-out"), 3, 4, EPS, 2.0, " ",
+        SAMPLE_ROWS, MAX_ITER, seed=1))
+
     tle = timed("two_level_embeddings_c10", lambda: two_level_fcm(
         emb, "embedding", 10, 1.5, EPS, MAX_ITER, order_col="vec_id", sample_rows=SAMPLE_ROWS,
         seed=1, dims=64))
