@@ -138,10 +138,28 @@ def reduce_long(partials: DataFrame, cells: int | None = None) -> DataFrame:
     return partials.groupBy("cell").agg(F.sum("v").alias("v"))
 
 
-def sums_arrow(points: Points, centers: np.ndarray, m: float) -> DataFrame:
-    """AG-1 / AG-2 with numpy over Arrow batches: each task yields its
-    C x (D + 1) + 1 partial cells as (cell, v) rows; one ``groupBy(cell)``
-    adds them up."""
+# Per-task partial cells are brought back as they are (one stage, no
+# shuffle) while tasks x cells stays under this many rows; beyond it they
+# are summed per cell by Spark first.
+DIRECT_MAX_ROWS = 200_000
+
+
+def collect_cells(partials: DataFrame, cells: int) -> np.ndarray:
+    """Total of long-format partial cells ``(cell, v)``.  The number of rows
+    is checked before anything is collected: tasks x cells."""
+    tasks = partials.rdd.getNumPartitions()
+    out = np.zeros(cells)
+    if tasks * cells <= DIRECT_MAX_ROWS:
+        rows = partials.collect()
+    else:
+        rows = reduce_long(partials, cells).collect()
+    for r in rows:
+        out[r["cell"]] += r["v"]
+    return out
+
+
+def partials_arrow(points: Points, centers: np.ndarray, m: float) -> DataFrame:
+    """Per-task partial cells (cell, v) of one pass, numpy over Arrow."""
     C, D = centers.shape
     V = np.array(centers, dtype=float)
     weighted = points.weighted
@@ -164,14 +182,15 @@ def sums_arrow(points: Points, centers: np.ndarray, m: float) -> DataFrame:
         yield long_partials(np.concatenate([sums.ravel(), wts, [float(n)]]))
 
     cols = [*points.xs] + ([points.w] if weighted else [])
-    return reduce_long(points.df.select(*cols).mapInArrow(run, LONG_SCHEMA), C * D + C + 1)
+    return points.df.select(*cols).mapInArrow(run, LONG_SCHEMA)
 
 
-def _from_long(rows, C: int, D: int):
-    cells = np.zeros(C * D + C + 1)
-    for r in rows:
-        cells[r["cell"]] = r["v"]
-    return cells[: C * D].reshape(C, D), cells[C * D : C * D + C], int(cells[-1])
+def sums_arrow(points: Points, centers: np.ndarray, m: float) -> DataFrame:
+    """AG-1 / AG-2 with numpy over Arrow batches: each task yields its
+    C x (D + 1) + 1 partial cells as (cell, v) rows; one ``groupBy(cell)``
+    adds them up."""
+    C, D = np.asarray(centers).shape
+    return reduce_long(partials_arrow(points, centers, m), C * D + C + 1)
 
 
 def sums_frame(points: Points, centers, m: float, engine: str = "auto") -> DataFrame:
@@ -209,7 +228,8 @@ def fuzzy_pass(points: Points, centers, m: float, engine: str = "auto") -> PassR
     if engine == "auto":
         engine = "expr" if centers.size <= EXPR_MAX_CELLS else "arrow"
     if engine == "arrow":
-        sums, wts, n = _from_long(sums_arrow(points, centers, m).collect(), C, D)
+        cells = collect_cells(partials_arrow(points, centers, m), C * D + C + 1)
+        sums, wts, n = cells[: C * D].reshape(C, D), cells[C * D : C * D + C], int(cells[-1])
     else:
         row = sums_frame(points, centers, m, engine).collect()[0]
         sn, wn = _names(C, D)

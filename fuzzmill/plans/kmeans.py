@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.fcm_math import sq_distance_sql
 from ..operators.features import Points, spread, to_points, xname
-from ..operators.passes import EXPR_MAX_CELLS, LONG_SCHEMA, long_partials, reduce_long
+from ..operators.passes import EXPR_MAX_CELLS, LONG_SCHEMA, collect_cells, long_partials
 from .fcm import FCMResult, drop_incomplete, fcm, resolve_init
 
 
@@ -86,12 +86,7 @@ def kmeans_pass(pts: Points, V: np.ndarray, engine: str = "auto"):
                 counts += c
             yield long_partials(np.concatenate([sums.ravel(), counts]))
 
-        rows = reduce_long(
-            pts.df.select(*pts.xs).mapInArrow(run, LONG_SCHEMA), C * D + C
-        ).collect()
-        cells = np.zeros(C * D + C)
-        for r in rows:
-            cells[r["cell"]] = r["v"]
+        cells = collect_cells(pts.df.select(*pts.xs).mapInArrow(run, LONG_SCHEMA), C * D + C)
         return cells[: C * D].reshape(C, D), cells[C * D :]
     # One global aggregate of C x (D + 1) conditional sums: partial
     # aggregation in every task, one small row per task to a single reducer.

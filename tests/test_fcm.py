@@ -376,3 +376,15 @@ def test_seeds_skip_incomplete_rows(spark):
     assert np.allclose(V, [[r[0], r[1]] for r in first])
     r = fcm(df, CX, 3, 2.0, -1.0, 2, "first", order_col="c_custkey")
     assert r.n == df.count() - 1
+
+
+def test_arrow_cells_direct_and_reduced_agree(spark, monkeypatch):
+    from fuzzmill.operators import passes
+
+    df = _cust(spark)
+    pts = to_points(df, CX)
+    V = resolve_init(df, CX, 3, "first", order_col="c_custkey")
+    a = fuzzy_pass(pts, V, 2.0, "arrow")
+    monkeypatch.setattr(passes, "DIRECT_MAX_ROWS", 0)
+    b = fuzzy_pass(pts, V, 2.0, "arrow")
+    assert np.allclose(a.sums, b.sums, rtol=1e-12) and a.count == b.count
