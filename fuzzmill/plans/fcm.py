@@ -209,11 +209,14 @@ def _fold_schema(dims: int) -> T.StructType:
 
 
 def _fold_local(
-    pts: Points, order_cols, V0, rows_per_chunk, m, eps, max_iter, round_weights, group
+    pts: Points, order_cols, V0, k, rows_per_chunk, m, eps, max_iter, round_weights, group
 ) -> DataFrame:
-    """The fold of a bounded table inside one task per group (grouped Arrow)."""
+    """The fold of a bounded table inside one task per group (grouped Arrow).
+    With ``V0=None`` the first k rows in order are the initial centres,
+    taken in the same task (no separate job); fewer rows give no output."""
     D = pts.dims
-    V0 = np.asarray(V0, dtype=float)
+    V0 = None if V0 is None else np.asarray(V0, dtype=float)
+    schema = _fold_schema(D)
 
     def run(table: pa.Table) -> pa.Table:
         order = table.select(order_cols)
@@ -222,8 +225,13 @@ def _fold_local(
         X = np.column_stack(
             [table.column(xname(j)).to_numpy().astype(float) for j in range(D)]
         )
+        start = V0
+        if start is None:
+            if X.shape[0] < k:
+                return schema_empty()
+            start = X[:k]
         V, W, chunks = kernels.fold_chunks(
-            X, V0, rows_per_chunk, m, eps, max_iter, round_weights
+            X, start, rows_per_chunk, m, eps, max_iter, round_weights
         )
         return pa.Table.from_pydict(
             {
@@ -234,10 +242,20 @@ def _fold_local(
             }
         )
 
+    def schema_empty() -> pa.Table:
+        return pa.Table.from_pydict(
+            {
+                "c": pa.array([], pa.int32()),
+                "features": pa.array([], pa.list_(pa.float64())),
+                "w": pa.array([], pa.float64()),
+                "chunks": pa.array([], pa.int64()),
+            }
+        )
+
     return (
         pts.df.select(group.alias("__g"), *order_cols, *pts.xs)
         .groupBy("__g")
-        .applyInArrow(run, _fold_schema(D))
+        .applyInArrow(run, schema)
     )
 
 
@@ -257,6 +275,7 @@ def fcm_chunked(
     mode: str = "auto",
     engine: str = "auto",
     local_max_cells: int = LOCAL_MAX_CELLS,
+    max_rows: int | None = None,
 ) -> FCMResult:
     """IT-3: chunk-fold FCM.  Rows in ``order_col`` order are cut into
     chunks of ``rows_per_chunk``; FCM runs on each chunk from the current
@@ -267,28 +286,41 @@ def fcm_chunked(
     ``mode='local'`` folds inside one task (only for a bounded input, such
     as a sample); ``'distributed'`` runs each chunk's passes as Spark jobs
     over a row-indexed table; ``'auto'`` picks local up to
-    ``local_max_cells`` coordinates (rows x D).
+    ``local_max_cells`` coordinates (rows x D), from ``max_rows`` when the
+    caller knows a bound (a sample) or else from a count.
     """
     m = check_m(m)
     rows_per_chunk = int(rows_per_chunk)
     if rows_per_chunk < 1:
         raise ValueError("rows_per_chunk must be >= 1")
     order_cols = [order_col] if isinstance(order_col, str) else list(order_col)
-    V0 = resolve_init(df, features, k, init, order_col=order_cols, dims=dims)
-    pts = drop_incomplete(to_points(df, features, V0.shape[1], keep=order_cols))
+    k = int(k)
+    if isinstance(init, str) and init == "first":
+        V0 = None  # the first k rows, taken where the fold runs
+        pts = drop_incomplete(to_points(df, features, dims, keep=order_cols))
+    else:
+        V0 = resolve_init(df, features, k, init, order_col=order_cols, dims=dims)
+        pts = drop_incomplete(to_points(df, features, V0.shape[1], keep=order_cols))
     if mode == "auto":
-        n = pts.df.count()
-        mode = "local" if n * pts.dims <= local_max_cells else "distributed"
+        if max_rows is not None and int(max_rows) * pts.dims <= local_max_cells:
+            mode = "local"
+        else:
+            n = pts.df.count()
+            mode = "local" if n * pts.dims <= local_max_cells else "distributed"
     if mode == "local":
         out = _fold_local(
-            pts, order_cols, V0, rows_per_chunk, m, eps, max_iter, round_weights, F.lit(0)
+            pts, order_cols, V0, k, rows_per_chunk, m, eps, max_iter, round_weights, F.lit(0)
         ).collect()
+        if not out:
+            raise ValueError(f"need {k} initial centres: the table has fewer complete rows")
         out = sorted(out, key=lambda r: r["c"])
         V = np.array([r["features"] for r in out], dtype=float)
         W = np.array([r["w"] for r in out], dtype=float)
         return FCMResult(V, W, int(out[0]["chunks"]), float("nan"))
     if mode != "distributed":
         raise ValueError(f"unknown mode {mode!r}")
+    if V0 is None:
+        V0 = resolve_init(df, features, k, "first", order_col=order_cols, dims=pts.dims)
     return _fold_distributed(
         pts, order_cols, V0, rows_per_chunk, m, eps, max_iter, round_weights, engine
     )
@@ -365,7 +397,7 @@ def seed_centers(
         if strategy == "chunked":
             return fcm_chunked(
                 sample, features, k, k, order_col, m, eps, max_iter, "first",
-                dims=dims, mode="auto",
+                dims=dims, mode="auto", max_rows=sample_rows,
             )
         raise ValueError(f"unknown strategy {strategy!r}")
     finally:

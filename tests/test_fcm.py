@@ -388,3 +388,9 @@ def test_arrow_cells_direct_and_reduced_agree(spark, monkeypatch):
     monkeypatch.setattr(passes, "DIRECT_MAX_ROWS", 0)
     b = fuzzy_pass(pts, V, 2.0, "arrow")
     assert np.allclose(a.sums, b.sums, rtol=1e-12) and a.count == b.count
+
+
+def test_local_fold_needs_k_rows(spark):
+    df = _cust(spark).limit(2)
+    with pytest.raises(ValueError):
+        fcm_chunked(df, CX, 3, 3, "c_custkey", 2.0, -1.0, 2, "first", mode="local")
