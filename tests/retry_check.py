@@ -16,10 +16,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import numpy as np  # noqa: E402
 from pyspark import TaskContext  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from fuzzmill.operators.indexing import with_row_index  # noqa: E402
 from fuzzmill.plans.fcm import fcm  # noqa: E402
-from fuzzmill.plans.two_level import two_level_fcm  # noqa: E402
+from fuzzmill.plans.two_level import partial_fcm, two_level_fcm  # noqa: E402
 
 CX = ["c_acctbal", "c_nationkey"]
 
@@ -59,6 +60,13 @@ def main():
     b = two_level_fcm(bad, CX, 3, 2.0, -1.0, 3, **kw)
     assert np.allclose(a.centers, b.centers, rtol=1e-9), "two_level"
 
+    V0 = a.seeds
+    pa_ = partial_fcm(base.withColumn("hot", F.lit(1)), CX, V0, 2.0, -1.0, 3, block_col="hot", block_rows=40)
+    pb_ = partial_fcm(bad.withColumn("hot", F.lit(1)), CX, V0, 2.0, -1.0, 3, block_col="hot", block_rows=40)
+    ra = sorted((r["block"], r["c"], round(r["w"], 6)) + tuple(np.round(r["features"], 6)) for r in pa_.collect())
+    rb = sorted((r["block"], r["c"], round(r["w"], 6)) + tuple(np.round(r["features"], 6)) for r in pb_.collect())
+    assert ra == rb, "keyed partial with a split hot key"
+
     ia = with_row_index(base.select("c_custkey"), "c_custkey").orderBy("__idx").collect()
     ib = with_row_index(bad.select("c_custkey"), "c_custkey").orderBy("__idx").collect()
     assert [tuple(r) for r in ia] == [tuple(r) for r in ib], "row index"
