@@ -182,3 +182,19 @@ def kmeans_sums(X: np.ndarray, V: np.ndarray):
         np.add.at(sums, c, x)
         counts += np.bincount(c, minlength=C)
     return sums, counts
+
+
+def nearest(X: np.ndarray, V: np.ndarray):
+    """Index of the nearest centre per point (squared Euclidean, ties to the
+    lowest index) and the squared distance to it."""
+    C, D = V.shape
+    idx = np.empty(X.shape[0], dtype=np.int64)
+    best = np.empty(X.shape[0])
+    step = max(1024, (1 << 20) // max(1, C * D))
+    for lo in range(0, X.shape[0], step):
+        x = X[lo : lo + step]
+        d2 = ((x[:, None, :] - V[None, :, :]) ** 2).sum(axis=2)
+        i = d2.argmin(axis=1)
+        idx[lo : lo + step] = i
+        best[lo : lo + step] = d2[np.arange(x.shape[0]), i]
+    return idx, best

@@ -17,9 +17,11 @@ per task to the final aggregate); wide points use numpy over Arrow.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..functions.fcm_math import sq_distance_sql
@@ -139,15 +141,41 @@ def kmeans(
 
 
 def assign(
-    df: DataFrame, features, centers, id_col: str, dims: int | None = None
+    df: DataFrame, features, centers, id_col: str, dims: int | None = None, engine: str = "auto"
 ) -> DataFrame:
-    """IT-10: ``(id, c, distance)`` - each point's nearest centre and its
-    Euclidean distance.  A narrow projection: no shuffle."""
+    """IT-10: ``(id, c, distance)`` - each point's nearest centre (ties to
+    the lowest index) and its Euclidean distance.  Row-wise: no shuffle.
+    Wide points (C x D above the crossover) use numpy over Arrow batches."""
     V = np.asarray(centers, dtype=float)
-    pts = drop_incomplete(to_points(df, features, dims or V.shape[1], keep=[id_col]))
-    dfd, ds = with_distances(pts, V, keep=[id_col])
-    idx, best = _pick(ds)
-    return dfd.select(F.col(id_col).alias("id"), idx.alias("c"), F.sqrt(best).alias("distance"))
+    C, D = V.shape
+    pts = drop_incomplete(to_points(df, features, dims or D, keep=[id_col]))
+    if engine == "auto":
+        engine = "expr" if V.size <= EXPR_MAX_CELLS else "arrow"
+    if engine == "expr":
+        dfd, ds = with_distances(pts, V, keep=[id_col])
+        idx, best = _pick(ds)
+        return dfd.select(F.col(id_col).alias("id"), idx.alias("c"), F.sqrt(best).alias("distance"))
+    id_type = pts.df.schema[id_col].dataType
+    schema = T.StructType(
+        [
+            T.StructField("id", id_type),
+            T.StructField("c", T.IntegerType(), False),
+            T.StructField("distance", T.DoubleType(), False),
+        ]
+    )
+
+    def run(batches):
+        for rb in batches:
+            X = np.column_stack(
+                [rb.column(xname(j)).to_numpy(zero_copy_only=False) for j in range(D)]
+            ).astype(float, copy=False)
+            c, d2 = kernels.nearest(X, V)
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(id_col), pa.array(c.astype(np.int32)), pa.array(np.sqrt(d2))],
+                names=["id", "c", "distance"],
+            )
+
+    return pts.df.select(id_col, *pts.xs).mapInArrow(run, schema)
 
 
 def fuzzy_kmeans(

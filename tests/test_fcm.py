@@ -394,3 +394,12 @@ def test_local_fold_needs_k_rows(spark):
     df = _cust(spark).limit(2)
     with pytest.raises(ValueError):
         fcm_chunked(df, CX, 3, 3, "c_custkey", 2.0, -1.0, 2, "first", mode="local")
+
+
+def test_assign_engines_agree_on_wide_points(spark):
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    V = resolve_init(e, "embedding", 10, "first", order_col="vec_id", dims=64)
+    a = {r["id"]: (r["c"], r["distance"]) for r in assign(e, "embedding", V, "vec_id", 64, "expr").collect()}
+    b = {r["id"]: (r["c"], r["distance"]) for r in assign(e, "embedding", V, "vec_id", 64, "arrow").collect()}
+    assert a.keys() == b.keys()
+    assert all(a[k][0] == b[k][0] and math.isclose(a[k][1], b[k][1], rel_tol=1e-9) for k in a)
