@@ -413,8 +413,8 @@ def _o_it2_emb():
     stays small whatever C x D is."""
     q = osql.Sql()
     pts = q.add(
-        "SELECT vec_id AS pid, CAST(j - 1 AS INTEGER) AS j, CAST(embedding[j] AS DOUBLE) AS x "
-        f"FROM embeddings, range(1, {EMB_D + 1}) r(j)",
+        "SELECT vec_id AS pid, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS j, "
+        "CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings",
         "lpts",
     )
     cen = osql.seed_long(q, pts, EMB_K)
