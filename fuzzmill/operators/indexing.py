@@ -35,7 +35,11 @@ def with_row_index(
     The result is read back from a written table sorted by ``__idx``."""
     spark = df.sparkSession
     cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    n_parts = partitions or max(1, df.rdd.getNumPartitions())
+    # At least one range per core: a single-split input is still sorted in
+    # parallel.
+    n_parts = partitions or max(
+        df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism, 1
+    )
     # Ties on the order key are broken by a hash of the whole row: equal
     # keys then spread over range partitions instead of piling into one
     # (a key may hold a third of the table), and their order is fixed.
