@@ -81,11 +81,6 @@ def to_points(
     return Points(df.select(*cols), d, weight is not None)
 
 
-def from_projected(df: DataFrame, dims: int, weighted: bool) -> Points:
-    """Wrap a table that already has the internal column names."""
-    return Points(df, dims, weighted)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Spread a table over at least as many partitions as the cluster has
     cores before it is cached for a loop.  Large inputs already have many

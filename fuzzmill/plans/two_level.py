@@ -21,7 +21,6 @@ Plan at scale:
 
 from __future__ import annotations
 
-import math
 import time
 from dataclasses import dataclass, field
 
@@ -341,7 +340,3 @@ def two_level_fcm(
 
 def default_block_rows(dims: int) -> int:
     return max(1_000, BLOCK_CELLS // max(1, int(dims)))
-
-
-def block_count(n_rows: int, block_rows: int) -> int:
-    return max(1, math.ceil(n_rows / block_rows))
