@@ -403,3 +403,10 @@ def test_assign_engines_agree_on_wide_points(spark):
     b = {r["id"]: (r["c"], r["distance"]) for r in assign(e, "embedding", V, "vec_id", 64, "arrow").collect()}
     assert a.keys() == b.keys()
     assert all(a[k][0] == b[k][0] and math.isclose(a[k][1], b[k][1], rel_tol=1e-9) for k in a)
+
+
+def test_uncached_passes_match_cached(spark):
+    df = _cust(spark)
+    a = fcm(df, CX, 3, 2.0, -1.0, 3, "first", order_col="c_custkey")
+    b = fcm(df, CX, 3, 2.0, -1.0, 3, "first", order_col="c_custkey", cache=False)
+    assert np.allclose(a.centers, b.centers, rtol=1e-12) and a.n == b.n
