@@ -53,7 +53,8 @@ MERGE_LOCAL_MAX_CELLS = 4_000_000
 def partial_schema() -> T.StructType:
     return T.StructType(
         [
-            T.StructField("block", T.LongType(), False),
+            T.StructField("block", T.LongType(), True),
+            T.StructField("sub", T.LongType(), False),
             T.StructField("c", T.IntegerType(), False),
             T.StructField("features", T.ArrayType(T.DoubleType(), False), False),
             T.StructField("w", T.DoubleType(), True),
@@ -63,11 +64,14 @@ def partial_schema() -> T.StructType:
     )
 
 
-def _emit(block: int, V, W, n: int, passes: int) -> pa.RecordBatch:
+def _emit(block, sub: int, V, W, n: int, passes: int) -> pa.RecordBatch:
+    """C partial rows of one block; ``block`` is the key's id (None for a
+    null key), ``sub`` the sub-block of a split hot key (0 otherwise)."""
     C = V.shape[0]
     return pa.RecordBatch.from_pydict(
         {
             "block": pa.array([block] * C, pa.int64()),
+            "sub": pa.array([sub] * C, pa.int64()),
             "c": pa.array(range(C), pa.int32()),
             "features": pa.array([list(map(float, r)) for r in V], pa.list_(pa.float64())),
             "w": pa.array(np.asarray(W, dtype=float), pa.float64()),
@@ -76,7 +80,8 @@ def _emit(block: int, V, W, n: int, passes: int) -> pa.RecordBatch:
         },
         schema=pa.schema(
             [
-                ("block", pa.int64(), False),
+                ("block", pa.int64()),
+                ("sub", pa.int64(), False),
                 ("c", pa.int32(), False),
                 ("features", pa.list_(pa.field("element", pa.float64(), False)), False),
                 ("w", pa.float64()),
@@ -108,8 +113,8 @@ def partial_fcm(
 ) -> DataFrame:
     """IT-4: C weighted centres per block, each block clustered to
     convergence from ``seeds`` (C x D).  Returns the lazy partial table
-    ``(block, c, features, w, n, passes)``; weights are rounded half-up
-    when ``round_weights``."""
+    ``(block, sub, c, features, w, n, passes)``; weights are rounded
+    half-up when ``round_weights``."""
     m = check_m(m)
     V0 = np.asarray(seeds, dtype=float)
     D = V0.shape[1]
@@ -117,11 +122,11 @@ def partial_fcm(
     keep = [block_col] if block_col else []
     pts = drop_incomplete(to_points(df, features, dims or D, keep=keep))
 
-    def solve(X, block):
+    def solve(X, block, sub=0):
         V, W, passes, _ = kernels.local_fcm(X, None, V0, m, eps, max_iter)
         if round_weights:
             W = np.floor(W + 0.5)
-        return _emit(block, V, W, X.shape[0], passes)
+        return _emit(block, sub, V, W, X.shape[0], passes)
 
     if block_col is None:
 
@@ -159,7 +164,8 @@ def partial_fcm(
     # Integral keys are the block id; other key types are hashed to one.
     kt = pts.df.schema[block_col].dataType.typeName()
     integral = kt in ("byte", "short", "integer", "long")
-    key = F.col(block_col).cast("long") if integral else F.xxhash64(F.col(block_col))
+    kc = F.col(block_col)
+    key = kc.cast("long") if integral else F.when(kc.isNotNull(), F.xxhash64(kc))
     counts = pts.df.groupBy(key.alias("__b")).agg(F.count(F.lit(1)).alias("__cnt"))
     hot = counts.where(F.col("__cnt") > block_rows).select(
         F.col("__b").alias("__hb"),
@@ -183,11 +189,9 @@ def partial_fcm(
 
     def run_group(table: pa.Table) -> pa.Table:
         X = _matrix(table, D)
-        b0 = table.column("__b")[0].as_py()
-        b = -1 if b0 is None else int(b0)
+        b = table.column("__b")[0].as_py()
         s = int(table.column("__sub")[0].as_py())
-        block = b if s == 0 else -((b << 16) | s)
-        return pa.Table.from_batches([solve(X, block)])
+        return pa.Table.from_batches([solve(X, b, s)])
 
     return (
         grouped.select("__b", "__sub", *pts.xs)
@@ -320,7 +324,7 @@ def two_level_fcm(
         block_rows=block_rows, round_weights=True, dims=dims,
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        blocks = partials.select("block").distinct().count()
+        blocks = partials.select("block", "sub").distinct().count()
         t["partial"] = time.perf_counter() - t0
         t0 = time.perf_counter()
         merged = merge_fcm(partials, seeds, m, eps, max_iter)

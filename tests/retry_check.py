@@ -63,8 +63,8 @@ def main():
     V0 = a.seeds
     pa_ = partial_fcm(base.withColumn("hot", F.lit(1)), CX, V0, 2.0, -1.0, 3, block_col="hot", block_rows=40)
     pb_ = partial_fcm(bad.withColumn("hot", F.lit(1)), CX, V0, 2.0, -1.0, 3, block_col="hot", block_rows=40)
-    ra = sorted((r["block"], r["c"], round(r["w"], 6)) + tuple(np.round(r["features"], 6)) for r in pa_.collect())
-    rb = sorted((r["block"], r["c"], round(r["w"], 6)) + tuple(np.round(r["features"], 6)) for r in pb_.collect())
+    ra = sorted((r["block"], r["sub"], r["c"], round(r["w"], 6)) + tuple(np.round(r["features"], 6)) for r in pa_.collect())
+    rb = sorted((r["block"], r["sub"], r["c"], round(r["w"], 6)) + tuple(np.round(r["features"], 6)) for r in pb_.collect())
     assert ra == rb, "keyed partial with a split hot key"
 
     ia = with_row_index(base.select("c_custkey"), "c_custkey").orderBy("__idx").collect()

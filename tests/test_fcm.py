@@ -162,7 +162,8 @@ def test_hot_key_is_split_into_bounded_blocks(spark):
     V0 = resolve_init(df, CX, 3, "first", order_col="c_custkey")
     n = df.count()
     parts = partial_fcm(df, CX, V0, 2.0, 1e-3, 20, block_col="hot", block_rows=40).collect()
-    sizes = {r["block"]: r["n"] for r in parts}
+    sizes = {(r["block"], r["sub"]): r["n"] for r in parts}
+    assert {b for b, _ in sizes} == {1}
     assert sum(sizes.values()) == n
     assert max(sizes.values()) <= 60  # ~block_rows, hash-split
     assert len(sizes) >= math.ceil(n / 40)
@@ -291,8 +292,8 @@ def test_size_check_fallbacks(spark, monkeypatch):
     b = partial_fcm(keyed, CX, V0, 2.0, -1.0, 2, block_col="blk", block_rows=20).collect()
     assert sum(r["n"] for r in a if r["c"] == 0) == n == sum(r["n"] for r in b if r["c"] == 0)
     assert max(r["n"] for r in b) <= 40
-    ra = sorted((r["block"], r["c"], tuple(np.round(r["features"], 6))) for r in a)
-    rb = sorted((r["block"], r["c"], tuple(np.round(r["features"], 6))) for r in b)
+    ra = sorted((r["block"], r["sub"], r["c"], tuple(np.round(r["features"], 6))) for r in a)
+    rb = sorted((r["block"], r["sub"], r["c"], tuple(np.round(r["features"], 6))) for r in b)
     assert len(ra) == len(rb)
     # The row index with and without the offset broadcast.
     i1 = [r["__idx"] for r in indexing.with_row_index(df.select("c_custkey"), "c_custkey").orderBy("c_custkey").collect()]
@@ -354,7 +355,7 @@ def test_zero_weight_partials_change_nothing(spark):
     parts = partial_fcm(df, CX, V0, 2.0, -1.0, 2, block_col="c_nationkey").collect()
     pdf = spark.createDataFrame(parts)
     zero = spark.createDataFrame(
-        [(10_000 + i, i, [1e6 * (i + 1), -5.0], 0.0, 1, 1) for i in range(3)], pdf.schema
+        [(10_000 + i, 0, i, [1e6 * (i + 1), -5.0], 0.0, 1, 1) for i in range(3)], pdf.schema
     )
     for mode in ("local", "distributed"):
         a = merge_fcm(pdf, V0, 2.0, -1.0, 3, mode=mode)
@@ -410,3 +411,15 @@ def test_uncached_passes_match_cached(spark):
     a = fcm(df, CX, 3, 2.0, -1.0, 3, "first", order_col="c_custkey")
     b = fcm(df, CX, 3, 2.0, -1.0, 3, "first", order_col="c_custkey", cache=False)
     assert np.allclose(a.centers, b.centers, rtol=1e-12) and a.n == b.n
+
+
+def test_hot_string_and_null_keys_split_without_overflow(spark):
+    """A hot string key (hashed id) and a hot null key both split."""
+    df = _cust(spark)
+    n = df.count()
+    V0 = resolve_init(df, CX, 3, "first", order_col="c_custkey")
+    k = df.withColumn("s", F.when(F.col("c_custkey") < n // 2, F.lit("hot")).otherwise(F.lit(None)))
+    p = partial_fcm(k, CX, V0, 2.0, -1.0, 2, block_col="s", block_rows=30).collect()
+    assert sum(r["n"] for r in p if r["c"] == 0) == n
+    assert max(r["n"] for r in p) <= 60
+    assert any(r["block"] is None for r in p) and len({r["block"] for r in p}) == 2
