@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +50,38 @@ def coin_flip_sample(
     return df.where(coin(key, seed)).orderBy(order_col).limit(int(n))
 
 
+# A top-k streams k rows from every task through one final task.  Beyond
+# this many (k x tasks) rows, rows are first filtered on their hash prefix.
+TOPK_STREAM_MAX_ROWS = 50_000_000
+
+
 def sample_k(df: DataFrame, k: int, seed=0, id_col: str | Sequence[str] = "id") -> DataFrame:
     """LM-3: k rows uniformly without replacement (fewer if the table is
-    smaller), keyed by a seeded hash of ``id_col``."""
+    smaller), keyed by a seeded hash of ``id_col``.
+
+    Normally one top-k.  When k x tasks is large, rows whose 32-bit hash
+    prefix is below a threshold sized for ~k survivors (plus a margin) are
+    kept first; the top k of the survivors is the exact answer whenever at
+    least k survive (every dropped row hashes above every survivor), else
+    the plain top-k runs."""
+    k = int(k)
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    return df.orderBy(hash_key(ids, seed), *ids).limit(int(k))
+    key = hash_key(ids, seed)
+    plain = df.orderBy(key, *ids).limit(k)
+    if k * max(1, df.rdd.getNumPartitions()) <= TOPK_STREAM_MAX_ROWS:
+        return plain
+    n = df.count()
+    frac = (k + 8.0 * k**0.5 + 64.0) / max(n, 1)
+    if frac >= 0.5:
+        return plain
+    threshold = int(frac * 2**32)
+    prefix = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
+    top = df.where(prefix < F.lit(threshold)).orderBy(key, *ids).limit(k)
+    top = top.persist(StorageLevel.MEMORY_AND_DISK)
+    if top.count() == k:
+        return top
+    top.unpersist()
+    return plain
 
 
 def sample_k_repeated(

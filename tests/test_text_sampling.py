@@ -156,3 +156,12 @@ def test_chunk_of(spark):
 
     df = spark.range(0, 10).select(chunk_of(F.col("id"), 4).alias("c"))
     assert [r.c for r in df.collect()] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
+
+
+def test_sample_k_prefilter_is_exact(spark, monkeypatch):
+    """The hash-prefix pre-filter picks exactly the plain top-k rows."""
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    plain = sorted(r["o_orderkey"] for r in sampling.sample_k(o, 40, 9, "o_orderkey").collect())
+    monkeypatch.setattr(sampling, "TOPK_STREAM_MAX_ROWS", 0)
+    pre = sorted(r["o_orderkey"] for r in sampling.sample_k(o, 40, 9, "o_orderkey").collect())
+    assert pre == plain and len(pre) == 40
