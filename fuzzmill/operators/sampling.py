@@ -35,6 +35,11 @@ def coin(id_cols, seed) -> Column:
     return F.substring(hash_key(id_cols, seed), 1, 1) < F.lit("8")
 
 
+# A top-k streams k rows from every task through one final task.  Beyond
+# this many (k x tasks) rows, rows are filtered first (hash prefix or order-key cutoff).
+TOPK_STREAM_MAX_ROWS = 50_000_000
+
+
 def first_k(df: DataFrame, k: int, order_col: str | Sequence[str]) -> DataFrame:
     """LM-2: the first k rows in ``order_col`` order."""
     cols = [order_col] if isinstance(order_col, str) else list(order_col)
@@ -42,17 +47,40 @@ def first_k(df: DataFrame, k: int, order_col: str | Sequence[str]) -> DataFrame:
 
 
 def coin_flip_sample(
-    df: DataFrame, n: int, order_col: str, seed=0, id_col: str | None = None
+    df: DataFrame, n: int, order_col, seed=0, id_col=None
 ) -> DataFrame:
     """LM-1: walk rows in ``order_col`` order, keep each on a fair coin,
-    stop after n kept rows."""
+    stop after n kept rows.
+
+    Normally one top-n.  When n x tasks is large and the first order column
+    is numeric, a cutoff on it is taken from ``approxQuantile`` at a rank
+    that leaves at least n + margin kept rows below it even at the sketch's
+    error; rows above the cutoff are dropped before the top-n (exact: every
+    dropped row sorts after every survivor), and the plain top-n runs if
+    fewer than n survive."""
+    n = int(n)
+    cols = [order_col] if isinstance(order_col, str) else list(order_col)
     key = id_col or order_col
-    return df.where(coin(key, seed)).orderBy(order_col).limit(int(n))
-
-
-# A top-k streams k rows from every task through one final task.  Beyond
-# this many (k x tasks) rows, rows are first filtered on their hash prefix.
-TOPK_STREAM_MAX_ROWS = 50_000_000
+    kept = df.where(coin(key, seed))
+    plain = kept.orderBy(*cols).limit(n)
+    first = cols[0]
+    numeric = df.schema[first].dataType.typeName() in (
+        "byte", "short", "integer", "long", "float", "double", "decimal"
+    )
+    if not numeric or n * max(1, df.rdd.getNumPartitions()) <= TOPK_STREAM_MAX_ROWS:
+        return plain
+    total = kept.count()
+    q = (n + 8.0 * n**0.5 + 64.0) / max(total, 1)
+    err = q / 4.0
+    if q + err >= 0.5:
+        return plain
+    cutoff = kept.approxQuantile(first, [q + err], err)[0]
+    top = kept.where(F.col(first) <= F.lit(cutoff)).orderBy(*cols).limit(n)
+    top = top.persist(StorageLevel.MEMORY_AND_DISK)
+    if top.count() == n:
+        return top
+    top.unpersist()
+    return plain
 
 
 def sample_k(df: DataFrame, k: int, seed=0, id_col: str | Sequence[str] = "id") -> DataFrame:

@@ -165,3 +165,12 @@ def test_sample_k_prefilter_is_exact(spark, monkeypatch):
     monkeypatch.setattr(sampling, "TOPK_STREAM_MAX_ROWS", 0)
     pre = sorted(r["o_orderkey"] for r in sampling.sample_k(o, 40, 9, "o_orderkey").collect())
     assert pre == plain and len(pre) == 40
+
+
+def test_coin_flip_prefilter_is_exact(spark, monkeypatch):
+    """The order-key cutoff picks exactly the plain first n kept rows."""
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    plain = [r["o_orderkey"] for r in sampling.coin_flip_sample(o, 50, "o_orderkey", 4).collect()]
+    monkeypatch.setattr(sampling, "TOPK_STREAM_MAX_ROWS", 0)
+    pre = [r["o_orderkey"] for r in sampling.coin_flip_sample(o, 50, "o_orderkey", 4).collect()]
+    assert pre == plain and len(pre) == 50
