@@ -324,7 +324,11 @@ def two_level_fcm(
         block_rows=block_rows, round_weights=True, dims=dims,
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        blocks = partials.select("block", "sub").distinct().count()
+        # Blocks and points clustered, in one aggregate over the summaries.
+        stats = partials.where(F.col("c") == 0).agg(
+            F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("points")
+        ).collect()[0]
+        blocks, points = int(stats["blocks"]), int(stats["points"] or 0)
         t["partial"] = time.perf_counter() - t0
         t0 = time.perf_counter()
         merged = merge_fcm(partials, seeds, m, eps, max_iter)
@@ -335,7 +339,7 @@ def two_level_fcm(
     final = polish(spark, merged.centers, merged.weights, m, eps, max_iter)
     t["polish"] = time.perf_counter() - t0
     return TwoLevelResult(
-        final.centers, final.weights, final.passes, final.shift, merged.n,
+        final.centers, final.weights, final.passes, final.shift, points,
         seeds=seeds, blocks=blocks, input_weight=float(np.sum(merged.weights)),
         stage_sec={k_: round(v, 3) for k_, v in t.items()},
         merged_centers=merged.centers, merged_weights=merged.weights,

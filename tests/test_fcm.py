@@ -423,3 +423,11 @@ def test_hot_string_and_null_keys_split_without_overflow(spark):
     assert sum(r["n"] for r in p if r["c"] == 0) == n
     assert max(r["n"] for r in p) <= 60
     assert any(r["block"] is None for r in p) and len({r["block"] for r in p}) == 2
+
+
+def test_two_level_counts_points_and_blocks(spark):
+    df = _cust(spark)
+    tl = two_level_fcm(df, CX, 3, 2.0, 1e-3, 20, order_col="c_custkey", sample_rows=60,
+                       seed=3, block_rows=200)
+    assert tl.n == df.count()
+    assert tl.blocks >= math.ceil(df.count() / 200)
