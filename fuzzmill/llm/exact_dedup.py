@@ -32,7 +32,11 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .util import keep_rows, stored, table
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state; small state partitions do not pre-allocate files.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column | str) -> Column:
@@ -54,17 +58,15 @@ def ingest(feed: DataFrame, state_dir: str) -> None:
     spark = feed.sparkSession
     first = F.struct(F.col("id").isNull().alias("none"), "id", "sig")
     keyed = feed.groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("n"))
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         run = keyed.writeStream.format("noop").outputMode("update").trigger(availableNow=True)
         run.option("checkpointLocation", state_dir).start().awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def state_table(spark: SparkSession, state_dir: str) -> DataFrame:
