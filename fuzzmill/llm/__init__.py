@@ -3,10 +3,25 @@
 from __future__ import annotations
 
 from .bpe import op3_sentencepiece_round_trip
+from .chat import OP2_SQL, op2_chat_formatting
 from .decontam import OP7_SQL, op7_benchmark_decontamination
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .langid import op6_language_id
 from .simhash import op10_simhash_near_dedup
+from .token_counts import op5_token_counts
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece_round_trip, op6_language_id, op7_benchmark_decontamination, op9_exact_dedup, op10_simhash_near_dedup)}
-ORACLES: dict[str, str] = {"op7_benchmark_decontamination": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+_ALL = (
+    op2_chat_formatting,
+    op3_sentencepiece_round_trip,
+    op5_token_counts,
+    op6_language_id,
+    op7_benchmark_decontamination,
+    op9_exact_dedup,
+    op10_simhash_near_dedup,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {
+    "op2_chat_formatting": OP2_SQL,
+    "op7_benchmark_decontamination": OP7_SQL,
+    "op9_exact_dedup": OP9_SQL,
+}
