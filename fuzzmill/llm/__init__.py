@@ -7,10 +7,12 @@ from .chat import OP2_SQL, op2_chat_formatting
 from .decontam import OP7_SQL, op7_benchmark_decontamination
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .langid import op6_language_id
+from .quality import op1_quality_classifier
 from .simhash import op10_simhash_near_dedup
 from .token_counts import op5_token_counts
 
 _ALL = (
+    op1_quality_classifier,
     op2_chat_formatting,
     op3_sentencepiece_round_trip,
     op5_token_counts,
