@@ -10,11 +10,13 @@ from .langid import op6_language_id
 from .quality import op1_quality_classifier
 from .simhash import op10_simhash_near_dedup
 from .token_counts import op5_token_counts
+from .toxicity import op4_toxicity
 
 _ALL = (
     op1_quality_classifier,
     op2_chat_formatting,
     op3_sentencepiece_round_trip,
+    op4_toxicity,
     op5_token_counts,
     op6_language_id,
     op7_benchmark_decontamination,

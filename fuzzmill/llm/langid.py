@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import Shipped, fold, sample_by_hash, sliced, table
+from .util import Shipped, fold, sample_by_hash, sliced, stored, table
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -122,7 +122,7 @@ def train(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     ids = sample_by_hash(df.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id")), "_id", sample_rows)
     top = ids.agg(F.max(F.xxhash64(F.lit(7), "_id")).alias("h")).first()["h"]
     rows = df.where(F.col(lang_col).isNotNull() & (F.xxhash64(F.lit(7), id_col) <= F.lit(top))) if top is not None else df.limit(0)
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = stored(rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")), "langid-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
