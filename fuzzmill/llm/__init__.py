@@ -7,6 +7,7 @@ from .chat import OP2_SQL, op2_chat_formatting
 from .decontam import OP7_SQL, op7_benchmark_decontamination
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .langid import op6_language_id
+from .licenses import op8_license_scan
 from .quality import op1_quality_classifier
 from .simhash import op10_simhash_near_dedup
 from .token_counts import op5_token_counts
@@ -20,6 +21,7 @@ _ALL = (
     op5_token_counts,
     op6_language_id,
     op7_benchmark_decontamination,
+    op8_license_scan,
     op9_exact_dedup,
     op10_simhash_near_dedup,
 )
