@@ -106,7 +106,7 @@ class ToxicityModel:
         """Bytes that the toxic dictionary saves on each window."""
         toxic, ordinary = (c.compress for c in self._compressors())
         data, out = lowered(text), []
-        for a in range(0, len(data), BLOCK_BYTES // STRIDE * STRIDE):
+        for a in range(0, max(len(data) - (WINDOW - STRIDE), 1), BLOCK_BYTES // STRIDE * STRIDE):
             part = doubled(data[a : a + BLOCK_BYTES // STRIDE * STRIDE + WINDOW - STRIDE])
             for s in range(0, max(len(part) - 2 * (WINDOW - STRIDE), 1), 2 * STRIDE):
                 w = part[s : s + 2 * WINDOW]
@@ -115,8 +115,6 @@ class ToxicityModel:
 
     def vector(self, text: str | None) -> np.ndarray:
         g = self.gains(text)
-        if not len(g):
-            return np.zeros(4)
         top = np.sort(np.maximum(g - LEAST_GAIN, 0))[::-1]
         return np.array([top[0], top[:3].sum() / 3, top.sum() / (1 + len(g)), np.log1p(top.sum())])
 
