@@ -8,7 +8,8 @@
 sample size) and writes OUTPUT/merged and OUTPUT/final.  ``sweep`` runs
 the timing grid over samples of INPUT (grids read from one-value-per-line
 files) and appends the result table to OUTPUT, one folder per varied
-parameter.  The session comes from spark-submit / the environment.
+parameter, row by row as the runs end (COUNT bounds the rows that seed
+the two-level form).  The positional order is fixed.  The session comes from spark-submit / the environment.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .plans.job import run_job
-from .plans.sweep import sweep, write_sweep
+from .plans.sweep import sweep
 from .sources.points import read_grid, read_points
 
 
@@ -53,9 +54,9 @@ def main(argv=None) -> None:
         pts, "features", id_col="id", dims=a.dims,
         ks=read_grid(spark, a.centers_list, "int"), epsilons=read_grid(spark, a.eps_list),
         k=a.centers, eps=a.eps, samples=a.samples, sample_rows=a.sample_rows,
-        repeats=a.repeats, m=a.fuzziness, max_iter=a.iterations,
+        repeats=a.repeats, m=a.fuzziness, max_iter=a.iterations, seed_rows=a.count, path=a.output,
     )
-    write_sweep(res, a.output)
+    print(res.count())
 
 
 if __name__ == "__main__":

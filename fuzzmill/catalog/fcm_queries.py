@@ -31,6 +31,8 @@ from ..operators.passes import (
 )
 from ..plans.fcm import fcm, fcm_chunked, resolve_init, seed_centers
 from ..plans.two_level import merge_fcm, partial_fcm, polish, two_level_fcm
+from ..session import scratch_path
+from ..sources.points import read_centers, write_centers
 from .common import (
     CUST_X,
     FEW,
@@ -463,7 +465,7 @@ def _it3(spark, sf_dir, mode):
 
 @query("it3_fcm_chunked_customer", _o_it3)
 def it3_fcm_chunked_customer(spark, sf_dir):
-    return _it3(spark, sf_dir, "auto")
+    return _it3(spark, sf_dir, "distributed")
 
 
 @query("it3_fcm_chunked_customer_distributed", _o_it3)
@@ -471,6 +473,28 @@ def it3_fcm_chunked_customer_distributed(spark, sf_dir):
     return _it3(spark, sf_dir, "distributed")
 
 
+def _o_it3_ties():
+    q = osql.Sql()
+    pts = q.add(pts_sql("lineitem", LINE_X, ", l_orderkey"), "pts")
+    order = "l_orderkey, x0, x1, x2, x3"
+    seed = osql.seed_first(q, pts, xs_of(4), 3, order)
+    idx = q.add(
+        f"SELECT x0, x1, x2, x3, CAST(floor((row_number() OVER (ORDER BY {order}) - 1) / "
+        f"ceil(count(*) OVER () / {N_CHUNKS}.0)) AS BIGINT) AS chunk FROM {pts}",
+        "idx",
+    )
+    return q.render(osql.output(osql.fold(q, idx, seed, 3, 4, M, FEW, N_CHUNKS), 3, 4))
+
+
+@query("it3_fcm_chunked_lineitem", _o_it3_ties)
+def it3_fcm_chunked_lineitem(spark, sf_dir):
+    """Order keys that tie: rows follow their coordinates."""
+    li = table(spark, sf_dir, "lineitem")
+    rows = _chunk_rows(li.count())
+    res = fcm_chunked(li, LINE_X, 3, rows, "l_orderkey", M, NO_EPS, FEW, "first")
+    return matrix_out(spark, res.centers, res.weights)
+
+
 # ---- IT-4 .. IT-6: partial per block, merge, polish ---------------------------------------
 
 BLOCK = "c_nationkey"
@@ -533,6 +557,13 @@ def it5_merge_fcm_customer(spark, sf_dir):
     return matrix_out(spark, res.centers, res.weights)
 
 
+@query("it5_merge_fcm_distributed_customer", _o_it5)
+def it5_merge_fcm_distributed_customer(spark, sf_dir):
+    V, parts = _partials(spark, sf_dir)
+    res = merge_fcm(parts, V, M, NO_EPS, FEW, mode="distributed")
+    return matrix_out(spark, res.centers, res.weights)
+
+
 def _o_it6():
     q = osql.Sql()
     merged = _o_merge(q)
@@ -557,30 +588,27 @@ SAMPLE_CHUNKED = 12
 
 
 def _o_sample(q, n):
-    pts = q.add(
-        pts_sql(
-            "customer", CUST_X, ", c_custkey, CAST(c_nationkey AS BIGINT) AS blk",
-        )
-        + f" WHERE substr(md5(concat(CAST(c_custkey AS VARCHAR), '-', '{SAMPLE_SEED}')), 1, 1) < '8'"
-        f" ORDER BY c_custkey LIMIT {n}",
+    """LM-3 over the whole table, in hash order."""
+    h = f"md5(concat(CAST(c_custkey AS VARCHAR), '-', '{SAMPLE_SEED}'))"
+    return q.add(
+        pts_sql("customer", CUST_X, f", c_custkey, {h} AS h") + f" ORDER BY h, c_custkey LIMIT {n}",
         "sample",
     )
-    return pts
 
 
 def _o_it8_whole():
     q = osql.Sql()
     s = _o_sample(q, SAMPLE_WHOLE)
-    seed = osql.seed_first(q, s, xs_of(2), 3, "c_custkey")
+    seed = osql.seed_first(q, s, xs_of(2), 3, "h")
     cen = osql.fcm_passes(q, s, seed, 3, 2, M, PASSES)
     return q.render(osql.output(cen, 3, 2))
 
 
 def _o_seed_chunked(q):
     s = _o_sample(q, SAMPLE_CHUNKED)
-    seed = osql.seed_first(q, s, xs_of(2), 3, "c_custkey")
+    seed = osql.seed_first(q, s, xs_of(2), 3, "h")
     idx = q.add(
-        f"SELECT x0, x1, CAST(floor((row_number() OVER (ORDER BY c_custkey) - 1) / 3) AS BIGINT) AS chunk FROM {s}",
+        f"SELECT x0, x1, CAST(floor((row_number() OVER (ORDER BY h) - 1) / 3) AS BIGINT) AS chunk FROM {s}",
         "sidx",
     )
     return osql.fold(q, idx, seed, 3, 2, M, FEW, SAMPLE_CHUNKED // 3)
@@ -631,7 +659,89 @@ def _o_it7():
 def it7_two_level_customer(spark, sf_dir):
     res = two_level_fcm(
         _cust(spark, sf_dir), CUST_X, 3, M, NO_EPS, FEW, order_col="c_custkey",
-        sample_rows=SAMPLE_CHUNKED, seed=SAMPLE_SEED, block_col=BLOCK,
+        sample_rows=SAMPLE_CHUNKED, seed=SAMPLE_SEED, seeding="chunked", block_col=BLOCK,
     )
     return matrix_out(spark, res.centers, res.weights)
 
+
+
+# ---- IT-8 and IT-7 over lineitem: a key that is not unique ----------------------------------
+
+LINE_KEY = ["l_orderkey", "l_linenumber"]
+
+
+def _o_line_seeds(q):
+    h = f"md5(concat(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)), '-', '{SAMPLE_SEED}'))"
+    s = q.add(
+        pts_sql("lineitem", LINE_X, f", {h} AS h, l_orderkey, l_linenumber")
+        + f" ORDER BY h, l_orderkey, l_linenumber, {', '.join(LINE_X)} LIMIT {SAMPLE_WHOLE}",
+        "sample",
+    )
+    seed = osql.seed_first(q, s, xs_of(4), 3, "h, x0, x1, x2, x3")
+    return osql.fcm_passes(q, s, seed, 3, 4, M, FEW)
+
+
+def _o_it8_line():
+    q = osql.Sql()
+    return q.render(osql.output(_o_line_seeds(q), 3, 4))
+
+
+@query("it8_seed_uniform_lineitem", _o_it8_line)
+def it8_seed_uniform_lineitem(spark, sf_dir):
+    res = seed_centers(
+        table(spark, sf_dir, "lineitem"), LINE_X, 3, "whole", sample_rows=SAMPLE_WHOLE,
+        order_col=LINE_KEY, seed=SAMPLE_SEED, m=M, eps=NO_EPS, max_iter=FEW,
+    )
+    return matrix_out(spark, res.centers, res.weights)
+
+
+def _o_it7_line():
+    q = osql.Sql()
+    seed = _o_line_seeds(q)
+    pts = q.add(pts_sql("lineitem", LINE_X, ", CAST(l_linenumber AS BIGINT) AS blk"), "pts")
+    seed_b = q.add(
+        f"SELECT s.*, b.blk FROM {seed} s JOIN (SELECT DISTINCT blk, 1 AS one FROM {pts}) b ON s.one = b.one",
+        "seedb",
+    )
+    part = osql.fcm_passes(q, pts, seed_b, 3, 4, M, FEW, block="blk")
+    ppts = osql.centers_as_points(q, [part], 3, 4, block="blk")
+    merged = osql.fcm_passes(q, ppts, seed, 3, 4, M, FEW, weighted=True)
+    mpts = osql.centers_as_points(q, [merged], 3, 4)
+    return q.render(osql.output(osql.fcm_passes(q, mpts, merged, 3, 4, M, FEW, weighted=True), 3, 4))
+
+
+@query("it7_two_level_lineitem", _o_it7_line)
+def it7_two_level_lineitem(spark, sf_dir):
+    """The default seeding; block weights not rounded."""
+    res = two_level_fcm(
+        table(spark, sf_dir, "lineitem"), LINE_X, 3, M, NO_EPS, FEW, order_col=LINE_KEY,
+        sample_rows=SAMPLE_WHOLE, seed=SAMPLE_SEED, block_col="l_linenumber", round_weights=False,
+    )
+    return matrix_out(spark, res.centers, res.weights)
+
+
+def _o_it7_given():
+    q = osql.Sql()
+    pts = q.add(pts_sql("customer", CUST_X, ", c_custkey, CAST(c_nationkey AS BIGINT) AS blk"), "pts")
+    seed = osql.seed_first(q, pts, xs_of(2), 3, "c_custkey")
+    seed_b = q.add(
+        f"SELECT s.*, b.blk FROM {seed} s JOIN (SELECT DISTINCT blk, 1 AS one FROM {pts}) b ON s.one = b.one",
+        "seedb",
+    )
+    part = osql.fcm_passes(q, pts, seed_b, 3, 2, M, FEW, block="blk")
+    ppts = osql.centers_as_points(q, [part], 3, 2, block="blk")
+    merged = osql.fcm_passes(q, ppts, seed, 3, 2, M, FEW, weighted=True)
+    mpts = osql.centers_as_points(q, [merged], 3, 2)
+    return q.render(osql.output(osql.fcm_passes(q, mpts, merged, 3, 2, M, FEW, weighted=True), 3, 2))
+
+
+@query("it7_two_level_given_seeds_customer", _o_it7_given)
+def it7_two_level_given_seeds_customer(spark, sf_dir):
+    """Seeds written by SNK-1, read by SRC-2, used by IT-7."""
+    path = scratch_path(spark, "given-seeds")
+    write_centers(centers_df(spark, _seeds(spark, sf_dir)), path, "text", weights=False)
+    res = two_level_fcm(
+        _cust(spark, sf_dir), CUST_X, 3, M, NO_EPS, FEW, seeds=read_centers(spark, path),
+        block_col=BLOCK, round_weights=False,
+    )
+    return matrix_out(spark, res.centers, res.weights)

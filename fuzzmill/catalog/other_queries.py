@@ -14,6 +14,7 @@ from ..operators.passes import centers_df
 from ..plans.kmeans import assign, describe_clusters, fuzzy_kmeans, kmeans
 from ..plans.sweep import sweep
 from ..session import scratch_path
+from ..sources.points import read_grid
 from ..streaming.stream_fcm import stream_fcm
 from .common import (
     CUST_X,
@@ -222,13 +223,33 @@ def it12_describe_clusters_part(spark, sf_dir):
 # ---- IT-13: parameter sweep (rows only: times vary) ---------------------------------
 
 
-@query("it13_sweep_customer")
+IT13_PASSES = {"kmeans": FEW, "fuzzy_kmeans": FEW, "two_level_fcm": 3 * FEW}  # partial, merge, polish
+
+
+def _o_it13():
+    algos = ", ".join(f"('{a}', {p})" for a, p in IT13_PASSES.items())
+    return f"""
+WITH a(algo, passes) AS (VALUES {algos}),
+s AS (SELECT CAST(x AS INTEGER) AS sample FROM range(2) t(x) WHERE (SELECT count(*) FROM customer) > 0)
+SELECT algo, varied, sample, CAST(0 AS INTEGER) AS repeat, k, eps, CAST(passes AS INTEGER) AS passes
+FROM a, s, (SELECT 'centers' AS varied, CAST(k AS INTEGER) AS k, CAST({NO_EPS} AS DOUBLE) AS eps FROM (VALUES (2), (3)) t(k)
+            UNION ALL SELECT 'epsilon', CAST(3 AS INTEGER), CAST(e AS DOUBLE) FROM (VALUES (-1.0), (-2.0)) t(e)) g
+"""
+
+
+@query("it13_sweep_customer", _o_it13)
 def it13_sweep_customer(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    return sweep(
-        c, CUST_X, id_col="c_custkey", ks=[2, 3], epsilons=[1.0], k=3, eps=1.0,
-        samples=1, sample_rows=500, repeats=1, max_iter=5, seed=3,
+    """Fixed passes; the grids are read from text, the rows are written as
+    the runs end and read back; times and shifts are left out."""
+    grids = scratch_path(spark, "grids")
+    for name, values in (("ks", ["2", "3"]), ("eps", ["-1.0", " -2.0 ", ""])):
+        spark.createDataFrame([(v,) for v in values], "value STRING").coalesce(1).write.text(f"{grids}/{name}")
+    out = sweep(
+        table(spark, sf_dir, "customer"), CUST_X, id_col="c_custkey", ks=read_grid(spark, f"{grids}/ks", "int"),
+        epsilons=read_grid(spark, f"{grids}/eps"), k=3, eps=NO_EPS, samples=2, sample_rows=500, repeats=1,
+        max_iter=FEW, seed=3, path=scratch_path(spark, "sweep"),
     )
+    return out.select("algo", "varied", "sample", "repeat", "k", "eps", "passes")
 
 
 # ---- ST-1: the chunk fold as a stream of micro-batches -----------------------------

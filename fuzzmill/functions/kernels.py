@@ -179,7 +179,7 @@ def kmeans_sums(X: np.ndarray, V: np.ndarray):
         x = X[lo : lo + step]
         d2 = ((x[:, None, :] - V[None, :, :]) ** 2).sum(axis=2)
         c = d2.argmin(axis=1)
-        np.add.at(sums, c, x)
+        sums += (c[None, :] == np.arange(C)[:, None]).astype(float) @ x
         counts += np.bincount(c, minlength=C)
     return sums, counts
 

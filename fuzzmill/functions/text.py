@@ -22,9 +22,12 @@ def tokenise(line: Column | str, sep: str = DEFAULT_SEP) -> Column:
     tokens, as Java's ``String.split`` does: ``1,2,,`` -> [1, 2];
     ``,,`` -> []; an empty line -> [''] (one token)."""
     col = F.col(line) if isinstance(line, str) else line
-    t = F.split(col, sep, -1)
-    last = F.array_max(F.transform(t, lambda x, i: F.when(x != "", i + 1).otherwise(0)))
-    return F.when(F.size(t) == 1, t).otherwise(F.slice(t, 1, last))
+
+    def trimmed(t):
+        last = F.array_max(F.transform(t, lambda x, i: F.when(x != "", i + 1).otherwise(0)))
+        return F.when(F.size(t) == 1, t).otherwise(F.slice(t, 1, last))
+
+    return F.element_at(F.transform(F.array(F.split(col, sep, -1)), trimmed), 1)  # split once
 
 
 def filter_width(df: DataFrame, tokens: str, dims: int | Sequence[int]) -> DataFrame:

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import estimated_tasks
+
 W = "__w"
 
 
@@ -39,10 +41,13 @@ class Points:
 
 
 def _array_width(df: DataFrame, col: str) -> int:
-    row = df.select(F.size(col).alias("n")).where(F.col(col).isNotNull()).first()
-    if row is None:
+    n = F.size(F.col(col))
+    row = df.where(F.col(col).isNotNull()).agg(F.min(n).alias("lo"), F.max(n).alias("hi")).first()
+    if row["lo"] is None:
         raise ValueError(f"cannot infer the width of {col!r} from an empty table")
-    return int(row["n"])
+    if row["lo"] != row["hi"]:
+        raise ValueError(f"{col!r} has widths {row['lo']} to {row['hi']}: give dims; rows of another width are dropped")
+    return int(row["lo"])
 
 
 def to_points(
@@ -55,8 +60,9 @@ def to_points(
     """Project ``df`` to the working point table.
 
     ``features`` is either a list of numeric column names, or the name of
-    one ARRAY column (then ``dims`` is its width; inferred from one row if
-    not given).  ``weight`` names an optional weight column.  ``keep``
+    one ARRAY column (then ``dims`` is its width; if not given, the one
+    width that all rows have).  Rows of another width are dropped, as lines
+    of another width are; ``wrong_width`` counts them.  ``weight`` names an optional weight column.  ``keep``
     lists extra columns (ids, chunk keys) carried along unchanged.
     """
     if isinstance(features, str):
@@ -66,6 +72,7 @@ def to_points(
     if isinstance(features, str):
         d = dims if dims is not None else _array_width(df, features)
         arr = F.col(features)
+        df = df.where(F.size(arr) == d)
         xs = [arr.getItem(j).cast("double").alias(xname(j)) for j in range(d)]
     else:
         features = list(features)
@@ -81,12 +88,21 @@ def to_points(
     return Points(df.select(*cols), d, weight is not None)
 
 
+def wrong_width(df: DataFrame, features: str, dims: int) -> int:
+    """Rows whose ARRAY column is not ``dims`` wide (null counts)."""
+    n = F.size(F.col(features))
+    return df.where(n.isNull() | (n != dims)).count()
+
+
+#: Tables of at least this many splits for each core are not dealt anew.
+SPREAD_SPLITS = 2
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a table over at least as many partitions as the cluster has
-    cores before it is cached for a loop.  Large inputs already have many
-    splits and are returned as they are; a small or single-row-group file
-    would otherwise run every pass in one task."""
+    """Spread a small table over the cluster's cores before it is cached
+    for a loop: a single-row-group file would otherwise run every pass in
+    one task.  Passes sum over all rows, so this changes no result."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
+    if estimated_tasks(df) < SPREAD_SPLITS * par:
         return df.repartition(par)
     return df

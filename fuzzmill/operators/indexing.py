@@ -35,10 +35,9 @@ def with_row_index(
     The result is read back from a written table sorted by ``__idx``."""
     spark = df.sparkSession
     cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    # At least one range per core: a single-split input is still sorted in
-    # parallel.
+    # One range per shuffle partition, and at least one per core.
     n_parts = partitions or max(
-        df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism, 1
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     )
     # Ties on the order key are broken by a hash of the whole row: equal
     # keys then spread over range partitions instead of piling into one

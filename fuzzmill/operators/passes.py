@@ -144,10 +144,17 @@ def reduce_long(partials: DataFrame, cells: int | None = None) -> DataFrame:
 DIRECT_MAX_ROWS = 200_000
 
 
-def collect_cells(partials: DataFrame, cells: int) -> np.ndarray:
+def splits(points: Points) -> int:
+    """Partitions of a point table, asked once for a loop over it."""
+    held = points.df.__dict__
+    if "_splits" not in held:
+        held["_splits"] = points.df.rdd.getNumPartitions()
+    return held["_splits"]
+
+
+def collect_cells(partials: DataFrame, cells: int, tasks: int) -> np.ndarray:
     """Total of long-format partial cells ``(cell, v)``.  The number of rows
     is checked before anything is collected: tasks x cells."""
-    tasks = partials.rdd.getNumPartitions()
     out = np.zeros(cells)
     if tasks * cells <= DIRECT_MAX_ROWS:
         rows = partials.collect()
@@ -228,7 +235,7 @@ def fuzzy_pass(points: Points, centers, m: float, engine: str = "auto") -> PassR
     if engine == "auto":
         engine = "expr" if centers.size <= EXPR_MAX_CELLS else "arrow"
     if engine == "arrow":
-        cells = collect_cells(partials_arrow(points, centers, m), C * D + C + 1)
+        cells = collect_cells(partials_arrow(points, centers, m), C * D + C + 1, splits(points))
         sums, wts, n = cells[: C * D].reshape(C, D), cells[C * D : C * D + C], int(cells[-1])
     else:
         row = sums_frame(points, centers, m, engine).collect()[0]

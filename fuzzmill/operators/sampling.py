@@ -13,13 +13,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import estimated_tasks, scratch_path
+
 
 def _key_str(id_cols: Sequence[str]) -> Column:
-    parts = [F.col(c).cast("string") for c in id_cols]
+    # A null part has a hash of its own, so a row without a key is as
+    # likely to be picked as any other.
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in id_cols]
     return parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
 
 
@@ -67,7 +70,7 @@ def coin_flip_sample(
     numeric = df.schema[first].dataType.typeName() in (
         "byte", "short", "integer", "long", "float", "double", "decimal"
     )
-    if not numeric or n * max(1, df.rdd.getNumPartitions()) <= TOPK_STREAM_MAX_ROWS:
+    if not numeric or n * estimated_tasks(df) <= TOPK_STREAM_MAX_ROWS:
         return plain
     total = kept.count()
     q = (n + 8.0 * n**0.5 + 64.0) / max(total, 1)
@@ -75,17 +78,25 @@ def coin_flip_sample(
     if q + err >= 0.5:
         return plain
     cutoff = kept.approxQuantile(first, [q + err], err)[0]
-    top = kept.where(F.col(first) <= F.lit(cutoff)).orderBy(*cols).limit(n)
-    top = top.persist(StorageLevel.MEMORY_AND_DISK)
-    if top.count() == n:
-        return top
-    top.unpersist()
-    return plain
+    # Null keys sort first, so they survive any cutoff.
+    below = F.col(first).isNull() | (F.col(first) <= F.lit(cutoff))
+    top = _written(kept.where(below).orderBy(*cols).limit(n))
+    return top if top.count() == n else plain
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """A bounded sample kept in the shared scratch folder."""
+    path = scratch_path(df.sparkSession, "sample")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sample_k(df: DataFrame, k: int, seed=0, id_col: str | Sequence[str] = "id") -> DataFrame:
+def sample_k(
+    df: DataFrame, k: int, seed=0, id_col: str | Sequence[str] = "id", tie: Sequence[str] = ()
+) -> DataFrame:
     """LM-3: k rows uniformly without replacement (fewer if the table is
-    smaller), keyed by a seeded hash of ``id_col``.
+    smaller), keyed by a seeded hash of ``id_col``; rows that share an id
+    are ordered by the ``tie`` columns.  A null id counts as a value.
 
     Normally one top-k.  When k x tasks is large, rows whose 32-bit hash
     prefix is below a threshold sized for ~k survivors (plus a margin) are
@@ -95,8 +106,9 @@ def sample_k(df: DataFrame, k: int, seed=0, id_col: str | Sequence[str] = "id")
     k = int(k)
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
     key = hash_key(ids, seed)
-    plain = df.orderBy(key, *ids).limit(k)
-    if k * max(1, df.rdd.getNumPartitions()) <= TOPK_STREAM_MAX_ROWS:
+    order = [key, *ids, *tie]
+    plain = df.orderBy(*order).limit(k)
+    if k * estimated_tasks(df) <= TOPK_STREAM_MAX_ROWS:
         return plain
     n = df.count()
     frac = (k + 8.0 * k**0.5 + 64.0) / max(n, 1)
@@ -104,12 +116,8 @@ def sample_k(df: DataFrame, k: int, seed=0, id_col: str | Sequence[str] = "id")
         return plain
     threshold = int(frac * 2**32)
     prefix = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
-    top = df.where(prefix < F.lit(threshold)).orderBy(key, *ids).limit(k)
-    top = top.persist(StorageLevel.MEMORY_AND_DISK)
-    if top.count() == k:
-        return top
-    top.unpersist()
-    return plain
+    top = _written(df.where(prefix < F.lit(threshold)).orderBy(*order).limit(k))
+    return top if top.count() == k else plain
 
 
 def sample_k_repeated(
@@ -128,6 +136,8 @@ def sample_k_repeated(
     return out
 
 
-def random_seeds(df: DataFrame, k: int, seed=0, id_col: str | Sequence[str] = "id") -> DataFrame:
+def random_seeds(
+    df: DataFrame, k: int, seed=0, id_col: str | Sequence[str] = "id", tie: Sequence[str] = ()
+) -> DataFrame:
     """LM-5: k random rows to start a clusterer from (LM-3 with k = C)."""
-    return sample_k(df, k, seed, id_col)
+    return sample_k(df, k, seed, id_col, tie)

@@ -32,11 +32,6 @@ from ..operators.passes import (
     new_centers,
 )
 
-# Inputs up to this many coordinates (rows x D) may be folded inside one
-# task (IT-3 local mode, ~64 MB of doubles); larger ones always take the
-# distributed chunk path.
-LOCAL_MAX_CELLS = 8_000_000
-
 
 @dataclass
 class FCMResult:
@@ -105,20 +100,21 @@ def resolve_init(
             if order_col is None:
                 raise ValueError("init='first' needs order_col")
             pts = complete_points(order_col)
-            pick = sampling.first_k(pts.df, k, order_col)
+            cols = [order_col] if isinstance(order_col, str) else list(order_col)
+            pick = sampling.first_k(pts.df, k, [*cols, *map(xname, range(pts.dims))])
         elif init == "random":
             if id_col is None:
                 raise ValueError("init='random' needs id_col")
             pts = complete_points(id_col)
-            pick = sampling.random_seeds(pts.df, k, seed, id_col)
+            pick = sampling.random_seeds(pts.df, k, seed, id_col, list(map(xname, range(pts.dims))))
         else:
             raise ValueError(f"unknown init {init!r}")
         V = _rows_to_matrix(pick.select(*pts.xs).collect(), pts.dims)
     else:
         V = np.asarray(init, dtype=float)
-    if V.ndim != 2 or V.shape[0] < k:
+    if V.ndim != 2 or V.shape[0] != k:
         raise ValueError(f"need {k} initial centres, got {V.shape[0] if V.ndim == 2 else 0}")
-    return V[:k]
+    return V
 
 
 # ---- IT-2 --------------------------------------------------------------------
@@ -186,10 +182,12 @@ def weighted_fcm(
     ``(features ARRAY<DOUBLE>, w DOUBLE)`` - used by merge and polish."""
     m = check_m(m)
     V0 = np.asarray(init, dtype=float)
+    if V0.shape[0] != k:
+        raise ValueError(f"need {k} initial centres, got {V0.shape[0]}")
     pts = to_points(centers_table.where(F.col("w") != 0), "features", V0.shape[1], "w")
     pts.df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return iterate(lambda V: fuzzy_pass(pts, V, m, engine), V0[:k], eps, max_iter)
+        return iterate(lambda V: fuzzy_pass(pts, V, m, engine), V0, eps, max_iter)
     finally:
         pts.df.unpersist()
 
@@ -219,8 +217,11 @@ def _fold_local(
     schema = _fold_schema(D)
 
     def run(table: pa.Table) -> pa.Table:
-        order = table.select(order_cols)
-        idx = pa.compute.sort_indices(order, sort_keys=[(c, "ascending") for c in order_cols])
+        # the order of the row index: nulls first, ties by the coordinates
+        keys = [*order_cols, *map(xname, range(D))]
+        idx = pa.compute.sort_indices(
+            table.select(keys), sort_keys=[(c, "ascending") for c in keys], null_placement="at_start"
+        )
         table = table.take(idx)
         X = np.column_stack(
             [table.column(xname(j)).to_numpy().astype(float) for j in range(D)]
@@ -272,10 +273,8 @@ def fcm_chunked(
     *,
     dims: int | None = None,
     round_weights: bool = False,
-    mode: str = "auto",
+    mode: str = "distributed",
     engine: str = "auto",
-    local_max_cells: int = LOCAL_MAX_CELLS,
-    max_rows: int | None = None,
 ) -> FCMResult:
     """IT-3: chunk-fold FCM.  Rows in ``order_col`` order are cut into
     chunks of ``rows_per_chunk``; FCM runs on each chunk from the current
@@ -283,11 +282,12 @@ def fcm_chunked(
     points {current, previous} (current first) starts from the current
     centres.  The fold is sequential over chunks.
 
-    ``mode='local'`` folds inside one task (only for a bounded input, such
-    as a sample); ``'distributed'`` runs each chunk's passes as Spark jobs
-    over a row-indexed table; ``'auto'`` picks local up to
-    ``local_max_cells`` coordinates (rows x D), from ``max_rows`` when the
-    caller knows a bound (a sample) or else from a count.
+    Rows that tie on the order are taken in the order of their coordinates;
+    null order keys come first.
+
+    ``mode='distributed'`` runs each chunk's passes as Spark jobs over a
+    row-indexed table; ``'local'`` folds inside one task and is for a
+    bounded input, such as a sample.  Both give the same answer.
     """
     m = check_m(m)
     rows_per_chunk = int(rows_per_chunk)
@@ -301,12 +301,6 @@ def fcm_chunked(
     else:
         V0 = resolve_init(df, features, k, init, order_col=order_cols, dims=dims)
         pts = drop_incomplete(to_points(df, features, V0.shape[1], keep=order_cols))
-    if mode == "auto":
-        if max_rows is not None and int(max_rows) * pts.dims <= local_max_cells:
-            mode = "local"
-        else:
-            n = pts.df.count()
-            mode = "local" if n * pts.dims <= local_max_cells else "distributed"
     if mode == "local":
         out = _fold_local(
             pts, order_cols, V0, k, rows_per_chunk, m, eps, max_iter, round_weights, F.lit(0)
@@ -327,7 +321,7 @@ def fcm_chunked(
 
 
 def _fold_distributed(pts, order_cols, V0, rows_per_chunk, m, eps, max_iter, round_weights, engine):
-    indexed = with_row_index(pts.df, order_cols)
+    indexed = with_row_index(pts.df, [*order_cols, *map(xname, range(pts.dims))])
     n = indexed.count()
     V = np.asarray(V0, dtype=float)
     prev = None
@@ -375,10 +369,18 @@ def seed_centers(
     eps: float = 1e-3,
     max_iter: int = 100,
     dims: int | None = None,
+    sample: str = "uniform",
 ) -> FCMResult:
-    """IT-8: seeds from a coin-flip sample (LM-1) of at most ``sample_rows``
-    rows; the first k sampled rows start FCM over the whole sample
-    ('whole') or the chunk fold with chunks of k rows ('chunked')."""
+    """IT-8: seeds from a sample of at most ``sample_rows`` rows; the first
+    k sampled rows start FCM over the whole sample ('whole') or the chunk
+    fold with chunks of k rows ('chunked').  Either runs inside one task:
+    the sample is bounded.
+
+    ``sample='uniform'`` draws from the whole table by a seeded hash of
+    ``id_col`` (or ``order_col``) and takes the rows in hash order (LM-3);
+    ``'prefix'`` walks the table in ``order_col`` order and keeps rows on a
+    coin flip (LM-1): it sees about the first 2 x ``sample_rows`` rows only.
+    """
     # The sample is bounded by sample_rows; keep it so the seeding steps
     # below do not recompute it from the table.
     need = []
@@ -387,17 +389,35 @@ def seed_centers(
     ) + ([] if id_col is None else [id_col] if isinstance(id_col, str) else list(id_col)):
         if c not in need:
             need.append(c)
-    sample = sampling.coin_flip_sample(df.select(*need), sample_rows, order_col, seed, id_col)
-    sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
+    if sample == "prefix":
+        rows = sampling.coin_flip_sample(df.select(*need), sample_rows, order_col, seed, id_col)
+        order = order_col
+    elif sample == "uniform":
+        # complete points only, as the passes see them
+        names = [features] if isinstance(features, str) else list(features)
+        known = df.select(*need)
+        for c in names:
+            known = known.where(F.col(c).isNotNull())
+        if isinstance(features, str) and dims is not None:
+            known = known.where(F.size(features) == dims)
+        key = order_col if id_col is None else id_col
+        rows = sampling.sample_k(known, sample_rows, seed, key, names)
+        rows = rows.withColumn("__h", sampling.hash_key(key, seed))
+        order = ["__h"]
+    else:
+        raise ValueError(f"unknown sample {sample!r}")
+    sample = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if strategy == "whole":
-            return fcm(
-                sample, features, k, m, eps, max_iter, "first", order_col=order_col, dims=dims
+            # one chunk: FCM over the whole sample, in the task that holds it
+            return fcm_chunked(
+                sample, features, k, sample_rows, order, m, eps, max_iter, "first",
+                dims=dims, mode="local",
             )
         if strategy == "chunked":
             return fcm_chunked(
-                sample, features, k, k, order_col, m, eps, max_iter, "first",
-                dims=dims, mode="auto", max_rows=sample_rows,
+                sample, features, k, k, order, m, eps, max_iter, "first",
+                dims=dims, mode="local",
             )
         raise ValueError(f"unknown strategy {strategy!r}")
     finally:

@@ -3,8 +3,8 @@
     points text --SRC-1--> two-level FCM (IT-7) --SNK-2--> <output>/merged
                                                 --SNK-3--> <output>/final
 
-Line position (``monotonically_increasing_id``, i.e. file order within the
-read) is the sample order and the coin key.
+The seeding sample is keyed on the points themselves, so it does not
+depend on how files are packed into splits.
 """
 
 from __future__ import annotations
@@ -29,13 +29,16 @@ def run_job(
     max_iter: int = 100,
     *,
     seed=0,
+    seeds=None,
     block_rows: int | None = BLOCK_ROWS,
+    blocks: int | None = None,
+    round_weights: bool = True,
     strict: bool = True,
 ) -> TwoLevelResult:
     points = read_points(spark, input_path, dims, sep, strict)
     res = two_level_fcm(
-        points, "features", k, m, eps, max_iter, order_col="id", id_col="id",
-        sample_rows=sample_rows, seed=seed, block_rows=block_rows, dims=dims,
+        points, "features", k, m, eps, max_iter, order_col="features", seeds=seeds, blocks=blocks,
+        round_weights=round_weights, sample_rows=sample_rows, seed=seed, block_rows=block_rows, dims=dims,
     )
     write_centers(
         centers_df(spark, res.merged_centers, res.merged_weights),

@@ -26,29 +26,10 @@ from pyspark.sql import types as T
 from ..functions import kernels
 from ..functions.fcm_math import sq_distance_sql
 from ..operators.features import Points, spread, to_points, xname
-from ..operators.passes import EXPR_MAX_CELLS, LONG_SCHEMA, collect_cells, long_partials
+from ..operators.passes import EXPR_MAX_CELLS, LONG_SCHEMA, collect_cells, long_partials, splits
 from .fcm import FCMResult, drop_incomplete, fcm, resolve_init
 
 
-def _sq_dists(xs: list[Column], V: np.ndarray) -> list[Column]:
-    out = []
-    for row in V:
-        acc = None
-        for x, v in zip(xs, row):
-            d = x - F.lit(float(v))
-            acc = d * d if acc is None else acc + d * d
-        out.append(acc)
-    return out
-
-
-def nearest(xs: list[Column], V: np.ndarray) -> tuple[Column, Column]:
-    """(index of the nearest centre, squared distance to it); ties go to
-    the lowest index.  Expects the distances to be materialised first when
-    the expressions are large (see ``with_distances``)."""
-    ds = _sq_dists(xs, V)
-    return _pick(ds)
-
-
 def _pick(ds: list[Column]) -> tuple[Column, Column]:
     best = F.least(*ds) if len(ds) > 1 else ds[0]
     idx = None
@@ -88,7 +69,7 @@ def kmeans_pass(pts: Points, V: np.ndarray, engine: str = "auto"):
                 counts += c
             yield long_partials(np.concatenate([sums.ravel(), counts]))
 
-        cells = collect_cells(pts.df.select(*pts.xs).mapInArrow(run, LONG_SCHEMA), C * D + C)
+        cells = collect_cells(pts.df.select(*pts.xs).mapInArrow(run, LONG_SCHEMA), C * D + C, splits(pts))
         return cells[: C * D].reshape(C, D), cells[C * D :]
     # One global aggregate of C x (D + 1) conditional sums: partial
     # aggregation in every task, one small row per task to a single reducer.
@@ -117,17 +98,22 @@ def kmeans(
     order_col=None,
     seed=0,
     dims: int | None = None,
+    cache: bool = True,
 ) -> FCMResult:
     """IT-9: hard k-means from given (or LM-5 random) seeds.  ``weights``
-    of the result are the cluster sizes of the last pass."""
+    of the result are the cluster sizes of the last pass.  ``cache=False``
+    re-reads the pruned table every pass instead of keeping it."""
     V = resolve_init(df, features, k, init, order_col=order_col, id_col=id_col, seed=seed, dims=dims)
     pts = drop_incomplete(to_points(df, features, V.shape[1]))
-    pts = Points(spread(pts.df), pts.dims, False)
-    pts.df.persist(StorageLevel.MEMORY_AND_DISK)
+    if cache:
+        pts = Points(spread(pts.df), pts.dims, False)
+        pts.df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         passes = 0
         while True:
             sums, counts = kmeans_pass(pts, V)
+            if np.isnan(sums).any() or np.isinf(sums).any():
+                raise ValueError("a pass produced NaN: the points contain NaN or infinite values")
             new = V.copy()
             ok = counts > 0
             new[ok] = sums[ok] / counts[ok, None]
@@ -137,7 +123,8 @@ def kmeans(
             if moved <= eps or passes >= max_iter:
                 return FCMResult(V, counts, passes, moved, int(counts.sum()))
     finally:
-        pts.df.unpersist()
+        if cache:
+            pts.df.unpersist()
 
 
 def assign(
@@ -180,11 +167,11 @@ def assign(
 
 def fuzzy_kmeans(
     df: DataFrame, features, k: int, eps: float = 1e-3, max_iter: int = 20, *,
-    id_col, seed=0, dims=None,
+    id_col, seed=0, dims=None, cache: bool = True,
 ) -> FCMResult:
     """IT-11: fuzzy k-means baseline = FCM with m = 2 from LM-5 seeds, every
     pass over the whole table; points are not assigned."""
-    return fcm(df, features, k, 2.0, eps, max_iter, "random", id_col=id_col, seed=seed, dims=dims)
+    return fcm(df, features, k, 2.0, eps, max_iter, "random", id_col=id_col, seed=seed, dims=dims, cache=cache)
 
 
 def describe_clusters(centers: DataFrame) -> DataFrame:

@@ -67,10 +67,15 @@ def sweep(
     algos: Sequence[str] = ALGOS,
     seed=0,
     dims: int | None = None,
+    seed_rows: int | None = None,
+    path: str | None = None,
 ) -> DataFrame:
     """IT-13: returns the result table (times vary between runs).  ``ks``
     and ``epsilons`` are lists or one-column grid tables (SRC-4,
-    ``read_grid``); a grid is a handful of values."""
+    ``read_grid``); a grid is a handful of values.  ``seed_rows`` bounds the
+    rows that seed the two-level form (default: the whole sample).  With
+    ``path`` each row is appended there as its run ends (SNK-5), so a run
+    that fails loses no other; the result is read back from it."""
     spark = df.sparkSession
     ks = _grid(ks, int)
     epsilons = _grid(epsilons, float)
@@ -86,13 +91,15 @@ def sweep(
         elif algo == "two_level_fcm":
             r = two_level_fcm(
                 sample_df, features, kk, m, ee, max_iter, order_col=id_col,
-                sample_rows=max(kk, sample_rows // 10), seed=rseed, dims=dims,
+                sample_rows=max(kk, seed_rows or sample_rows), seed=rseed, dims=dims,
             )
         else:
             raise ValueError(f"unknown algo {algo!r}")
         ms = int((time.perf_counter() - t0) * 1000)
         shift = None if r.shift != r.shift else float(r.shift)
         rows.append((algo, varied, s, u, int(kk), float(ee), int(r.passes), shift, ms))
+        if path:
+            write_sweep(spark.createDataFrame(rows[-1:], sweep_schema()).coalesce(1), path)
 
     for s in range(samples):
         sample_df = sampling.sample_k(df, sample_rows, f"{seed}.{s}", id_col)
@@ -108,4 +115,6 @@ def sweep(
                         run(a, sample_df, s, u, k, ee, "epsilon")
         finally:
             sample_df.unpersist()
+    if path:
+        return spark.read.schema(sweep_schema()).parquet(path)
     return spark.createDataFrame(rows, sweep_schema())

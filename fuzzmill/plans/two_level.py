@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
-from ..operators.features import spread, to_points, xname
+from ..operators.features import Points, to_points, xname
 from ..operators.passes import check_m
-from .fcm import FCMResult, drop_incomplete, seed_centers, weighted_fcm
+from ..session import scratch_path
+from .fcm import FCMResult, drop_incomplete, resolve_init, seed_centers, weighted_fcm
 
 # A hot-key table (one row per key with more than block_rows rows) is
 # broadcast only up to this many rows; beyond it the join shuffles.
@@ -50,6 +51,9 @@ BLOCK_ROWS = None
 MERGE_LOCAL_MAX_CELLS = 4_000_000
 
 
+NO_WEIGHT = "all partial weights are zero: nothing to merge (round_weights=False keeps small ones)"
+
+
 def partial_schema() -> T.StructType:
     return T.StructType(
         [
@@ -108,19 +112,33 @@ def partial_fcm(
     *,
     block_col: str | None = None,
     block_rows: int | None = BLOCK_ROWS,
+    blocks: int | None = None,
     round_weights: bool = True,
     dims: int | None = None,
 ) -> DataFrame:
     """IT-4: C weighted centres per block, each block clustered to
     convergence from ``seeds`` (C x D).  Returns the lazy partial table
     ``(block, sub, c, features, w, n, passes)``; weights are rounded
-    half-up when ``round_weights``."""
+    half-up when ``round_weights``.
+
+    Blocks are runs of rows of one input split (no shuffle; their make-up,
+    and with it the answer, follows the input's layout), the rows of one
+    ``block_col`` key, or ``blocks`` hash blocks of the coordinates (one
+    shuffle; the same blocks whatever the layout).  A key or hash block of
+    more than ``block_rows`` rows is split.  ``block`` is the key itself if
+    it is integral, else its xxhash64."""
     m = check_m(m)
     V0 = np.asarray(seeds, dtype=float)
     D = V0.shape[1]
     block_rows = default_block_rows(D) if block_rows is None else int(block_rows)
+    if block_col and blocks:
+        raise ValueError("give block_col or blocks, not both")
     keep = [block_col] if block_col else []
     pts = drop_incomplete(to_points(df, features, dims or D, keep=keep))
+    if blocks:
+        block_col = "__hb0"
+        dealt = F.pmod(F.xxhash64(*pts.xs), F.lit(int(blocks))).alias(block_col)
+        pts = Points(pts.df.select(dealt, *pts.xs), pts.dims, False)
 
     def solve(X, block, sub=0):
         V, W, passes, _ = kernels.local_fcm(X, None, V0, m, eps, max_iter)
@@ -158,7 +176,7 @@ def partial_fcm(
             if size:
                 yield flush()
 
-        return spread(pts.df.select(*pts.xs)).mapInArrow(run, partial_schema())
+        return pts.df.select(*pts.xs).mapInArrow(run, partial_schema())
 
     # Keyed blocks: split hot keys, then one group per (key, sub-block).
     # Integral keys are the block id; other key types are hashed to one.
@@ -171,8 +189,14 @@ def partial_fcm(
         F.col("__b").alias("__hb"),
         F.ceil(F.col("__cnt") / F.lit(block_rows)).cast("long").alias("__nsub"),
     )
+    path = scratch_path(df.sparkSession, "hot-keys")  # counted once, read by the join
+    hot.write.parquet(path)
+    hot = df.sparkSession.read.schema(hot.schema).parquet(path)
     n_hot = hot.count()
-    grouped = pts.df.withColumn("__b", key)
+    # The salt is fixed at the scan, before any shuffle, so a retried task
+    # deals its rows the same way.
+    salt = F.xxhash64(F.monotonically_increasing_id(), *pts.xs)
+    grouped = pts.df.withColumns({"__b": key, "__salt": salt})
     if n_hot:
         side = F.broadcast(hot) if n_hot <= BROADCAST_MAX_ROWS else hot
         # Null-safe: a null key is one block like any other and is split too.
@@ -182,7 +206,7 @@ def partial_fcm(
             "__sub",
             F.when(
                 F.col("__nsub").isNull(), F.lit(0).cast("long")
-            ).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__nsub"))),
+            ).otherwise(F.pmod(F.col("__salt"), F.col("__nsub"))),
         )
     else:
         grouped = grouped.withColumn("__sub", F.lit(0).cast("long"))
@@ -238,6 +262,8 @@ def _merge_local(partials: DataFrame, V0, m, eps, max_iter) -> FCMResult:
         .applyInArrow(run, out_schema)
         .collect()
     )
+    if not rows:
+        raise ValueError(NO_WEIGHT)
     rows = sorted(rows, key=lambda r: r["c"])
     V = np.array([r["features"] for r in rows], dtype=float)
     W = np.array([r["w"] for r in rows], dtype=float)
@@ -262,6 +288,8 @@ def merge_fcm(
         mode = "local" if n * V0.shape[1] <= MERGE_LOCAL_MAX_CELLS else "distributed"
     if mode == "local":
         return _merge_local(partials, V0, m, eps, max_iter)
+    if partials.where(F.col("w") != 0).isEmpty():
+        raise ValueError(NO_WEIGHT)
     return weighted_fcm(partials.select("features", "w"), V0.shape[0], m, eps, max_iter, V0)
 
 
@@ -284,6 +312,11 @@ class TwoLevelResult(FCMResult):
     seeds: np.ndarray | None = None
     blocks: int = 0
     input_weight: float = 0.0
+    partial_passes: int = 0  # of the block that took the most
+    merge_passes: int = 0
+    polish_passes: int = 0
+    lost_points: int = 0  # points of blocks whose weights all rounded to 0
+    equal_centers: int = 0  # final centres that lie on an earlier one
     stage_sec: dict = field(default_factory=dict)
     merged_centers: np.ndarray | None = None
     merged_weights: np.ndarray | None = None
@@ -297,38 +330,55 @@ def two_level_fcm(
     eps: float = 1e-3,
     max_iter: int = 100,
     *,
-    order_col,
+    order_col=None,
     sample_rows: int = 10_000,
     seed=0,
     id_col=None,
-    seeding: str = "chunked",
+    seeding: str = "whole",
+    sample: str = "uniform",
+    seeds=None,
     block_col: str | None = None,
     block_rows: int | None = BLOCK_ROWS,
+    blocks: int | None = None,
+    round_weights: bool = True,
     dims: int | None = None,
 ) -> TwoLevelResult:
     """IT-7: sample + seed (IT-8), partial per block (IT-4), merge (IT-5),
-    polish (IT-6).  The point table is scanned twice in all: once by the
-    coin-flip sample (a top-k, bounded output) and once by the partial
-    stage; every later stage works on C rows per block."""
+    polish (IT-6).  Unkeyed, the point table is scanned twice in all: once
+    by the sample (a top-k, bounded output) and once by the partial stage;
+    keyed or hashed blocks add a count per key.  Every later stage works on
+    C rows per block.
+
+    ``seeds`` (a C x D matrix or a centre table, as ``read_centers`` gives)
+    replaces the sample and seeding.  ``seeding='chunked'`` folds the
+    sample in chunks of k rows and may end in equal centres; the default
+    'whole' runs FCM over the sample."""
     spark = df.sparkSession
     t = {}
     t0 = time.perf_counter()
-    seeds = seed_centers(
-        df, features, k, seeding, sample_rows=sample_rows, order_col=order_col, seed=seed,
-        id_col=id_col, m=m, eps=eps, max_iter=max_iter, dims=dims,
-    ).centers
+    if seeds is not None:
+        seeds = resolve_init(df, features, k, seeds, dims=dims)
+    else:
+        if order_col is None:
+            raise ValueError("give order_col (or seeds)")
+        seeds = seed_centers(
+            df, features, k, seeding, sample_rows=sample_rows, order_col=order_col, seed=seed,
+            id_col=id_col, m=m, eps=eps, max_iter=max_iter, dims=dims, sample=sample,
+        ).centers
     t["seed"] = time.perf_counter() - t0
     t0 = time.perf_counter()
     partials = partial_fcm(
         df, features, seeds, m, eps, max_iter, block_col=block_col,
-        block_rows=block_rows, round_weights=True, dims=dims,
+        block_rows=block_rows, blocks=blocks, round_weights=round_weights, dims=dims,
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # Blocks and points clustered, in one aggregate over the summaries.
+        each = partials.groupBy("block", "sub", "n").agg(F.max("w").alias("w"))
         stats = partials.where(F.col("c") == 0).agg(
-            F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("points")
+            F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("points"), F.max("passes").alias("passes")
         ).collect()[0]
-        blocks, points = int(stats["blocks"]), int(stats["points"] or 0)
+        n_blocks, points = int(stats["blocks"]), int(stats["points"] or 0)
+        lost = each.where(F.col("w") == 0).agg(F.sum("n")).first()[0] if round_weights else 0
         t["partial"] = time.perf_counter() - t0
         t0 = time.perf_counter()
         merged = merge_fcm(partials, seeds, m, eps, max_iter)
@@ -339,8 +389,12 @@ def two_level_fcm(
     final = polish(spark, merged.centers, merged.weights, m, eps, max_iter)
     t["polish"] = time.perf_counter() - t0
     return TwoLevelResult(
-        final.centers, final.weights, final.passes, final.shift, points,
-        seeds=seeds, blocks=blocks, input_weight=float(np.sum(merged.weights)),
+        final.centers, final.weights,
+        int(stats["passes"] or 0) + merged.passes + final.passes, final.shift, points,
+        partial_passes=int(stats["passes"] or 0), merge_passes=merged.passes, polish_passes=final.passes,
+        lost_points=int(lost or 0),
+        equal_centers=len(final.centers) - len(np.unique(final.centers.round(9), axis=0)),
+        seeds=seeds, blocks=n_blocks, input_weight=float(np.sum(merged.weights)),
         stage_sec={k_: round(v, 3) for k_, v in t.items()},
         merged_centers=merged.centers, merged_weights=merged.weights,
     )

@@ -14,7 +14,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -53,6 +53,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def estimated_tasks(df: DataFrame) -> int:
+    """Tasks that a scan of ``df`` takes, from the optimizer's size
+    estimate: no job is run (asking an adaptive plan for its partitions
+    runs its shuffles).  A source without a known size counts as large."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return max(spark.sparkContext.defaultParallelism, size // max(1, int(split)))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the checkpoint folder for one job's scratch table."""
     return os.path.join(checkpoint_dir(spark), f"fuzzmill-{name}-{uuid.uuid4().hex[:12]}")

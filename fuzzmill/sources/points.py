@@ -38,19 +38,40 @@ def _strict(arr):
     )
 
 
+def _number(token):
+    return F.coalesce(token.try_cast("double"), F.raise_error(F.lit("a token is not a number")).cast("double"))
+
+
 def parse_lines(
     lines: DataFrame, sep: str = DEFAULT_SEP, dims: int | Sequence[int] = 0, strict=True,
     line_col: str = "value",
 ) -> DataFrame:
-    """Lines -> ``tokens`` filtered to the given width(s) -> ``features``."""
-    tok = lines.withColumn("__tok", tokenise(line_col, sep))
-    tok = filter_width(tok, "__tok", dims)
-    parsed = parse_doubles("__tok", strict=False)
+    """Lines of the given width(s) with their ``features``.  A line is
+    split and parsed once: it generates no row or one, and later filters
+    on the coordinates see the parsed array."""
+    widths = [dims] if isinstance(dims, int) else list(dims)
+    good = F.filter(F.array(tokenise(line_col, sep)), lambda t: F.size(t).isin(*widths))
     if strict:
-        tok = tok.withColumn("features", _strict(parsed))
+        parsed = F.transform(good, lambda t: F.transform(t, _number))
     else:
-        tok = tok.withColumn("features", parsed).where(complete("features"))
-    return tok.drop("__tok")
+        parsed = F.filter(F.transform(good, lambda t: F.transform(t, lambda x: x.try_cast("double"))), complete)
+    return lines.withColumn("features", F.explode(parsed))
+
+
+def count_lines(lines: DataFrame, sep: str = DEFAULT_SEP, dims: int | Sequence[int] = 0, line_col: str = "value") -> dict:
+    """What a lenient read of ``lines`` keeps and drops: ``points``,
+    ``wrong_width`` and ``not_numbers``."""
+    widths = [dims] if isinstance(dims, int) else list(dims)
+    wide = F.element_at(
+        F.transform(
+            F.array(tokenise(line_col, sep)),
+            lambda t: F.when(~F.size(t).isin(*widths), "wrong_width")
+            .when(F.exists(t, lambda x: x.try_cast("double").isNull()), "not_numbers")
+            .otherwise("points"),
+        ), 1,
+    )
+    got = {r["kind"]: r["count"] for r in lines.select(wide.alias("kind")).groupBy("kind").count().collect()}
+    return {k: got.get(k, 0) for k in ("points", "wrong_width", "not_numbers")}
 
 
 def read_points(
@@ -67,14 +88,26 @@ def read_points(
 def _numbered(lines: DataFrame) -> DataFrame:
     """Lines plus ``c`` = 0-based line number in file order, from the
     distributed row index (no single-task window, whatever the size)."""
-    tagged = lines.withColumn("__pos", F.monotonically_increasing_id())
-    return with_row_index(tagged, "__pos").withColumn("c", F.col(IDX).cast("int"))
+    return with_row_index(lines, POSITION).drop(*POSITION).withColumn("c", F.col(IDX).cast("int"))
+
+
+#: Where a line stands: file, block of the file, place in the read of it.
+POSITION = ["__file", "__start", "__pos"]
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """Lines of a text read with their POSITION, whatever the order in
+    which files are packed into splits."""
+    return lines.select(
+        "value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"),
+        F.monotonically_increasing_id().alias("__pos"),
+    )
 
 
 def read_centers(spark: SparkSession, path: str, sep: str = DEFAULT_SEP) -> DataFrame:
     """SRC-2: centres, one per line, coordinates separated by ``sep``; ``c``
     is the line number."""
-    lines = _numbered(spark.read.text(path).where(F.length(F.trim("value")) > 0))
+    lines = _numbered(_placed(spark.read.text(path)).where(F.length(F.trim("value")) > 0))
     feats = _strict(parse_doubles(tokenise("value", sep), strict=False))
     return lines.select(
         "c", feats.alias("features"), F.lit(None).cast("double").alias("w")
@@ -85,7 +118,7 @@ def read_weighted_centers(spark: SparkSession, path: str, dims: int) -> DataFram
     """SRC-3: weighted centres; a line is split on whitespace and kept when
     it has D+1 tokens (``v.. W``) or D+2 tokens (``key v.. W``); ``c`` is
     the number of the kept line."""
-    tok = spark.read.text(path).withColumn("__tok", F.split("value", WS, -1))
+    tok = _placed(spark.read.text(path)).withColumn("__tok", tokenise("value", WS))
     tok = _numbered(filter_width(tok, "__tok", [dims + 1, dims + 2]))
     coords, weight = split_weighted("__tok", dims)
     return tok.select(

@@ -95,7 +95,7 @@ def test_sampling(spark):
     rep = sampling.sample_k_repeated(o, 20, 3, 1, "o_orderkey")
     assert rep.count() == 60
     sets = [set(r.o_orderkey for r in rep.where(F.col("rep") == i).collect()) for i in range(3)]
-    assert sets[0] != sets[1] != sets[2]
+    assert sets[0] != sets[1] and sets[1] != sets[2] and sets[0] != sets[2]
     cf = sampling.coin_flip_sample(o, 30, "o_orderkey", 4).collect()
     keys = [r["o_orderkey"] for r in cf]
     assert keys == sorted(keys) and len(keys) == 30
