@@ -47,15 +47,28 @@ def _state(spark: SparkSession, state_path: str) -> DataFrame | None:
         return None
 
 
+def _batch_state(spark: SparkSession, state_path: str, batch_id: int) -> DataFrame | None:
+    """The rows of one batch, read by the path of its partition: the cost
+    does not grow with the stream.  None where the batch has none."""
+    schema = T.StructType([f for f in _state_schema() if f.name != "batch"])
+    try:
+        return spark.read.schema(schema).parquet(f"{state_path}/batch={int(batch_id)}")
+    except AnalysisException:
+        return None
+
+
 def _is_done(spark: SparkSession, state_path: str, batch_id: int) -> bool:
-    st = _state(spark, state_path)
-    return st is not None and st.where(F.col("batch") == batch_id).limit(1).count() > 0
+    return _batch_state(spark, state_path, batch_id) is not None
 
 
 def _previous(spark: SparkSession, state_path: str, batch_id: int | None = None):
     """The latest folded batch id (below ``batch_id`` when given), by one
     aggregate - nothing that grows with the stream is collected."""
-    st = _state(spark, state_path)
+    if batch_id is not None and batch_id > 0 and _is_done(spark, state_path, batch_id - 1):
+        return batch_id - 1
+    if batch_id == 0:
+        return None
+    st = _state(spark, state_path)  # the batch before was empty: look further
     if st is None:
         return None
     if batch_id is not None:
@@ -69,7 +82,10 @@ def read_state(spark: SparkSession, state_path: str, batch_id: int | None = None
     b = _previous(spark, state_path) if batch_id is None else batch_id
     if b is None:
         raise ValueError("no state written yet")
-    return _state(spark, state_path).where(F.col("batch") == b)
+    st = _batch_state(spark, state_path, b)
+    if st is None:
+        raise ValueError(f"batch {b} has no state")
+    return st.withColumn("batch", F.lit(int(b)).cast("long"))
 
 
 def fold_batch(
@@ -91,11 +107,19 @@ def fold_batch(
     spark = batch.sparkSession
     if _is_done(spark, state_path, batch_id):
         return
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # read once
+    try:
+        _fold(batch, batch_id, features, k, m, eps, max_iter, order_col, state_path, init, dims, engine)
+    finally:
+        batch.unpersist()
+
+
+def _fold(batch, batch_id, features, k, m, eps, max_iter, order_col, state_path, init, dims, engine):
+    spark = batch.sparkSession
     prev_id = _previous(spark, state_path, batch_id)
-    n = batch.count()
+    n, first_key = batch.agg(F.count(F.lit(1)), F.min(order_col).cast("string")).first()
     if n == 0:
         return
-    first_key = batch.agg(F.min(order_col).cast("string")).first()[0]
     if prev_id is not None:
         st = read_state(spark, state_path, prev_id).orderBy("c").collect()
         V = np.array([r["features"] for r in st], dtype=float)
