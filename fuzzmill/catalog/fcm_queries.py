@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import oracle_sql as osql
 from ..functions.fcm_math import (
     abs_shift,
+    chunk_of,
     guarded_distance,
     guarded_distance_arrays,
     guarded_sq,
@@ -20,11 +21,13 @@ from ..functions.fcm_math import (
     round_weight,
 )
 from ..operators.features import to_points
+from ..operators.indexing import IDX, with_row_index
 from ..operators.passes import (
     centers_df,
     fuzzy_pass,
     max_shift_df,
     new_centers_df,
+    point_center_pairs,
     stack,
     sums_frame,
     total_weight,
@@ -194,13 +197,9 @@ def _o_jn1():
 
 @query("jn1_point_center_pairs_customer", _o_jn1)
 def jn1_point_center_pairs_customer(spark, sf_dir):
-    """JN-1: every point with every centre.  The C centres are literals in
-    the projection, so the pairs come from a C-wide generator on each row -
-    no join, no broadcast, no shuffle."""
-    V = _seeds(spark, sf_dir)
-    ds = [guarded_distance(_cust_xy(), V[i]) for i in range(3)]
-    t = _cust(spark, sf_dir).select("c_custkey", F.posexplode(F.array(*ds)).alias("c", "d"))
-    return t.select("c_custkey", F.col("c").cast("int").alias("c"), F.round("d", 4).alias("d"))
+    pts = to_points(_cust(spark, sf_dir), CUST_X, keep=["c_custkey"])
+    t = point_center_pairs(pts, _seeds(spark, sf_dir), ["c_custkey"])
+    return t.select("c_custkey", "c", F.round("d", 4).alias("d"))
 
 
 # ---- one pass and its pieces (AG-1..6, SET-1) ---------------------------------------
@@ -495,6 +494,15 @@ def it3_fcm_chunked_lineitem(spark, sf_dir):
     return matrix_out(spark, res.centers, res.weights)
 
 
+@query(
+    "fn8_chunk_of_customer",
+    lambda: "SELECT CAST(floor((row_number() OVER (ORDER BY c_custkey) - 1) / 64) AS BIGINT) AS chunk, c_custkey FROM customer",
+)
+def fn8_chunk_of_customer(spark, sf_dir):
+    indexed = with_row_index(_cust(spark, sf_dir).select("c_custkey"), "c_custkey")
+    return indexed.select(chunk_of(IDX, 64).alias("chunk"), "c_custkey")
+
+
 # ---- IT-4 .. IT-6: partial per block, merge, polish ---------------------------------------
 
 BLOCK = "c_nationkey"

@@ -10,9 +10,11 @@ from .. import oracle_sql as osql
 from ..functions.text import format_centers, parse_doubles, complete, split_weighted, tokenise
 from ..operators import sampling
 from ..operators.passes import centers_df
-from ..plans.fcm import fcm, resolve_init
+from ..operators.features import to_points
+from ..plans.fcm import drop_incomplete, fcm, resolve_init
 from ..session import scratch_path
 from ..sources.points import (
+    parse_lines,
     points_from_columns,
     read_centers,
     read_points,
@@ -31,6 +33,8 @@ from .common import (
     table,
 )
 
+SAMPLE_SEED = 5
+
 
 def _s(c):
     return F.col(c).cast("string")
@@ -121,6 +125,44 @@ def flt4_filter_width_weighted_lineitem(spark, sf_dir):
     return filter_width(t, "tok", [3, 4]).select("line", F.size("tok").alias("n_tokens"))
 
 
+@query(
+    "flt2_sample_width_lineitem",
+    lambda: (
+        "SELECT l_orderkey, l_linenumber, CAST(l_partkey AS DOUBLE) AS x0, CAST(l_suppkey AS DOUBLE) AS x1 FROM lineitem "
+        "WHERE l_linenumber <> 3 "
+        f"ORDER BY md5(concat(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)), '-', '{SAMPLE_SEED}')), "
+        "l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 300"
+    ),
+)
+def flt2_sample_width_lineitem(spark, sf_dir):
+    """Seeding draws from lines of the right width only; line 3 of an order
+    has one number too few."""
+    li = table(spark, sf_dir, "lineitem")
+    line = F.concat_ws(",", _s("l_partkey"), F.when(F.col("l_linenumber") != 3, _s("l_suppkey")))
+    pts = parse_lines(li.select("l_orderkey", "l_linenumber", line.alias("value")), ",", 2)
+    pts = pts.select("l_orderkey", "l_linenumber", F.col("features")[0].alias("x0"), F.col("features")[1].alias("x1"))
+    return sampling.sample_k(pts, 300, SAMPLE_SEED, ["l_orderkey", "l_linenumber"], ["x0", "x1"])
+
+
+@query(
+    "flt3_drop_incomplete_orders",
+    lambda: (
+        "SELECT o_orderkey, round(o_totalprice, 4) AS x0, CAST(o_custkey AS DOUBLE) AS x1 FROM orders "
+        "WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0"
+    ),
+)
+def flt3_drop_incomplete_orders(spark, sf_dir):
+    """Every third price and every fifth customer is missing."""
+    o = table(spark, sf_dir, "orders").withColumns(
+        {
+            "o_totalprice": F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")),
+            "o_custkey": F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")),
+        }
+    )
+    pts = drop_incomplete(to_points(o, ["o_totalprice", "o_custkey"], keep=["o_orderkey"]))
+    return pts.df.select("o_orderkey", F.round("__x0", 4).alias("x0"), F.col("__x1").alias("x1"))
+
+
 # ---- PRJ-2: parse, lenient ------------------------------------------------------
 
 

@@ -19,6 +19,7 @@ each pass, so lineage never grows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 from ..functions import kernels
 from ..functions.kernels import RATIO_BELOW_M
 from ..functions.fcm_math import (
+    guarded_distance,
     guarded_distance_sql,
     inverse_sum_sql,
     membership_m_sql,
@@ -144,6 +146,16 @@ def reduce_long(partials: DataFrame, cells: int | None = None) -> DataFrame:
 DIRECT_MAX_ROWS = 200_000
 
 
+def point_center_pairs(points: Points, centers, keep: Sequence[str] = ()) -> DataFrame:
+    """JN-1: every point with every centre: the ``keep`` columns, ``c`` and
+    the guarded distance ``d``.  The C centres are literals in the plan, so
+    the pairs come from a C-wide generator on each row: no join, no
+    broadcast, no shuffle."""
+    ds = [guarded_distance(points.xs, [float(v) for v in row]) for row in np.asarray(centers, dtype=float)]
+    pairs = points.df.select(*keep, F.posexplode(F.array(*ds)).alias("c", "d"))
+    return pairs.withColumn("c", F.col("c").cast("int"))
+
+
 def splits(points: Points) -> int:
     """Partitions of a point table, asked once for a loop over it."""
     held = points.df.__dict__
