@@ -118,11 +118,15 @@ class LanguageModel:
 
 def train(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Fit on the rows of ``df`` that have a language and a text with a
-    letter (at most ``sample_rows`` of them, by a hash of the id)."""
-    ids = sample_by_hash(df.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id")), "_id", sample_rows)
+    letter: at most ``sample_rows`` ids, by a hash of the id, one row each
+    (of several texts the largest)."""
+    known = df.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
+    ids = sample_by_hash(known, "_id", sample_rows)
     top = ids.agg(F.max(F.xxhash64(F.lit(7), "_id")).alias("h")).first()["h"]
     rows = df.where(F.col(lang_col).isNotNull() & (F.xxhash64(F.lit(7), id_col) <= F.lit(top))) if top is not None else df.limit(0)
-    rows = stored(rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")), "langid-sample")
+    text = F.struct(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.groupBy(F.col(id_col).alias("_id")).agg(F.max(text).alias("_row")).select("_row.*")
+    rows = stored(rows, "langid-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

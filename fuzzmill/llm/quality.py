@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import Shipped, fold, sample_by_hash, sliced, table, worker_store
+from .util import Shipped, fold, fresh, sample_by_hash, sliced, table, worker_store
 
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, RIDGE, MIN_WEIGHT = 80, 4, 0.15, 64, 1.0, 2.0
@@ -158,10 +158,14 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) ->
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", rows: int = SAMPLE_ROWS, mod: int = 5) -> DataFrame:
     """Documents that may be learned from (crc32(id) mod ``mod`` is not 0),
-    with their label as ``y``: at most ``rows`` ids, by a hash of the id."""
+    with their label as ``y``: at most ``rows`` ids, by a hash of the id, one
+    row each (of several texts the largest)."""
     known = labels.where(F.col(label_col).isin(0, 1) & (fold(F.col(id_col), mod) != 0))
     known = known.groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    return docs.join(F.broadcast(sample_by_hash(known, id_col, rows)), id_col)
+    (y,) = fresh(docs, "y")
+    picked = docs.join(F.broadcast(sample_by_hash(known.withColumnRenamed("y", y), id_col, rows)), id_col)
+    rest = [c for c in docs.columns if c != id_col]
+    return picked.groupBy(id_col).agg(F.max(y).alias("y"), F.max(F.struct(*rest)).alias("_row")).select(id_col, "y", "_row.*")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Forest:
@@ -174,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     kind = docs.schema[id_col].dataType.simpleString()
     got = rows.select(id_col, text_col, "y").mapInArrow(run, f"id {kind}, y INT, x ARRAY<DOUBLE>")
-    got = got.groupBy("id").agg(F.max("y").alias("y"), F.max("x").alias("x")).select("id", "y", "x").toArrow().sort_by("id")
+    got = got.toArrow().sort_by("id")
     x = np.array(got["x"].to_pylist(), float).reshape(-1, N_STATISTICS)
     return fit(x, np.array(got["y"].to_pylist(), float))
 

@@ -89,17 +89,19 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 
 def at_limits(sums: DataFrame, limits: Sequence[int]) -> DataFrame:
-    """(context_limit, docs_longer, tokens_kept, tokens_total) for any
-    limits, from the suffix sums alone."""
-    spark = sums.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "context_limit BIGINT")
-    inside = F.col("n_tokens") <= F.col("context_limit")
-    near = asked.join(F.broadcast(asked.join(sums, inside, "left").groupBy("context_limit").agg(F.max("n_tokens").alias("n_tokens"))), "context_limit")
-    base = sums.select("n_tokens", "docs_longer", "tokens_longer")
-    total = sums.agg(F.max("docs_total").alias("docs_total"), F.max("tokens_total").alias("tokens_total"))
-    rows = near.join(base, "n_tokens", "left").join(total)
-    docs = F.coalesce("docs_longer", "docs_total")
-    return rows.select("context_limit", docs.alias("docs_longer"), (F.col("tokens_total") - F.coalesce("tokens_longer", "tokens_total") + F.col("context_limit") * docs).alias("tokens_kept"), "tokens_total")
+    """(context_limit, docs_longer, tokens_kept, tokens_total) for a stated
+    list of limits, from the suffix sums alone: one aggregate, no join.  An
+    empty histogram gives nulls."""
+    limits = sorted({int(x) for x in limits})
+    last = F.struct("n_tokens", "docs_longer", "tokens_longer")
+    aggs = [F.max(F.when(F.col("n_tokens") <= x, last)).alias(f"l{k}") for k, x in enumerate(limits)]
+    row = sums.agg(F.max("docs_total").alias("docs_total"), F.max("tokens_total").alias("tokens_total"), *aggs)
+    out = []
+    for k, x in enumerate(limits):
+        docs = F.coalesce(F.col(f"l{k}.docs_longer"), F.col("docs_total"))
+        kept = F.col("tokens_total") - F.coalesce(F.col(f"l{k}.tokens_longer"), F.col("tokens_total")) + x * docs
+        out.append(F.struct(F.lit(x).cast("bigint").alias("context_limit"), docs.alias("docs_longer"), kept.alias("tokens_kept"), "tokens_total"))
+    return row.select(F.inline(F.array(*out)))
 
 
 def quantile(sums: DataFrame, share: float) -> int | None:

@@ -22,7 +22,8 @@ the top passages and one short vector a calibration row.  Scoring is one
 ``mapInArrow``; nothing is shuffled.
 
 Edge cases: null and empty texts have no gain and get the lowest score;
-labels other than 0 and 1 are ignored; with no labels, or labels of one
+labels other than 0 and 1 are ignored; of identical labelled texts one
+counts (a toxic one, if any is); with no labels, or labels of one
 class, no window gains and every score is below 0.5.
 """
 
@@ -176,7 +177,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     spark = docs.sparkSession
     rows = labelled_sample(docs.select(id_col, text_col), labels.select(id_col, label_col), label_col, id_col, sample_rows)
     part = F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(10)) < 7  # the rest calibrates
-    rows = stored(rows.select("y", F.col(text_col).alias("text"), part.alias("learn")), "toxicity-sample")
+    rows = rows.select("y", F.col(text_col).alias("text"), part.alias("learn"))
+    # copies of a text would pass for independent evidence: one of them counts
+    rows = rows.groupBy(F.xxhash64("text")).agg(F.max(F.struct("y", "learn", "text")).alias("_row")).select("_row.*")
+    rows = stored(rows, "toxicity-sample")
     learn = rows.where("learn").select("y", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
