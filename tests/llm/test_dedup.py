@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+from llm_fixtures import none, odd, odd_rows  # noqa: F401  (fixtures)
 from pyspark.sql import functions as F
 
 from fuzzmill.llm import exact_dedup as ed

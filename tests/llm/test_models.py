@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from llm_fixtures import none, odd, odd_rows  # noqa: F401  (fixtures)
 from pyspark.sql import functions as F
 
 from fuzzmill.llm import langid, licenses, quality, toxicity

@@ -5,6 +5,7 @@ import re
 
 import corpus_pipeline as cp
 import pytest
+from llm_fixtures import none, odd, odd_rows  # noqa: F401  (fixtures)
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
