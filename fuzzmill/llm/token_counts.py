@@ -13,11 +13,14 @@ read at the largest length not above L; quantiles are the smallest length
 at which the documents so far reach the share asked for.
 
 Edge cases: null or empty text has 0 tokens; an empty table gives an empty
-histogram; limits below the shortest length truncate every document.
+histogram; limits below the shortest length truncate every document.  Runs of
+white space too long for the encoder's pattern are encoded as the one piece
+the pattern makes of them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -27,6 +30,12 @@ from pyspark.sql import functions as F
 from .util import sliced, stored, table, worker_store
 
 BLOCK = 1024
+#: White space runs of at least this many characters are cut out of a text
+#: before its split (the split backtracks through a run and gives up on
+#: about a million).  At least 2: a single blank belongs to the next word.
+LONG_RUN = 10_000
+#: Characters with the White_Space property, as the split's pattern has them.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def encoder(path: str):
@@ -45,13 +54,27 @@ def encoder(path: str):
     return store[key]
 
 
+def n_tokens(enc, text: str | None, long_run: int = LONG_RUN) -> int:
+    """Encoded length of one whole text.  A run of white space starts a
+    piece; the piece ends before the run's last character, or with the run
+    where the text ends."""
+    if not text:
+        return 0
+    n = at = 0
+    for run in re.finditer(f"[{WHITE}]{{{long_run},}}", text):
+        end = run.end() - (run.end() < len(text))
+        n += len(enc.encode_ordinary(text[at : run.start()])) + len(enc._encode_single_piece(text[run.start() : end]))
+        at = end
+    return n + len(enc.encode_ordinary(text[at:]))
+
+
 def token_lengths(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        enc = encoder(path)
         for b in sliced(batches):
-            n = [len(encode(t)) if t else 0 for t in b.column(1).to_pylist()]
+            n = [n_tokens(enc, t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[id_col, "n_tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -140,6 +140,19 @@ def test_chat_empty(spark):
 # ---- token counts ----------------------------------------------------------
 
 
+def test_long_white_space_is_the_piece_of_the_split():
+    enc, rng = token_counts.encoder(token_counts.tokenizer_path()), random.Random(9)
+    bits = [" ", " ", "\n", "\t", "\x0b", "\x1c", "\xa0", "\u2003", "\u200b", "a", "word", "'s", "12", "!?", "中"]
+    for _ in range(4000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        for least in (2, 3):
+            assert token_counts.n_tokens(enc, t, least) == len(enc.encode_ordinary(t)), t
+    for blank in (" ", "\n"):  # longer than the split alone can take
+        one = len(enc._encode_single_piece(blank * 1_499_999))
+        assert token_counts.n_tokens(enc, "a" + blank * 1_500_000 + "b") == 1 + one + len(enc.encode_ordinary(blank + "b"))
+        assert token_counts.n_tokens(enc, blank * 1_499_999) == one
+
+
 def test_token_counts_match_brute(odd, odd_rows, monkeypatch):
     monkeypatch.setattr(token_counts, "BLOCK", 4)
     path = token_counts.tokenizer_path()
