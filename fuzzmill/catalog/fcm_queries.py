@@ -33,9 +33,10 @@ from ..operators.passes import (
     total_weight,
 )
 from ..plans.fcm import fcm, fcm_chunked, resolve_init, seed_centers
+from ..plans.job import run_job
 from ..plans.two_level import merge_fcm, partial_fcm, polish, two_level_fcm
 from ..session import scratch_path
-from ..sources.points import read_centers, write_centers
+from ..sources.points import read_centers, read_weighted_centers, write_centers
 from .common import (
     CUST_X,
     FEW,
@@ -753,3 +754,87 @@ def it7_two_level_given_seeds_customer(spark, sf_dir):
         block_col=BLOCK, round_weights=False,
     )
     return matrix_out(spark, res.centers, res.weights)
+
+
+# ---- IT-4 and the whole job from text over lineitem, on hash blocks -------------------------
+
+BLOCKS = 8
+
+
+def _line_points(q, where: str = ""):
+    """Points with their hash block, as IT-4 deals them."""
+    text = "concat_ws('|', " + ", ".join(f"CAST(CAST({c} AS DOUBLE) AS VARCHAR)" for c in LINE_X) + ")"
+    lot = f"CAST(CAST('0x' || substr(md5({text} || '-block'), 1, 8) AS BIGINT) % {BLOCKS} AS BIGINT)"
+    return q.add(pts_sql("lineitem", LINE_X, f", {', '.join(LINE_KEY)}, {lot} AS blk", where), "pts")
+
+
+def _line_partials(q, pts, seed):
+    seed_b = q.add(
+        f"SELECT s.*, b.blk FROM {seed} s JOIN (SELECT DISTINCT blk, 1 AS one FROM {pts}) b ON s.one = b.one",
+        "seedb",
+    )
+    return osql.fcm_passes(q, pts, seed_b, 3, 4, M, FEW, block="blk")
+
+
+def _o_it4_blocks():
+    q = osql.Sql()
+    pts = _line_points(q)
+    cen = _line_partials(q, pts, osql.seed_first(q, pts, xs_of(4), 3, ", ".join([*LINE_KEY, *xs_of(4)])))
+    rows = [
+        f"SELECT blk AS block, CAST({i} AS INTEGER) AS c, "
+        + ", ".join(f"round(v{i}_{j}, 4) AS x{j}" for j in range(4)) + f", round(w{i}, 4) AS w FROM {cen}"
+        for i in range(3)
+    ]
+    return q.render("\nUNION ALL\n".join(rows))
+
+
+@query("it4_partial_fcm_blocks_lineitem", _o_it4_blocks)
+def it4_partial_fcm_blocks_lineitem(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    V = resolve_init(li, LINE_X, 3, "first", order_col=LINE_ORDER)
+    parts = partial_fcm(li, LINE_X, V, M, NO_EPS, FEW, blocks=BLOCKS, round_weights=False)
+    return parts.select(
+        "block", "c", *[F.round(F.col("features")[j], 4).alias(f"x{j}") for j in range(4)],
+        F.round("w", 4).alias("w"),
+    )
+
+
+def _o_job():
+    q = osql.Sql()
+    pts = _line_points(q, "l_linenumber <> 2")
+    text = "concat('[', concat_ws(', ', " + ", ".join(f"CAST({x} AS VARCHAR)" for x in xs_of(4)) + "), ']')"
+    s = q.add(
+        f"SELECT {', '.join(xs_of(4))}, md5({text} || '-{SAMPLE_SEED}') AS h FROM {pts} "
+        f"ORDER BY h, {', '.join(xs_of(4))} LIMIT {SAMPLE_WHOLE}",
+        "sample",
+    )
+    seed = osql.fcm_passes(q, s, osql.seed_first(q, s, xs_of(4), 3, "h, x0, x1, x2, x3"), 3, 4, M, FEW)
+    ppts = osql.centers_as_points(q, [_line_partials(q, pts, seed)], 3, 4, block="blk")
+    merged = osql.fcm_passes(q, ppts, seed, 3, 4, M, FEW, weighted=True)
+    mpts = osql.centers_as_points(q, [merged], 3, 4)
+    final = osql.fcm_passes(q, mpts, merged, 3, 4, M, FEW, weighted=True)
+    return q.render(
+        f"SELECT 'merged' AS file, * FROM ({osql.output(merged, 3, 4)})\nUNION ALL\n"
+        f"SELECT 'final' AS file, * REPLACE (NULL AS w) FROM ({osql.output(final, 3, 4)})"
+    )
+
+
+@query("it7_job_from_text_lineitem", _o_job)
+def it7_job_from_text_lineitem(spark, sf_dir):
+    """Lines of text (every l_linenumber 2 too wide to count) through the
+    whole job, and what it wrote read back."""
+    li = table(spark, sf_dir, "lineitem")
+    extra = F.when(F.col("l_linenumber") == 2, F.lit("0"))
+    line = F.concat_ws(",", *[F.col(c).cast("double").cast("string") for c in LINE_X], extra)
+    points, out = scratch_path(spark, "job-points"), scratch_path(spark, "job-out")
+    li.select(line.alias("value")).write.text(points)
+    run_job(
+        spark, points, out, 3, 4, NO_EPS, M, ",", SAMPLE_WHOLE, FEW, seed=SAMPLE_SEED,
+        blocks=BLOCKS, round_weights=False,
+    )
+    merged = read_weighted_centers(spark, f"{out}/merged", 4).withColumn("file", F.lit("merged"))
+    final = read_centers(spark, f"{out}/final").withColumn("file", F.lit("final"))
+    return merged.unionByName(final).select(
+        "file", "c", *[F.round(F.col("features")[j], 4).alias(f"x{j}") for j in range(4)],
+        F.round("w", 4).alias("w"),
+    )

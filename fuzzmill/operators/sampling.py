@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import estimated_tasks, scratch_path
@@ -41,6 +41,9 @@ def coin(id_cols, seed) -> Column:
 # A top-k streams k rows from every task through one final task.  Beyond
 # this many (k x tasks) rows, rows are filtered first (hash prefix or order-key cutoff).
 TOPK_STREAM_MAX_ROWS = 50_000_000
+# Repeated samples share one scan while each keeps less than this share of
+# the table on the way.
+SHARED_SCAN_SHARE = 0.25
 
 
 def first_k(df: DataFrame, k: int, order_col: str | Sequence[str]) -> DataFrame:
@@ -124,12 +127,26 @@ def sample_k_repeated(
     df: DataFrame, k: int, reps: int, seed=0, id_col: str | Sequence[str] = "id"
 ) -> DataFrame:
     """LM-4: ``reps`` independent k-row samples, tagged ``rep``.  Repeat r
-    uses seed ``<seed>.<r>``; each repeat is its own top-k over a pruned
-    scan, so no row of the table is multiplied."""
-    parts = [
-        sample_k(df, k, f"{seed}.{r}", id_col).withColumn("rep", F.lit(r))
-        for r in range(int(reps))
-    ]
+    uses seed ``<seed>.<r>``.
+
+    Where k is a small part of the table, one scan serves all repeats: a
+    row is kept for each repeat whose 32-bit hash prefix is below a
+    threshold sized for ~k survivors, and the k first survivors of each
+    repeat are the exact answer when every repeat has k.  Else each repeat
+    is a top-k of its own."""
+    k, reps = int(k), int(reps)
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    frac = (k + 8.0 * k**0.5 + 64.0) / max(df.count(), 1)
+    if reps > 1 and frac < SHARED_SCAN_SHARE:
+        keys = [F.struct(F.lit(r).alias("rep"), hash_key(ids, f"{seed}.{r}").alias("__key")) for r in range(reps)]
+        below = F.filter(F.array(*keys), lambda x: x["__key"] < F.lit(f"{int(frac * 2**32):08x}"))
+        kept = df.withColumn("__in", below).where(F.size("__in") > 0).withColumn("__in", F.explode("__in"))
+        kept = _written(kept.select(*df.columns, F.col("__in.rep").alias("rep"), "__in.__key"))
+        counts = kept.groupBy("rep").count().where(F.col("count") >= k).count()
+        if counts == reps:
+            first = Window.partitionBy("rep").orderBy("__key", *ids)
+            return kept.withColumn("__at", F.row_number().over(first)).where(F.col("__at") <= k).drop("__at", "__key")
+    parts = [sample_k(df, k, f"{seed}.{r}", ids).withColumn("rep", F.lit(r)) for r in range(reps)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

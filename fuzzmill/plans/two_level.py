@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from ..functions import kernels
 from ..operators.features import Points, to_points, xname
 from ..operators.passes import check_m
+from ..operators.sampling import hash_key
 from ..session import scratch_path
 from .fcm import FCMResult, drop_incomplete, resolve_init, seed_centers, weighted_fcm
 
@@ -125,8 +126,9 @@ def partial_fcm(
     and with it the answer, follows the input's layout), the rows of one
     ``block_col`` key, or ``blocks`` hash blocks of the coordinates (one
     shuffle; the same blocks whatever the layout).  A key or hash block of
-    more than ``block_rows`` rows is split.  ``block`` is the key itself if
-    it is integral, else its xxhash64."""
+    more than ``block_rows`` rows is split, by a salt that follows the
+    layout.  ``block`` is the key itself if it is integral, else its
+    xxhash64."""
     m = check_m(m)
     V0 = np.asarray(seeds, dtype=float)
     D = V0.shape[1]
@@ -137,7 +139,8 @@ def partial_fcm(
     pts = drop_incomplete(to_points(df, features, dims or D, keep=keep))
     if blocks:
         block_col = "__hb0"
-        dealt = F.pmod(F.xxhash64(*pts.xs), F.lit(int(blocks))).alias(block_col)
+        lot = F.conv(F.substring(hash_key([xname(j) for j in range(pts.dims)], "block"), 1, 8), 16, 10).cast("long")
+        dealt = F.pmod(lot, F.lit(int(blocks))).alias(block_col)
         pts = Points(pts.df.select(dealt, *pts.xs), pts.dims, False)
 
     def solve(X, block, sub=0):

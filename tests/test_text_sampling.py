@@ -174,3 +174,15 @@ def test_coin_flip_prefilter_is_exact(spark, monkeypatch):
     monkeypatch.setattr(sampling, "TOPK_STREAM_MAX_ROWS", 0)
     pre = [r["o_orderkey"] for r in sampling.coin_flip_sample(o, 50, "o_orderkey", 4).collect()]
     assert pre == plain and len(pre) == 50
+
+
+def test_repeated_samples_share_a_scan_and_agree(spark, monkeypatch):
+    df = spark.range(4000).select(F.when(F.col("id") % 50 > 0, F.col("id")).alias("id"), F.hash("id").alias("v"))
+    shared = sampling.sample_k_repeated(df, 30, 4, 9)
+    assert "Window" in shared._jdf.queryExecution().toString()
+    monkeypatch.setattr(sampling, "SHARED_SCAN_SHARE", 0.0)
+    plain = sampling.sample_k_repeated(df, 30, 4, 9)
+    assert "Window" not in plain._jdf.queryExecution().toString()
+    ids = lambda d: sorted((r["rep"], -1 if r["id"] is None else r["id"]) for r in d.collect())
+    assert shared.columns == plain.columns
+    assert ids(shared) == ids(plain) and len(ids(plain)) == 120
