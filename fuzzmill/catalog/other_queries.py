@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import oracle_sql as osql
 from ..operators import sampling
-from ..operators.indexing import IDX, with_row_index
+from ..operators.indexing import row_index
 from ..operators.passes import centers_df
 from ..plans.kmeans import assign, describe_clusters, fuzzy_kmeans, kmeans
 from ..plans.sweep import sweep
@@ -275,12 +275,12 @@ def st1_stream_fcm_events(spark, sf_dir):
     """Events cut into ST_CHUNKS chunks in event_id order; each chunk lands
     as one file in a source folder and is folded as one micro-batch."""
     ev = table(spark, sf_dir, "events").select("event_id", "value")
-    indexed = with_row_index(ev, "event_id")
-    n = indexed.count()
+    indexed = row_index(ev, "event_id")
+    n = indexed.n
     rows = max(1, math.ceil(n / ST_CHUNKS))
     src = scratch_path(spark, "events-src")
     for u in range(math.ceil(n / rows)):
-        part = indexed.where((F.col(IDX) >= u * rows) & (F.col(IDX) < (u + 1) * rows))
+        part = indexed.slice(u * rows, (u + 1) * rows)
         part.select("event_id", "value").coalesce(1).write.mode("append").parquet(src)
     schema = ev.schema
     res = stream_fcm(

@@ -8,31 +8,69 @@
    bits, position in the low 33 bits) and write the result to the shared
    checkpoint folder, so later reads see the same tags even if a task is
    re-run;
-3. count rows per partition (one small row per partition), turn the
-   counts into offsets on that tiny table, and broadcast it back - its
-   size is the partition count, not the data size.
+3. count rows per partition (one small row per partition) and turn the
+   counts into offsets.
+
+Tags rise with the position, so a run of positions is one interval of tags:
+``RowIndex.slice`` filters on it and the filter reaches the parquet scan.
+The table is written once; positions are computed where they are asked for.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
+from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
 IDX = "__idx"
+MID = "__mid"
 BROADCAST_MAX_PARTS = 100_000
-_LOW = (1 << 33) - 1
+_BITS = 33
+_LOW = (1 << _BITS) - 1
 
 
-def with_row_index(
-    df: DataFrame, order_cols: str | Sequence[str], partitions: int | None = None
-) -> DataFrame:
-    """``df`` plus ``__idx`` = 0-based position in ``order_cols`` order.
-    Rows that tie on the order key are ordered by a hash of the row.
-    The result is read back from a written table sorted by ``__idx``."""
+@dataclass
+class RowIndex:
+    """A written table in a fixed order: ``rows`` with their tags, and for
+    each partition that has rows its number and the position it starts at."""
+
+    rows: DataFrame
+    parts: list[int]
+    starts: list[int]
+    n: int
+
+    def _tag(self, at: int) -> int:
+        k = bisect_right(self.starts, at) - 1
+        return (self.parts[k] << _BITS) + at - self.starts[k]
+
+    def slice(self, lo: int, hi: int) -> DataFrame:
+        """The rows at positions lo .. hi - 1."""
+        lo, hi = max(lo, 0), min(hi, self.n)
+        if lo >= hi:
+            return self.rows.limit(0).drop(MID)
+        return self.rows.where((F.col(MID) >= self._tag(lo)) & (F.col(MID) <= self._tag(hi - 1))).drop(MID)
+
+    def numbered(self) -> DataFrame:
+        """All rows plus ``__idx``, their 0-based position."""
+        offsets = self.rows.sparkSession.createDataFrame(list(zip(self.parts, self.starts)), "__p BIGINT, __off BIGINT")
+        # one row per partition: broadcast while that count is small
+        side = F.broadcast(offsets) if len(self.parts) <= BROADCAST_MAX_PARTS else offsets
+        return (
+            self.rows.join(side, F.shiftright(F.col(MID), _BITS) == F.col("__p"))
+            .withColumn(IDX, F.col("__off") + F.col(MID).bitwiseAND(F.lit(_LOW)))
+            .drop(MID, "__p", "__off")
+        )
+
+
+def row_index(df: DataFrame, order_cols: str | Sequence[str], partitions: int | None = None) -> RowIndex:
+    """``df`` written in ``order_cols`` order.  Rows that tie on the order
+    key are ordered by a hash of the row."""
     spark = df.sparkSession
     cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     # One range per shuffle partition, and at least one per core.
@@ -47,26 +85,19 @@ def with_row_index(
         df.withColumn("__tie", tie)
         .repartitionByRange(n_parts, *cols, "__tie")
         .sortWithinPartitions(*cols, "__tie")
-        .withColumn("__mid", F.monotonically_increasing_id())
+        .withColumn(MID, F.monotonically_increasing_id())
         .drop("__tie")
     )
-    p1 = scratch_path(spark, "tagged")
-    tagged.write.parquet(p1)
-    tagged = spark.read.parquet(p1)
-    part = F.shiftright(F.col("__mid"), 33)
-    counts = tagged.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(
-        "__p",
-        (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__off"),
-    )
-    # One offset row per partition: broadcast only while that count is
-    # small, otherwise a plain (shuffled) join.
-    side = F.broadcast(offsets) if n_parts <= BROADCAST_MAX_PARTS else offsets
-    indexed = (
-        tagged.join(side, part == F.col("__p"))
-        .withColumn(IDX, F.col("__off") + F.col("__mid").bitwiseAND(F.lit(_LOW)))
-        .drop("__mid", "__p", "__off")
-    )
-    p2 = scratch_path(spark, "indexed")
-    indexed.sortWithinPartitions(IDX).write.parquet(p2)
-    return spark.read.parquet(p2)
+    path = scratch_path(spark, "indexed")
+    tagged.write.parquet(path)
+    rows = spark.read.schema(tagged.schema).parquet(path)
+    counts = rows.groupBy(F.shiftright(F.col(MID), _BITS).alias("p")).count().orderBy("p").collect()
+    sizes = [r["count"] for r in counts]
+    return RowIndex(rows, [r["p"] for r in counts], list(accumulate(sizes, initial=0))[:-1], sum(sizes))
+
+
+def with_row_index(
+    df: DataFrame, order_cols: str | Sequence[str], partitions: int | None = None
+) -> DataFrame:
+    """``df`` plus ``__idx`` = 0-based position in ``order_cols`` order."""
+    return row_index(df, order_cols, partitions).numbered()

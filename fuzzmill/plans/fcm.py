@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ..functions import kernels
 from ..operators import sampling
 from ..operators.features import Points, spread, to_points, xname
-from ..operators.indexing import IDX, with_row_index
+from ..operators.indexing import row_index
 from ..operators.passes import (
     PassResult,
     centers_df,
@@ -321,8 +321,8 @@ def fcm_chunked(
 
 
 def _fold_distributed(pts, order_cols, V0, rows_per_chunk, m, eps, max_iter, round_weights, engine):
-    indexed = with_row_index(pts.df, [*order_cols, *map(xname, range(pts.dims))])
-    n = indexed.count()
+    indexed = row_index(pts.df, [*order_cols, *map(xname, range(pts.dims))])
+    n = indexed.n
     V = np.asarray(V0, dtype=float)
     prev = None
     W = np.zeros(V.shape[0])
@@ -330,7 +330,7 @@ def _fold_distributed(pts, order_cols, V0, rows_per_chunk, m, eps, max_iter, rou
     for lo in range(0, n, rows_per_chunk):
         # The range filter reaches parquet (row groups of other chunks are
         # skipped); the chunk is kept while its passes run.
-        part = indexed.where((F.col(IDX) >= lo) & (F.col(IDX) < lo + rows_per_chunk))
+        part = indexed.slice(lo, lo + rows_per_chunk)
         chunk_pts = Points(part.select(*pts.xs), pts.dims, False)
         chunk_pts.df.persist(StorageLevel.MEMORY_AND_DISK)
         try:

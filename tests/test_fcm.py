@@ -306,6 +306,23 @@ def test_row_index_spreads_a_hot_order_key(spark):
     assert max(r["count"] for r in per_part) < n // 3
 
 
+def test_row_index_slices_are_runs_of_positions(spark):
+    """A slice is an interval of tags that the parquet scan filters on."""
+    from fuzzmill.operators.indexing import row_index
+
+    n = 1000
+    idx = row_index(spark.range(n).select((F.col("id") * 7 % n).alias("k")), "k", 5)
+    assert idx.n == n and len(idx.starts) > 1
+    edges = [0, 1, idx.starts[1] - 1, idx.starts[1], idx.starts[1] + 1, n - 1, n, n + 5]
+    for lo in edges:
+        for hi in edges:
+            assert sorted(r["k"] for r in idx.slice(lo, hi).collect()) == list(range(n))[lo:hi]
+    plan = idx.slice(10, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(__mid" in plan and "LessThanOrEqual(__mid" in plan
+    empty = row_index(spark.range(0), "id", 3)
+    assert empty.n == 0 and empty.slice(0, 5).collect() == [] and empty.numbered().collect() == []
+
+
 def test_partial_keyed_string_and_null_keys(spark):
     """String keys get a hashed block id; a big null-key group is split too."""
     df = _cust(spark)

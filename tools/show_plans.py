@@ -17,7 +17,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from fuzzmill.operators import sampling  # noqa: E402
 from fuzzmill.operators.features import to_points  # noqa: E402
-from fuzzmill.operators.indexing import IDX, with_row_index  # noqa: E402
+from fuzzmill.operators.indexing import row_index  # noqa: E402
 from fuzzmill.operators.passes import sums_arrow, sums_expr  # noqa: E402
 from fuzzmill.plans.fcm import drop_incomplete, resolve_init  # noqa: E402
 from fuzzmill.plans.kmeans import assign  # noqa: E402
@@ -53,9 +53,9 @@ def main():
          sampling.sample_k(o, 200, 42, "o_orderkey").select("o_orderkey", "o_totalprice"))
     show("LM-1 coin-flip sample",
          sampling.coin_flip_sample(o, 500, "o_orderkey", 7).select("o_orderkey", "o_totalprice"))
-    idx = with_row_index(c.select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey")
+    idx = row_index(c.select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey")
     show("IT-3 one chunk of the row-indexed table (range filter pushed to parquet)",
-         idx.where((F.col(IDX) >= 375) & (F.col(IDX) < 750)))
+         idx.slice(375, 750))
     from fuzzmill.plans.kmeans import _pick, with_distances
 
     pp = drop_incomplete(to_points(li, X))
