@@ -8,12 +8,15 @@ Largest gain, mean of the three largest, and the gains over all windows go
 through a logistic curve whose threshold is calibrated on texts that the
 dictionaries have not seen.
 
-The dictionaries' content is chosen by contrast: passages made of byte
-4-grams that significantly more texts of one class hold than of the other,
-longest and most frequent first.  (The stock trainer keeps what is frequent,
-which both classes share: held-out AUC 0.60 against 0.99 here.)  Bytes are
-doubled before compression, so that a match of four source bytes is the
-shortest one and outweighs the cost of coding it, and the fast strategy
+The toxic dictionary's content is chosen by contrast: passages made of byte
+4-grams that significantly more toxic than ordinary texts hold, longest and
+most frequent first.  The ordinary dictionary holds the passages of ordinary
+texts that are made of the toxic dictionary's own grams, or of grams that
+tell ordinary text apart: what a clean text may share with toxic passages is
+then as short under either dictionary.  (The stock trainer keeps what is
+frequent, which both classes share: held-out AUC 0.60 against 0.99 here.)
+Bytes are doubled before compression, so that a match of four source bytes is
+the shortest one and outweighs the cost of coding it, and the fast strategy
 leaves literals raw, so lengths differ by matches alone.
 
 Training uses at most ``sample_rows`` labelled documents, chosen by a hash
@@ -173,6 +176,23 @@ def _dictionary(found: Counter) -> bytes:
     return out
 
 
+def _top_passages(learn: DataFrame, y: int, own: np.ndarray, least: float = 2) -> Counter:
+    """The ``PASSAGES`` passages of class ``y`` made of the grams ``own``
+    that cover most text and occur ``least`` times, with their counts."""
+    held = Shipped(learn.sparkSession, own)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, found = held.get(), Counter()
+        for b in sliced(batches):
+            for t in b.column(1).to_pylist():
+                found.update(p for p in passages(lowered(t), own) if len(p) <= WINDOW)
+        yield pa.RecordBatch.from_pydict({"passage": pa.array(list(found), pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
+
+    cuts = learn.where(F.col("y") == y).mapInArrow(cut, "passage BINARY, n BIGINT").groupBy("passage").agg(F.sum("n").alias("n"))
+    best = cuts.where(F.col("n") >= least).orderBy(F.desc(F.col("n") * F.length("passage")), "passage").limit(PASSAGES)
+    return Counter({bytes(r["passage"]): r["n"] for r in best.collect()})
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     spark = docs.sparkSession
     rows = labelled_sample(docs.select(id_col, text_col), labels.select(id_col, label_col), label_col, id_col, sample_rows)
@@ -198,22 +218,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     n = np.zeros((2, BUCKETS + 1), np.int64)
     for c in (0, 1):
         n[c][got["bucket"].to_numpy()] = got[f"n{c}"].to_numpy()
-    telling = Shipped(spark, _telling(n[:, :BUCKETS], n[:, BUCKETS]))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, found = telling.get(), [Counter(), Counter()]
-        for b in sliced(batches):
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found[y].update(p for p in passages(lowered(t), own[y]) if len(p) <= WINDOW)
-        for y in (0, 1):
-            yield pa.RecordBatch.from_pydict({"y": pa.array([y] * len(found[y]), pa.int32()), "passage": pa.array(list(found[y]), pa.binary()), "n": pa.array(list(found[y].values()), pa.int64())})
-
-    cuts = learn.mapInArrow(cut, "y INT, passage BINARY, n BIGINT").groupBy("y", "passage").agg(F.sum("n").alias("n"))
-    top = {}
-    for y in (0, 1):
-        best = cuts.where((F.col("y") == y) & (F.col("n") > 1)).orderBy(F.desc(F.col("n") * F.length("passage")), "passage").limit(PASSAGES)
-        top[y] = Counter({bytes(r["passage"]): r["n"] for r in best.collect()})
-    model = ToxicityModel(_dictionary(top[1]), _dictionary(top[0]), np.zeros(5))
+    ordinary, toxic = _telling(n[:, :BUCKETS], n[:, BUCKETS])
+    content = {1: _dictionary(_top_passages(learn, 1, toxic))}
+    ordinary[grams(content[1])] = True
+    content[0] = _dictionary(_top_passages(learn, 0, ordinary, max(LEAST_TEXTS, LEAST_SHARE * n[0, BUCKETS])))
+    model = ToxicityModel(content[1], content[0], np.zeros(5))
     held = Shipped(spark, model)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

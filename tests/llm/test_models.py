@@ -94,6 +94,17 @@ def test_toxicity_planted(spark, odd, none):
     assert model.score(long * 12 + " grumbolt snarkwit vilezzo grumbolt snarkwit") > model.score(long * 12)
 
 
+def test_both_dictionaries_have_content(spark):
+    """Half of a toxic word is a word of clean texts as well."""
+    rows, labels = toxic_rows()
+    rows = [(k, t + (" grumb" * 4 if k % 4 else "")) for k, t in rows]
+    docs, marks = spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), spark.createDataFrame(labels, "doc_id BIGINT, toxic INT")
+    model = toxicity.train(docs, marks)
+    assert b"umbolt" in model.toxic and b"grumb" not in model.toxic
+    assert b"umb gr" in model.ordinary and b"umbolt" not in model.ordinary
+    assert model.score("a grumb grumb grumb") < model.score("a grumbolt and a snarkwit")
+
+
 def test_toxicity_without_labels(spark, odd):
     model = toxicity.train(odd, spark.createDataFrame([], "doc_id BIGINT, toxic INT"))
     assert all(r["score"] < 0.5 for r in toxicity.score(odd, model).collect())
