@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -222,3 +223,26 @@ def test_license_empty_table(spark, none, licence_model):
     model = licenses.train(none)
     found = licenses.scan(spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id BIGINT, text STRING"), model).collect()
     assert [(r["family"], r["confirmed"]) for r in found] == [("mit", True)]
+
+
+def test_license_wrapped_notices(spark, licence_model):
+    rows, want = [], set()
+    for k, (family, notices) in enumerate(sorted(licenses.NOTICES.items())):
+        for n, notice in enumerate(notices):
+            lines = textwrap.wrap(notice, 40 if n % 2 else 72, break_on_hyphens=False)
+            rows.append((100 * k + n, "\n".join(["a line", "", *((" * " if n % 2 else "") + p for p in lines), "", "the river"])))
+            if len(lines) > 1:
+                want.add((100 * k + n, 2, family))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), licence_model).collect()
+    assert len(want) > 8 and want <= {(r["doc_id"], r["paragraph"], r["family"]) for r in got if r["confirmed"]}
+    assert len({(r["doc_id"], r["paragraph"], r["family"]) for r in got}) == len(got)
+
+
+def test_license_two_notices_in_a_line(spark, licence_model):
+    some = [(f, own[-2:][0]) for f, own in sorted(licenses.NOTICES.items())]
+    pairs = [(a, b) for a, b in zip(some, some[1:] + some[:1])]
+    prose = " the river runs slowly past the old bridge" * 100
+    rows = [(k, a[1] + prose * (k % 2) + " " + b[1] + prose) for k, (a, b) in enumerate(pairs)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), licence_model).collect()
+    found = {(r["doc_id"], r["paragraph"], r["family"]) for r in got if r["confirmed"]}
+    assert {(k, 0, f) for k, pair in enumerate(pairs) for f, _ in pair} == found
