@@ -8,6 +8,7 @@ from .decontam import OP7_SQL, op7_benchmark_decontamination
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .langid import op6_language_id
 from .licenses import op8_license_scan
+from .periodic import op13_periodic_runs
 from .quality import op1_quality_classifier
 from .simhash import op10_simhash_near_dedup
 from .token_counts import op5_token_counts
@@ -24,6 +25,7 @@ _ALL = (
     op8_license_scan,
     op9_exact_dedup,
     op10_simhash_near_dedup,
+    op13_periodic_runs,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {
