@@ -97,3 +97,17 @@ def seeded_pts(q: osql.Sql, tbl: str, cols, k: int, order: str, extra: str = "")
     pts = q.add(pts_sql(tbl, cols, extra), "pts")
     seed = osql.seed_first(q, pts, xs_of(len(cols)), k, order)
     return pts, seed
+
+
+def sample_key_sql(id_text: str, others: Sequence[str], seed) -> str:
+    """The key by which LM-3 draws a row: md5 of id and seed, and where
+    several rows share the id, of that, the other columns and the ordinal
+    among equal rows."""
+    base = f"md5({id_text} || '-{seed}')"
+    parts = "".join(f", {c}" for c in others)
+    ordinal = f"CAST(row_number() OVER (PARTITION BY {id_text}{parts}) - 1 AS VARCHAR)"
+    texts = "".join(f"coalesce(CAST({c} AS VARCHAR), '\\N'), " for c in others)
+    return (
+        f"CASE WHEN count(*) OVER (PARTITION BY {id_text}) = 1 THEN {base} "
+        f"ELSE md5({base} || '-' || concat_ws('|', {texts}{ordinal})) END"
+    )

@@ -49,6 +49,7 @@ from .common import (
     matrix_out,
     pts_sql,
     query,
+    sample_key_sql,
     seeded_pts,
     table,
     xs_of,
@@ -680,7 +681,7 @@ LINE_KEY = ["l_orderkey", "l_linenumber"]
 
 
 def _o_line_seeds(q):
-    h = f"md5(concat(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)), '-', '{SAMPLE_SEED}'))"
+    h = sample_key_sql("concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))", LINE_X, SAMPLE_SEED)
     s = q.add(
         pts_sql("lineitem", LINE_X, f", {h} AS h, l_orderkey, l_linenumber")
         + f" ORDER BY h, l_orderkey, l_linenumber, {', '.join(LINE_X)} LIMIT {SAMPLE_WHOLE}",
@@ -804,7 +805,7 @@ def _o_job():
     pts = _line_points(q, "l_linenumber <> 2")
     text = "concat('[', concat_ws(', ', " + ", ".join(f"CAST({x} AS VARCHAR)" for x in xs_of(4)) + "), ']')"
     s = q.add(
-        f"SELECT {', '.join(xs_of(4))}, md5({text} || '-{SAMPLE_SEED}') AS h FROM {pts} "
+        f"SELECT {', '.join(xs_of(4))}, {sample_key_sql(text, [], SAMPLE_SEED)} AS h FROM {pts} "
         f"ORDER BY h, {', '.join(xs_of(4))} LIMIT {SAMPLE_WHOLE}",
         "sample",
     )

@@ -26,6 +26,7 @@ from .common import (
     matrix_out,
     pts_sql,
     query,
+    sample_key_sql,
     table,
     xs_of,
 )
@@ -101,6 +102,42 @@ def lm5_random_seeds_part(spark, sf_dir):
     return sampling.random_seeds(p, 4, 11, "p_partkey").select("p_partkey", "p_size", "p_retailprice")
 
 
+COPY_COLS = ["quantity", "line", "discount"]
+
+
+def _copies_sql(k: int, seed) -> str:
+    """The k rows drawn from lineitem rows that repeat, with their key."""
+    key = sample_key_sql("CAST(quantity AS VARCHAR)", COPY_COLS[1:], seed)
+    return (
+        f"SELECT quantity, line, discount FROM (SELECT *, {key} AS h FROM (SELECT CAST(l_quantity AS BIGINT) AS quantity, "
+        f"CAST(l_linenumber AS BIGINT) AS line, CAST(round(l_discount * 100) AS BIGINT) AS discount FROM lineitem) t) s "
+        f"ORDER BY h LIMIT {k}"
+    )
+
+
+def _copies(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_quantity").cast("bigint").alias("quantity"), F.col("l_linenumber").cast("bigint").alias("line"),
+        F.round(F.col("l_discount") * 100).cast("bigint").alias("discount"),
+    )
+
+
+@query("lm3_sample_k_copies_lineitem", lambda: _copies_sql(300, 42))
+def lm3_sample_k_copies_lineitem(spark, sf_dir):
+    """A key of 50 values and rows that are equal many times over."""
+    return sampling.sample_k(_copies(spark, sf_dir), 300, 42, "quantity")
+
+
+def _o_lm4_copies():
+    return "\nUNION ALL\n".join(f"SELECT CAST({r} AS INTEGER) AS rep, * FROM ({_copies_sql(80, f'42.{r}')})" for r in range(4))
+
+
+@query("lm4_sample_k_repeated_copies_lineitem", _o_lm4_copies)
+def lm4_sample_k_repeated_copies_lineitem(spark, sf_dir):
+    return sampling.sample_k_repeated(_copies(spark, sf_dir), 80, 4, 42, "quantity")
+
+
 # ---- IT-9 .. IT-12 on part --------------------------------------------------------
 
 KM_K = 4

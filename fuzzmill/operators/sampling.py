@@ -2,7 +2,9 @@
 
 Randomness is a seeded md5 of the row key, so a pick is a pure function of
 (table, key, seed): it does not depend on partitioning, on retries after a
-lost executor, or on the engine (DuckDB computes the same md5).  Every
+lost executor, or on the engine (DuckDB computes the same md5).  Rows that
+share a key are told apart by their other columns and, where those are
+equal too, by an ordinal, so copies are drawn like any other rows.  Every
 fixed-size pick is ``orderBy(key).limit(k)``, which Spark plans as
 TakeOrderedAndProject: each task keeps its own k best rows and only
 k x tasks rows reach the final merge - no full sort, no shuffle of the
@@ -13,8 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import estimated_tasks, scratch_path
 
@@ -41,9 +46,9 @@ def coin(id_cols, seed) -> Column:
 # A top-k streams k rows from every task through one final task.  Beyond
 # this many (k x tasks) rows, rows are filtered first (hash prefix or order-key cutoff).
 TOPK_STREAM_MAX_ROWS = 50_000_000
-# Repeated samples share one scan while each keeps less than this share of
-# the table on the way.
-SHARED_SCAN_SHARE = 0.25
+# Repeated samples are merged in this many buckets each before the last
+# step, so that no task meets the heads of all tasks.
+MERGE_BUCKETS = 64
 
 
 def first_k(df: DataFrame, k: int, order_col: str | Sequence[str]) -> DataFrame:
@@ -94,12 +99,81 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Repeated ids up to this many are broadcast; of more, the heaviest this
+#: many, so that a key left to a shuffle holds at most this share of rows.
+BROADCAST_MAX_IDS = 100_000
+#: Copies of a row that one generator step lays out.
+COPY_BLOCK = 65_536
+KEY = "__key"
+
+
+def _id_hash(ids: Sequence[str]) -> list[Column]:
+    """128 bits that stand for an id."""
+    text = _key_str(ids)
+    return [F.xxhash64(text).alias("__i1"), F.xxhash64(F.lit("#"), text).alias("__i2")]
+
+
+def repeated_ids(df: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """(__i1, __i2, n) of every id that more than one row has, written to
+    the scratch folder.  The shuffle carries a hash and a count per id."""
+    each = df.select(*_id_hash(ids)).groupBy("__i1", "__i2").agg(F.count(F.lit(1)).alias("n"))
+    return _written(each.where(F.col("n") > 1))
+
+
+def keyed_rows(df: DataFrame, ids: Sequence[str], seeds: Sequence, unique_id: bool = False) -> DataFrame:
+    """``df`` plus ``__key``, an array with one hash key per seed, such that
+    all rows - copies of a row too - have keys of their own.
+
+    A row whose id is its own has the key md5(id, seed).  Where several rows
+    share an id, equal rows are counted, each copy gets an ordinal, and its
+    key is md5(that key, the other columns, the ordinal).  Only ids that
+    repeat take part in that; equal rows are combined before the shuffle,
+    and a row with very many copies is laid out in blocks by many tasks."""
+    ids = list(ids)
+    base = [hash_key(ids, s) for s in seeds]
+    alone = lambda rows: rows.withColumn(KEY, F.array(*base))
+    if unique_id:
+        return alone(df)
+    found = repeated_ids(df, ids)
+    n, most = found.agg(F.count(F.lit(1)), F.max("n")).first()
+    if not n:
+        return alone(df)
+    h1, h2 = (h.alias(f"__row{i}") for i, h in enumerate(_id_hash(ids)))
+    rows = df.select("*", h1, h2)
+    same = (F.col("__row0") == F.col("__i1")) & (F.col("__row1") == F.col("__i2"))
+    if n <= BROADCAST_MAX_IDS:
+        side = F.broadcast(found)
+        single, multi = rows.join(side, same, "left_anti"), rows.join(side, same, "left_semi")
+    else:
+        order = [F.desc("n"), "__i1", "__i2"]
+        heavy = F.broadcast(_written(found.orderBy(*order).limit(BROADCAST_MAX_IDS)))
+        rest = rows.join(heavy, same, "left_anti")
+        light = found.select("__i1", "__i2")  # a key of these has at most 1 / BROADCAST_MAX_IDS of all rows
+        single = rest.join(light, same, "left_anti")
+        multi = rows.join(heavy, same, "left_semi").unionByName(rest.join(light, same, "left_semi"))
+    copies = multi.select(*df.columns).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    copies = copies.withColumn("__b", F.explode(F.expr(f"sequence(0L, (__n - 1) div {COPY_BLOCK})")))
+    if most > COPY_BLOCK:
+        copies = copies.repartition(F.xxhash64(_key_str(ids), _key_str(df.columns), "__b"))
+    last = f"least(__n, (__b + 1) * {COPY_BLOCK}) - 1"
+    copies = copies.withColumn("__copy", F.explode(F.expr(f"sequence(__b * {COPY_BLOCK}, {last})")))
+    others = [c for c in df.columns if c not in ids]
+    own = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in others], F.col("__copy").cast("string"))
+    keys = F.array(*[F.md5(F.concat(b, F.lit("-"), own)) for b in base])
+    return alone(single.select(*df.columns)).unionByName(copies.withColumn(KEY, keys).select(*df.columns, KEY))
+
+
 def sample_k(
-    df: DataFrame, k: int, seed=0, id_col: str | Sequence[str] = "id", tie: Sequence[str] = ()
+    df: DataFrame, k: int, seed=0, id_col: str | Sequence[str] = "id", tie: Sequence[str] = (),
+    *, unique_id: bool = False, keep_key: str | None = None,
 ) -> DataFrame:
     """LM-3: k rows uniformly without replacement (fewer if the table is
-    smaller), keyed by a seeded hash of ``id_col``; rows that share an id
-    are ordered by the ``tie`` columns.  A null id counts as a value.
+    smaller), keyed by a seeded hash of ``id_col`` (see ``keyed_rows``): of
+    rows that share an id, or are equal, each is drawn on its own, so a
+    point that makes up a third of the table makes up a third of the sample.
+    A null id counts as a value.  ``unique_id`` says that no id repeats and
+    spares the count of ids.  ``keep_key`` names a column that returns the
+    key, in whose order the rows come.
 
     Normally one top-k.  When k x tasks is large, rows whose 32-bit hash
     prefix is below a threshold sized for ~k survivors (plus a margin) are
@@ -108,53 +182,76 @@ def sample_k(
     the plain top-k runs."""
     k = int(k)
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    key = hash_key(ids, seed)
-    order = [key, *ids, *tie]
-    plain = df.orderBy(*order).limit(k)
+    rows = keyed_rows(df, ids, [seed], unique_id).withColumn(KEY, F.col(KEY)[0])
+    out = [*df.columns] if keep_key is None else [*df.columns, F.col(KEY).alias(keep_key)]
+    order = [KEY, *ids, *tie]
+    plain = rows.orderBy(*order).limit(k).select(*out)
     if k * estimated_tasks(df) <= TOPK_STREAM_MAX_ROWS:
         return plain
     n = df.count()
     frac = (k + 8.0 * k**0.5 + 64.0) / max(n, 1)
     if frac >= 0.5:
         return plain
-    threshold = int(frac * 2**32)
-    prefix = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
-    top = _written(df.where(prefix < F.lit(threshold)).orderBy(*order).limit(k))
+    below = F.col(KEY) < F.lit(f"{int(frac * 2**32):08x}")
+    top = _written(rows.where(below).orderBy(*order).limit(k).select(*out))
     return top if top.count() == k else plain
 
 
+def _task_heads(rows: DataFrame, k: int, reps: int) -> DataFrame:
+    """Of each task's rows the k first by each of ``reps`` keys, as (rep,
+    __key, row): a task holds at most about 2 k rows a repeat."""
+    names = [c for c in rows.columns if c != KEY]
+
+    def first(table: pa.Table) -> pa.Table:
+        return table.take(pa.compute.sort_indices(table[KEY])[:k])
+
+    def run(batches):
+        held = [None] * reps
+        bound = [None] * reps  # the k-th key so far
+        for b in batches:
+            flat = b.column(b.schema.get_field_index(KEY))
+            body = pa.Table.from_batches([b]).drop_columns([KEY])
+            for r in range(reps):
+                t = body.append_column(KEY, pa.compute.list_element(flat, r))
+                if bound[r] is not None:
+                    t = t.filter(pa.compute.less(t[KEY], bound[r]))
+                held[r] = t if held[r] is None else pa.concat_tables([held[r], t])
+                if held[r].num_rows >= 2 * k:
+                    held[r] = first(held[r]).combine_chunks()
+                    bound[r] = held[r][KEY][k - 1]
+        for r in range(reps):
+            if held[r] is not None and held[r].num_rows:
+                t = first(held[r]).append_column("rep", pa.array([r] * min(k, held[r].num_rows), pa.int32()))
+                yield from t.select([*names, KEY, "rep"]).combine_chunks().to_batches()
+
+    kinds = {f.name: f for f in rows.schema}
+    schema = T.StructType([*(kinds[c] for c in names), T.StructField(KEY, T.StringType()), T.StructField("rep", T.IntegerType())])
+    return rows.mapInArrow(run, schema)
+
+
 def sample_k_repeated(
-    df: DataFrame, k: int, reps: int, seed=0, id_col: str | Sequence[str] = "id"
+    df: DataFrame, k: int, reps: int, seed=0, id_col: str | Sequence[str] = "id", *, unique_id: bool = False
 ) -> DataFrame:
     """LM-4: ``reps`` independent k-row samples, tagged ``rep``.  Repeat r
-    uses seed ``<seed>.<r>``.
+    uses seed ``<seed>.<r>`` and is ``sample_k`` with it.
 
-    Where k is a small part of the table, one scan serves all repeats: a
-    row is kept for each repeat whose 32-bit hash prefix is below a
-    threshold sized for ~k survivors, and the k first survivors of each
-    repeat are the exact answer when every repeat has k.  Else each repeat
-    is a top-k of its own."""
+    One scan serves all repeats: each task keeps its k first rows for every
+    repeat, and only those are merged, by repeat and hash bucket before the
+    k first of a repeat are taken."""
     k, reps = int(k), int(reps)
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    frac = (k + 8.0 * k**0.5 + 64.0) / max(df.count(), 1)
-    if reps > 1 and frac < SHARED_SCAN_SHARE:
-        keys = [F.struct(F.lit(r).alias("rep"), hash_key(ids, f"{seed}.{r}").alias("__key")) for r in range(reps)]
-        below = F.filter(F.array(*keys), lambda x: x["__key"] < F.lit(f"{int(frac * 2**32):08x}"))
-        kept = df.withColumn("__in", below).where(F.size("__in") > 0).withColumn("__in", F.explode("__in"))
-        kept = _written(kept.select(*df.columns, F.col("__in.rep").alias("rep"), "__in.__key"))
-        counts = kept.groupBy("rep").count().where(F.col("count") >= k).count()
-        if counts == reps:
-            first = Window.partitionBy("rep").orderBy("__key", *ids)
-            return kept.withColumn("__at", F.row_number().over(first)).where(F.col("__at") <= k).drop("__at", "__key")
-    parts = [sample_k(df, k, f"{seed}.{r}", ids).withColumn("rep", F.lit(r)) for r in range(reps)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = keyed_rows(df, ids, [f"{seed}.{r}" for r in range(reps)], unique_id)
+    heads = _task_heads(rows, k, reps)
+    bucket = F.pmod(F.xxhash64(KEY), F.lit(MERGE_BUCKETS))
+    near = Window.partitionBy("rep", bucket).orderBy(KEY, *ids)
+    whole = Window.partitionBy("rep").orderBy(KEY, *ids)
+    for w in (near, whole):
+        heads = heads.withColumn("__at", F.row_number().over(w)).where(F.col("__at") <= k).drop("__at")
+    return heads.select(*df.columns, "rep")
 
 
 def random_seeds(
-    df: DataFrame, k: int, seed=0, id_col: str | Sequence[str] = "id", tie: Sequence[str] = ()
+    df: DataFrame, k: int, seed=0, id_col: str | Sequence[str] = "id", tie: Sequence[str] = (), *, unique_id: bool = False
 ) -> DataFrame:
     """LM-5: k random rows to start a clusterer from (LM-3 with k = C)."""
-    return sample_k(df, k, seed, id_col, tie)
+    return sample_k(df, k, seed, id_col, tie, unique_id=unique_id)

@@ -206,12 +206,20 @@ def _fold_schema(dims: int) -> T.StructType:
     )
 
 
+def _first_distinct(X: np.ndarray, k: int) -> np.ndarray:
+    """The first k different points (of fewer, the first k rows): equal
+    starting centres would stay equal for good."""
+    _, at = np.unique(X, axis=0, return_index=True)
+    return X[np.sort(at)[:k]] if len(at) >= k else X[:k]
+
+
 def _fold_local(
-    pts: Points, order_cols, V0, k, rows_per_chunk, m, eps, max_iter, round_weights, group
+    pts: Points, order_cols, V0, k, rows_per_chunk, m, eps, max_iter, round_weights, group, distinct=False
 ) -> DataFrame:
     """The fold of a bounded table inside one task per group (grouped Arrow).
-    With ``V0=None`` the first k rows in order are the initial centres,
-    taken in the same task (no separate job); fewer rows give no output."""
+    With ``V0=None`` the first k rows in order (with ``distinct``, the first
+    k different ones) are the initial centres, taken in the same task (no
+    separate job); fewer rows give no output."""
     D = pts.dims
     V0 = None if V0 is None else np.asarray(V0, dtype=float)
     schema = _fold_schema(D)
@@ -230,7 +238,7 @@ def _fold_local(
         if start is None:
             if X.shape[0] < k:
                 return schema_empty()
-            start = X[:k]
+            start = _first_distinct(X, k) if distinct else X[:k]
         V, W, chunks = kernels.fold_chunks(
             X, start, rows_per_chunk, m, eps, max_iter, round_weights
         )
@@ -295,7 +303,10 @@ def fcm_chunked(
         raise ValueError("rows_per_chunk must be >= 1")
     order_cols = [order_col] if isinstance(order_col, str) else list(order_col)
     k = int(k)
-    if isinstance(init, str) and init == "first":
+    distinct = isinstance(init, str) and init == "distinct"
+    if distinct and mode != "local":
+        raise ValueError("init='distinct' is for mode='local'")
+    if distinct or isinstance(init, str) and init == "first":
         V0 = None  # the first k rows, taken where the fold runs
         pts = drop_incomplete(to_points(df, features, dims, keep=order_cols))
     else:
@@ -303,7 +314,7 @@ def fcm_chunked(
         pts = drop_incomplete(to_points(df, features, V0.shape[1], keep=order_cols))
     if mode == "local":
         out = _fold_local(
-            pts, order_cols, V0, k, rows_per_chunk, m, eps, max_iter, round_weights, F.lit(0)
+            pts, order_cols, V0, k, rows_per_chunk, m, eps, max_iter, round_weights, F.lit(0), distinct
         ).collect()
         if not out:
             raise ValueError(f"need {k} initial centres: the table has fewer complete rows")
@@ -370,14 +381,16 @@ def seed_centers(
     max_iter: int = 100,
     dims: int | None = None,
     sample: str = "uniform",
+    unique_id: bool = False,
 ) -> FCMResult:
     """IT-8: seeds from a sample of at most ``sample_rows`` rows; the first
-    k sampled rows start FCM over the whole sample ('whole') or the chunk
+    k different sampled points start FCM over the whole sample ('whole') or the chunk
     fold with chunks of k rows ('chunked').  Either runs inside one task:
     the sample is bounded.
 
     ``sample='uniform'`` draws from the whole table by a seeded hash of
-    ``id_col`` (or ``order_col``) and takes the rows in hash order (LM-3);
+    ``id_col`` (or ``order_col``) and takes the rows in hash order (LM-3),
+    copies of a row each on their own (``unique_id``: the key never repeats);
     ``'prefix'`` walks the table in ``order_col`` order and keeps rows on a
     coin flip (LM-1): it sees about the first 2 x ``sample_rows`` rows only.
     """
@@ -401,8 +414,7 @@ def seed_centers(
         if isinstance(features, str) and dims is not None:
             known = known.where(F.size(features) == dims)
         key = order_col if id_col is None else id_col
-        rows = sampling.sample_k(known, sample_rows, seed, key, names)
-        rows = rows.withColumn("__h", sampling.hash_key(key, seed))
+        rows = sampling.sample_k(known, sample_rows, seed, key, names, unique_id=unique_id, keep_key="__h")
         order = ["__h"]
     else:
         raise ValueError(f"unknown sample {sample!r}")
@@ -411,12 +423,12 @@ def seed_centers(
         if strategy == "whole":
             # one chunk: FCM over the whole sample, in the task that holds it
             return fcm_chunked(
-                sample, features, k, sample_rows, order, m, eps, max_iter, "first",
+                sample, features, k, sample_rows, order, m, eps, max_iter, "distinct",
                 dims=dims, mode="local",
             )
         if strategy == "chunked":
             return fcm_chunked(
-                sample, features, k, k, order, m, eps, max_iter, "first",
+                sample, features, k, k, order, m, eps, max_iter, "distinct",
                 dims=dims, mode="local",
             )
         raise ValueError(f"unknown strategy {strategy!r}")

@@ -345,6 +345,7 @@ def two_level_fcm(
     blocks: int | None = None,
     round_weights: bool = True,
     dims: int | None = None,
+    unique_id: bool = False,
 ) -> TwoLevelResult:
     """IT-7: sample + seed (IT-8), partial per block (IT-4), merge (IT-5),
     polish (IT-6).  Unkeyed, the point table is scanned twice in all: once
@@ -366,7 +367,7 @@ def two_level_fcm(
             raise ValueError("give order_col (or seeds)")
         seeds = seed_centers(
             df, features, k, seeding, sample_rows=sample_rows, order_col=order_col, seed=seed,
-            id_col=id_col, m=m, eps=eps, max_iter=max_iter, dims=dims, sample=sample,
+            id_col=id_col, m=m, eps=eps, max_iter=max_iter, dims=dims, sample=sample, unique_id=unique_id,
         ).centers
     t["seed"] = time.perf_counter() - t0
     t0 = time.perf_counter()

@@ -40,10 +40,60 @@ def test_samples_do_not_depend_on_the_size_switch(odd_keys, monkeypatch):
 
 
 def test_null_keys_are_sampled_like_others(spark):
-    df = spark.range(4000).select(F.when(F.col("id") < 4, F.col("id")).alias("id"), F.col("id").cast("double").alias("x"))
-    got = sampling.sample_k(df.where("id is not null or x < 8"), 4, 1, "id", ["x"]).collect()
-    assert 0 < sum(r["id"] is None for r in got) or len(got) == 4
-    assert len({sampling.sample_k(df, 1, s, "id", ["x"]).first()["id"] for s in range(12)}) > 1
+    """A third of the rows without a key: about a third of every sample."""
+    df = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("id"), F.col("id").cast("double").alias("x"))
+    for seed in range(5):
+        got = sampling.sample_k(df, 600, seed, "id", ["x"]).collect()
+        assert len({r["x"] for r in got}) == 600
+        assert 140 <= sum(r["id"] is None for r in got) <= 260
+
+
+@pytest.fixture(scope="module")
+def hot_point(spark):
+    """90,000 points, a third of them one point; other points stand up to
+    four times."""
+    rows = spark.range(90_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 25_000).alias("p"))
+    return rows.select(F.array(F.col("p").cast("double"), (F.col("p") * 2).cast("double")).alias("features")).repartition(7)
+
+
+def hot_share(df):
+    return sum(r["features"][0] == -1 for r in df.collect())
+
+
+def test_a_point_is_drawn_as_often_as_it_stands(hot_point, monkeypatch):
+    plain = {}
+    for seed in range(6):
+        got = sampling.sample_k(hot_point, 3000, seed, "features")
+        assert got.count() == 3000
+        plain[seed] = sorted(r["features"] for r in got.collect())
+        assert 900 <= hot_share(got) <= 1100
+    # the same sample by every way there is
+    monkeypatch.setattr(sampling, "TOPK_STREAM_MAX_ROWS", 0)
+    monkeypatch.setattr(sampling, "COPY_BLOCK", 1000)
+    monkeypatch.setattr(sampling, "BROADCAST_MAX_IDS", 3)
+    for seed in (0, 3):
+        got = sampling.sample_k(hot_point.repartition(3), 3000, seed, "features")
+        assert sorted(r["features"] for r in got.collect()) == plain[seed]
+
+
+def test_copies_are_drawn_without_replacement(spark):
+    df = spark.createDataFrame([(1, "a")] * 5 + [(1, "b")] * 2 + [(2, "a")], "id INT, v STRING")
+    got = sampling.sample_k(df, 100, 1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+    drawn = [(r["id"], r["v"]) for r in sampling.sample_k_repeated(df, 1, 60).collect()]
+    assert len(drawn) == 60
+    assert {(1, "a"), (1, "b"), (2, "a")} == set(drawn) and drawn.count((1, "a")) > drawn.count((2, "a"))
+    keyed = sampling.keyed_rows(df, ["id"], [1, 2])
+    keys = [k for r in keyed.collect() for k in r[sampling.KEY]]
+    assert len(set(keys)) == 16
+
+
+def test_seeds_and_job_seeds_see_a_repeated_point(hot_point):
+    """A third of the mass at one point: a centre lies on it whatever the seed."""
+    for seed in range(3):
+        centers = seed_centers(hot_point, "features", 3, "whole", sample_rows=600, order_col="features", seed=seed, dims=2, max_iter=60).centers
+        assert np.abs(centers - np.array([-1.0, -2.0])).sum(axis=1).min() < 3000
+        assert len(np.unique(centers.round(6), axis=0)) == 3
 
 
 def test_uniform_seeds_see_the_whole_table(spark):
@@ -93,7 +143,8 @@ def test_rounding_can_be_turned_off_and_loss_is_reported(spark):
     with pytest.raises(ValueError, match="zero"):
         two_level_fcm(df, X, 5, 2.0, -1.0, 1, seeds=seeds + 1000.0, block_col="id")
     coarse = two_level_fcm(df.withColumn("b", F.when(F.col("id") < 50, F.lit(1)).otherwise(F.col("id")).cast("bigint")), X, 5, 2.0, -1.0, 2, seeds=seeds, block_col="b")
-    assert coarse.lost_points >= 0 and coarse.passes == 6 and coarse.polish_passes == 2
+    # ten blocks of one point: nine spread it over five centres and round it away, one point lies on a centre
+    assert coarse.lost_points == 9 and coarse.n == 60 and coarse.passes == 6 and coarse.polish_passes == 2
 
 
 def test_hash_blocks_do_not_follow_the_layout(odd_keys):

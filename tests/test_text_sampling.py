@@ -176,13 +176,17 @@ def test_coin_flip_prefilter_is_exact(spark, monkeypatch):
     assert pre == plain and len(pre) == 50
 
 
-def test_repeated_samples_share_a_scan_and_agree(spark, monkeypatch):
-    df = spark.range(4000).select(F.when(F.col("id") % 50 > 0, F.col("id")).alias("id"), F.hash("id").alias("v"))
-    shared = sampling.sample_k_repeated(df, 30, 4, 9)
-    assert "Window" in shared._jdf.queryExecution().toString()
-    monkeypatch.setattr(sampling, "SHARED_SCAN_SHARE", 0.0)
-    plain = sampling.sample_k_repeated(df, 30, 4, 9)
-    assert "Window" not in plain._jdf.queryExecution().toString()
-    ids = lambda d: sorted((r["rep"], -1 if r["id"] is None else r["id"]) for r in d.collect())
-    assert shared.columns == plain.columns
-    assert ids(shared) == ids(plain) and len(ids(plain)) == 120
+def test_repeated_samples_share_a_scan_and_agree(spark, scratch, monkeypatch):
+    """One scan for all repeats; each is the sample of its own seed, also
+    where keys repeat and rows are equal."""
+    df = spark.range(4000).select(F.when(F.col("id") % 50 > 0, F.col("id") % 1500).alias("id"), (F.col("id") % 3).alias("v"))
+    df.repartition(6).write.parquet(f"{scratch}/t")
+    df = spark.read.parquet(f"{scratch}/t")
+    once = sampling.sample_k_repeated(df, 30, 4, 9, unique_id=True)
+    assert once._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    monkeypatch.setattr(sampling, "MERGE_BUCKETS", 3)
+    got = sampling.sample_k_repeated(df, 30, 4, 9)
+    assert got.columns == ["id", "v", "rep"]
+    rows = lambda d: sorted((-1 if r["id"] is None else r["id"], r["v"]) for r in d.collect())
+    for r in range(4):
+        assert rows(got.where(F.col("rep") == r)) == rows(sampling.sample_k(df, 30, f"9.{r}"))
