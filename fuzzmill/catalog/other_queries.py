@@ -151,8 +151,8 @@ def _o_part_random_seed(q):
     return pts, seed
 
 
-def _o_kmeans(q, pts, cen, passes):
-    k, d = KM_K, 2
+def _o_kmeans(q, pts, cen, passes, k=KM_K):
+    d = 2
     for _ in range(passes):
         dist = ", ".join(
             "(" + " + ".join(f"(p.x{j} - c.v{i}_{j}) * (p.x{j} - c.v{i}_{j})" for j in range(d)) + f") AS d{i}"
@@ -257,36 +257,74 @@ def it12_describe_clusters_part(spark, sf_dir):
     )
 
 
-# ---- IT-13: parameter sweep (rows only: times vary) ---------------------------------
+# ---- IT-13: parameter sweep (times left out) ----------------------------------------
+
+IT13_SAMPLES, IT13_ROWS, IT13_KS, IT13_K, IT13_SEED = 2, 500, (2, 3), 3, 3
 
 
-IT13_PASSES = {"kmeans": FEW, "fuzzy_kmeans": FEW, "two_level_fcm": 3 * FEW}  # partial, merge, polish
+def _o_it13_run(q, algo, s, k):
+    """(last centres, the ones before, passes) of one run on sample ``s``."""
+    key = _md5("c_custkey", f"{IT13_SEED}.{s}")
+    rows = f"(SELECT * FROM customer ORDER BY {key}, c_custkey LIMIT {IT13_ROWS}) t"
+    pts = q.add(pts_sql(rows, CUST_X, ", c_custkey"), "smp")
+    seed = osql.seed_rows(q, pts, xs_of(2), k, f"{_md5('c_custkey', f'{IT13_SEED}.{s}.0')}, c_custkey")
+    if algo == "kmeans":
+        before = _o_kmeans(q, pts, seed, FEW - 1, k)
+        return _o_kmeans(q, pts, before, 1, k), before, FEW
+    if algo == "fuzzy_kmeans":
+        before = osql.fcm_passes(q, pts, seed, k, 2, M, FEW - 1)
+        return osql.fcm_passes(q, pts, before, k, 2, M, 1), before, FEW
+    start = osql.fcm_passes(q, pts, seed, k, 2, M, FEW)
+    part = osql.round_weights(q, osql.fcm_passes(q, pts, start, k, 2, M, FEW), k, 2)
+    merged = osql.fcm_passes(q, osql.centers_as_points(q, [part], k, 2), start, k, 2, M, FEW, weighted=True)
+    mpts = osql.centers_as_points(q, [merged], k, 2)
+    before = osql.fcm_passes(q, mpts, merged, k, 2, M, FEW - 1, weighted=True)
+    return osql.fcm_passes(q, mpts, before, k, 2, M, 1, weighted=True), before, 3 * FEW
 
 
 def _o_it13():
-    algos = ", ".join(f"('{a}', {p})" for a, p in IT13_PASSES.items())
-    return f"""
-WITH a(algo, passes) AS (VALUES {algos}),
-s AS (SELECT CAST(x AS INTEGER) AS sample FROM range(2) t(x) WHERE (SELECT count(*) FROM customer) > 0)
-SELECT algo, varied, sample, CAST(0 AS INTEGER) AS repeat, k, eps, CAST(passes AS INTEGER) AS passes
-FROM a, s, (SELECT 'centers' AS varied, CAST(k AS INTEGER) AS k, CAST({NO_EPS} AS DOUBLE) AS eps FROM (VALUES (2), (3)) t(k)
-            UNION ALL SELECT 'epsilon', CAST(3 AS INTEGER), CAST(e AS DOUBLE) FROM (VALUES (-1.0), (-2.0)) t(e)) g
-"""
+    q = osql.Sql()
+    out = []
+    for s in range(IT13_SAMPLES):
+        for k in IT13_KS:
+            for algo in ("kmeans", "fuzzy_kmeans", "two_level_fcm"):
+                cen, before, passes = _o_it13_run(q, algo, s, k)
+                moves = [[f"a.v{i}_{j} - b.v{i}_{j}" for j in range(2)] for i in range(k)]
+                if algo == "kmeans":
+                    shift = ", ".join(f"sqrt(pow({x}, 2) + pow({y}, 2))" for x, y in moves)
+                else:
+                    shift = ", ".join(f"abs({m})" for row in moves for m in row)
+                total = " + ".join(f"a.v{i}_{j}" for i in range(k) for j in range(2))
+                weight = " + ".join(f"a.w{i}" for i in range(k))
+                grid = [("centers", NO_EPS)] + ([("epsilon", -1.0), ("epsilon", -2.0)] if k == IT13_K else [])
+                for varied, eps in grid:
+                    out.append(
+                        f"SELECT '{algo}' AS algo, '{varied}' AS varied, CAST({s} AS INTEGER) AS sample, CAST(0 AS INTEGER) AS repeat, "
+                        f"CAST({k} AS INTEGER) AS k, CAST({eps} AS DOUBLE) AS eps, CAST({passes} AS INTEGER) AS passes, "
+                        f"round(greatest({shift}), 3) AS shift, round({total}, 3) AS coordinates, round({weight}, 3) AS weight "
+                        f"FROM {cen} a JOIN {before} b ON a.one = b.one"
+                    )
+    return q.render("\nUNION ALL\n".join(out))
 
 
 @query("it13_sweep_customer", _o_it13)
 def it13_sweep_customer(spark, sf_dir):
     """Fixed passes; the grids are read from text, the rows are written as
-    the runs end and read back; times and shifts are left out."""
+    the runs end and read back; times are left out."""
     grids = scratch_path(spark, "grids")
-    for name, values in (("ks", ["2", "3"]), ("eps", ["-1.0", " -2.0 ", ""])):
+    for name, values in (("ks", [str(k) for k in IT13_KS]), ("eps", ["-1.0", " -2.0 ", ""])):
         spark.createDataFrame([(v,) for v in values], "value STRING").coalesce(1).write.text(f"{grids}/{name}")
     out = sweep(
         table(spark, sf_dir, "customer"), CUST_X, id_col="c_custkey", ks=read_grid(spark, f"{grids}/ks", "int"),
-        epsilons=read_grid(spark, f"{grids}/eps"), k=3, eps=NO_EPS, samples=2, sample_rows=500, repeats=1,
-        max_iter=FEW, seed=3, path=scratch_path(spark, "sweep"),
+        epsilons=read_grid(spark, f"{grids}/eps"), k=IT13_K, eps=NO_EPS, samples=IT13_SAMPLES, sample_rows=IT13_ROWS,
+        repeats=1, max_iter=FEW, seed=IT13_SEED, path=scratch_path(spark, "sweep"),
+    )
+    total = F.aggregate(F.flatten("centers"), F.lit(0.0), lambda a, x: a + x)
+    weight = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
+    return out.select(
+        "algo", "varied", "sample", "repeat", "k", "eps", "passes", F.round("shift", 3).alias("shift"),
+        F.round(total, 3).alias("coordinates"), F.round(weight, 3).alias("weight"),
     )
-    return out.select("algo", "varied", "sample", "repeat", "k", "eps", "passes")
 
 
 # ---- ST-1: the chunk fold as a stream of micro-batches -----------------------------

@@ -230,7 +230,8 @@ def _task_heads(rows: DataFrame, k: int, reps: int) -> DataFrame:
 
 
 def sample_k_repeated(
-    df: DataFrame, k: int, reps: int, seed=0, id_col: str | Sequence[str] = "id", *, unique_id: bool = False
+    df: DataFrame, k: int, reps: int, seed=0, id_col: str | Sequence[str] = "id", *,
+    unique_id: bool = False, keep_key: str | None = None,
 ) -> DataFrame:
     """LM-4: ``reps`` independent k-row samples, tagged ``rep``.  Repeat r
     uses seed ``<seed>.<r>`` and is ``sample_k`` with it.
@@ -247,7 +248,7 @@ def sample_k_repeated(
     whole = Window.partitionBy("rep").orderBy(KEY, *ids)
     for w in (near, whole):
         heads = heads.withColumn("__at", F.row_number().over(w)).where(F.col("__at") <= k).drop("__at")
-    return heads.select(*df.columns, "rep")
+    return heads.select(*df.columns, "rep", *([] if keep_key is None else [F.col(KEY).alias(keep_key)]))
 
 
 def random_seeds(

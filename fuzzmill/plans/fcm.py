@@ -206,7 +206,7 @@ def _fold_schema(dims: int) -> T.StructType:
     )
 
 
-def _first_distinct(X: np.ndarray, k: int) -> np.ndarray:
+def first_distinct(X: np.ndarray, k: int) -> np.ndarray:
     """The first k different points (of fewer, the first k rows): equal
     starting centres would stay equal for good."""
     _, at = np.unique(X, axis=0, return_index=True)
@@ -238,7 +238,7 @@ def _fold_local(
         if start is None:
             if X.shape[0] < k:
                 return schema_empty()
-            start = _first_distinct(X, k) if distinct else X[:k]
+            start = first_distinct(X, k) if distinct else X[:k]
         V, W, chunks = kernels.fold_chunks(
             X, start, rows_per_chunk, m, eps, max_iter, round_weights
         )
