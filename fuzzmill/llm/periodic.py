@@ -240,8 +240,10 @@ def _prime_parts(q: int) -> tuple:
 
 def fragments_of(words: np.ndarray, boundaries: np.ndarray, P: int) -> Iterator[tuple[int, int, int]]:
     """(period, lo, hi): words i of [lo, hi) equal words i + period, cut at
-    the reach of each boundary of a tile."""
+    the reach of the tile's boundaries; fragments of a period that touch
+    within the tile are one."""
     items = words.tolist()
+    open_: dict[int, list[int]] = {}
     for b in boundaries.tolist():
         z = z_function(items[b : b + 6 * P])
         for q in range(P, min(2 * P, len(z))):
@@ -250,7 +252,16 @@ def fragments_of(words: np.ndarray, boundaries: np.ndarray, P: int) -> Iterator[
             lo = b
             while lo > 0 and lo > b - 2 * P and items[lo - 1] == items[lo - 1 + q]:
                 lo -= 1
-            yield q, lo, b + min(z[q], 4 * P)
+            hi = b + min(z[q], 4 * P)
+            held = open_.get(q)
+            if held and lo <= held[1]:
+                held[0], held[1] = min(held[0], lo), max(held[1], hi)
+                continue
+            if held:
+                yield q, *held
+            open_[q] = [lo, hi]
+    for q, held in open_.items():
+        yield q, *held
 
 
 def solve(tiles: DataFrame) -> DataFrame:
