@@ -143,29 +143,36 @@ def local_fcm(X, w, V0, m, eps, max_iter):
                 return V, wts, passes, moved
 
 
-def fold_chunks(X, V0, rows_per_chunk, m, eps, max_iter, round_weights=False):
-    """Chunk fold over the rows of X in order: FCM on each chunk from the
-    current centres; from the second chunk on, weighted FCM over the 2C
-    points {current, previous} starting at the current centres.  Returns
-    (centres, weights, chunks)."""
-    n = X.shape[0]
-    V = np.array(V0, dtype=float)
-    prev = None
-    chunks = 0
-    wts = np.zeros(V.shape[0])
-    for lo in range(0, n, rows_per_chunk):
-        V, wts, _, _ = local_fcm(X[lo : lo + rows_per_chunk], None, V, m, eps, max_iter)
-        if round_weights:
-            wts = np.floor(wts + 0.5)
-        if prev is not None:
-            pts = np.vstack([V, prev[0]])
-            pw = np.concatenate([wts, prev[1]])
-            V, wts, _, _ = local_fcm(pts, pw, V, m, eps, max_iter)
-            if round_weights:
-                wts = np.floor(wts + 0.5)
-        prev = (V.copy(), wts.copy())
-        chunks += 1
-    return V, wts, chunks
+class Fold:
+    """State of the chunk fold: FCM on each chunk from the current centres;
+    from the second chunk on, weighted FCM over the 2C points {current,
+    previous} starting at the current centres."""
+
+    def __init__(self, V, m, eps, max_iter, round_weights=False):
+        self.V, self.W, self.chunks = V, np.zeros(len(V)), 0
+        self.m, self.eps, self.max_iter, self.round_weights = m, eps, max_iter, round_weights
+
+    def at(self, V, W, chunks) -> "Fold":
+        """The same fold further on."""
+        new = Fold(V, self.m, self.eps, self.max_iter, self.round_weights)
+        new.W, new.chunks = W, chunks
+        return new
+
+    def _rounded(self, W):
+        return np.floor(W + 0.5) if self.round_weights else W
+
+    def chunk(self, X) -> None:
+        V, W, _, _ = local_fcm(X, None, self.V, self.m, self.eps, self.max_iter)
+        self.merge(V, W)
+
+    def merge(self, V, W) -> None:
+        """Take the centres and weights of the next chunk."""
+        W = self._rounded(W)
+        if self.chunks:
+            both, weights = np.vstack([V, self.V]), np.concatenate([W, self.W])
+            V, W, _, _ = local_fcm(both, weights, V, self.m, self.eps, self.max_iter)
+            W = self._rounded(W)
+        self.V, self.W, self.chunks = V, W, self.chunks + 1
 
 
 def kmeans_sums(X: np.ndarray, V: np.ndarray):

@@ -49,12 +49,15 @@ class RowIndex:
         k = bisect_right(self.starts, at) - 1
         return (self.parts[k] << _BITS) + at - self.starts[k]
 
-    def slice(self, lo: int, hi: int) -> DataFrame:
-        """The rows at positions lo .. hi - 1."""
+    def slice(self, lo: int, hi: int, keep_order: bool = False) -> DataFrame:
+        """The rows at positions lo .. hi - 1 (with ``keep_order`` and their
+        tags, which rise with the position)."""
         lo, hi = max(lo, 0), min(hi, self.n)
         if lo >= hi:
-            return self.rows.limit(0).drop(MID)
-        return self.rows.where((F.col(MID) >= self._tag(lo)) & (F.col(MID) <= self._tag(hi - 1))).drop(MID)
+            rows = self.rows.limit(0)
+        else:
+            rows = self.rows.where((F.col(MID) >= self._tag(lo)) & (F.col(MID) <= self._tag(hi - 1)))
+        return rows if keep_order else rows.drop(MID)
 
     def numbered(self) -> DataFrame:
         """All rows plus ``__idx``, their 0-based position."""

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ..functions import kernels
 from ..operators import sampling
 from ..operators.features import Points, spread, to_points, xname
-from ..operators.indexing import row_index
+from ..operators.indexing import MID, row_index
 from ..operators.passes import (
     PassResult,
     centers_df,
@@ -239,9 +239,10 @@ def _fold_local(
             if X.shape[0] < k:
                 return schema_empty()
             start = first_distinct(X, k) if distinct else X[:k]
-        V, W, chunks = kernels.fold_chunks(
-            X, start, rows_per_chunk, m, eps, max_iter, round_weights
-        )
+        state = kernels.Fold(np.array(start, dtype=float), m, eps, max_iter, round_weights)
+        for lo in range(0, X.shape[0], rows_per_chunk):
+            state.chunk(X[lo : lo + rows_per_chunk])
+        V, W, chunks = state.V, state.W, state.chunks
         return pa.Table.from_pydict(
             {
                 "c": pa.array(range(V.shape[0]), pa.int32()),
@@ -293,9 +294,11 @@ def fcm_chunked(
     Rows that tie on the order are taken in the order of their coordinates;
     null order keys come first.
 
-    ``mode='distributed'`` runs each chunk's passes as Spark jobs over a
-    row-indexed table; ``'local'`` folds inside one task and is for a
-    bounded input, such as a sample.  Both give the same answer.
+    ``mode='distributed'`` sorts the table into a row index and streams runs
+    of chunks through one task after another (chunks too large for a task
+    are folded by distributed passes); ``'local'`` folds a bounded input,
+    such as a sample, in one task without the index.  All give the same
+    answer.
     """
     m = check_m(m)
     rows_per_chunk = int(rows_per_chunk)
@@ -331,36 +334,73 @@ def fcm_chunked(
     )
 
 
+#: A chunk of at most this many coordinates (rows x D, ~64 MB) is folded
+#: inside a task; a larger one by distributed passes.
+CHUNK_LOCAL_CELLS = 8_000_000
+#: Coordinates (~512 MB) that one job of the fold streams through its task.
+FOLD_JOB_CELLS = 64_000_000
+
+
 def _fold_distributed(pts, order_cols, V0, rows_per_chunk, m, eps, max_iter, round_weights, engine):
+    """The fold over a row-indexed table.  It is sequential by definition;
+    what is spread over the cluster is the sort, and either the passes of a
+    large chunk, or nothing: small chunks stream in order through one task
+    per run of chunks, which starts from the centres that the run before
+    left.  A task holds one chunk; the driver holds the centres between two
+    jobs, so a lost executor costs one run of chunks."""
     indexed = row_index(pts.df, [*order_cols, *map(xname, range(pts.dims))])
-    n = indexed.n
-    V = np.asarray(V0, dtype=float)
-    prev = None
-    W = np.zeros(V.shape[0])
-    chunks = 0
-    for lo in range(0, n, rows_per_chunk):
-        # The range filter reaches parquet (row groups of other chunks are
-        # skipped); the chunk is kept while its passes run.
-        part = indexed.slice(lo, lo + rows_per_chunk)
-        chunk_pts = Points(part.select(*pts.xs), pts.dims, False)
-        chunk_pts.df.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            r = iterate(lambda C_: fuzzy_pass(chunk_pts, C_, m, engine), V, eps, max_iter)
-        finally:
-            chunk_pts.df.unpersist()
-        V, W = r.centers, r.weights
-        if round_weights:
-            W = np.floor(W + 0.5)
-        if prev is not None:
-            # 2C weighted points: bounded by C, merged in the driver.
-            stacked = np.vstack([V, prev[0]])
-            sw = np.concatenate([W, prev[1]])
-            V, W, _, _ = kernels.local_fcm(stacked, sw, V, m, eps, max_iter)
-            if round_weights:
-                W = np.floor(W + 0.5)
-        prev = (V.copy(), W.copy())
-        chunks += 1
-    return FCMResult(V, W, chunks, float("nan"), n)
+    n, D = indexed.n, pts.dims
+    state = kernels.Fold(np.asarray(V0, dtype=float), m, eps, max_iter, round_weights)
+    if rows_per_chunk * D > CHUNK_LOCAL_CELLS:
+        for lo in range(0, n, rows_per_chunk):
+            # The range filter reaches parquet (row groups of other chunks are
+            # skipped); the chunk is kept while its passes run.
+            chunk = Points(indexed.slice(lo, lo + rows_per_chunk).select(*pts.xs), D, False)
+            chunk.df.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                r = iterate(lambda C_: fuzzy_pass(chunk, C_, m, engine), state.V, eps, max_iter)
+            finally:
+                chunk.df.unpersist()
+            state.merge(r.centers, r.weights)
+        return FCMResult(state.V, state.W, state.chunks, float("nan"), n)
+    step = max(1, FOLD_JOB_CELLS // (rows_per_chunk * D)) * rows_per_chunk
+    for lo in range(0, n, step):
+        state = _fold_run(indexed.slice(lo, lo + step, keep_order=True), D, state, rows_per_chunk)
+    return FCMResult(state.V, state.W, state.chunks, float("nan"), n)
+
+
+def _fold_run(rows: DataFrame, D: int, state: kernels.Fold, rows_per_chunk: int) -> kernels.Fold:
+    """Fold the chunks of ``rows`` (tagged, whole chunks) in their order."""
+    xs = [xname(j) for j in range(D)]
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            X = np.column_stack([b.column(x).to_numpy(zero_copy_only=False) for x in xs]).astype(float, copy=False)
+            while len(X):
+                take = X[: rows_per_chunk - size]
+                held.append(take)
+                size, X = size + len(take), X[len(take) :]
+                if size == rows_per_chunk:
+                    state.chunk(np.vstack(held))
+                    held, size = [], 0
+        if size:
+            state.chunk(np.vstack(held))
+        k = len(state.V)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "c": pa.array(range(k), pa.int32()),
+                "features": pa.array([list(map(float, r)) for r in state.V], pa.list_(pa.float64())),
+                "w": pa.array(state.W.astype(float), pa.float64()),
+                "chunks": pa.array([state.chunks] * k, pa.int64()),
+            }
+        )
+
+    # one task, rows in order: what a task sorts is spilled, not held
+    ordered = rows.coalesce(1).sortWithinPartitions(MID).select(*xs)
+    got = sorted(ordered.mapInArrow(run, _fold_schema(D)).collect(), key=lambda r: r["c"])
+    V = np.array([r["features"] for r in got], dtype=float)
+    return state.at(V, np.array([r["w"] for r in got], dtype=float), int(got[0]["chunks"]))
 
 
 # ---- IT-8 --------------------------------------------------------------------

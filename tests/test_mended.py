@@ -231,3 +231,29 @@ def test_engines_sum_memberships_alike(odd_keys):
     u = (1 / d) / (1 / d).sum(axis=1, keepdims=True)
     assert np.allclose(u.sum(axis=1), 1)
     assert np.allclose(a.weights, b.weights) and np.allclose(a.weights, (u**2).sum(axis=0), rtol=1e-6)
+
+
+def test_a_thousand_chunks_fold_in_few_jobs(spark, monkeypatch):
+    """Runs of small chunks stream through tasks; the answer is that of the
+    fold in one task and of distributed passes per chunk."""
+    import fuzzmill.plans.fcm as plans
+
+    rng = np.random.default_rng(11)
+    rows = [(int(k // 3), float(a), float(b)) for k, (a, b) in enumerate(rng.normal(size=(4000, 2)) * 10)]
+    df = spark.createDataFrame(rows, "id BIGINT, x DOUBLE, y DOUBLE").repartition(5)
+    args = (X, 3, 4, "id", 2.0, 1e-3, 20)
+    want = fcm_chunked(df, *args, mode="local")
+    monkeypatch.setattr(plans, "FOLD_JOB_CELLS", 1600)  # 200 chunks a job
+    sc = spark.sparkContext
+    sc.setJobGroup("fold", "fold")
+    try:
+        got = fcm_chunked(df, *args)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("fold"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got.passes == want.passes == 1000 and jobs < 20
+    assert np.allclose(got.centers, want.centers, atol=1e-9) and np.allclose(got.weights, want.weights)
+    monkeypatch.setattr(plans, "CHUNK_LOCAL_CELLS", 0)
+    few = (X, 3, 1300, "id", 2.0, 1e-3, 8)
+    a, b = fcm_chunked(df, *few), fcm_chunked(df, *few, mode="local")
+    assert a.passes == b.passes == 4 and np.allclose(a.centers, b.centers, atol=1e-9)
