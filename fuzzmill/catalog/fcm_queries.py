@@ -466,7 +466,7 @@ def _it3(spark, sf_dir, mode):
 
 @query("it3_fcm_chunked_customer", _o_it3)
 def it3_fcm_chunked_customer(spark, sf_dir):
-    return _it3(spark, sf_dir, "distributed")
+    return _it3(spark, sf_dir, "local")
 
 
 @query("it3_fcm_chunked_customer_distributed", _o_it3)
@@ -800,6 +800,47 @@ def it4_partial_fcm_blocks_lineitem(spark, sf_dir):
     )
 
 
+HOT_ROWS = 16_000  # at sf0.01 one of the three flags has more rows
+
+
+def _o_it4_hot():
+    """A flag's different points with their copies; those of a hot flag in
+    runs of HOT_ROWS by the hash of the point."""
+    q = osql.Sql()
+    text = "concat_ws('|', " + ", ".join(f"CAST({x} AS VARCHAR)" for x in xs_of(4)) + ")"
+    pts = q.add(pts_sql("lineitem", LINE_X, f", {', '.join(LINE_KEY)}, l_returnflag AS flag"), "pts")
+    seed = osql.seed_first(q, pts, xs_of(4), 3, ", ".join([*LINE_KEY, *xs_of(4)]))
+    each = q.add(
+        f"SELECT flag, {', '.join(xs_of(4))}, count(*) AS w, sum(count(*)) OVER (PARTITION BY flag) AS total, "
+        f"row_number() OVER (PARTITION BY flag ORDER BY md5({text} || '-block'), {', '.join(xs_of(4))}) - 1 AS pos "
+        f"FROM {pts} GROUP BY flag, {', '.join(xs_of(4))}", "each",
+    )
+    blk = q.add(
+        f"SELECT {', '.join(xs_of(4))}, CAST(w AS DOUBLE) AS w, flag || '/' || "
+        f"CAST(CASE WHEN total > {HOT_ROWS} THEN CAST(floor(pos / {HOT_ROWS}) AS BIGINT) ELSE 0 END AS VARCHAR) AS blk FROM {each}", "blk",
+    )
+    seed_b = q.add(f"SELECT s.*, b.blk FROM {seed} s JOIN (SELECT DISTINCT blk, 1 AS one FROM {blk}) b ON s.one = b.one", "seedb")
+    cen = osql.fcm_passes(q, blk, seed_b, 3, 4, M, FEW, weighted=True, block="blk")
+    rows = [
+        f"SELECT split_part(blk, '/', 1) AS block, CAST(split_part(blk, '/', 2) AS BIGINT) AS sub, CAST({i} AS INTEGER) AS c, "
+        + ", ".join(f"round(v{i}_{j}, 4) AS x{j}" for j in range(4)) + f", round(w{i}, 4) AS w FROM {cen}"
+        for i in range(3)
+    ]
+    return q.render("\nUNION ALL\n".join(rows))
+
+
+@query("it4_partial_fcm_hot_key_lineitem", _o_it4_hot)
+def it4_partial_fcm_hot_key_lineitem(spark, sf_dir):
+    """A text key, and a key too large for one block."""
+    li = table(spark, sf_dir, "lineitem")
+    V = resolve_init(li, LINE_X, 3, "first", order_col=LINE_ORDER)
+    parts = partial_fcm(li, LINE_X, V, M, NO_EPS, FEW, block_col="l_returnflag", block_rows=HOT_ROWS, round_weights=False)
+    return parts.select(
+        "block", "sub", "c", *[F.round(F.col("features")[j], 4).alias(f"x{j}") for j in range(4)],
+        F.round("w", 4).alias("w"),
+    )
+
+
 def _o_job():
     q = osql.Sql()
     pts = _line_points(q, "l_linenumber <> 2")

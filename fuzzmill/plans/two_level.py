@@ -8,11 +8,11 @@ Plan at scale:
   coordinates / D), handled by
   ``mapInArrow``: no shuffle of points at all, each task emits C rows per
   block.  With ``block_col`` the blocks are the groups of that key
-  (deterministic, used to replay with SQL): points are shuffled once by
-  the key and every group is clustered by ``applyInArrow``.  A key that
-  holds more than ``block_rows`` rows is split into ceil(n / block_rows)
-  sub-blocks first, so no group is unbounded even when one key holds a
-  third of the table.
+  (the same whatever the layout): points are shuffled once by the key and
+  every group is clustered by ``applyInArrow``.  The points of a key that
+  holds more than ``block_rows`` rows are counted and cut into sub-blocks
+  by a hash of their coordinates first, so no group is unbounded even when
+  one key holds a third of the table.
 * **merge (IT-5)** - weighted FCM over the partial rows (C per block),
   starting from the seeds; distributed passes over a small table.
 * **polish (IT-6)** - weighted FCM of the C merged centres starting at
@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,8 @@ from ..session import scratch_path
 from .fcm import FCMResult, drop_incomplete, resolve_init, seed_centers, weighted_fcm
 
 # A hot-key table (one row per key with more than block_rows rows) is
-# broadcast only up to this many rows; beyond it the join shuffles.
+# broadcast only up to this many rows; beyond it the heaviest are, and the
+# join on the others shuffles.
 BROADCAST_MAX_ROWS = 100_000
 # Default block size: at most this many coordinates (rows x D, ~64 MB of
 # doubles) per block; narrow points get long blocks (few partial rows),
@@ -55,10 +56,10 @@ MERGE_LOCAL_MAX_CELLS = 4_000_000
 NO_WEIGHT = "all partial weights are zero: nothing to merge (round_weights=False keeps small ones)"
 
 
-def partial_schema() -> T.StructType:
+def partial_schema(block: T.DataType | None = None) -> T.StructType:
     return T.StructType(
         [
-            T.StructField("block", T.LongType(), True),
+            T.StructField("block", block or T.LongType(), True),
             T.StructField("sub", T.LongType(), False),
             T.StructField("c", T.IntegerType(), False),
             T.StructField("features", T.ArrayType(T.DoubleType(), False), False),
@@ -69,13 +70,13 @@ def partial_schema() -> T.StructType:
     )
 
 
-def _emit(block, sub: int, V, W, n: int, passes: int) -> pa.RecordBatch:
-    """C partial rows of one block; ``block`` is the key's id (None for a
-    null key), ``sub`` the sub-block of a split hot key (0 otherwise)."""
+def _emit(block: pa.Scalar, sub: int, V, W, n: int, passes: int) -> pa.RecordBatch:
+    """C partial rows of one block; ``block`` is the key itself (typed; may
+    be null), ``sub`` the sub-block of a split hot key (0 otherwise)."""
     C = V.shape[0]
     return pa.RecordBatch.from_pydict(
         {
-            "block": pa.array([block] * C, pa.int64()),
+            "block": pa.repeat(block, C),
             "sub": pa.array([sub] * C, pa.int64()),
             "c": pa.array(range(C), pa.int32()),
             "features": pa.array([list(map(float, r)) for r in V], pa.list_(pa.float64())),
@@ -85,7 +86,7 @@ def _emit(block, sub: int, V, W, n: int, passes: int) -> pa.RecordBatch:
         },
         schema=pa.schema(
             [
-                ("block", pa.int64()),
+                ("block", block.type),
                 ("sub", pa.int64(), False),
                 ("c", pa.int32(), False),
                 ("features", pa.list_(pa.field("element", pa.float64(), False)), False),
@@ -126,9 +127,9 @@ def partial_fcm(
     and with it the answer, follows the input's layout), the rows of one
     ``block_col`` key, or ``blocks`` hash blocks of the coordinates (one
     shuffle; the same blocks whatever the layout).  A key or hash block of
-    more than ``block_rows`` rows is split, by a salt that follows the
-    layout.  ``block`` is the key itself if it is integral, else its
-    xxhash64."""
+    more than ``block_rows`` rows is clustered as its different points with
+    their numbers of copies, in sub-blocks of ``block_rows`` points
+    (``sub_blocks``).  ``block`` is the key itself, of its own type."""
     m = check_m(m)
     V0 = np.asarray(seeds, dtype=float)
     D = V0.shape[1]
@@ -143,11 +144,11 @@ def partial_fcm(
         dealt = F.pmod(lot, F.lit(int(blocks))).alias(block_col)
         pts = Points(pts.df.select(dealt, *pts.xs), pts.dims, False)
 
-    def solve(X, block, sub=0):
-        V, W, passes, _ = kernels.local_fcm(X, None, V0, m, eps, max_iter)
+    def solve(X, block, sub=0, w=None):
+        V, W, passes, _ = kernels.local_fcm(X, w, V0, m, eps, max_iter)
         if round_weights:
             W = np.floor(W + 0.5)
-        return _emit(block, sub, V, W, X.shape[0], passes)
+        return _emit(block, sub, V, W, X.shape[0] if w is None else int(w.sum()), passes)
 
     if block_col is None:
 
@@ -159,7 +160,7 @@ def partial_fcm(
             def flush():
                 nonlocal seq, buf, size
                 X = np.vstack(buf)
-                out = solve(X, (part << 24) | seq)
+                out = solve(X, pa.scalar((part << 24) | seq, pa.int64()))
                 seq += 1
                 buf, size = [], 0
                 return out
@@ -181,50 +182,66 @@ def partial_fcm(
 
         return pts.df.select(*pts.xs).mapInArrow(run, partial_schema())
 
-    # Keyed blocks: split hot keys, then one group per (key, sub-block).
-    # Integral keys are the block id; other key types are hashed to one.
-    kt = pts.df.schema[block_col].dataType.typeName()
-    integral = kt in ("byte", "short", "integer", "long")
-    kc = F.col(block_col)
-    key = kc.cast("long") if integral else F.when(kc.isNotNull(), F.xxhash64(kc))
-    counts = pts.df.groupBy(key.alias("__b")).agg(F.count(F.lit(1)).alias("__cnt"))
-    hot = counts.where(F.col("__cnt") > block_rows).select(
-        F.col("__b").alias("__hb"),
-        F.ceil(F.col("__cnt") / F.lit(block_rows)).cast("long").alias("__nsub"),
-    )
-    path = scratch_path(df.sparkSession, "hot-keys")  # counted once, read by the join
-    hot.write.parquet(path)
-    hot = df.sparkSession.read.schema(hot.schema).parquet(path)
-    n_hot = hot.count()
-    # The salt is fixed at the scan, before any shuffle, so a retried task
-    # deals its rows the same way.
-    salt = F.xxhash64(F.monotonically_increasing_id(), *pts.xs)
-    grouped = pts.df.withColumns({"__b": key, "__salt": salt})
-    if n_hot:
-        side = F.broadcast(hot) if n_hot <= BROADCAST_MAX_ROWS else hot
-        # Null-safe: a null key is one block like any other and is split too.
-        grouped = grouped.join(
-            side, grouped["__b"].eqNullSafe(side["__hb"]), "left"
-        ).drop("__hb").withColumn(
-            "__sub",
-            F.when(
-                F.col("__nsub").isNull(), F.lit(0).cast("long")
-            ).otherwise(F.pmod(F.col("__salt"), F.col("__nsub"))),
-        )
-    else:
-        grouped = grouped.withColumn("__sub", F.lit(0).cast("long"))
+    # Keyed blocks: one group per key, and per sub-block of a hot key.
+    schema = partial_schema(pts.df.schema[block_col].dataType)
+    counts = pts.df.groupBy(block_col).agg(F.count(F.lit(1)).alias("__cnt"))
+    hot = _scratch(counts.where(F.col("__cnt") > block_rows).withColumnRenamed(block_col, "__hot"), "hot-keys")
 
     def run_group(table: pa.Table) -> pa.Table:
-        X = _matrix(table, D)
-        b = table.column("__b")[0].as_py()
-        s = int(table.column("__sub")[0].as_py())
-        return pa.Table.from_batches([solve(X, b, s)])
-
-    return (
-        grouped.select("__b", "__sub", *pts.xs)
-        .groupBy("__b", "__sub")
-        .applyInArrow(run_group, partial_schema())
-    )
+        w = table.column("__n").to_numpy().astype(float) if "__n" in table.column_names else None
+        sub = table.column("__sub")[0].as_py() if w is not None else 0
+        return pa.Table.from_batches([solve(_matrix(table, D), table.column(block_col)[0], sub, w)])
+
+    def clustered(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by).applyInArrow(run_group, schema)
+
+    if hot.isEmpty():
+        return clustered(pts.df, block_col)
+    warm, cold = _split_by_key(pts.df, hot, block_col)
+    return clustered(cold, block_col).unionByName(clustered(sub_blocks(warm, block_col, pts.dims, block_rows), block_col, "__sub"))
+
+
+def _scratch(df: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared scratch folder and read from there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _split_by_key(rows: DataFrame, hot: DataFrame, block_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is in ``hot`` and the others (null-safe).  The
+    heaviest keys are broadcast; a key beyond BROADCAST_MAX_ROWS heavier
+    ones holds a share of the rows too small to hurt a shuffled join."""
+    same = F.col(block_col).eqNullSafe(F.col("__hot"))
+    if hot.count() <= BROADCAST_MAX_ROWS:
+        side = F.broadcast(hot)
+        return rows.join(side, same, "left_semi"), rows.join(side, same, "left_anti")
+    heavy = F.broadcast(_scratch(hot.orderBy(F.desc("__cnt"), "__hot").limit(BROADCAST_MAX_ROWS), "heavy-keys"))
+    light = hot.join(heavy.withColumnRenamed("__hot", "__h"), F.col("__hot").eqNullSafe(F.col("__h")), "left_anti")
+    rest = rows.join(heavy, same, "left_anti")
+    warm = rows.join(heavy, same, "left_semi").unionByName(rest.join(light, same, "left_semi"))
+    return warm, rest.join(light, same, "left_anti")
+
+
+def sub_blocks(rows: DataFrame, block_col: str, dims: int, block_rows: int) -> DataFrame:
+    """The different points of each key with their number of copies ``__n``
+    and ``__sub``: a key's points in the order of a hash of their
+    coordinates, cut every ``block_rows``.  The cut depends on the rows
+    alone, not on their layout, and copies weigh, so a point that stands a
+    million times is one row.  Ranks come from a histogram of hash prefixes
+    per key and the rank within a prefix: no window holds a whole key."""
+    xs = [xname(j) for j in range(dims)]
+    points = rows.groupBy(block_col, *xs).agg(F.count(F.lit(1)).alias("__n"))
+    points = points.withColumn("__lot", hash_key(xs, "block"))
+    points = _scratch(points.withColumn("__pre", F.substring("__lot", 1, 4)), "hot-points")
+    within = Window.partitionBy(block_col, "__pre").orderBy("__lot", *xs)
+    before = Window.partitionBy("__k").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = points.groupBy(F.col(block_col).alias("__k"), F.col("__pre").alias("__p")).agg(F.count(F.lit(1)).alias("__m"))
+    starts = sizes.select("__k", "__p", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__start"))
+    ranked = points.withColumn("__at", F.row_number().over(within) - 1)
+    ranked = ranked.join(starts, F.col(block_col).eqNullSafe(F.col("__k")) & (F.col("__pre") == F.col("__p")))
+    sub = F.floor((F.col("__start") + F.col("__at")) / F.lit(block_rows)).cast("long")
+    return ranked.select(block_col, sub.alias("__sub"), "__n", *xs)
 
 
 def _merge_local(partials: DataFrame, V0, m, eps, max_iter) -> FCMResult:

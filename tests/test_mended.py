@@ -257,3 +257,38 @@ def test_a_thousand_chunks_fold_in_few_jobs(spark, monkeypatch):
     few = (X, 3, 1300, "id", 2.0, 1e-3, 8)
     a, b = fcm_chunked(df, *few), fcm_chunked(df, *few, mode="local")
     assert a.passes == b.passes == 4 and np.allclose(a.centers, b.centers, atol=1e-9)
+
+
+def test_hot_keys_are_cut_alike_whatever_the_layout(spark, monkeypatch):
+    """Text keys (their hashes cannot collide: there are none), a null key,
+    a hot key with very many copies of a point; sub-blocks are bounded and
+    equal at 4 and 16 partitions, by every join."""
+    rng = np.random.default_rng(5)
+    rows = [("hot", float(a), float(b)) for a, b in rng.normal(size=(700, 2))] + [("hot", 3.0, 4.0)] * 900
+    rows += [(None, float(a), float(b)) for a, b in rng.normal(size=(300, 2))]
+    rows += [(f"k{k % 7}", float(a), float(b)) for k, (a, b) in enumerate(rng.normal(size=(90, 2)))]
+    df = spark.createDataFrame(rows, "k STRING, x DOUBLE, y DOUBLE")
+    V = np.array([[0.0, 0.0], [1.0, 1.0]])
+
+    def run(parts):
+        got = partial_fcm(df.repartition(parts), X, V, 2.0, 1e-6, 30, block_col="k", block_rows=100, round_weights=False).collect()
+        return {(r["block"], r["sub"], r["c"]): (r["n"], r["w"], *r["features"]) for r in got}
+
+    a, b = run(4), run(16)
+    assert set(a) == set(b)
+    assert {k for k, *_ in a} == {"hot", None, *(f"k{i}" for i in range(7))}
+    assert {s for k, s, _ in a if k == "hot"} == set(range(8)) and {s for k, s, _ in a if k is None} == {0, 1, 2}
+    assert sum(v[0] for (k, _, c), v in a.items() if k == "hot" and c == 0) == 1600
+    for run_key, v in a.items():
+        assert np.allclose(v, b[run_key], atol=1e-8)
+    # a key of few points is clustered whole, however often they stand
+    few = partial_fcm(df.where("k = 'hot' AND x = 3"), X, V, 2.0, -1.0, 2, block_col="k", block_rows=100, round_weights=False).collect()
+    whole = fcm(df.where("x = 3"), X, 2, 2.0, -1.0, 2, V)
+    assert {r["sub"] for r in few} == {0} and np.allclose([r["features"] for r in sorted(few, key=lambda r: r["c"])], whole.centers)
+    monkeypatch.setattr(two_level, "BROADCAST_MAX_ROWS", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        c = run(4)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert set(c) == set(a) and all(np.allclose(a[k], c[k], atol=1e-8) for k in a)
