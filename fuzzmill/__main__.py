@@ -49,9 +49,10 @@ def main(argv=None) -> None:
         )
         print(res.input_weight)
         return
-    pts = read_points(spark, a.input, a.dims, a.sep)
+    # keyed on the points themselves, as the job is: samples do not depend on splits
+    pts = read_points(spark, a.input, a.dims, a.sep, with_id=False)
     res = sweep(
-        pts, "features", id_col="id", dims=a.dims,
+        pts, "features", id_col="features", dims=a.dims,
         ks=read_grid(spark, a.centers_list, "int"), epsilons=read_grid(spark, a.eps_list),
         k=a.centers, eps=a.eps, samples=a.samples, sample_rows=a.sample_rows,
         repeats=a.repeats, m=a.fuzziness, max_iter=a.iterations, seed_rows=a.count, path=a.output,

@@ -35,7 +35,7 @@ def run_job(
     round_weights: bool = True,
     strict: bool = True,
 ) -> TwoLevelResult:
-    points = read_points(spark, input_path, dims, sep, strict)
+    points = read_points(spark, input_path, dims, sep, strict, with_id=False)
     res = two_level_fcm(
         points, "features", k, m, eps, max_iter, order_col="features", seeds=seeds, blocks=blocks,
         round_weights=round_weights, sample_rows=sample_rows, seed=seed, block_rows=block_rows, dims=dims,

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.indexing import IDX, with_row_index
@@ -28,6 +28,7 @@ from ..functions.text import (
     split_weighted,
     tokenise,
 )
+from ..session import scratch_path
 
 
 def _strict(arr):
@@ -75,14 +76,40 @@ def count_lines(lines: DataFrame, sep: str = DEFAULT_SEP, dims: int | Sequence[i
 
 
 def read_points(
-    spark: SparkSession, path: str, dims: int, sep: str = DEFAULT_SEP, strict: bool = True
+    spark: SparkSession, path: str, dims: int, sep: str = DEFAULT_SEP, strict: bool = True, with_id: bool = True
 ) -> DataFrame:
     """SRC-1: a directory of delimited text, D numbers per line.  Lines of
     another width are dropped; ``strict`` fails on a bad number, otherwise
-    such lines are dropped too.  ``id`` is unique (not dense)."""
+    such lines are dropped too.  ``id`` is the number of the line in the
+    directory (files by path), whatever the split size; it costs a count of
+    lines first, which ``with_id=False`` spares."""
     lines = spark.read.text(path)
-    pts = parse_lines(lines, sep, dims, strict)
-    return pts.select(F.monotonically_increasing_id().alias("id"), "features")
+    if not with_id:
+        return parse_lines(lines, sep, dims, strict).select("features")
+    return parse_lines(line_ids(lines), sep, dims, strict).select("id", "features")
+
+
+#: A table of one row per split is broadcast up to this many rows.
+BROADCAST_MAX_SPLITS = 100_000
+
+
+def line_ids(lines: DataFrame) -> DataFrame:
+    """``value`` and ``id``, the line's number: lines before its split (from
+    one count per split) plus its place in the split.  Lines are neither
+    sorted nor shuffled; a split's lines are read in order by one task."""
+    file, start, pos = POSITION
+    placed = _placed(lines)
+    each = placed.groupBy(file, start).agg(F.count(F.lit(1)).alias("__n"), F.min(pos).alias("__first"))
+    path = scratch_path(lines.sparkSession, "splits")
+    each.write.parquet(path)
+    each = lines.sparkSession.read.schema(each.schema).parquet(path)
+    # one row per split, not per line
+    before = Window.orderBy(file, start).rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    if each.count() <= BROADCAST_MAX_SPLITS:
+        each = F.broadcast(each)
+    numbered = placed.join(each, [file, start])
+    return numbered.select("value", (F.col("__before") + F.col(pos) - F.col("__first")).alias("id"))
 
 
 def _numbered(lines: DataFrame) -> DataFrame:

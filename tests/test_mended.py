@@ -292,3 +292,28 @@ def test_hot_keys_are_cut_alike_whatever_the_layout(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert set(c) == set(a) and all(np.allclose(a[k], c[k], atol=1e-8) for k in a)
+
+
+def test_line_ids_and_sweep_samples_do_not_depend_on_splits(spark, tmp_path):
+    from fuzzmill.plans.sweep import sweep
+    from fuzzmill.sources.points import read_points
+
+    rng = np.random.default_rng(8)
+    lines = [f"{a:.3f} {b:.3f}" for a, b in rng.normal(size=(1500, 2)) * 50]
+    lines[700:900] = ["7.000 7.000"] * 200
+    lines[5] = "1 2 3"
+    (tmp_path / "p").mkdir()
+    for name, part in (("b", lines[600:]), ("a", lines[:600])):
+        (tmp_path / "p" / name).write_text("\n".join(part) + "\n")
+    seen = []
+    for size in ("128m", "3k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        pts = read_points(spark, str(tmp_path / "p"), 2)
+        ids = {r["id"]: tuple(r["features"]) for r in pts.collect()}
+        assert set(ids) == set(range(1500)) - {5}
+        assert all(v == tuple(float(x) for x in lines[i].split()) for i, v in ids.items())
+        bare = read_points(spark, str(tmp_path / "p"), 2, with_id=False)
+        got = sweep(bare, "features", id_col="features", dims=2, ks=[2], epsilons=[], k=2, eps=0.1, sample_rows=200, max_iter=6, algos=("kmeans",))
+        seen.append(got.first()["centers"])
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert np.allclose(seen[0], seen[1], atol=1e-9)
