@@ -3,19 +3,16 @@ streaming chunk fold (ST-1)."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from .. import oracle_sql as osql
 from ..operators import sampling
-from ..operators.indexing import row_index
 from ..operators.passes import centers_df
 from ..plans.kmeans import assign, describe_clusters, fuzzy_kmeans, kmeans
 from ..plans.sweep import sweep
 from ..session import scratch_path
 from ..sources.points import read_grid
-from ..streaming.stream_fcm import stream_fcm
+from ..streaming.stream_fcm import stream_chunks, write_chunks
 from .common import (
     CUST_X,
     FEW,
@@ -329,40 +326,37 @@ def it13_sweep_customer(spark, sf_dir):
 
 # ---- ST-1: the chunk fold as a stream of micro-batches -----------------------------
 
-ST_CHUNKS = 4
+ST_ROWS = 2_500
+ST_CHUNKS = 8  # the SQL folds up to this many
 
 
 def _o_st1():
     q = osql.Sql()
     pts = q.add(pts_sql("events", ["value"], ", event_id"), "pts")
-    seed = osql.seed_first(q, pts, xs_of(1), 3, "event_id")
+    cen = osql.seed_first(q, pts, xs_of(1), 3, "event_id")
     idx = q.add(
-        f"SELECT x0, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / "
-        f"ceil(count(*) OVER () / {ST_CHUNKS}.0)) AS BIGINT) AS chunk FROM {pts}",
-        "idx",
+        f"SELECT x0, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / {ST_ROWS}) AS BIGINT) AS chunk FROM {pts}", "idx"
     )
-    cen = osql.fold(q, idx, seed, 3, 1, M, FEW, ST_CHUNKS)
+    for u in range(ST_CHUNKS):
+        chunk = q.add(f"SELECT * FROM {idx} WHERE chunk = {u}", "chunk")
+        new = osql.fcm_passes(q, chunk, cen, 3, 1, M, FEW)
+        if u:
+            new = osql.fcm_passes(q, osql.centers_as_points(q, [new, cen], 3, 1), new, 3, 1, M, FEW, weighted=True)
+            # past the last chunk the centres stay
+            names = [f"{c}{i}{t}" for i in range(3) for c, t in (("v", "_0"), ("w", ""))]
+            cols = ", ".join(f"CASE WHEN e.n = 0 THEN o.{c} ELSE a.{c} END AS {c}" for c in names)
+            count = f"(SELECT count(*) AS n, 1 AS one FROM {chunk})"
+            new = q.add(f"SELECT {cols}, 1 AS one FROM {new} a JOIN {cen} o ON a.one = o.one JOIN {count} e ON a.one = e.one", "kept")
+        cen = new
     return q.render(osql.output(cen, 3, 1))
 
 
 @query("st1_stream_fcm_events", _o_st1)
 def st1_stream_fcm_events(spark, sf_dir):
-    """Events cut into ST_CHUNKS chunks in event_id order; each chunk lands
-    as one file in a source folder and is folded as one micro-batch."""
+    """Events in chunks of ST_ROWS in event_id order, each a folder that one
+    stream run folds."""
     ev = table(spark, sf_dir, "events").select("event_id", "value")
-    indexed = row_index(ev, "event_id")
-    n = indexed.n
-    rows = max(1, math.ceil(n / ST_CHUNKS))
     src = scratch_path(spark, "events-src")
-    for u in range(math.ceil(n / rows)):
-        part = indexed.slice(u * rows, (u + 1) * rows)
-        part.select("event_id", "value").coalesce(1).write.mode("append").parquet(src)
-    schema = ev.schema
-    res = stream_fcm(
-        spark, src, schema, ["value"], 3, M, NO_EPS, FEW, order_col="event_id",
-        with_history=True,
-    )
-    order = [int(k) for k in res.history]
-    if order != sorted(order):
-        raise RuntimeError(f"micro-batches arrived out of order: {order}")
+    write_chunks(ev, "event_id", ST_ROWS, src)
+    res = stream_chunks(spark, src, ev.schema, ["value"], 3, M, NO_EPS, FEW, order_col="event_id")
     return matrix_out(spark, res.centers, res.weights)

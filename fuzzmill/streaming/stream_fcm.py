@@ -6,6 +6,12 @@ sink is ``foreachBatch``, which is at-least-once: a batch whose state
 already exists is skipped, so a replay after a failure does not fold a
 chunk twice.  Within a batch the FCM passes are ordinary distributed
 jobs over the batch; the {current, previous} merge works on 2C rows.
+
+A table becomes a stream of chunks of a fixed number of rows with
+``write_chunks``: all tasks write into one folder per chunk, and a manifest
+commits them.  ``stream_chunks`` runs one ``availableNow`` stream per folder
+in the manifest's order, so the order of chunks rests on their numbers and
+not on the times of files.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from pyspark.errors import AnalysisException
 
 from ..functions import kernels
 from ..operators.features import Points, spread, to_points
+from ..operators.indexing import IDX, row_index
 from ..operators.passes import check_m, fuzzy_pass
 from ..plans.fcm import FCMResult, drop_incomplete, iterate, resolve_init
 from ..session import scratch_path
@@ -206,3 +213,86 @@ def stream_fcm(
             r["first_key"] for r in full.where(F.col("c") == 0).orderBy("batch").collect()
         ]
     return res
+
+
+# ---- chunks of a table --------------------------------------------------------
+
+_MANIFEST = "rows BIGINT, rows_per_chunk BIGINT, chunks BIGINT"
+
+
+def write_chunks(df: DataFrame, order_col, rows_per_chunk: int, path: str) -> int:
+    """Cut ``df`` in ``order_col`` order into chunks of ``rows_per_chunk``
+    rows (the last may be shorter): one folder each under ``path``/chunks,
+    written by the tasks that hold its rows.  Returns the number of chunks.
+    The manifest is written last; without it the chunks do not count."""
+    rows_per_chunk = int(rows_per_chunk)
+    if rows_per_chunk < 1:
+        raise ValueError("rows_per_chunk must be >= 1")
+    spark = df.sparkSession
+    indexed = row_index(df, order_col)
+    chunk = F.floor(F.col(IDX) / F.lit(rows_per_chunk)).cast("long").alias("chunk")
+    indexed.numbered().select(*df.columns, chunk).write.partitionBy("chunk").parquet(f"{path}/chunks")
+    chunks = -(-indexed.n // rows_per_chunk)
+    manifest = spark.createDataFrame([(indexed.n, rows_per_chunk, chunks)], _MANIFEST)
+    manifest.coalesce(1).write.parquet(f"{path}/manifest")
+    return chunks
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    try:
+        row = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").first()
+    except AnalysisException:
+        row = None
+    if row is None:
+        raise ValueError(f"the chunks under {path} are not complete: there is no manifest")
+    return row.asDict()
+
+
+def stream_chunks(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    features,
+    k: int,
+    m: float = 2.0,
+    eps: float = 1e-3,
+    max_iter: int = 100,
+    *,
+    order_col: str,
+    state_path: str | None = None,
+    init=None,
+    dims: int | None = None,
+) -> FCMResult:
+    """ST-1 over chunks that ``write_chunks`` committed: one stream run per
+    folder, in their order.  Chunks that the state already holds are
+    skipped, so an interrupted fold goes on where it stopped."""
+    m = check_m(m)
+    state_path = state_path or scratch_path(spark, "stream-state")
+    chunks = read_manifest(spark, path)["chunks"]
+    if not chunks:
+        raise ValueError("the point table is empty")
+    for chunk in range(chunks):
+        if _is_done(spark, state_path, chunk):
+            continue
+
+        def sink(batch_df, batch_id, chunk=chunk):
+            if batch_id:
+                raise RuntimeError(f"chunk {chunk} came in several batches")
+            fold_batch(
+                batch_df, chunk, features=features, k=k, m=m, eps=eps, max_iter=max_iter,
+                order_col=order_col, state_path=state_path, init=init, dims=dims,
+            )
+
+        q = (
+            spark.readStream.schema(schema).parquet(f"{path}/chunks/chunk={chunk}")
+            .writeStream.foreachBatch(sink)
+            .option("checkpointLocation", scratch_path(spark, "chunk-ckpt"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    st = read_state(spark, state_path, chunks - 1).orderBy("c").collect()
+    V = np.array([r["features"] for r in st], dtype=float)
+    return FCMResult(V, np.array([r["w"] for r in st], dtype=float), chunks, float("nan"))

@@ -4,6 +4,7 @@ against its DuckDB oracle on the small tables."""
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from fuzzmill.plans.fcm import fcm_chunked
-from fuzzmill.streaming.stream_fcm import fold_batch, read_state, stream_fcm
+from fuzzmill.streaming.stream_fcm import fold_batch, read_state, stream_chunks, stream_fcm, write_chunks
 
 
 def test_stream_equals_chunk_fold_and_is_idempotent(spark, scratch):
@@ -43,6 +44,33 @@ def test_stream_equals_chunk_fold_and_is_idempotent(spark, scratch):
     assert before == after
 
 
+def test_chunk_folders_are_folded_in_number_order(spark, scratch):
+    """Chunks of a fixed size written by all tasks, committed by a manifest;
+    an interrupted fold goes on; file times do not matter."""
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id", "value").repartition(7)
+    n = ev.count()
+    rows = n // 5 - 1
+    src, state = f"{scratch}/chunks", f"{scratch}/chunk-state"
+    assert write_chunks(ev, "event_id", rows, src) == 6
+    sizes = [spark.read.parquet(f"{src}/chunks/chunk={u}").count() for u in range(6)]
+    assert sizes == [rows] * 5 + [n - 5 * rows]
+    assert any(len([f for f in os.listdir(f"{src}/chunks/chunk={u}") if f.startswith("part")]) > 1 for u in range(6))
+    os.utime(f"{src}/chunks/chunk=0", (2**31, 2**31))
+    args = (spark, src, ev.schema, ["value"], 3, 2.0, -1.0, 2)
+    fold_batch(
+        spark.read.parquet(f"{src}/chunks/chunk=0"), 0, features=["value"], k=3, m=2.0, eps=-1.0, max_iter=2,
+        order_col="event_id", state_path=state,
+    )
+    res = stream_chunks(*args, order_col="event_id", state_path=state)
+    ref = fcm_chunked(ev, ["value"], 3, rows, "event_id", 2.0, -1.0, 2, "first")
+    assert res.passes == ref.passes == 6
+    assert np.allclose(res.centers, ref.centers, rtol=1e-9) and np.allclose(res.weights, ref.weights, rtol=1e-9)
+    again = stream_chunks(*args, order_col="event_id", state_path=state)
+    assert np.array_equal(again.centers, res.centers)
+    with pytest.raises(ValueError, match="manifest"):
+        stream_chunks(spark, f"{scratch}/none", *args[2:], order_col="event_id")
+
+
 def _norm(v):
     if isinstance(v, float):
         return round(v, 4) + 0.0
