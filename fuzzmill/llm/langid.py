@@ -10,14 +10,19 @@ classifier's accuracy on the training sample; the nearest codeword wins.
 A text whose two nearest codewords are hardly apart is flagged ambiguous.
 
 Training reads a bounded sample of ``sample_rows`` labelled texts, chosen
-by a hash of the id over the whole table, and sums n-gram counts by
-language in Spark; the driver holds languages x ``BUCKETS`` counts.
+by a hash of the id within each language over the whole table, and sums
+n-gram counts by language in Spark; the driver holds languages x
+``BUCKETS`` counts, a packed row for each of at most ``MAX_LANGUAGES``.
 Scoring is one ``mapInArrow``; nothing is shuffled.
 
 Edge cases: null text and texts without a letter are ``und`` with score 0
 (not ambiguous); ties go to the first language in sorted order; with no
 training text every text is ``und``; with one language every text with a
-letter is that language.
+letter is that language.  Very long texts are read in blocks, with the
+n-grams of the whole text.  Rows that repeat an id are predicted one by
+one, and learned once.  Extra columns are not read (``keep_identified``
+returns them), so their names cannot clash; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -29,10 +34,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import Shipped, fold, sample_by_hash, sliced, stored, table
+from .util import Shipped, fold, sliced, stored, table
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -46,19 +51,22 @@ SEED = 11
 LETTER = re.compile(r"[^\W\d_]").search
 
 
-def ngrams(data: bytes) -> np.ndarray:
-    """Hashed byte n-grams (2, 3 and 4 bytes) of a lower-cased text."""
-    a = np.frombuffer(b" " + data + b" ", np.uint8).astype(np.uint32)
+def ngrams(part: bytes, starts: int | None = None) -> np.ndarray:
+    """Hashed byte n-grams (2, 3 and 4 bytes) that begin in the first
+    ``starts`` bytes (None: anywhere)."""
+    a = np.frombuffer(part, np.uint8).astype(np.uint32)
     two = a[:-1] << 8 | a[1:]
     three = two[:-1] << 8 | a[2:]
     four = three[:-1] << 8 | a[3:]
-    return np.concatenate([(x * np.uint32(k)) >> np.uint32(16) for x, k in ((two, 0x9E3779B1), (three, 0x85EBCA6B), (four, 0xC2B2AE35))])
+    return np.concatenate([(x[:starts] * np.uint32(k)) >> np.uint32(16) for x, k in ((two, 0x9E3779B1), (three, 0x85EBCA6B), (four, 0xC2B2AE35))])
 
 
-def blocks(text: str) -> Iterator[bytes]:
-    data = text.lower().encode()
-    for a in range(0, max(len(data), 1), BLOCK_BYTES):
-        yield data[a : a + BLOCK_BYTES]
+def blocks(text: str) -> Iterator[np.ndarray]:
+    """The n-grams of a lower-cased text, block by block: those that begin
+    in it, so none is lost or added at a border."""
+    data = b" " + text.lower().encode() + b" "
+    for a in range(0, len(data), BLOCK_BYTES):
+        yield ngrams(data[a : a + BLOCK_BYTES + 3], BLOCK_BYTES)
 
 
 def codewords(n: int) -> np.ndarray:
@@ -93,8 +101,7 @@ class LanguageModel:
 
     def raw_margins(self, text: str) -> np.ndarray:
         total, n = np.zeros(self.odds.shape[1]), 0
-        for data in blocks(text):
-            g = ngrams(data)
+        for g in blocks(text):
             total += self.odds[g].sum(axis=0, dtype=np.float64)
             n += len(g)
         return total / max(n, 1)
@@ -116,16 +123,47 @@ class LanguageModel:
         return lang, score, score < AMBIGUOUS
 
 
+def shares(counts: dict, rows: int) -> dict:
+    """How many of each language's ids a sample of ``rows`` takes: all of
+    the rarest, the others alike; at least one of each."""
+    left, out = rows, {}
+    for k, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = max(1, min(counts[lang], left // (len(counts) - k)))
+        left = max(0, left - out[lang])
+    return out
+
+
+def sample_languages(df: DataFrame, lang_col: str, id_col: str, text_col: str, rows: int) -> DataFrame:
+    """(lang, text) of at most ``rows`` ids (more only if there are more
+    languages than rows), one row each (of several texts the largest).  The
+    sample is drawn by a hash of the id within each language, so a rare
+    language is learned whole beside a frequent one."""
+    lang = F.col(lang_col).cast("string").alias("lang")
+    # of an id with several languages the largest counts
+    known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), lang)
+    known = known.groupBy("_id").agg(F.max("lang").alias("lang")).withColumn("h", F.xxhash64(F.lit(7), "_id"))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    spark = df.sparkSession
+    takes = []
+    for name, take in shares(counts, rows).items():
+        part = min(1.0, (take + 8.0 * take**0.5 + 64.0) / counts[name])  # about that many hashes lie below
+        takes.append((name, take, int(-(2**63) + part * (2**64 - 1)) if part < 1 else 2**63 - 1))
+    takes = F.broadcast(spark.createDataFrame(takes, "lang STRING, take BIGINT, below BIGINT"))  # at most MAX_LANGUAGES rows
+    near = known.join(takes, "lang").where(F.col("h") <= F.col("below"))  # a bounded number for each language
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "_id"))
+    ids = near.withColumn("at", place).where(F.col("at") <= F.col("take")).select("_id", "lang")
+    ids = F.broadcast(stored(ids, "langid-ids"))  # the sample's ids
+    named = df.select(F.col(id_col).alias("own"), lang.alias("said"), F.col(text_col).alias("text"))
+    rows = named.join(ids, F.col("own").eqNullSafe(F.col("_id")) & (F.col("said") == F.col("lang")))
+    return rows.groupBy("_id", "lang").agg(F.max("text").alias("text")).select("lang", "text")
+
+
 def train(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Fit on the rows of ``df`` that have a language and a text with a
-    letter: at most ``sample_rows`` ids, by a hash of the id, one row each
-    (of several texts the largest)."""
-    known = df.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
-    ids = sample_by_hash(known, "_id", sample_rows)
-    top = ids.agg(F.max(F.xxhash64(F.lit(7), "_id")).alias("h")).first()["h"]
-    rows = df.where(F.col(lang_col).isNotNull() & (F.xxhash64(F.lit(7), id_col) <= F.lit(top))) if top is not None else df.limit(0)
-    text = F.struct(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.groupBy(F.col(id_col).alias("_id")).agg(F.max(text).alias("_row")).select("_row.*")
+    letter: at most ``sample_rows`` ids (see ``sample_languages``)."""
+    rows = sample_languages(df, lang_col, id_col, text_col, sample_rows)
     rows = stored(rows, "langid-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,23 +173,23 @@ def train(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
                 if text and LETTER(text):
                     total = sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
                     total[BUCKETS] += 1  # texts
-                    for data in blocks(text):
-                        total[:BUCKETS] += np.bincount(ngrams(data), minlength=BUCKETS)
+                    for g in blocks(text):
+                        total[:BUCKETS] += np.bincount(g, minlength=BUCKETS)
         for lang, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at)), "bucket": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
     counts = rows.mapInArrow(count, "lang STRING, bucket INT, n BIGINT").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    packed = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells")).limit(MAX_LANGUAGES + 1).collect()
-    if len(packed) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    packed.sort(key=lambda r: r["lang"])
+
+    def pack(cells: pa.Table) -> pa.Table:
+        own = np.zeros(BUCKETS + 1, np.int64)
+        own[cells["bucket"].to_numpy()] = cells["n"].to_numpy()
+        return pa.table({"lang": pa.array([cells["lang"][0].as_py()], pa.string()), "cells": pa.array([own.tobytes()], pa.binary())})
+
+    # one row of BUCKETS counts for each language
+    packed = sorted(counts.groupBy("lang").applyInArrow(pack, "lang STRING, cells BINARY").collect(), key=lambda r: r["lang"])
     languages = [r["lang"] for r in packed]
-    by = np.zeros((len(languages), BUCKETS))
-    for k, r in enumerate(packed):
-        for c in r["cells"]:
-            if c["bucket"] < BUCKETS:
-                by[k, c["bucket"]] = c["n"]
+    by = np.array([np.frombuffer(r["cells"], np.int64)[:BUCKETS] for r in packed], float).reshape(len(languages), BUCKETS)
     code = codewords(len(languages))
     if len(languages) < 2:
         return LanguageModel(languages, code, np.zeros((BUCKETS, code.shape[1]), np.float32), np.ones(code.shape[1]), np.ones(code.shape[1]))

@@ -16,10 +16,15 @@ Edge cases: null and empty texts have the vector of an empty text and get
 its score; labels other than 0 and 1 are ignored; an id with several labels
 or texts counts once (its largest label and vector); with no labels, or
 labels of one class, every score is that class's rate (0.5 with none).
+Very long texts are counted block by block into one set of counters, with
+the words and lines at a border whole.  Rows that repeat an id are scored
+one by one; equal scores need no order.  Extra columns are not read, so
+their names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,8 +38,8 @@ from .util import Shipped, fold, fresh, sample_by_hash, sliced, table, worker_st
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, RIDGE, MIN_WEIGHT = 80, 4, 0.15, 64, 1.0, 2.0
 KEEP_FROM = 0.3
-#: Statistics are taken over blocks of this many bytes (whole texts of
-#: ordinary length are one block) and averaged by length.
+#: Texts are split into words and lines this many bytes at a time; the
+#: statistics are those of the whole text whatever the size.
 BLOCK_BYTES = 1 << 20
 
 _CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b".", b",", b"!?", b"|", b"#$%&*@^~", b"{}[]<>()=;\\/", b"'\"-_:")
@@ -45,26 +50,57 @@ _OF[128:] = len(_CLASSES) + 1
 N_CLASSES = len(_CLASSES) + 2
 
 
-def _block(data: bytes, compressor) -> np.ndarray:
-    n = len(data)
-    by = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    rates = np.bincount(_OF, weights=by, minlength=N_CLASSES) / n
-    p = by[by > 0] / n
-    words = data.split()
-    lines = data.split(b"\n")
-    nw = max(len(words), 1)
-    size = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1)
-    long = np.fromiter(map(len, lines), np.int64, len(lines))
-    return np.concatenate((
-        rates,
-        [
-            -(p * np.log2(p)).sum(),
-            size.mean(), size.std(), size.max() / n, (size <= 3).mean(), (size >= 12).mean(),
-            len(set(words)) / nw,
-            len(set(lines)) / len(lines), long.mean() / n, long.std() / n, long.max() / n, (long == 0).mean(),
-            len(compressor.compress(data)) / n,
-        ],
-    ))
+class _Sizes:
+    """Lengths of words or lines, and how many of them are different."""
+
+    def __init__(self, short: int, long: int):
+        self.n = self.total = self.squares = self.most = self.short = self.long = 0
+        self.bounds, self.seen = (short, long), set()
+
+    def add(self, items: list[bytes]) -> None:
+        if not items:
+            return
+        size = np.fromiter(map(len, items), np.int64, len(items))
+        self.n += len(items)
+        self.total += int(size.sum())
+        self.squares += int((size * size).sum())
+        self.most = max(self.most, int(size.max()))
+        self.short += int((size <= self.bounds[0]).sum())
+        self.long += int((size >= self.bounds[1]).sum())
+        self.seen.update(items)
+
+    @property
+    def mean(self) -> float:
+        return self.total / max(self.n, 1)
+
+    @property
+    def deviation(self) -> float:
+        return max(self.squares / max(self.n, 1) - self.mean**2, 0.0) ** 0.5
+
+    def share(self, count: int) -> float:
+        return count / max(self.n, 1)
+
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _word_blocks(data: bytes) -> Iterator[bytes]:
+    """Pieces of about BLOCK_BYTES that no word crosses."""
+    at = 0
+    while at < len(data):
+        cut = _BLANK.search(data, at + BLOCK_BYTES)
+        end = cut.start() if cut else len(data)
+        yield data[at:end]
+        at = end
+
+
+def _line_blocks(data: bytes) -> Iterator[bytes]:
+    """Pieces of about BLOCK_BYTES, cut at line breaks."""
+    at = 0
+    while (end := data.find(b"\n", at + BLOCK_BYTES)) >= 0:
+        yield data[at:end]
+        at = end + 1
+    yield data[at:]
 
 
 N_STATISTICS = N_CLASSES + 13 + 2
@@ -81,11 +117,24 @@ def statistics(text: str | None) -> np.ndarray:
     if "quality-zstd" not in store:
         store["quality-zstd"] = zstandard.ZstdCompressor(level=1)
     zip_ = store["quality-zstd"]
-    total = np.zeros(N_CLASSES + 13)
-    for a in range(0, len(data), BLOCK_BYTES):
-        part = data[a : a + BLOCK_BYTES]
-        total += _block(part, zip_) * len(part)
-    return np.concatenate((total / len(data), [np.log1p(len(data)), np.log1p(data.count(b"\n"))]))
+    n = len(data)
+    by = np.zeros(256, np.int64)
+    words, lines = _Sizes(3, 12), _Sizes(0, 1)
+    for part in _word_blocks(data):
+        by += np.bincount(np.frombuffer(part, np.uint8), minlength=256)
+        words.add(part.split())
+    for part in _line_blocks(data):
+        lines.add(part.split(b"\n"))
+    rates = np.bincount(_OF, weights=by, minlength=N_CLASSES) / n
+    p = by[by > 0] / n
+    rest = [
+        -(p * np.log2(p)).sum(),
+        words.mean, words.deviation, words.most / n, words.share(words.short), words.share(words.long), words.share(len(words.seen)),
+        lines.share(len(lines.seen)), lines.mean / n, lines.deviation / n, lines.most / n, lines.share(lines.short),
+        len(zip_.compress(data)) / n,
+        np.log1p(n), np.log1p(lines.n - 1),
+    ]
+    return np.concatenate((rates, rest))
 
 
 @dataclass

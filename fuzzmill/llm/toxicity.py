@@ -27,7 +27,10 @@ the top passages and one short vector a calibration row.  Scoring is one
 Edge cases: null and empty texts have no gain and get the lowest score;
 labels other than 0 and 1 are ignored; of identical labelled texts one
 counts (a toxic one, if any is); with no labels, or labels of one
-class, no window gains and every score is below 0.5.
+class, no window gains and every score is below 0.5.  Very long texts are
+compressed window by window in blocks; rows that repeat an id are scored one
+by one; equal scores need no order.  Extra columns are not read, so their
+names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -169,9 +172,7 @@ def _dictionary(found: Counter) -> bytes:
     """Passages by the text they cover; the best lie nearest the end."""
     out = b""
     for p, n in sorted(found.items(), key=lambda i: (-i[1] * len(i[0]), i[0])):
-        if n < 2 or len(out) + len(p) >= DICT_BYTES:
-            break
-        if p not in out:
+        if n >= 2 and len(out) + len(p) < DICT_BYTES and p not in out:  # a shorter one may still fit
             out = p + b"\0" + out
     return out
 
@@ -185,7 +186,8 @@ def _top_passages(learn: DataFrame, y: int, own: np.ndarray, least: float = 2) -
         own, found = held.get(), Counter()
         for b in sliced(batches):
             for t in b.column(1).to_pylist():
-                found.update(p for p in passages(lowered(t), own) if len(p) <= WINDOW)
+                for p in passages(lowered(t), own):  # long ones in overlapping windows
+                    found.update(p[a : a + WINDOW] for a in range(0, max(len(p) - (WINDOW - STRIDE), 1), STRIDE))
         yield pa.RecordBatch.from_pydict({"passage": pa.array(list(found), pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
 
     cuts = learn.where(F.col("y") == y).mapInArrow(cut, "passage BINARY, n BIGINT").groupBy("passage").agg(F.sum("n").alias("n"))

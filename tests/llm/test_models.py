@@ -57,10 +57,41 @@ def test_quality_of_one_class_and_none(spark, odd, odd_rows, none):
 
 
 def test_statistics_of_blocks(monkeypatch):
-    text = "some words here. and more\n" * 200
-    whole = quality.statistics(text)
-    monkeypatch.setattr(quality, "BLOCK_BYTES", len(text) // 4)
-    assert quality.statistics(text)[: quality.N_CLASSES] == pytest.approx(whole[: quality.N_CLASSES], abs=0.01)
+    """Every statistic of a 3 MB text, whatever the block size."""
+    rng = random.Random(4)
+    words = [f"w{k}" * rng.randint(1, 3) for k in range(3000)]
+    text = "".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\n\n", ". "]) for _ in range(400_000))
+    text += "x" * 50_000 + "\n"
+    seen = []
+    for size in (1 << 30, 1 << 20, 10_007, 64):
+        monkeypatch.setattr(quality, "BLOCK_BYTES", size)
+        seen.append(quality.statistics(text))
+    assert all(np.array_equal(seen[0], s) for s in seen[1:])
+    data = text.encode()
+    sizes = np.array([len(w) for w in data.split()])
+    lines = [len(x) for x in data.split(b"\n")]
+    k = quality.N_CLASSES
+    want = [sizes.mean(), sizes.std(), sizes.max() / len(data), (sizes <= 3).mean(), (sizes >= 12).mean(), len(set(data.split())) / len(sizes)]
+    assert seen[0][k + 1 : k + 7] == pytest.approx(want)
+    want = [len(set(data.split(b"\n"))) / len(lines), np.mean(lines) / len(data), np.std(lines) / len(data), max(lines) / len(data), np.mean(np.array(lines) == 0)]
+    assert seen[0][k + 7 : k + 12] == pytest.approx(want)
+
+
+def test_histogram_splits_match_a_plain_search():
+    """The first tree's root split, by trying every bin edge of every column."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 3)).round(1)
+    y = (x[:, 1] > 0.4).astype(float)
+    forest = quality.fit(x, y, trees=1, depth=1)
+    p = (y.sum() + 0.5) / (len(y) + 1)
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + quality.RIDGE)
+    best = max(
+        ((gain(x[:, j] <= e) + gain(x[:, j] > e), -j, -e) for j in range(3) for e in np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1])))
+    )
+    assert (forest.feature[0, 0], forest.above[0, 0]) == (-best[1], -best[2])
+    for side, leaf in ((x[:, 1] <= forest.above[0, 0], 0), (x[:, 1] > forest.above[0, 0], 1)):
+        assert forest.leaf[0, leaf] == pytest.approx(-quality.RATE * g[side].sum() / (h[side].sum() + quality.RIDGE))
 
 
 # ---- toxicity --------------------------------------------------------------
@@ -140,6 +171,75 @@ def test_language_held_out(spark):
     assert found.count() == 1000 and (x["lang"] == x["lang_pred"]).mean() > 0.97 and x["score"].between(0, 1).all()
 
 
+def plain_grams(text):
+    data = b" " + text.lower().encode() + b" "
+    out = []
+    for n, k in ((2, 0x9E3779B1), (3, 0x85EBCA6B), (4, 0xC2B2AE35)):
+        for i in range(len(data) - n + 1):
+            out.append((int.from_bytes(data[i : i + n], "big") * k & 0xFFFFFFFF) >> 16)
+    return out
+
+
+def test_language_equals_plain(spark):
+    """Counts, log odds, weights and decoding in plain Python."""
+    rng = random.Random(2)
+    words = {"a": "alba cora nema tolo".split(), "b": "brik stak nemt gort".split(), "c": "chu xiao nemu zhe".split()}
+    rows = [(i, " ".join(rng.choice(words[g]) for _ in range(rng.randint(3, 30))), g) for i in range(90) for g in [rng.choice("abc")]]
+    rows += [(100, "alba stak", "a"), (101, None, "b"), (102, "123", "c")]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    model = langid.train(df)
+    got = {r["doc_id"]: r for r in langid.predict(df, model).collect()}
+    known = [(g, plain_grams(t)) for _, t, g in rows if t and any(c.isalpha() for c in t)]
+    langs = sorted({g for g, _ in known})
+    by = {g: [0] * langid.BUCKETS for g in langs}
+    for g, grams in known:
+        for x in grams:
+            by[g][x] += 1
+    rate = {g: [(n + 0.5) / (sum(by[g]) + 0.5 * langid.BUCKETS) for n in by[g]] for g in langs}
+    code = langid.codewords(len(langs)).tolist()
+    bits = range(len(code[0]))
+    odds = []
+    for b in bits:
+        one, two = ([rate[g] for g, c in zip(langs, code) if c[b] == side] for side in (1, -1))
+        odds.append([np.float32(np.log(sum(x) / len(x)) - np.log(sum(z) / len(z))) for x, z in zip(zip(*one), zip(*two))])
+    margins = lambda grams: [sum(float(odds[b][x]) for x in grams) / len(grams) for b in bits]
+    scale = [max(np.mean([abs(sum(r * float(o) for r, o in zip(rate[g], odds[b]))) for g in langs]) / 2, 1e-6) for b in bits]
+    weight = []
+    for b in bits:
+        wrong = sum(margins(x)[b] * code[langs.index(g)][b] <= 0 for g, x in known)
+        e = (wrong + 1) / (len(known) + 2)
+        weight.append(max(np.log((1 - e) / e), 0.1))
+    for i, text, _ in rows[::3] + rows[-3:]:
+        if not text or text == "123":
+            assert (got[i]["lang_pred"], got[i]["score"]) == (langid.UNKNOWN, 0)
+            continue
+        z = [min(max(v / s, -4), 4) for v, s in zip(margins(plain_grams(text)), scale)]
+        loss = sorted((sum(w * np.exp(-c[b] * z[b]) for b, w in zip(bits, weight)), g) for g, c in zip(langs, code))
+        assert got[i]["lang_pred"] == loss[0][1] and got[i]["score"] == pytest.approx(1 - loss[0][0] / loss[1][0], abs=1e-4)
+
+
+def test_ngrams_of_blocks_are_those_of_the_text(monkeypatch):
+    text = "the river runs under the bridge and the people walk by " * 20
+    want = sorted(plain_grams(text))
+    for size in (1 << 20, 100, 7, 4):
+        monkeypatch.setattr(langid, "BLOCK_BYTES", size)
+        assert sorted(np.concatenate(list(langid.blocks(text))).tolist()) == want
+
+
+def test_rare_languages_are_learned(spark):
+    """Six texts of a language beside 3,000 of another, whatever the sample."""
+    en, de = "the river runs under the old bridge", "der fluss und das wasser ist nicht gruen"
+    rows = [(k, f"{en} {k}", "en") for k in range(3000)] + [(9000 + k, f"{de} {k}", "de") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    for size in (300, 7, 2, 20_000):
+        model = langid.train(df, sample_rows=size)
+        assert model.languages == ["de", "en"]
+        assert model.predict("das wasser und der fluss")[0] == "de" and model.predict("under the bridge")[0] == "en"
+    assert langid.shares({"a": 6, "b": 3000}, 300) == {"a": 6, "b": 294}
+    assert langid.shares({"a": 5, "b": 9, "c": 100}, 2) == {"a": 1, "b": 1, "c": 1}
+    assert langid.sample_languages(df, "lang", "doc_id", "text", 300).count() == 300
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 7, 20])
 def test_codewords_differ(n):
     code = langid.codewords(n)

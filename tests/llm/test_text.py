@@ -132,6 +132,26 @@ def test_chat_rewriting_template_is_detected():
     assert flags == [False, False, False, True] and text == render(turns)
 
 
+def test_chat_false_context_is_refused(spark, monkeypatch):
+    """A template that erases assistant turns two turns later, and one that looks
+    back two turns: whole prefixes flag the one, a stated context of one
+    turn is refused for both - unless it is never looked at."""
+    erase = lambda ts: chat.MARKED.render([(r, "" if r == "assistant" and k < len(ts) - 2 else t) for k, (r, t) in enumerate(ts)])
+    back = lambda ts: "".join(f"{r}:{t}:{ts[k - 2][1] if k > 1 else ''};" for k, (r, t) in enumerate(ts))
+    turns = [("user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(9)]
+    assert any(s.rewrites for s in chat.spans(chat.Template(erase), turns))
+    for render in (erase, back):
+        with pytest.raises(ValueError, match="depends on more than"):
+            list(chat.spans(chat.Template(render, context=1), turns))
+    assert list(chat.spans(chat.Template(back, context=2), turns)) == list(chat.spans(chat.Template(back), turns))
+    calls = []
+    counted = chat.Template(lambda ts: calls.append(len(ts)) or chat.MARKED.render(ts), context=1)
+    list(chat.spans(counted, [("user", str(k)) for k in range(1000)]))
+    assert sum(calls) < 12_000  # linear
+    monkeypatch.setattr(chat, "VERIFY_CHARS", 100)
+    assert len(list(chat.spans(chat.MARKED, turns))) == 9
+
+
 def test_chat_empty(spark):
     empty = spark.createDataFrame([], CONV)
     assert chat.format_digests(empty).collect() == [] and chat.format_turns(empty).collect() == []
