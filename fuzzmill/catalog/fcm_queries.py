@@ -34,7 +34,7 @@ from ..operators.passes import (
 )
 from ..plans.fcm import fcm, fcm_chunked, resolve_init, seed_centers
 from ..plans.job import run_job
-from ..plans.two_level import merge_fcm, partial_fcm, polish, two_level_fcm
+from ..plans.two_level import merge_fcm, partial_fcm, polish_table, two_level_fcm
 from ..session import scratch_path
 from ..sources.points import read_centers, read_weighted_centers, write_centers
 from .common import (
@@ -46,6 +46,7 @@ from .common import (
     NO_EPS,
     PART_X,
     PASSES,
+    centers_table_out,
     matrix_out,
     pts_sql,
     query,
@@ -85,46 +86,52 @@ def _dist_sql(i, dims=2):
     return "sqrt(" + " + ".join(_gsq_sql(f"p.x{j}", f"c.v{i}_{j}") for j in range(dims)) + ")"
 
 
+def _o_pairs(select, k: int = 3) -> str:
+    """One row for each customer and centre; ``select(i)`` gives the columns."""
+    q = osql.Sql()
+    pts, seed = seeded_pts(q, "customer", CUST_X, k, "c_custkey", ", c_custkey")
+    pair = f"FROM (SELECT *, 1 AS one FROM {pts}) p JOIN {seed} c ON p.one = c.one"
+    return q.render("\nUNION ALL\n".join(f"SELECT p.c_custkey, CAST({i} AS INTEGER) AS c, {select(i)} {pair}" for i in range(k)))
+
+
+def _pairs(spark, sf_dir, columns):
+    """Every customer with every centre; ``columns(i, v)`` names the values."""
+    V = _seeds(spark, sf_dir)
+    each = [F.struct(*(c.alias(n) for n, c in columns([float(x) for x in v]).items())) for v in V]
+    t = _cust(spark, sf_dir).select("c_custkey", F.posexplode(F.array(*each)).alias("c", "at"))
+    return t.select("c_custkey", F.col("c").cast("int").alias("c"), "at.*")
+
+
 @query(
     "fn1_guarded_sq_customer",
-    lambda: _o_perpoint(
-        f"p.c_custkey, round({_gsq_sql('p.x0', 'c.v0_0')}, 4) AS g0, round({_gsq_sql('p.x1', 'c.v0_1')}, 10) AS g1"
-    ),
+    lambda: _o_pairs(lambda i: f"round({_gsq_sql('p.x0', f'c.v{i}_0')}, 4) AS g0, round({_gsq_sql('p.x1', f'c.v{i}_1')}, 10) AS g1"),
 )
 def fn1_guarded_sq_customer(spark, sf_dir):
-    V = _seeds(spark, sf_dir)
     x = _cust_xy()
-    return _cust(spark, sf_dir).select(
-        "c_custkey",
-        F.round(guarded_sq(x[0], float(V[0, 0])), 4).alias("g0"),
-        F.round(guarded_sq(x[1], float(V[0, 1])), 10).alias("g1"),
-    )
+    return _pairs(spark, sf_dir, lambda v: {"g0": F.round(guarded_sq(x[0], v[0]), 4), "g1": F.round(guarded_sq(x[1], v[1]), 10)})
 
 
 @query(
     "fn2_guarded_distance_customer",
-    lambda: _o_perpoint(f"p.c_custkey, round({_dist_sql(0)}, 4) AS d, round({_dist_sql(0)}, 4) AS d_arr"),
+    lambda: _o_pairs(lambda i: f"round({_dist_sql(i)}, 4) AS d, round({_dist_sql(i)}, 4) AS d_arr"),
 )
 def fn2_guarded_distance_customer(spark, sf_dir):
-    V = _seeds(spark, sf_dir)
     x = _cust_xy()
-    arr_v = F.array(*[F.lit(float(v)) for v in V[0]])
-    return _cust(spark, sf_dir).select(
-        "c_custkey",
-        F.round(guarded_distance(x, V[0]), 4).alias("d"),
-        F.round(guarded_distance_arrays(F.array(*x), arr_v), 4).alias("d_arr"),
+    return _pairs(
+        spark, sf_dir,
+        lambda v: {
+            "d": F.round(guarded_distance(x, v), 4),
+            "d_arr": F.round(guarded_distance_arrays(F.array(*x), F.array(*map(F.lit, v))), 4),
+        },
     )
 
 
 @query(
     "fn3_powered_customer",
-    lambda: _o_perpoint(f"p.c_custkey, round(pow({_dist_sql(1)}, {2.0 / (2.5 - 1.0)!r}), 4) AS p"),
+    lambda: _o_pairs(lambda i: f"round(pow({_dist_sql(i)}, {2.0 / (2.5 - 1.0)!r}), 4) AS p"),
 )
 def fn3_powered_customer(spark, sf_dir):
-    V = _seeds(spark, sf_dir)
-    return _cust(spark, sf_dir).select(
-        "c_custkey", F.round(powered(guarded_distance(_cust_xy(), V[1]), 2.5), 4).alias("p")
-    )
+    return _pairs(spark, sf_dir, lambda v: {"p": F.round(powered(guarded_distance(_cust_xy(), v), 2.5), 4)})
 
 
 def _o_fn4():
@@ -174,16 +181,11 @@ def fn6_round_weight_lineitem(spark, sf_dir):
 
 @query(
     "fn7_abs_shift_customer",
-    lambda: _o_perpoint("p.c_custkey, round(abs(p.x0 - c.v0_0), 4) AS a0, round(abs(p.x1 - c.v0_1), 4) AS a1"),
+    lambda: _o_pairs(lambda i: f"round(abs(p.x0 - c.v{i}_0), 4) AS a0, round(abs(p.x1 - c.v{i}_1), 4) AS a1"),
 )
 def fn7_abs_shift_customer(spark, sf_dir):
-    V = _seeds(spark, sf_dir)
     x = _cust_xy()
-    return _cust(spark, sf_dir).select(
-        "c_custkey",
-        F.round(abs_shift(x[0], float(V[0, 0])), 4).alias("a0"),
-        F.round(abs_shift(x[1], float(V[0, 1])), 4).alias("a1"),
-    )
+    return _pairs(spark, sf_dir, lambda v: {"a0": F.round(abs_shift(x[0], v[0]), 4), "a1": F.round(abs_shift(x[1], v[1]), 4)})
 
 
 def _o_jn1():
@@ -584,10 +586,11 @@ def _o_it6():
 
 @query("it6_polish_customer", _o_it6)
 def it6_polish_customer(spark, sf_dir):
+    """The merged centres as a written table, polished as one."""
     V, parts = _partials(spark, sf_dir)
-    merged = merge_fcm(parts, V, M, NO_EPS, FEW)
-    res = polish(spark, merged.centers, merged.weights, M, NO_EPS, FEW)
-    return matrix_out(spark, res.centers, res.weights)
+    path = scratch_path(spark, "merged")
+    write_centers(merge_fcm(parts, V, M, NO_EPS, FEW).to_df(spark), path, "parquet")
+    return centers_table_out(polish_table(spark.read.parquet(path), M, NO_EPS, FEW), 2)
 
 
 # ---- IT-8 and IT-7: seeding from a coin-flip sample, then the whole two-level plan ----------

@@ -31,6 +31,7 @@ from ..operators.passes import (
     max_shift,
     new_centers,
 )
+from ..session import loop_frame
 
 
 @dataclass
@@ -151,7 +152,9 @@ def fcm(
         pts = Points(spread(pts.df), pts.dims, pts.weighted)
         pts.df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        res = iterate(lambda V: fuzzy_pass(pts, V, m, engine), V0, eps, max_iter)
+        with loop_frame(pts.df) as rows:
+            loop = Points(rows, pts.dims, pts.weighted)
+            res = iterate(lambda V: fuzzy_pass(loop, V, m, engine), V0, eps, max_iter)
     finally:
         if cache:
             pts.df.unpersist()
@@ -187,7 +190,9 @@ def weighted_fcm(
     pts = to_points(centers_table.where(F.col("w") != 0), "features", V0.shape[1], "w")
     pts.df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return iterate(lambda V: fuzzy_pass(pts, V, m, engine), V0, eps, max_iter)
+        with loop_frame(pts.df) as rows:
+            loop = Points(rows, pts.dims, pts.weighted)
+            return iterate(lambda V: fuzzy_pass(loop, V, m, engine), V0, eps, max_iter)
     finally:
         pts.df.unpersist()
 

@@ -27,6 +27,7 @@ from ..functions import kernels
 from ..functions.fcm_math import sq_distance_sql
 from ..operators.features import Points, spread, to_points, xname
 from ..operators.passes import EXPR_MAX_CELLS, LONG_SCHEMA, collect_cells, long_partials, splits
+from ..session import loop_frame
 from .fcm import FCMResult, drop_incomplete, fcm, resolve_init
 
 
@@ -109,24 +110,29 @@ def kmeans(
         pts = Points(spread(pts.df), pts.dims, False)
         pts.df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        passes = 0
-        while True:
-            sums, counts = kmeans_pass(pts, V)
-            if np.isnan(sums).any() or np.isinf(sums).any():
-                raise ValueError("a pass produced NaN: the points contain NaN or infinite values")
-            new = V.copy()
-            ok = counts > 0
-            new[ok] = sums[ok] / counts[ok, None]
-            moved = float(np.sqrt(((new - V) ** 2).sum(axis=1)).max())
-            V = new
-            passes += 1
-            if moved <= eps or passes >= max_iter:
-                return FCMResult(V, counts, passes, moved, int(counts.sum()))
+        with loop_frame(pts.df) as rows:
+            return _kmeans_loop(Points(rows, pts.dims, False), V, eps, max_iter)
     finally:
         if cache:
             pts.df.unpersist()
 
 
+def _kmeans_loop(pts: Points, V: np.ndarray, eps: float, max_iter: int) -> FCMResult:
+    passes = 0
+    while True:
+        sums, counts = kmeans_pass(pts, V)
+        if np.isnan(sums).any() or np.isinf(sums).any():
+            raise ValueError("a pass produced NaN: the points contain NaN or infinite values")
+        new = V.copy()
+        ok = counts > 0
+        new[ok] = sums[ok] / counts[ok, None]
+        moved = float(np.sqrt(((new - V) ** 2).sum(axis=1)).max())
+        V = new
+        passes += 1
+        if moved <= eps or passes >= max_iter:
+            return FCMResult(V, counts, passes, moved, int(counts.sum()))
+
+
 def assign(
     df: DataFrame, features, centers, id_col: str, dims: int | None = None, engine: str = "auto"
 ) -> DataFrame:

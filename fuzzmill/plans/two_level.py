@@ -327,6 +327,19 @@ def polish(
     return FCMResult(Vn, W, passes, moved, int(keep.sum()))
 
 
+def polish_table(merged: DataFrame, m: float = 2.0, eps: float = 1e-3, max_iter: int = 100, engine: str = "auto") -> DataFrame:
+    """IT-6 from table to table: a weighted centre table ``(c, features, w)``
+    of any size is clustered by distributed weighted passes that start at
+    its own centres; the result is a centre table like it.  ``polish`` does
+    the same in place for centres that the caller already holds."""
+    rows = merged.orderBy("c").select("features").collect()  # the starting centres: C rows
+    if not rows:
+        raise ValueError("there are no centres to polish")
+    V = np.array([r["features"] for r in rows], dtype=float)
+    res = weighted_fcm(merged.select("features", "w"), len(V), m, eps, max_iter, V, engine)
+    return res.to_df(merged.sparkSession)
+
+
 @dataclass
 class TwoLevelResult(FCMResult):
     seeds: np.ndarray | None = None

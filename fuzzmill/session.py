@@ -13,6 +13,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +68,27 @@ def estimated_tasks(df: DataFrame) -> int:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the checkpoint folder for one job's scratch table."""
     return os.path.join(checkpoint_dir(spark), f"fuzzmill-{name}-{uuid.uuid4().hex[:12]}")
+
+
+def loop_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` but without adaptive
+    planning: a pass is one aggregate of known size, and planned at once it
+    is one job instead of one for each of its stages.  The settings of
+    ``spark`` itself stay as they are; cached tables are shared."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    return own
+
+
+@contextmanager
+def loop_frame(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as seen from a ``loop_session``, for the passes of a loop."""
+    name = f"fuzzmill_{uuid.uuid4().hex}"
+    df.createGlobalTempView(name)
+    try:
+        yield loop_session(df.sparkSession).table(f"global_temp.{name}")
+    finally:
+        df.sparkSession.catalog.dropGlobalTempView(name)
