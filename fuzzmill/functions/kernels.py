@@ -56,6 +56,29 @@ def _sums_t(xt: np.ndarray, w, V: np.ndarray, m: float, e: float):
     return um @ xt.T, um.sum(axis=1)
 
 
+def memberships_t(xt, w, V: np.ndarray, m: float) -> list[np.ndarray]:
+    """w * u_i^m of every point for each centre, from coordinate arrays: the
+    value of a point does not depend on the points beside it."""
+    e = 2.0 / (m - 1.0)
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        d2 = []
+        for v in V:
+            acc = np.zeros(len(xt[0]))
+            for x, c in zip(xt, v):
+                diff = x - c
+                acc += np.where(diff == 0.0, GUARD, diff * diff)
+            d2.append(acc)
+        out = []
+        for i in range(len(V)):
+            ratio = np.zeros(len(xt[0]))
+            for j in range(len(V)):
+                r = d2[i] / d2[j]
+                ratio += r if e == 2.0 else r ** (e / 2.0)
+            um = 1.0 / (ratio * ratio) if m == 2.0 else ratio ** (-m)
+            out.append(um if w is None else um * w)
+    return out
+
+
 def _sums_dense(x: np.ndarray, w, V: np.ndarray, m: float, e: float):
     """The same sums for a small block given as n x D, in one n x C x D
     step (few numpy calls: best when the block is small)."""

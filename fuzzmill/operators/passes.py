@@ -262,6 +262,100 @@ def fuzzy_pass(points: Points, centers, m: float, engine: str = "auto") -> PassR
     return PassResult(sums, wts, n)
 
 
+# ---- order-free sums -----------------------------------------------------------
+
+#: Bits of a slice, and slices of a term: sums of whole numbers below
+#: 2**SLICE stay exact for 2**43 rows.
+SLICE, SLICES = 20, 3
+
+
+def term_exponents(points: Points) -> list[int]:
+    """For each coordinate and, last, the weight: an e such that no term of
+    its sums (membership x weight x coordinate) reaches 2**e.  One job."""
+    most = [F.max(F.abs(x)) for x in points.xs] + [F.max(F.abs(points.w)) if points.weighted else F.lit(1.0)]
+    row = points.df.agg(*(c.alias(f"m{j}") for j, c in enumerate(most))).first()
+    m = [float(v or 0.0) for v in row]
+    if not np.isfinite(m).all():
+        raise ValueError("a pass produced NaN: the points contain NaN or infinite values")
+    bounds = [v * m[-1] for v in m[:-1]] + [m[-1]]
+    return [int(np.frexp(v)[1]) for v in bounds]
+
+
+def _whole(slices: Sequence[int], e: int) -> float:
+    """The number whose slice sums these are, rounded once."""
+    total = 0
+    for v in slices:
+        total = (total << SLICE) + int(v)
+    return float(np.ldexp(float(total), e - SLICE * SLICES))
+
+
+def order_free_pass(points: Points, centers, m: float, exponents: Sequence[int], engine: str = "auto") -> PassResult:
+    """``fuzzy_pass`` whose result does not depend on how rows are dealt or
+    in which order partial sums meet.  Every term is cut into whole numbers
+    of SLICE bits (exact in doubles, since the scale is a power of two), the
+    slices are summed as integers, and the total is rounded once.  A term
+    keeps SLICE x SLICES bits below the largest possible one."""
+    m = check_m(m)
+    V = np.asarray(centers, dtype=float)
+    C, D = V.shape
+    if engine == "auto":
+        engine = "expr" if V.size <= EXPR_MAX_CELLS else "arrow"
+    cells = [(i, j) for i in range(C) for j in range(D + 1)]
+    scale = [float(np.ldexp(1.0, SLICE - e)) for e in exponents]
+    if engine == "expr":
+        step = f"{float(1 << SLICE)!r}D"
+        terms = [f"__u{i} * {xname(j)} * {scale[j]!r}D" if j < D else f"__u{i} * {scale[D]!r}D" for i, j in cells]
+        df = _memberships(points, V, m).selectExpr(*(f"{t} AS t{k}" for k, t in enumerate(terms)))
+        names = [f"t{k}" for k in range(len(cells))]
+        for q in range(SLICES):  # split the whole part off, scale the rest up
+            done = [c for c in df.columns if c not in names]
+            whole = [f"CAST(FLOOR({t}) AS BIGINT) AS {t}_{q}" for t in names]
+            df = df.selectExpr(*done, *whole, *(f"({t} - FLOOR({t})) * {step} AS {t}" for t in names))
+        df = df.drop(*names)
+        row = df.selectExpr(*(f"SUM({c}) AS {c}" for c in df.columns), "COUNT(1) AS n").collect()[0]
+        found, n = [[row[f"t{k}_{s}"] or 0 for s in range(SLICES)] for k in range(len(cells))], int(row["n"])
+    elif engine == "arrow":
+        found, n = _order_free_arrow(points, V, m, scale)
+    else:
+        raise ValueError(f"unknown engine {engine!r}")
+    if n == 0:
+        raise ValueError("the point table is empty")
+    values = np.array([_whole(f, exponents[j]) for f, (_, j) in zip(found, cells)]).reshape(C, D + 1)
+    return PassResult(values[:, :D], values[:, D], n)
+
+
+def _order_free_arrow(points: Points, V: np.ndarray, m: float, scale: Sequence[float]):
+    C, D = V.shape
+    size, weighted = C * (D + 1), points.weighted
+
+    def run(batches):
+        total, n = np.zeros((size, SLICES), np.int64), 0
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            xt = [rb.column(xname(j)).to_numpy(zero_copy_only=False).astype(float) for j in range(D)]
+            w = rb.column(W).to_numpy(zero_copy_only=False).astype(float) if weighted else None
+            um = kernels.memberships_t(xt, w, V, m)
+            for i in range(C):
+                for j in range(D + 1):
+                    t = (um[i] * xt[j] if j < D else um[i]) * scale[j]
+                    for s in range(SLICES):
+                        whole = np.floor(t)
+                        total[i * (D + 1) + j, s] += int(whole.astype(np.int64).sum())
+                        t = (t - whole) * float(1 << SLICE)
+            n += rb.num_rows
+        cells = np.append(total.ravel(), n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells.size, dtype=np.int32)), pa.array(cells)], names=["cell", "v"])
+
+    cols = [*points.xs] + ([points.w] if points.weighted else [])
+    partials = points.df.select(*cols).mapInArrow(run, "cell INT, v BIGINT")
+    rows = partials.groupBy("cell").agg(F.sum("v").alias("v")).collect()  # C x (D + 1) x SLICES + 1 rows
+    out = np.zeros(size * SLICES + 1, object)
+    for r in rows:
+        out[r["cell"]] = int(r["v"])
+    return out[:-1].reshape(size, SLICES).tolist(), int(out[-1])
+
+
 def new_centers(result: PassResult, old) -> np.ndarray:
     """AG-4: ratio of sums; a centre with zero weight keeps its position."""
     return kernels.update(result.sums, result.weights, np.asarray(old, dtype=float))

@@ -30,6 +30,8 @@ from ..operators.passes import (
     fuzzy_pass,
     max_shift,
     new_centers,
+    order_free_pass,
+    term_exponents,
 )
 from ..session import loop_frame
 
@@ -137,10 +139,14 @@ def fcm(
     dims: int | None = None,
     engine: str = "auto",
     cache: bool = True,
+    order_free: bool = False,
 ) -> FCMResult:
     """IT-2: FCM over a whole table, every pass exact over all rows.
 
     ``eps < 0`` runs exactly ``max_iter`` passes (a shift is never < 0).
+    ``order_free`` sums so that the result is the same to the last bit
+    however the rows are dealt (one more job, for the largest coordinates,
+    and about three times the additions).
     """
     m = check_m(m)
     V0 = resolve_init(
@@ -154,7 +160,11 @@ def fcm(
     try:
         with loop_frame(pts.df) as rows:
             loop = Points(rows, pts.dims, pts.weighted)
-            res = iterate(lambda V: fuzzy_pass(loop, V, m, engine), V0, eps, max_iter)
+            step = lambda V: fuzzy_pass(loop, V, m, engine)
+            if order_free:
+                exponents = term_exponents(loop)
+                step = lambda V: order_free_pass(loop, V, m, exponents, engine)
+            res = iterate(step, V0, eps, max_iter)
     finally:
         if cache:
             pts.df.unpersist()

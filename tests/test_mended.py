@@ -317,3 +317,45 @@ def test_line_ids_and_sweep_samples_do_not_depend_on_splits(spark, tmp_path):
         seen.append(got.first()["centers"])
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert np.allclose(seen[0], seen[1], atol=1e-9)
+
+
+@pytest.mark.parametrize("engine", ["expr", "arrow"])
+def test_order_free_sums_are_equal_to_the_last_bit(spark, engine):
+    """Values over ten orders of magnitude, 40 passes, any partitioning."""
+    rng = np.random.default_rng(4)
+    rows = [(float(s * 10.0**a), float(b), float(w)) for s, a, b, w in zip(
+        rng.choice([-1, 1], 3000), rng.uniform(-4, 6, 3000), rng.normal(size=3000) * 50, rng.integers(1, 9, 3000))]
+    df = spark.createDataFrame(rows, "x DOUBLE, y DOUBLE, w DOUBLE")
+    V = np.array([[0.0, 0.0], [1e5, 3.0], [-1e5, -7.0]])
+    args = dict(engine=engine, cache=False, weight="w")
+    runs = [fcm(df.repartition(p), X, 3, 2.0, -1.0, 40, V, order_free=True, **args) for p in (1, 7, 64)]
+    for r in runs[1:]:
+        assert np.array_equal(r.centers, runs[0].centers) and np.array_equal(r.weights, runs[0].weights)
+    plain = fcm(df, X, 3, 2.0, -1.0, 40, V, **args)
+    assert np.allclose(plain.centers, runs[0].centers, rtol=1e-6) and np.allclose(plain.weights, runs[0].weights, rtol=1e-6)
+
+
+def test_a_pass_is_one_job_and_the_session_is_left_alone(spark, odd_keys):
+    V = np.array([[0.0, 0.0], [1.0, 1.0]])
+    sc, before = spark.sparkContext, dict(spark.conf.getAll)
+    for run in (lambda: fcm(odd_keys, X, 2, 2.0, -1.0, 9, V, engine="expr"), lambda: kmeans(odd_keys, X, 2, -1.0, 9, V)):
+        sc.setJobGroup("loop", "loop")
+        done = len(sc.statusTracker().getJobIdsForGroup("loop"))
+        try:
+            run()
+            jobs = len(sc.statusTracker().getJobIdsForGroup("loop")) - done
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        assert jobs <= 9 + 2
+    assert dict(spark.conf.getAll) == before
+    assert not [t for t in spark.catalog.listTables("global_temp") if t.name.startswith("fuzzmill_")]
+
+
+def test_polish_of_a_table(spark):
+    from fuzzmill.operators.passes import centers_df
+    from fuzzmill.plans.two_level import polish, polish_table
+
+    V, w = np.array([[0.0, 1.0], [5.0, 2.0], [9.0, 9.0]]), np.array([3.0, 0.0, 2.0])
+    want = polish(spark, V, w, 2.0, 1e-6, 30)
+    got = polish_table(centers_df(spark, V, w).repartition(3), 2.0, 1e-6, 30).orderBy("c").collect()
+    assert np.allclose([r["features"] for r in got], want.centers) and np.allclose([r["w"] for r in got], want.weights)
