@@ -4,7 +4,8 @@ Prints one JSON line:
 {"metric": "total_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ..., ...}
 
 Runs (same points, seeds and eps for every algorithm on a table):
-  two_level_*  IT-7  sample + seed + partial per block + merge + polish
+  two_level_*  IT-7  sample + seed + partial per block + merge + polish; blocks are runs of
+               rows as they lie (no shuffle), with _hash_ blocks of the points' hash
   fcm_*        IT-2  exact FCM, every pass over the whole table
   kmeans_*     IT-9  hard k-means
   job_text_*   SRC-1 -> IT-7 -> SNK-2/3 from delimited text
@@ -38,6 +39,8 @@ LINE_ID = ["l_orderkey", "l_linenumber"]
 EPS = 5e-4
 SAMPLE_ROWS = 3_000
 MAX_ITER = 100
+#: Rows of a block that is a run of rows.
+BLOCK_ROWS = 100_000
 #: Hash blocks of the two-level runs on lineitem: a fixed make-up, a few for each core.
 BLOCKS = 32
 #: Fuzziness on 64 dimensions: at 1.5 all centres fall together.
@@ -122,7 +125,10 @@ def main():
     # data's spread (sqrt of the summed coordinate variances).
     tl = timed("two_level_lineitem_c3", lambda: two_level_fcm(
         li, LINE_X, 3, 2.0, EPS, MAX_ITER, order_col=LINE_ORDER, id_col=LINE_ID,
-        sample_rows=SAMPLE_ROWS, seed=1, blocks=BLOCKS))
+        sample_rows=SAMPLE_ROWS, seed=1, block_rows=BLOCK_ROWS))
+    timed("two_level_hash_lineitem_c3", lambda: two_level_fcm(
+        li, LINE_X, 3, 2.0, EPS, MAX_ITER, order_col=LINE_ORDER, id_col=LINE_ID,
+        sample_rows=SAMPLE_ROWS, seed=1, blocks=BLOCKS), runs=1)
     ex = timed("fcm_lineitem_c3", lambda: fcm(li, LINE_X, 3, 2.0, EPS, MAX_ITER, tl.seeds))
     timed("kmeans_lineitem_c3", lambda: kmeans(li, LINE_X, 3, EPS, MAX_ITER, tl.seeds))
     timed("fuzzy_kmeans_lineitem_c3", lambda: fuzzy_kmeans(li, LINE_X, 3, EPS, MAX_ITER, id_col=LINE_ID, seed=1), runs=1)
@@ -136,13 +142,15 @@ def main():
         .write.text(text_in)
     timed("job_text_lineitem_c3", lambda: run_job(
         spark, text_in, scratch_path(spark, "bench-out"), 3, 4, EPS, 2.0, " ",
-        SAMPLE_ROWS, MAX_ITER, seed=1, blocks=BLOCKS))
+        SAMPLE_ROWS, MAX_ITER, seed=1, block_rows=BLOCK_ROWS))
 
     tle = timed("two_level_embeddings_c10", lambda: two_level_fcm(
         emb, "embedding", 10, EMB_M, EPS, MAX_ITER, order_col="vec_id", sample_rows=SAMPLE_ROWS,
-        seed=1, dims=64, blocks=8))
+        seed=1, dims=64, unique_id=True))
     exe = timed("fcm_embeddings_c10", lambda: fcm(emb, "embedding", 10, EMB_M, EPS, MAX_ITER, tle.seeds, dims=64))
     timed("kmeans_embeddings_c10", lambda: kmeans(emb, "embedding", 10, EPS, MAX_ITER, tle.seeds, dims=64))
+    # the same loop inside one task: the table is small
+    timed("kmeans_local_embeddings_c10", lambda: kmeans(emb, "embedding", 10, EPS, MAX_ITER, tle.seeds, dims=64, mode="local"))
     info["two_level_embeddings_c10"]["deviation_from_exact"] = deviation(
         tle.centers, exe.centers, spread_of(emb, "embedding", 64))
 
@@ -154,7 +162,7 @@ def main():
         for name, fn in (
             ("two_level_lineitem_c3", lambda: two_level_fcm(
                 li_s, LINE_X, 3, 2.0, EPS, MAX_ITER, order_col=LINE_ORDER, id_col=LINE_ID,
-                sample_rows=SAMPLE_ROWS, seed=1, blocks=BLOCKS)),
+                sample_rows=SAMPLE_ROWS, seed=1, block_rows=BLOCK_ROWS)),
             ("fcm_lineitem_c3", lambda: fcm(li_s, LINE_X, 3, 2.0, EPS, MAX_ITER, tl.seeds)),
         ):
             t0 = time.perf_counter()

@@ -100,12 +100,19 @@ def kmeans(
     seed=0,
     dims: int | None = None,
     cache: bool = True,
+    mode: str = "distributed",
 ) -> FCMResult:
     """IT-9: hard k-means from given (or LM-5 random) seeds.  ``weights``
     of the result are the cluster sizes of the last pass.  ``cache=False``
-    re-reads the pruned table every pass instead of keeping it."""
+    re-reads the pruned table every pass instead of keeping it.
+    ``mode='local'`` runs all passes inside one task, for a table known to
+    be small (as a sample is)."""
     V = resolve_init(df, features, k, init, order_col=order_col, id_col=id_col, seed=seed, dims=dims)
     pts = drop_incomplete(to_points(df, features, V.shape[1]))
+    if mode == "local":
+        return _kmeans_local(pts, V, eps, max_iter)
+    if mode != "distributed":
+        raise ValueError(f"unknown mode {mode!r}")
     if cache:
         pts = Points(spread(pts.df), pts.dims, False)
         pts.df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -117,10 +124,39 @@ def kmeans(
             pts.df.unpersist()
 
 
+def _kmeans_local(pts: Points, V: np.ndarray, eps: float, max_iter: int) -> FCMResult:
+    """The loop inside one task."""
+    D = pts.dims
+
+    def run(table: pa.Table) -> pa.Table:
+        X = np.column_stack([table.column(xname(j)).to_numpy() for j in range(D)]).astype(float, copy=False)
+        r = _kmeans_steps(lambda C_: kernels.kmeans_sums(X, C_), V, eps, max_iter)
+        k = len(r.centers)
+        return pa.table(
+            {
+                "c": pa.array(range(k), pa.int32()), "features": pa.array(r.centers.tolist(), pa.list_(pa.float64())),
+                "w": pa.array(r.weights, pa.float64()), "passes": pa.array([r.passes] * k, pa.int32()),
+                "shift": pa.array([r.shift] * k, pa.float64()),
+            }
+        )
+
+    rows = pts.df.select(F.lit(0).alias("__g"), *pts.xs).groupBy("__g")
+    got = rows.applyInArrow(run, "c INT, features ARRAY<DOUBLE>, w DOUBLE, passes INT, shift DOUBLE").collect()
+    if not got:
+        return _kmeans_steps(lambda C_: (np.zeros(C_.shape), np.zeros(len(C_))), V, eps, max_iter)
+    got.sort(key=lambda r: r["c"])
+    centers, counts = np.array([r["features"] for r in got]), np.array([r["w"] for r in got])
+    return FCMResult(centers, counts, got[0]["passes"], got[0]["shift"], int(counts.sum()))
+
+
 def _kmeans_loop(pts: Points, V: np.ndarray, eps: float, max_iter: int) -> FCMResult:
+    return _kmeans_steps(lambda C_: kmeans_pass(pts, C_), V, eps, max_iter)
+
+
+def _kmeans_steps(step, V: np.ndarray, eps: float, max_iter: int) -> FCMResult:
     passes = 0
     while True:
-        sums, counts = kmeans_pass(pts, V)
+        sums, counts = step(V)
         if np.isnan(sums).any() or np.isinf(sums).any():
             raise ValueError("a pass produced NaN: the points contain NaN or infinite values")
         new = V.copy()

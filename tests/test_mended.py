@@ -180,6 +180,8 @@ def test_kmeans_without_cache_is_equal(odd_keys):
     V = np.array([[0.0, 0.0], [1.0, 1.0]])
     a, b = (kmeans(odd_keys, X, 2, -1.0, 4, V, cache=c) for c in (True, False))
     assert np.allclose(a.centers, b.centers)
+    c = kmeans(odd_keys, X, 2, -1.0, 4, V, mode="local")
+    assert np.allclose(a.centers, c.centers) and np.allclose(a.weights, c.weights) and c.passes == a.passes == 4 and c.n == a.n
 
 
 def test_text_lines_are_split_once(spark, scratch):
