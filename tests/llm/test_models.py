@@ -111,6 +111,19 @@ def toxic_rows():
     return rows, labels
 
 
+def test_toxicity_held_out(spark):
+    """All four languages; sf0.1, where each has toxic held-out texts."""
+    sf = SF.replace("0.01", "0.1")
+    found = toxicity.op4_toxicity(spark, sf).where("held_out")
+    lang = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    x = found.join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").join(lang, "doc_id").toPandas()
+    hit = (x["predicted"] == 1) & (x["toxic"] == 1)
+    assert hit.sum() / (x["toxic"] == 1).sum() >= 0.85 and hit.sum() / (x["predicted"] == 1).sum() >= 0.95
+    for own in ("en", "de", "fr", "es"):
+        q = x["lang"] == own
+        assert (hit & q).sum() >= 0.75 * ((x["toxic"] == 1) & q).sum()
+
+
 def test_toxicity_planted(spark, odd, none):
     rows, labels = toxic_rows()
     docs, marks = spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), spark.createDataFrame(labels, "doc_id BIGINT, toxic INT")
@@ -127,28 +140,65 @@ def test_toxicity_planted(spark, odd, none):
 
 
 def test_both_dictionaries_have_content(spark):
-    """Half of a toxic word is a word of clean texts as well."""
+    """Half of a toxic word is a word of clean texts as well, and clean
+    texts have a word of their own."""
     rows, labels = toxic_rows()
-    rows = [(k, t + (" grumb" * 4 if k % 4 else "")) for k, t in rows]
+    rows = [(k, t + (" grumb lovely" * 4 if k % 4 else "")) for k, t in rows]
     docs, marks = spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), spark.createDataFrame(labels, "doc_id BIGINT, toxic INT")
     model = toxicity.train(docs, marks)
-    assert b"umbolt" in model.toxic and b"grumb" not in model.toxic
-    assert b"umb gr" in model.ordinary and b"umbolt" not in model.ordinary
+    entries = lambda d: {d[k : k + 8] for k in range(0, len(d), 8)}
+    assert toxicity.code("grumbo") in entries(model.toxic) and toxicity.code("snarkw") in entries(model.toxic)
+    assert toxicity.code("grumb$") in entries(model.ordinary) and toxicity.code("lovely") in entries(model.ordinary)
+    assert not entries(model.toxic) & entries(model.ordinary)
     assert model.score("a grumb grumb grumb") < model.score("a grumbolt and a snarkwit")
 
 
+def test_telling_stems_equal_plain(spark):
+    """Choice of dictionary entries, and gains, by plain counting."""
+    rng = random.Random(6)
+    rows = [(int(k % 3 == 0), " ".join(rng.choice(["alpha", "beta", "gam", "delta", "omegas"] + (["vile", "scumming"] if k % 3 == 0 else ["nice"])) for _ in range(rng.randint(5, 60)))) for k in range(300)]
+    df = spark.createDataFrame(rows, "y INT, text STRING").repartition(4)
+    got = {(r["stem"], r["y"]): r["weight"] for r in toxicity.telling_stems(df).collect()}
+    n, texts, size = {}, {}, [0, 0]
+    for y, t in rows:
+        own = {}
+        for w in t.split():
+            for s in ([w + "$"] if len(w) < 4 else [w[:4], w + "$"] if len(w) < 6 else [w[:4], w[:6]]):
+                own[s] = own.get(s, 0) + 1
+        for s, k in own.items():
+            n[s, y] = n.get((s, y), 0) + min(k, 4)
+            texts[s, y] = texts.get((s, y), 0) + 1
+            size[y] += min(k, 4)
+    count = [sum(y == c for y, _ in rows) for c in (0, 1)]
+    want = {}
+    for s in {s for s, _ in n}:
+        for y in (0, 1):
+            a, b, ta, tb = n.get((s, y), 0), n.get((s, 1 - y), 0), texts.get((s, y), 0), texts.get((s, 1 - y), 0)
+            rate = np.log((a + 0.5) / (size[y] + 1)) - np.log((b + 0.5) / (size[1 - y] + 1))
+            share = np.log((ta + 0.5) / (count[y] + 1)) - np.log((tb + 0.5) / (count[1 - y] + 1))
+            if ta >= 4 and rate > 1.5 and share > 0.5 and share / np.sqrt(1 / (ta + 0.5) + 1 / (tb + 0.5)) > 3:
+                want[s, y] = rate * a
+    assert got.keys() == want.keys() and {("vile", 1), ("nice", 0)} <= got.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    model = toxicity.ToxicityModel(toxicity.dictionary(["vile", "scummi", "scum"]), toxicity.dictionary(["nice"]), np.zeros(5))
+    plain = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(14))
+    assert model.gains(plain).tolist() == [0]
+    assert model.gains(plain + " scum")[0] > 0 > model.gains(plain + " nice")[0]
+    assert model.gains(plain + " scumming vile")[0] > model.gains(plain + " vile")[0]
+
+
 def test_toxicity_without_labels(spark, odd):
     model = toxicity.train(odd, spark.createDataFrame([], "doc_id BIGINT, toxic INT"))
     assert all(r["score"] < 0.5 for r in toxicity.score(odd, model).collect())
 
 
-def test_windows_cover_blocks(monkeypatch):
+def test_windows_hold_every_word_once():
     rows, _ = toxic_rows()
-    model = toxicity.ToxicityModel(b"\0grumbolt\0snarkwit", b"", np.zeros(5))
+    model = toxicity.ToxicityModel(b"", b"", np.zeros(5))
     text = " ".join(t for _, t in rows[:60])
-    whole = model.gains(text)
-    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 5000)
-    assert model.gains(text).tolist() == whole.tolist()
+    codes = b"".join(model.windows(text))
+    assert codes == b"".join(toxicity.code(s) for s in toxicity.stems(text))
+    assert {len(w) for w in list(model.windows(text))[:-1]} == {8 * toxicity.WINDOW}
 
 
 def test_threshold_has_fewest_errors():
