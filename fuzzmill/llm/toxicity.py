@@ -8,8 +8,8 @@ and the sum of all gains go through a logistic curve whose threshold is
 calibrated on texts that the dictionaries have not seen.
 
 What is compressed are word beginnings: each word gives the codes of its
-first 4 and first 6 letters (a shorter word: of itself and its end), 8 bytes
-a code.  Two codes share no bytes by chance, so a match is a whole word
+first 4 and first 6 letters (a shorter word: of itself and its end), 16
+bytes a code.  Two codes share no bytes by chance, so a match is a whole word
 beginning and lengths do not depend on how spellings overlap; beginnings
 cover the inflected forms of a word in languages that have many.
 
@@ -52,13 +52,16 @@ from .quality import held_out, labelled_sample
 from .util import Shipped, sliced, stored, table, worker_store
 
 SAMPLE_ROWS = 20_000
-#: Lengths of word beginnings, and codes in a window (8 bytes each; below the
-#: 256 bytes from which the compressor begins to skip positions).
+#: Lengths of word beginnings, and codes in a window (16 bytes each: a match
+#: outweighs the cost of coding it; no more than 256 bytes, from which on the
+#: compressor skips positions).
 STEMS = (4, 6)
-WINDOW = 30
+WINDOW = 16
+#: The compressor looks for no match in a window's last 8 bytes.
+PAD = bytes(range(8))
 #: A beginning tells a class apart: least log odds of its rate, least log
 #: odds and z-score of its share of texts, least texts.
-LEAST_ODDS, LEAST_TEXT_ODDS, LEAST_Z, LEAST_TEXTS = 1.5, 0.5, 3.0, 4
+LEAST_ODDS, LEAST_TEXT_ODDS, LEAST_Z, LEAST_TEXTS = 2.0, 0.5, 4.0, 4
 MOST_A_TEXT = 4
 #: Entries of a dictionary.
 ENTRIES = 1024
@@ -79,9 +82,9 @@ def stems(text: str | None) -> Iterator[str]:
 
 
 def code(stem: str) -> bytes:
-    from xxhash import xxh64_digest
+    from xxhash import xxh3_128_digest
 
-    return xxh64_digest(stem.encode())
+    return xxh3_128_digest(stem.encode())
 
 
 @dataclass
@@ -119,10 +122,10 @@ class ToxicityModel:
                 c = known[s] = code(s)
             held.append(c)
             if len(held) == WINDOW:
-                yield b"".join(held)
+                yield b"".join(held) + PAD
                 held = []
         if held:
-            yield b"".join(held)
+            yield b"".join(held) + PAD
 
     def gains(self, text: str | None) -> np.ndarray:
         """Bytes that the toxic dictionary saves on each window."""

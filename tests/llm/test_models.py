@@ -146,7 +146,7 @@ def test_both_dictionaries_have_content(spark):
     rows = [(k, t + (" grumb lovely" * 4 if k % 4 else "")) for k, t in rows]
     docs, marks = spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), spark.createDataFrame(labels, "doc_id BIGINT, toxic INT")
     model = toxicity.train(docs, marks)
-    entries = lambda d: {d[k : k + 8] for k in range(0, len(d), 8)}
+    entries = lambda d: {d[k : k + 16] for k in range(0, len(d), 16)}
     assert toxicity.code("grumbo") in entries(model.toxic) and toxicity.code("snarkw") in entries(model.toxic)
     assert toxicity.code("grumb$") in entries(model.ordinary) and toxicity.code("lovely") in entries(model.ordinary)
     assert not entries(model.toxic) & entries(model.ordinary)
@@ -176,12 +176,12 @@ def test_telling_stems_equal_plain(spark):
             a, b, ta, tb = n.get((s, y), 0), n.get((s, 1 - y), 0), texts.get((s, y), 0), texts.get((s, 1 - y), 0)
             rate = np.log((a + 0.5) / (size[y] + 1)) - np.log((b + 0.5) / (size[1 - y] + 1))
             share = np.log((ta + 0.5) / (count[y] + 1)) - np.log((tb + 0.5) / (count[1 - y] + 1))
-            if ta >= 4 and rate > 1.5 and share > 0.5 and share / np.sqrt(1 / (ta + 0.5) + 1 / (tb + 0.5)) > 3:
+            if ta >= 4 and rate > 2.0 and share > 0.5 and share / np.sqrt(1 / (ta + 0.5) + 1 / (tb + 0.5)) > 4:
                 want[s, y] = rate * a
     assert got.keys() == want.keys() and {("vile", 1), ("nice", 0)} <= got.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
     model = toxicity.ToxicityModel(toxicity.dictionary(["vile", "scummi", "scum"]), toxicity.dictionary(["nice"]), np.zeros(5))
-    plain = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(14))
+    plain = "quick brown fox jumped over"  # nine codes: a window has room for more
     assert model.gains(plain).tolist() == [0]
     assert model.gains(plain + " scum")[0] > 0 > model.gains(plain + " nice")[0]
     assert model.gains(plain + " scumming vile")[0] > model.gains(plain + " vile")[0]
@@ -196,9 +196,9 @@ def test_windows_hold_every_word_once():
     rows, _ = toxic_rows()
     model = toxicity.ToxicityModel(b"", b"", np.zeros(5))
     text = " ".join(t for _, t in rows[:60])
-    codes = b"".join(model.windows(text))
+    codes = b"".join(w[: -len(toxicity.PAD)] for w in model.windows(text))
     assert codes == b"".join(toxicity.code(s) for s in toxicity.stems(text))
-    assert {len(w) for w in list(model.windows(text))[:-1]} == {8 * toxicity.WINDOW}
+    assert {len(w) for w in list(model.windows(text))[:-1]} == {16 * toxicity.WINDOW + len(toxicity.PAD)}
 
 
 def test_threshold_has_fewest_errors():
