@@ -61,7 +61,7 @@ WINDOW = 16
 PAD = bytes(range(8))
 #: A beginning tells a class apart: least log odds of its rate, least log
 #: odds and z-score of its share of texts, least texts.
-LEAST_ODDS, LEAST_TEXT_ODDS, LEAST_Z, LEAST_TEXTS = 2.0, 0.5, 4.0, 4
+LEAST_ODDS, LEAST_TEXT_ODDS, LEAST_Z, LEAST_TEXTS = 2.0, 0.5, 3.5, 4
 MOST_A_TEXT = 4
 #: Entries of a dictionary.
 ENTRIES = 1024

@@ -176,7 +176,7 @@ def test_telling_stems_equal_plain(spark):
             a, b, ta, tb = n.get((s, y), 0), n.get((s, 1 - y), 0), texts.get((s, y), 0), texts.get((s, 1 - y), 0)
             rate = np.log((a + 0.5) / (size[y] + 1)) - np.log((b + 0.5) / (size[1 - y] + 1))
             share = np.log((ta + 0.5) / (count[y] + 1)) - np.log((tb + 0.5) / (count[1 - y] + 1))
-            if ta >= 4 and rate > 2.0 and share > 0.5 and share / np.sqrt(1 / (ta + 0.5) + 1 / (tb + 0.5)) > 4:
+            if ta >= 4 and rate > 2.0 and share > 0.5 and share / np.sqrt(1 / (ta + 0.5) + 1 / (tb + 0.5)) > 3.5:
                 want[s, y] = rate * a
     assert got.keys() == want.keys() and {("vile", 1), ("nice", 0)} <= got.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
