@@ -29,6 +29,7 @@ from .common import (
     PASSES,
     centers_table_out,
     query,
+    sample_key_sql,
     seeded_pts,
     table,
 )
@@ -128,10 +129,10 @@ def flt4_filter_width_weighted_lineitem(spark, sf_dir):
 @query(
     "flt2_sample_width_lineitem",
     lambda: (
-        "SELECT l_orderkey, l_linenumber, CAST(l_partkey AS DOUBLE) AS x0, CAST(l_suppkey AS DOUBLE) AS x1 FROM lineitem "
-        "WHERE l_linenumber <> 3 "
-        f"ORDER BY md5(concat(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)), '-', '{SAMPLE_SEED}')), "
-        "l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 300"
+        "SELECT l_orderkey, l_linenumber, x0, x1 FROM (SELECT *, "
+        + sample_key_sql("concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))", ["x0", "x1"], SAMPLE_SEED)
+        + " AS h FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey AS DOUBLE) AS x0, CAST(l_suppkey AS DOUBLE) AS x1 "
+        "FROM lineitem WHERE l_linenumber <> 3) t) s ORDER BY h LIMIT 300"
     ),
 )
 def flt2_sample_width_lineitem(spark, sf_dir):
