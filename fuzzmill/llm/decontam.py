@@ -8,29 +8,50 @@ end in that block, and the window's words are compared directly.  The
 matcher runs over many stretches of the text at once in numpy, each with
 its own position.
 
-The benchmark is a stated query set.  Its tables are built in blocks of at
-most ``BLOCK_WORDS`` words; each block is one broadcast and one
-``mapInArrow`` over the documents, chained in a single stage, so its size
-is bounded however large the benchmark is.  Documents are never shuffled.
-
-Edge cases: null or empty text has no words; items without words are
-ignored; rows that repeat an item_id are one item; a null item_id is the
-item named ''; an empty benchmark hits nothing.
+The benchmark is a stated query set and never passes through the driver.
+Tasks cut its items into pieces that overlap by a window less one word,
+equal pieces of one item are kept once, and each task packs the pieces it
+reads into blocks of about ``BLOCK_WORDS`` words, whose windows it writes to
+the shared checkpoint folder, one file a block.  One ``mapInArrow`` over the
+documents reads them there: it holds ``HOLD_BYTES`` of text, walks all
+blocks, and keeps the last few in the worker.  So neither a block nor the
+number of Python stages grows with the benchmark, an item may be longer than
+a block, and a lost executor only reads again.  Documents are never shuffled.
+The folder has to be one that ``pyarrow.fs`` opens (local or mounted, hdfs,
+s3, gs, abfs).
+
+Edge cases: null or empty text has no words; a very long text is tokenised
+in parts and searched whole; items without words are ignored; rows that
+repeat an item_id are one item and equal rows count once; a null item_id is
+the item named ''; a window that several items share counts for each; rows
+that repeat a document id (or have none) are searched each on its own; an
+empty benchmark hits nothing, empty documents give an empty result; further
+columns, whatever their names, are left out by ``find_benchmark`` and kept by
+``drop_contaminated``.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import Shipped, sliced, table
+from ..session import scratch_path
+from .util import Shipped, sliced, stored, table, worker_store
 
 WINDOW = 10
-BLOCK_WORDS = 1_000_000
+#: Words of a block (one piece of an item more at most), and of a piece.
+BLOCK_WORDS = 500_000
+PIECES = 16
+#: Bytes of text taken through all blocks at a time.
+HOLD_BYTES = 32 << 20
 #: Positions searched side by side: one for each stretch of this length.
 STRETCH = 256
 #: Bytes of one text tokenised at a time, and candidate pairs compared at a time.
@@ -47,11 +68,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
-def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
-    if not words:
-        return []
-    n = max(1, len(words) - size + 1)
-    return [tuple(words[i : i + size]) for i in range(n)]
+def pieces_of(words: list[bytes], step: int, size: int = WINDOW) -> Iterator[list[bytes]]:
+    """Runs of words that hold each window of ``words`` exactly once."""
+    for a in range(0, max(1, len(words) - size + 1) if words else 0, step):
+        yield words[a : a + step + size - 1]
 
 
 class Matcher:
@@ -61,7 +81,7 @@ class Matcher:
         self.windows = windows  # (n, m), all different
         n, self.m = windows.shape
         self.b = min(2, self.m)
-        bits = max(12, int(n * self.m * 8).bit_length())
+        bits = max(12, int(n * self.b * 16).bit_length())
         self.mask = np.int64((1 << bits) - 1)
         far = self.m - self.b + 1
         self.shift = np.full(1 << bits, far, np.uint8 if far < 256 else np.int64)
@@ -117,19 +137,30 @@ class Searcher:
 
     def __init__(self, items: list[tuple[str, list[bytes]]], size: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        named: dict[tuple[bytes, ...], set[str]] = {}
+        number: dict[str, int] = {}
+        by: dict[int, list[tuple[np.ndarray, int]]] = {}
         for name, words in items:
-            for w in words:
-                self.vocab.setdefault(w, len(self.vocab) + 1)
-            for win in windows_of(words, size):
-                named.setdefault(win, set()).add(name)
-        by: dict[int, list[tuple[bytes, ...]]] = {}
-        for win in named:
-            by.setdefault(len(win), []).append(win)
-        self.matchers = [
-            (Matcher(np.array([[self.vocab[w] for w in win] for win in wins], np.int32)), [sorted(named[win]) for win in wins])
-            for _, wins in sorted(by.items())
-        ]
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int32)
+            if len(ids):
+                m = min(size, len(ids))
+                by.setdefault(m, []).append((np.lib.stride_tricks.sliding_window_view(ids, m), number.setdefault(name, len(number))))
+        self.names = list(number)
+        # of each length the different windows, and the items of each: those
+        # of window w are who[first[w] : first[w + 1]]
+        self.tables = []
+        for _, own in sorted(by.items()):
+            wins, which = np.unique(np.concatenate([w for w, _ in own]), axis=0, return_inverse=True)
+            item = np.repeat([k for _, k in own], [len(w) for w, _ in own])
+            pairs = np.unique(np.stack([which.reshape(-1), item]), axis=1)
+            self.tables.append((wins, np.searchsorted(pairs[0], np.arange(len(wins) + 1)), pairs[1].astype(np.int32)))
+        self.matchers = [Matcher(wins) for wins, _, _ in self.tables]
+
+    def __getstate__(self) -> tuple:
+        return self.vocab, self.names, self.tables
+
+    def __setstate__(self, state: tuple) -> None:
+        self.vocab, self.names, self.tables = state
+        self.matchers = [Matcher(wins) for wins, _, _ in self.tables]
 
     def ids(self, text: str | None) -> np.ndarray:
         """Word ids of a text; 0 for words of no item."""
@@ -155,12 +186,13 @@ class Searcher:
             line[a : a + len(x)] = x
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
         items: list[set[str]] = [set() for _ in texts]
-        for m, names in self.matchers:
+        for m, (_, own, who) in zip(self.matchers, self.tables):
             start, which = m.search(line)
             doc = np.searchsorted(first, start, "right") - 1
-            for d, s, w in zip(doc.tolist(), (start - first[doc]).tolist(), which.tolist()):
+            for d, s in zip(doc.tolist(), (start - first[doc]).tolist()):
                 spans[d].append((s, s + m.m))
-                items[d].update(names[w])
+            for d, w in np.unique(np.stack([doc, which]), axis=1).T.tolist():
+                items[d].update(self.names[k] for k in who[own[w] : own[w + 1]].tolist())
         return n, spans, items
 
 
@@ -174,17 +206,79 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def searchers(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW, block_words: int = BLOCK_WORDS) -> list:
-    """One broadcast ``Searcher`` for each block of items."""
-    spark, out, block, n = bench.sparkSession, [], [], 0
-    for name, text in bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col).toLocalIterator():
-        words = words_of(text)
-        if n and n + len(words) > block_words:
-            out.append(Shipped(spark, Searcher(block, size)))
-            block, n = [], 0
-        block.append((name, words))
-        n += len(words)
-    return [*out, Shipped(spark, Searcher(block, size))]
+def blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[str]:
+    """Build the blocks of the benchmark in tasks; the files they are in."""
+    spark, step = bench.sparkSession, max(1, block_words // PIECES)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for part in pieces_of(words_of(text), step, size):
+                    yield pa.RecordBatch.from_pydict({"name": [name], "words": [b" ".join(part)], "n": pa.array([len(part)], pa.int64())})
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"block": pa.array([cloudpickle.dumps(Searcher(held, size))], pa.binary())})
+
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                part = text.split()
+                if n and n + len(part) > block_words:
+                    yield block()
+                    held, n = [], 0
+                held.append((name, part))
+                n += len(part)
+        if held:
+            yield block()
+
+    named = bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.col(text_col).alias("text"))
+    parts = stored(named.mapInArrow(cut, "name STRING, words BINARY, n BIGINT").distinct(), "benchmark-pieces")
+    total = parts.agg(F.sum("n")).first()[0]
+    if not total:
+        return []
+    path = scratch_path(spark, "benchmark-blocks")
+    built = parts.coalesce(-(-total // block_words)).mapInArrow(build, "block BINARY")
+    built.write.option("maxRecordsPerFile", 1).parquet(path)
+    return sorted(spark.read.schema("block BINARY").parquet(path).inputFiles())
+
+
+def _load(file: str) -> Searcher:
+    """A block from the shared folder; a worker keeps the last few."""
+    held = worker_store().setdefault("benchmark", {})
+    if file not in held:
+        while len(held) >= Shipped.KEEP:
+            del held[next(iter(held))]
+        fs, path = pa.fs.FileSystem.from_uri(file)
+        held[file] = pickle.loads(pq.ParquetFile(path, filesystem=fs).read().column(0)[0].as_py())
+    return held[file]
+
+
+def _walk(batches: Iterator[pa.RecordBatch], at: int, files: list[str], size: int) -> Iterator[tuple]:
+    """(batch, numbers of words, spans, items) of the batches, with texts in
+    column ``at``, after all blocks."""
+
+    def through(group: list[pa.RecordBatch]) -> Iterator[tuple]:
+        found = [(np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)], [set() for _ in range(b.num_rows)]) for b in group]
+        for file in files or [None]:
+            part = _load(file) if file else Searcher([], size)
+            for b, (n, spans, items) in zip(group, found):
+                own = part.search(b.column(at).to_pylist())
+                n[:] = own[0]
+                for d, (s, i) in enumerate(zip(own[1], own[2])):
+                    spans[d] = _merged(spans[d] + s)
+                    items[d] |= i
+        return ((b, *f) for b, f in zip(group, found))
+
+    group, held = [], 0
+    for b in sliced(batches, at):
+        if group and held + b.column(at).nbytes > HOLD_BYTES:
+            yield from through(group)
+            group, held = [], 0
+        group.append(b)
+        held += b.column(at).nbytes
+    yield from through(group)
 
 
 def find_benchmark(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -192,41 +286,29 @@ def find_benchmark(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     occurrences, items: sorted item ids) of every row."""
     kind = df.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    files = blocks(bench, size=size, block_words=block_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, n, spans, items in _walk(batches, 1, files, size):
+            spans = pa.array([[{"start": a, "end": z} for a, z in s] for s in spans], span)
+            names = pa.array([sorted(s) for s in items], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_pydict({"id": b.column(0), "n_words": pa.array(n, pa.int64()), "spans": spans, "items": names})
+
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = out.withColumns({"n_words": F.lit(None).cast("bigint"), "spans": F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), "items": F.expr("cast(array() as array<string>)")})
-    blocks = searchers(bench, size=size, block_words=block_words)
-    for k, part in enumerate(blocks):
-        last = k + 1 == len(blocks)
-
-        def run(batches: Iterator[pa.RecordBatch], part=part, last=last, k=k) -> Iterator[pa.RecordBatch]:
-            for b in sliced(batches):
-                n, spans, items = part.get().search(b.column(1).to_pylist())
-                if k:
-                    spans = [[*s, *((x["start"], x["end"]) for x in old)] for s, old in zip(spans, b.column(3).to_pylist())]
-                    items = [s.union(old) for s, old in zip(items, b.column(4).to_pylist())]
-                spans = pa.array([[{"start": a, "end": z} for a, z in _merged(s)] for s in spans], span)
-                cols = {"id": b.column(0), "text": b.column(1), "n_words": pa.array(n, pa.int64()), "spans": spans, "items": pa.array([sorted(s) for s in items], pa.list_(pa.string()))}
-                if last:
-                    del cols["text"]
-                yield pa.RecordBatch.from_pydict(cols)
-
-        text = "" if last else "text STRING, "
-        out = out.mapInArrow(run, f"id {kind}, {text}n_words BIGINT, spans ARRAY<STRUCT<start: BIGINT, end: BIGINT>>, items ARRAY<STRING>")
+    out = out.mapInArrow(run, f"id {kind}, n_words BIGINT, spans ARRAY<STRUCT<start: BIGINT, end: BIGINT>>, items ARRAY<STRING>")
     return out.withColumnRenamed("id", id_col)
 
 
-def drop_contaminated(df: DataFrame, bench: DataFrame, text_col: str = "text", size: int = WINDOW) -> DataFrame:
+def drop_contaminated(df: DataFrame, bench: DataFrame, text_col: str = "text", size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``df`` in which no window of any item occurs."""
     at = df.columns.index(text_col)
-    for part in searchers(bench, size=size):
+    files = blocks(bench, size=size, block_words=block_words)
 
-        def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            for b in sliced(batches, at):
-                _, spans, _ = part.get().search(b.column(at).to_pylist())
-                yield b.filter(pa.array([not s for s in spans], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, _, spans, _ in _walk(batches, at, files, size):
+            yield b.filter(pa.array([not s for s in spans], pa.bool_()))
 
-        df = df.mapInArrow(run, df.schema)
-    return df
+    return df.mapInArrow(run, df.schema)
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

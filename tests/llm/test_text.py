@@ -234,11 +234,38 @@ def test_wu_manber_matches_brute(spark, odd_rows, block):
     key = lambda x: (str(x[0]), x[1:])
     have = sorted(((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"]) for r in got), key=key)
     assert have == sorted(((i, *brute_hits(t, bench)) for i, t in rows), key=key)
-    left = decontam.drop_contaminated(df, items)
+    left = decontam.drop_contaminated(df, items, block_words=block)
     assert left.columns == df.columns
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(i) for i, t in rows if not brute_hits(t, bench)[1])
 
 
+def test_wu_manber_blocks(spark):
+    """Many blocks, an item longer than a block, repeated items: one Python
+    stage over the documents, which walks the blocks more than a worker keeps."""
+    rng = random.Random(9)
+    vocab = [f"w{k}" for k in range(9)]
+    phrase = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    long = phrase(400)
+    bench = [(1, long), (2, phrase(30)), (2, phrase(12)), (3, " ".join(long.split()[50:90]))] * 40 + [(k, phrase(15)) for k in range(4, 20)]
+    rows = [(k, phrase(40) + " " + " ".join(bench[k % len(bench)][1].split()[k % 7 :]) + " " + phrase(5)) for k in range(60)]
+    df, items = spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), spark.createDataFrame(bench, "item_id BIGINT, text STRING")
+    files = decontam.blocks(items, block_words=80)
+    assert len(files) > 6
+    found = decontam.find_benchmark(df, items, block_words=80)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    have = sorted((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"]) for r in found.collect())
+    assert have == [(i, *brute_hits(t, set(bench))) for i, t in rows]
+
+
+def test_pieces_hold_each_window_once():
+    words = [b"%d" % k for k in range(57)]
+    for n in (0, 1, 9, 10, 11, 57):
+        for step in (1, 3, 48, 100):
+            parts = list(decontam.pieces_of(words[:n], step))
+            wins = [tuple(p[k : k + 10]) for p in parts for k in range(max(1, len(p) - 9))]
+            assert wins == [tuple(words[k : min(k + 10, n)]) for k in range(max(1, n - 9) if n else 0)]
+
+
 def test_wu_manber_empty(spark, odd, none):
     nothing = spark.createDataFrame([], "item_id BIGINT, text STRING")
     assert decontam.drop_contaminated(odd, nothing).count() == odd.count()
