@@ -346,8 +346,8 @@ def test_license_notices_and_prose(spark, licence_model, odd_rows):
     rows += [(9000 + k, p) for k, p in enumerate(prose)] + [(r[0], r[1]) for r in odd_rows]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").withColumn("family", F.lit("x")), licence_model).collect()
     found = {(r["doc_id"], r["paragraph"], r["family"]) for r in got if r["confirmed"]}
-    assert len(found & want) >= 0.9 * len(want)
-    assert not {f for f in found if f[0] is None or f[0] >= 9000 or f[0] < 15 and f not in want}
+    assert want <= found
+    assert not {f for f in found if f[0] is None or f[0] >= 9000}
 
 
 def test_license_scores_match_plain_python(spark, licence_model):
@@ -363,7 +363,7 @@ def test_license_scores_match_plain_python(spark, licence_model):
             z = np.array(m.intercepts) + sum((np.array(at[t]) for t in own), np.zeros(len(m.intercepts)))
             chance = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
             if chance.argmax() and chance[1:].max() >= m.least:
-                want[r["doc_id"], k] = (licenses.FAMILIES[chance.argmax()], round(float(chance[1:].max()), 9))
+                want[r["doc_id"], k] = (m.families[chance.argmax()], round(float(chance[1:].max()), 9))
     assert got.keys() == want.keys() and len(got) > 20
     assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in got)
 
@@ -396,3 +396,80 @@ def test_license_two_notices_in_a_line(spark, licence_model):
     got = licenses.scan(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), licence_model).collect()
     found = {(r["doc_id"], r["paragraph"], r["family"]) for r in got if r["confirmed"]}
     assert {(k, 0, f) for k, pair in enumerate(pairs) for f, _ in pair} == found
+
+
+def plain_passages(text):
+    """Passages by plain loops over the words of a whole text."""
+    words = [(w, k) for k, line in enumerate(text.split("\n")) for w in licenses._notice_words(line)]
+    pairs = [f"{a[0]} {b[0]}" for a, b in zip(words, words[1:])]
+    some = []
+    for t, own in enumerate(licenses._templates(licenses.NOTICES)):
+        for a in (i for i, p in enumerate(pairs) if p in own.bigrams):
+            first = {}
+            for i in range(a, min(len(pairs), a + own.width - 1)):
+                if pairs[i] in own.bigrams:
+                    first.setdefault(pairs[i], i)
+            if len(first) >= own.least:
+                share, end = len(first) / len(own.bigrams), max(first.values())
+                some.append((share * min(1.0, (own.width / 2 - 1) / (end + 1 - a)), share, len(first), a - end - 2, -a, -t, own.family))
+    kept = []
+    for c in sorted(some, reverse=True):
+        shared = sum(max(0, min(-c[4] - c[3], -x[4] - x[3]) - max(-c[4], -x[4])) for x in kept)
+        if 2 * shared <= -c[3]:
+            kept.append(c)
+    return sorted((words[-c[4]][1], words[-c[4] - c[3] - 1][1], " ".join(w for w, _ in words[-c[4] : -c[4] - c[3]]), c[6], round(c[1], 9)) for c in kept)
+
+
+def test_license_passages_match_plain(spark):
+    """Notices whole, cut and altered, in prose and over lines."""
+    rng = random.Random(12)
+    every = [t for own in licenses.NOTICES.values() for t in own]
+    rows = []
+    for k in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            w = rng.choice(every).split()
+            w = w[rng.randint(0, len(w) // 3) :]
+            w = [x if rng.random() > 0.05 else "other" for x in w]
+            parts += ["the river runs past"] * rng.randint(0, 3) + [" ".join(w)]
+        text = " ".join(parts)
+        rows.append((k, "\n".join(textwrap.wrap(text, 50)) if k % 2 else text))
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = {r["doc_id"]: sorted((x["paragraph"], x["last"], x["p"], x["said"], round(x["share"], 9)) for x in r["x"]) for r in df.select("doc_id", licenses.passages("text").alias("x")).collect()}
+    want = {k: plain_passages(t) for k, t in rows}
+    assert sum(map(len, want.values())) > 60
+    assert got == want
+
+
+def test_license_full_texts(spark, licence_model):
+    """Every paragraph of every text is found in a wrapped file, and so are
+    lines that no notice gives word for word."""
+    rows = [(k, "\n\n".join("\n".join(textwrap.wrap(p, 72, break_on_hyphens=False)) for p in own)) for k, own in enumerate(licenses.NOTICES.values())]
+    known = licenses.scan(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), licence_model)
+    found = {(r["doc_id"], r["paragraph"], r["family"]) for r in known.collect() if r["confirmed"]}
+    for k, (family, own) in enumerate(licenses.NOTICES.items()):
+        at = 0
+        for p in own:
+            n = len(textwrap.wrap(p, 72, break_on_hyphens=False))
+            assert any((k, line, family) in found for line in range(at, at + n)), (family, p)
+            at += n + 1
+    lines = [
+        ("mit", "MIT License"), ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of this Software."),
+        ("bsd", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+        ("apache-2.0", "    You may obtain a copy of the License at"), ("isc", "# SPDX-License-Identifier: ISC"), ("gpl", "// SPDX-License-Identifier: GPL-2.0-only"),
+        ("bsd", "/* SPDX-License-Identifier: BSD-2-Clause */"), ("gpl", "GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991"), ("apache-2.0", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/"),
+        ("boost", "Boost Software License - Version 1.0"), ("epl-2.0", "Eclipse Public License - v 2.0"), ("json", "The Software shall be used for Good, not Evil."),
+    ]
+    got = licenses.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(lines)], "doc_id BIGINT, text STRING"), licence_model).collect()
+    sure = {(r["doc_id"], r["family"]) for r in got if r["confirmed"]}
+    assert [(k, f) for k, (f, _) in enumerate(lines) if (k, f) not in sure] == []
+
+
+def test_license_other_texts(spark, none):
+    """Further licences come in as texts."""
+    own = licenses.templates({"house": "Use of this recipe is free for all cooks of the village.\n\nThe village keeps the name\nof the recipe."}, {"house": ["House-1.0"]})
+    assert own["house"][1:] == ["The village keeps the name of the recipe.", "SPDX-License-Identifier: House-1.0"]
+    model = licenses.train(none, notices=own)
+    rows = [(1, "a\nuse of this recipe is free\nfor all cooks of the village"), (2, "MIT License"), (3, None)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), model).collect()
+    assert [(r["doc_id"], r["family"], r["confirmed"]) for r in got] == [(1, "house", True)]
