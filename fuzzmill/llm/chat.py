@@ -15,11 +15,13 @@ whose author states that a turn's rendering depends on at most ``context``
 turns before it is rendered on prefixes of that sliding window: linear
 time, whatever the length of a conversation.  The statement is not taken on
 trust: what the windows put together is compared with the rendering of the
-whole prefix at 1, 2, 4, 8 .. turns and at the end (of prefixes of up to
-``VERIFY_CHARS`` characters), and a template that differs is refused.
+whole prefix at 1, 2, 4, 8 .. turns and at the end, however long the prefix,
+and a template that differs is refused.  Such a prefix is held by the task,
+as the template takes it whole; a template that also says what each turn
+``appends`` is compared turn by turn and nothing is held.
 
-Conversations are dealt by id and streamed in turn order; a conversation is
-never gathered whole.
+Conversations are dealt by id and streamed in turn order; of one formatted by
+the marked template only a window is held.
 
 Edge cases: null role and text count as empty; null turns sort first; rows
 that repeat a turn are ordered by role and text and all kept; rows without
@@ -43,9 +45,9 @@ from pyspark.sql import functions as F
 from .util import sliced, table
 
 Turn = tuple[str, str]  # role, text
-#: Prefixes of up to this many characters are rendered whole to verify a
-#: template's stated context.
-VERIFY_CHARS = 1 << 24
+#: Spans are put together and compared with a whole prefix in runs of about
+#: so many characters.
+VERIFY_CHARS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -53,6 +55,9 @@ class Template:
     render: Callable[[list[Turn]], str]
     #: Turns before a turn that its rendering may depend on (None: all).
     context: int | None = None
+    #: The same rendering, turn by turn: called once for a conversation, its
+    #: result then gives what each turn appends, in order (None: not known).
+    appends: Callable[[], Callable[[Turn], str]] | None = None
 
 
 @dataclass(frozen=True)
@@ -77,14 +82,17 @@ def _shared(a: str, b: str) -> tuple[int, int]:
 class _Claim:
     """Holds what a template says about its context against what it does:
     the text put together from windows must be that of the whole prefix, at
-    1, 2, 4, 8 .. turns and at the end, as long as the prefix has at most
-    VERIFY_CHARS characters (the cost stays linear, the memory bounded)."""
+    1, 2, 4, 8 .. turns and at the end (the cost stays linear); of a template
+    that says what it appends, at every turn."""
 
     def __init__(self, template: Template):
         self.template, self.turns, self.pieces, self.size, self.due = template, [], [], 0, 1
+        self.append = template.appends and template.appends()
 
     def turn(self, turn: Turn, span: Span) -> None:
-        if self.pieces is None:
+        if self.append:
+            self.hold(span.start == self.size and span.piece == self.append(turn))
+            self.size += len(span.piece)
             return
         if span.start != self.size:
             kept = "".join(self.pieces)[: span.start]
@@ -92,14 +100,24 @@ class _Claim:
         self.turns.append(turn)
         self.pieces.append(span.piece)
         self.size += len(span.piece)
-        if self.size > VERIFY_CHARS:
-            self.turns = self.pieces = None  # from here on the claim stands as checked so far
-        elif len(self.turns) == self.due:
+        if len(self.turns) == self.due:
             self.check()
             self.due *= 2
 
     def check(self) -> None:
-        if self.pieces and "".join(self.pieces) != self.template.render(self.turns):
+        if not self.pieces:
+            return
+        whole, at, run, size = self.template.render(self.turns), 0, [], 0
+        self.hold(len(whole) == self.size)
+        for k, piece in enumerate(self.pieces, 1):
+            run.append(piece)
+            size += len(piece)
+            if size >= VERIFY_CHARS or k == len(self.pieces):
+                self.hold(whole.startswith("".join(run), at))
+                at, run, size = at + size, [], 0
+
+    def hold(self, true: bool) -> None:
+        if not true:
             raise ValueError(f"the template depends on more than the {self.template.context} turns that it states")
 
 
@@ -159,7 +177,11 @@ def unescape_role(role: str) -> str:
     return unescape(role.replace("%0A", "\n").replace("%25", "%"))
 
 
-MARKED = Template(lambda turns: "".join(f"{OPEN}{escape_role(r)}\n{escape(t)}{CLOSE}\n" for r, t in turns), context=1)
+def _marked(turn: Turn) -> str:
+    return f"{OPEN}{escape_role(turn[0])}\n{escape(turn[1])}{CLOSE}\n"
+
+
+MARKED = Template(lambda turns: "".join(map(_marked, turns)), context=1, appends=lambda: _marked)
 READ_TURN = re.compile(rf"{re.escape(OPEN)}([^\n]*)\n(.*?){re.escape(CLOSE)}\n", re.DOTALL).fullmatch
 
 

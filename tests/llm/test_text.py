@@ -152,6 +152,30 @@ def test_chat_false_context_is_refused(spark, monkeypatch):
     assert len(list(chat.spans(chat.MARKED, turns))) == 9
 
 
+def test_chat_context_is_verified_at_any_size(monkeypatch):
+    """A template that changes what it says about a turn only far into a
+    conversation, and one whose ``appends`` is not its rendering; nothing is
+    held of a template that says what it appends."""
+    monkeypatch.setattr(chat, "VERIFY_CHARS", 100)
+    turns = [("user", f"turn {k}") for k in range(60)]
+    late = lambda ts: "".join(f"{r}:{t};" for r, t in ts) + ("!" if sum(len(t) for _, t in ts) > 300 else "")
+    with pytest.raises(ValueError, match="depends on more than"):
+        list(chat.spans(chat.Template(late, context=1), turns))
+    plain = chat.Template(chat.MARKED.render, context=1)
+    assert list(chat.spans(plain, turns)) == list(chat.spans(chat.MARKED, turns))
+
+    def counted():
+        seen = []
+        return lambda turn: (seen.append(turn), chat.MARKED.render([turn]) + ("" if len(seen) < 40 else "!"))[1]
+
+    with pytest.raises(ValueError, match="depends on more than"):
+        list(chat.spans(chat.Template(chat.MARKED.render, 1, counted), turns))
+    claim = chat._Claim(chat.MARKED)
+    for turn, span in chat._spans(chat.MARKED, turns):
+        claim.turn(turn, span)
+    assert not claim.turns and not claim.pieces and claim.size == len(chat.MARKED.render(turns))
+
+
 def test_chat_empty(spark):
     empty = spark.createDataFrame([], CONV)
     assert chat.format_digests(empty).collect() == [] and chat.format_turns(empty).collect() == []
