@@ -9,8 +9,9 @@ licences (licence_texts.py); ``templates`` makes them of any other texts, as
 the ``notices`` of ``train``.  A paragraph's features are the word unigrams
 and bigrams that occur in the notices and are rare in ordinary paragraphs.  A
 sparse (L1) multinomial logistic regression, trained with Spark ML on the
-notices, on cut-down variants of them and on a bounded sample of the table's
-own paragraphs, gives each paragraph a licence family or ``unknown``.  The
+notices, on cut-down variants of them and on all different paragraphs of the
+table but a fifth of them held back, gives each paragraph a licence family or
+``unknown``.  The
 probability from which a family counts is calibrated on paragraphs held back
 from training, and never above that of a whole notice.  A prediction is
 confirmed by comparing the paragraph with the family's notices: the share of
@@ -24,7 +25,9 @@ for a family is ``unknown`` by the model's own intercepts, so one regular
 expression passes over whole texts and only paragraphs with such a term are
 scored.  Passages are looked for in texts that hold one of the bigrams which
 no passage can do without, in overlapping blocks of words, so the work grows
-with the text's length.  Nothing is shuffled but the training sample.
+with the text's length.  For training, paragraphs are reduced to the terms
+that notices have before they are shuffled, and paragraphs alike in the rare
+ones of these are one row with their number.
 
 Edge cases: null and empty texts have no paragraphs; a very long line is
 scored whole, and its passages are found in blocks; rows that repeat an id, or
@@ -49,12 +52,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .licence_texts import SPDX, TEXTS
-from .util import sample_by_hash, stored, table
+from .util import stored, table
 
 UNKNOWN = "unknown"
-#: Ordinary text: paragraphs of so many documents, and so many different
-#: ones of them at most, both chosen by hash.
-SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS = 4_000, 20_000
 #: A term in a larger share of ordinary paragraphs is no feature.
 COMMON_SHARE = 0.002
 #: Share of a notice's bigrams that confirms a prediction.
@@ -166,7 +166,11 @@ def _templates(notices: Notices) -> list[Template]:
 def _anchors(notices: Notices) -> list[str]:
     """Bigrams of which every passage holds one: of each notice the longest,
     one more than a passage can lack."""
-    return sorted({b for t in _templates(notices) for b in sorted(t.bigrams, key=lambda b: (-len(b), b))[: len(t.bigrams) - t.least + 1]})
+    return _needed([(t.bigrams, t.least) for t in _templates(notices)])
+
+
+def _needed(held: list[tuple[list[str], int]]) -> list[str]:
+    return sorted({b for own, least in held for b in sorted(own, key=lambda b: (-len(b), b))[: len(own) - least + 1]})
 
 
 def _passages(block: Column, own: list[Template]) -> Column:
@@ -270,28 +274,47 @@ def _variants(notice: str) -> list[str]:
     return [notice, *([" ".join(w[cut:]), " ".join(w[:-cut])] if len(w) > 6 else [])]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = SAMPLE_DOCUMENTS, sample: int = SAMPLE_PARAGRAPHS, notices: Notices = NOTICES) -> LicenceModel:
+def _known(text: Column | str, known: list[str]) -> Column:
+    """Distinct word unigrams and bigrams of a text that are in ``known``."""
+    one, two = [t for t in known if " " not in t], [t for t in known if " " in t]
+    return let(words(text), lambda w: F.array_distinct(F.concat(F.filter(w, lambda x: x.isin(one)), F.filter(bigrams(w), lambda x: x.isin(two)))))
+
+
+def ordinary(docs: DataFrame, text_col: str, notices: Notices, vocabulary: list[str]) -> DataFrame:
+    """(terms, held) of every different paragraph that is like no notice:
+    its terms that notices have, and whether it is held back from training."""
+    pairs = [_notice_bigrams(t) for own in notices.values() for t in own]
+    known = sorted({*vocabulary, *(b for own in pairs for b in own)})
+    lines = docs.select(F.explode(paragraphs(text_col)).alias("p")).where(F.length("p") > 0)
+    lines = lines.select(F.xxhash64(F.lit(5), "p").alias("h"), _known("p", known).alias("terms"))
+    lines = lines.groupBy("h").agg(F.first("terms").alias("terms"))
+    # a paragraph like a notice holds one of these, so few are compared
+    some = _needed([(own, math.ceil(NEAR * len(own))) for own in pairs])
+    share = F.greatest(F.lit(0.0), *[F.size(F.array_intersect("terms", _literal(own))) / F.lit(float(len(own))) for own in pairs if own])
+    near = F.when(F.exists("terms", lambda t: t.isin(some)), share >= NEAR).otherwise(False)
+    return lines.where(~near).select("terms", (F.pmod("h", F.lit(5)) == 0).alias("held"))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: Notices = NOTICES) -> LicenceModel:
+    """A model of the notices against all paragraphs of ``docs``."""
     spark = docs.sparkSession
     examples = [(float(k), v, n == 0) for k, own in enumerate(notices.values(), 1) for text in own for n, v in enumerate(_variants(text))]
     said = spark.createDataFrame(examples, "label DOUBLE, p STRING, whole BOOLEAN")
-    h = F.xxhash64(F.lit(7), id_col)
-    last = sample_by_hash(docs.select(id_col), id_col, documents).agg(F.max(h)).first()[0]
-    some = docs.where(h <= F.lit(last)) if last is not None else docs.limit(0)
-    lines = some.select(F.explode(paragraphs(text_col)).alias("p")).where(F.length("p") > 0)
-    lines = lines.groupBy(F.xxhash64(F.lit(5), "p").alias("h")).agg(F.first("p").alias("p")).orderBy("h").limit(sample).repartition(16, "h")
-    plain = lines.where(similarity("p", [t for own in notices.values() for t in own]) < NEAR)
-    plain = stored(plain.select(terms("p").alias("terms"), (F.pmod("h", F.lit(5)) == 0).alias("held")), "licence-plain")
     said = stored(said.select("label", terms("p").alias("terms"), "whole"), "licence-notices")
+    every = CountVectorizer(inputCol="terms", outputCol="x").fit(said).vocabulary
+    plain = stored(ordinary(docs, text_col, notices, every), "licence-plain")
 
     n = plain.count()
-    common = plain.select(F.explode("terms").alias("t")).join(F.broadcast(said.select(F.explode("terms").alias("t")).distinct()), "t")
+    common = plain.select(F.explode("terms").alias("t"))
     common = {r["t"] for r in common.groupBy("t").count().where(F.col("count") > COMMON_SHARE * n).collect()}
-    vocabulary = [t for t in CountVectorizer(inputCol="terms", outputCol="x").fit(said).vocabulary if t not in common]
+    vocabulary = [t for t in every if t not in common]
+    rare = F.array_sort(F.filter("terms", lambda t: t.isin(vocabulary)))
+    plain = stored(plain.groupBy("held", rare.alias("terms")).agg(F.count(F.lit(1)).cast("double").alias("weight")), "licence-terms")
     count = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="x")
     rows = said.select("label", "terms", F.lit(1.0).alias("weight"))
     share = max(n, 1) / max(len(examples), 1)
     if n:
-        rows = rows.withColumn("weight", F.lit(share)).unionByName(plain.where("not held").select(F.lit(0.0).alias("label"), "terms", F.lit(1.0).alias("weight")))
+        rows = rows.withColumn("weight", F.lit(share)).unionByName(plain.where("not held").select(F.lit(0.0).alias("label"), "terms", "weight"))
     else:
         rows = rows.unionByName(spark.createDataFrame([(0.0, [], float(len(examples)))], "label DOUBLE, terms ARRAY<STRING>, weight DOUBLE"))
     fitted = LogisticRegression(featuresCol="x", weightCol="weight", family="multinomial", elasticNetParam=1.0, regParam=REGULARISATION, maxIter=60, standardization=False).fit(count.transform(rows))

@@ -375,6 +375,26 @@ def test_license_empty_table(spark, none, licence_model):
     assert [(r["family"], r["confirmed"]) for r in found] == [("mit", True)]
 
 
+def test_license_training_reads_every_paragraph(spark, monkeypatch):
+    """Ordinary paragraphs are counted in all documents and all different
+    paragraphs, copies once, notices not; what they say often is no feature."""
+    monkeypatch.setattr(licenses, "SAMPLE_DOCUMENTS", 5, raising=False)
+    monkeypatch.setattr(licenses, "SAMPLE_PARAGRAPHS", 10, raising=False)
+    notice = next(t for t in licenses.NOTICES["mit"] if len(t) > 200)
+    rows = [(k, f"the river of the licence house {k}\nthe river\n\n{notice if k % 9 == 0 else ''}") for k in range(6000)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(5)
+    every = sorted({t for own in licenses.NOTICES.values() for text in own for w in [licenses._notice_words(text)] for t in (*w, *(f"{a} {b}" for a, b in zip(w, w[1:])))})
+    found = licenses.ordinary(docs, "text", licenses.NOTICES, every).collect()
+    assert len(found) == 6001
+    own = {*every}
+    want = {p: own & {*p.split(), *(f"{a} {b}" for a, b in zip(p.split(), p.split()[1:]))} for p in (f"the river of the licence house {k}" for k in range(6000))}
+    assert sum(len(r["terms"]) for r in found) == sum(map(len, want.values())) + 1  # "the" of the copies
+    rare = [(k, f"word {k}" + (" permission" if k < 40 else "")) for k in range(8000)]
+    model = licenses.train(spark.createDataFrame(rare, "doc_id BIGINT, text STRING"))
+    assert "permission" not in licenses.train(spark.createDataFrame([(k, f"{t} permission") for k, t in rare], "doc_id BIGINT, text STRING")).terms
+    assert model.least <= 0.9
+
+
 def test_license_wrapped_notices(spark, licence_model):
     rows, want = [], set()
     for k, (family, notices) in enumerate(sorted(licenses.NOTICES.items())):
