@@ -190,3 +190,41 @@ def test_repeated_samples_share_a_scan_and_agree(spark, scratch, monkeypatch):
     rows = lambda d: sorted((-1 if r["id"] is None else r["id"], r["v"]) for r in d.collect())
     for r in range(4):
         assert rows(got.where(F.col("rep") == r)) == rows(sampling.sample_k(df, 30, f"9.{r}"))
+
+
+def test_sample_with_repeated_ids_keys_only_near_rows(spark, monkeypatch):
+    """Few rows are given keys for a small sample, and it is that of all keys:
+    ids that repeat, copies of rows, more of them than are looked at, null ids."""
+    rows = [(None if k % 50 == 0 else k % 900, float(k % 1300)) for k in range(4000)] + [(5, 1.0)] * 300 + [(7, None)] * 9
+    df = spark.createDataFrame(rows, "id BIGINT, x DOUBLE").repartition(5)
+    whole = sampling.keyed_rows(df, ["id"], [3]).selectExpr("id", "x", "__key[0] as h").orderBy("h").limit(60).collect()
+    seen, keyed = [], sampling.keyed_rows
+    monkeypatch.setattr(sampling, "keyed_rows", lambda d, *a: (seen.append(d.count()), keyed(d, *a))[1])
+    got = sampling.sample_k(df, 60, 3, "id", ["x"], keep_key="h").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[2]) == [tuple(r) for r in whole]
+    assert len(seen) == 1 and seen[0] < 2500
+
+
+def test_sub_blocks_are_runs_in_hash_order(spark):
+    """Keys of several sub-blocks, of one, a null key, copies."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from fuzzmill.plans.two_level import sub_blocks
+
+    rows = [(None if k % 7 == 0 else "ab"[k % 2], float(k % 997)) for k in range(6000)] + [("c", 2.0)] * 50
+    df = spark.createDataFrame(rows, "g STRING, __x0 DOUBLE").repartition(4)
+    got = {(r["g"], r["__x0"]): (r["__sub"], r["__n"]) for r in sub_blocks(df, "g", 1, 60).collect()}
+    each = df.groupBy("g", "__x0").count().withColumn("lot", sampling.hash_key(["__x0"], "block"))
+    at = F.row_number().over(Window.partitionBy("g").orderBy("lot")) - 1
+    want = {(r["g"], r["__x0"]): (r["s"], r["count"]) for r in each.withColumn("s", F.floor(at / 60)).collect()}
+    assert got == want and max(s for s, _ in got.values()) > 10
+
+
+def test_sub_blocks_rank_no_points(spark):
+    """Points are neither sorted nor joined by a shuffle to be placed."""
+    from fuzzmill.plans.two_level import sub_blocks
+
+    df = spark.range(5000).selectExpr("id % 2 as g", "cast(id as double) as __x0")
+    plan = sub_blocks(df, "g", 1, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
