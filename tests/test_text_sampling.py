@@ -228,3 +228,20 @@ def test_sub_blocks_rank_no_points(spark):
     df = spark.range(5000).selectExpr("id % 2 as g", "cast(id as double) as __x0")
     plan = sub_blocks(df, "g", 1, 100)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "hashpartitioning" not in plan
+
+
+def test_ids_that_repeat_far_from_the_sample_have_no_say(spark, scratch):
+    """No id near the sample repeats: a plain top-k of the whole table, equal
+    to that of all keys; one that repeats near it is not."""
+    ids = spark.range(3000).withColumn("h", sampling.hash_key("id", 3)).orderBy("h")
+    order = [r["id"] for r in ids.collect()]
+    rows = lambda twice: spark.createDataFrame([(i, 1.0) for i in range(3000)] + [(i, 2.0) for i in twice], "id BIGINT, x DOUBLE")
+    plans = []
+    for i, twice in enumerate((order[-3:], order[1:4], [])):
+        rows(twice).write.parquet(f"{scratch}/{i}")  # of known size
+        df = spark.read.parquet(f"{scratch}/{i}")
+        whole = sampling.keyed_rows(df, ["id"], [3]).selectExpr("id", "x", "__key[0] as h").orderBy("h").limit(20).collect()
+        got = sampling.sample_k(df, 20, 3, "id", ["x"], keep_key="h")
+        assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == [tuple(r) for r in whole]
+        plans.append("TakeOrderedAndProject" in got._jdf.queryExecution().executedPlan().toString())
+    assert plans == [True, False, True]
