@@ -34,7 +34,7 @@ from .util import fresh, sliced, table, worker_store
 #: Blank marker of the library (U+2581).
 MARK = "▁"
 #: Chunks kept in a worker's cache; when full it starts anew.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 300_000
 #: Pair-compatibility answers kept.
 CACHE_PAIRS = 1_500_000
 #: Chunks longer than this are not cached.
@@ -216,7 +216,7 @@ class _Cache(dict):
 
 def model(path: str) -> PieceModel:
     """The model of this worker process, loaded once."""
-    store = worker_store()
+    store = worker_store("bpe")
     key = ("piece-model", path)
     if key not in store:
         store[key] = PieceModel(path)

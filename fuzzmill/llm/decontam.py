@@ -246,7 +246,7 @@ def blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", si
 
 def _load(file: str) -> Searcher:
     """A block from the shared folder; a worker keeps the last few."""
-    held = worker_store().setdefault("benchmark", {})
+    held = worker_store("decontam").setdefault("benchmark", {})
     if file not in held:
         while len(held) >= Shipped.KEEP:
             del held[next(iter(held))]

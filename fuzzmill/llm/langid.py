@@ -225,7 +225,7 @@ def _weights(rows: DataFrame, m: LanguageModel) -> np.ndarray:
 
 def predict(df: DataFrame, m: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, ambiguous) of every row."""
-    held = Shipped(df.sparkSession, m)
+    held = Shipped(df.sparkSession, m, "langid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.get()
@@ -241,7 +241,7 @@ def predict(df: DataFrame, m: LanguageModel, id_col: str = "doc_id", text_col: s
 def keep_identified(df: DataFrame, m: LanguageModel, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
     """The rows of ``df`` with a language: ``und`` texts, and those whose
     score is below ``least_score``, are rejected."""
-    held, at = Shipped(df.sparkSession, m), df.columns.index(text_col)
+    held, at = Shipped(df.sparkSession, m, "langid"), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.get()

@@ -113,7 +113,7 @@ def statistics(text: str | None) -> np.ndarray:
     data = (text or "").encode()
     if not data:
         return np.zeros(N_STATISTICS)
-    store = worker_store()
+    store = worker_store("quality")
     if "quality-zstd" not in store:
         store["quality-zstd"] = zstandard.ZstdCompressor(level=1)
     zip_ = store["quality-zstd"]
@@ -234,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
 def score(df: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row."""
-    held = Shipped(df.sparkSession, forest)
+    held = Shipped(df.sparkSession, forest, "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = held.get()

@@ -40,7 +40,7 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 def encoder(path: str):
     """The byte-level BPE of a ranks file, loaded once in each worker."""
-    store = worker_store()
+    store = worker_store("token_counts")
     key = ("byte-bpe", path)
     if key not in store:
         import base64

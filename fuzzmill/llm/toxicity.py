@@ -112,7 +112,7 @@ class ToxicityModel:
         return self._pair
 
     def windows(self, text: str | None) -> Iterator[bytes]:
-        known = worker_store().setdefault("toxicity-codes", {})
+        known = worker_store("toxicity").setdefault("toxicity-codes", {})
         held: list[bytes] = []
         for s in stems(text):
             c = known.get(s)
@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         best = told.where(F.col("y") == y).orderBy(F.desc("weight"), "stem").limit(ENTRIES)
         content[y] = dictionary([r["stem"] for r in best.collect()])
     model = ToxicityModel(content[1], content[0], np.zeros(5))
-    held = Shipped(spark, model)
+    held = Shipped(spark, model, "toxicity")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.get()
@@ -244,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
 def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row."""
-    held = Shipped(df.sparkSession, model)
+    held = Shipped(df.sparkSession, model, "toxicity")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.get()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import sys
 import types
@@ -24,10 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def worker_store() -> dict:
-    """A dict that lives as long as the Python worker process, so loaded
-    models and word caches outlast one task."""
-    return sys.modules.setdefault("_fuzzmill_worker", types.ModuleType("_fuzzmill_worker")).__dict__
+def worker_store(operator: str) -> dict:
+    """A dict that outlasts one task in the Python worker process, for the
+    loaded models and word caches of one operator.  Workers serve the stages
+    of a job one after another: when another operator asks, what the last one
+    held goes, so a worker holds as much as one operator needs."""
+    worker = sys.modules.setdefault("_fuzzmill_worker", types.ModuleType("_fuzzmill_worker"))
+    if getattr(worker, "operator", None) != operator:
+        worker.operator, worker.held = operator, {}
+        gc.collect()  # a model and its cache refer to each other
+        pa.default_memory_pool().release_unused()
+    return worker.held
 
 
 class Shipped:
@@ -36,12 +44,12 @@ class Shipped:
 
     KEEP = 4  # objects kept by a worker
 
-    def __init__(self, spark: SparkSession, value):
-        self.key = uuid.uuid4().hex
+    def __init__(self, spark: SparkSession, value, operator: str):
+        self.key, self.operator = uuid.uuid4().hex, operator
         self.data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
     def get(self):
-        held = worker_store().setdefault("shipped", {})
+        held = worker_store(self.operator).setdefault("shipped", {})
         if self.key not in held:
             while len(held) >= self.KEEP:
                 del held[next(iter(held))]
